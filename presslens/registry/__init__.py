@@ -27,6 +27,7 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
 def load_all() -> None:
     from . import (  # noqa: F401
         q_bias,
+        q_clean,
     )
 
 

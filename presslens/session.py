@@ -17,6 +17,7 @@ SCALE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a file split of 128 MiB keeps scan tasks well inside executor memory
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
