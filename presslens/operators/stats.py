@@ -104,3 +104,34 @@ def first_appearance_ids(df: DataFrame, key: str, date_col: str = "date", tiebre
         F.min(F.struct(F.col(date_col).isNull(), F.col(date_col), F.col(tiebreak))).alias("_first"))
     w = Window.orderBy(F.col("_first"), F.col(key))
     return firsts.select(key, (F.row_number().over(w) - 1).cast("bigint").alias(out))
+
+
+def dense_row_number(df: DataFrame, order: Sequence[str], out: str = "row_id",
+                     partitions: int | None = None) -> DataFrame:
+    """Consecutive numbers 1..N in ``order`` without a single-partition
+    window: range-partition on the order, number rows inside each
+    partition, then add the partition's offset (a prefix sum over one row
+    per partition, which is tiny and bounded by the partition count)."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    sizes = local.groupBy("_pid").agg(F.max("_rn").alias("_size"))
+    offsets = sizes.withColumn(
+        "_off", F.coalesce(F.sum("_size").over(
+            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid") \
+        .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_pid", "_rn", "_off")
+
+
+def hierarchy_counts(df: DataFrame, levels: Sequence[str], label: str | None = None) -> DataFrame:
+    """Counts at every level of a hierarchy (``rollup``), with the
+    label of a node when all its rows share one label."""
+    base = non_null(df, list(levels))
+    aggs = [F.count(F.lit(1)).alias("count")]
+    if label:
+        aggs += [F.countDistinct(label).alias("_nl"), F.max(label).alias("_l")]
+    out = base.rollup(*levels).agg(*aggs, F.grouping_id().cast("bigint").alias("level"))
+    out = out.filter(F.col("level") < (1 << len(levels)) - 1)  # drop the grand total
+    if label:
+        out = out.withColumn(label, F.when(F.col("_nl") == 1, F.col("_l"))).drop("_nl", "_l")
+    return out

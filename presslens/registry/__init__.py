@@ -28,6 +28,7 @@ def load_all() -> None:
     from . import (  # noqa: F401
         q_bias,
         q_clean,
+        q_stats,
     )
 
 
