@@ -29,6 +29,7 @@ def load_all() -> None:
         q_bias,
         q_clean,
         q_stats,
+        q_text,
     )
 
 
