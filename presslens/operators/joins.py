@@ -36,9 +36,10 @@ def contains_any(haystack: DataFrame, hay_col: str, needles: DataFrame, needle_c
     else:
         lo = n.select(F.min(F.char_length("_needle"))).scalar()
         hi = n.select(F.max(F.char_length("_needle"))).scalar()
-        low = hay.withColumn("_low", F.lower("_hay")).withColumn("_n", F.char_length("_low"))
-        subs = low.filter(F.col("_n") >= lo).select("_hay", F.explode(F.flatten(F.transform(
-            F.sequence(lo, F.least(hi, F.col("_n"))),
+        low = hay.select("_hay", F.lower("_hay").alias("_low"), F.char_length(F.lower("_hay")).alias("_n"),
+                         lo.alias("_lo"), hi.alias("_hi"))
+        subs = low.filter(F.col("_n") >= F.col("_lo")).select("_hay", F.explode(F.flatten(F.transform(
+            F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.col("_n"))),
             lambda ln: F.transform(F.sequence(F.lit(1), F.col("_n") - ln + 1),
                                    lambda i: F.col("_low").substr(i, ln))))).alias("_sub"))
         hits = subs.join(n, subs["_sub"] == n["_needle"], "left_semi").select("_hay").distinct()

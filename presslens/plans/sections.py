@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.stats import month_end, monthly_gap_filled, non_null, value_counts, with_share
@@ -22,16 +22,18 @@ def section_class_shares(df: DataFrame) -> DataFrame:
     """D15 (A16): article and section counts and article shares of
     cross-publication vs single-publication sections.
 
-    Sections with zero non-null publications belong to neither class but
-    count in the denominator, as in the analysis.
+    One aggregate per section gives both its rows and its distinct
+    publications; sections with zero non-null publications belong to
+    neither class but count in the denominator, as in the analysis. The
+    total is a window over the class table, which has at most 3 rows.
     """
-    base = non_null(df, ["section"])
-    spread = section_publication_spread(base)
-    cls = F.when(F.col("publications") > 1, "cross").when(F.col("publications") == 1, "single")
-    per_section = base.groupBy("section").agg(F.count(F.lit(1)).alias("_rows")).join(spread, "section")
+    per_section = non_null(df, ["section"]).groupBy("section").agg(
+        F.count(F.lit(1)).alias("_rows"), F.countDistinct("publication").alias("_pubs"))
+    cls = F.when(F.col("_pubs") > 1, "cross").when(F.col("_pubs") == 1, "single")
     by_class = per_section.groupBy(cls.alias("section_class")).agg(
         F.count(F.lit(1)).alias("sections"), F.sum("_rows").alias("articles"))
-    return with_share(by_class, "articles", "article_share").filter(F.col("section_class").isNotNull())
+    share = F.col("articles") / F.sum("articles").over(Window.partitionBy())
+    return by_class.withColumn("article_share", share).filter(F.col("section_class").isNotNull())
 
 
 def cross_section_publication_counts(df: DataFrame) -> DataFrame:
@@ -84,15 +86,17 @@ def counts_by(df: DataFrame, key: str) -> DataFrame:
     return value_counts(df, key).orderBy(key)
 
 
-def publication_month_pivot(df: DataFrame, publications: Sequence[str],
+def publication_month_pivot(df: DataFrame, publications: Sequence[str] | None,
                             exclude_publication: str | None = None, exclude_year: int | None = None) -> DataFrame:
     """D17 (G5): monthly non-null article counts with one column per
-    publication (explicit pivot values, so no extra pass to find them)."""
+    publication. Pass the values when known; otherwise Spark finds the
+    distinct publications with one extra aggregate pass."""
     base = df
     if exclude_publication is not None:
         base = base.filter(~F.col("publication").eqNullSafe(exclude_publication))
     if exclude_year is not None:
         base = base.filter(~F.col("year").eqNullSafe(exclude_year))
     base = non_null(base, ["date", "publication"])
-    return base.groupBy(month_end("date").alias("date")).pivot("publication", list(publications)) \
+    values = list(publications) if publications is not None else None
+    return base.groupBy(month_end("date").alias("date")).pivot("publication", values) \
         .agg(F.count("article"))

@@ -30,6 +30,8 @@ def load_all() -> None:
         q_clean,
         q_stats,
         q_text,
+        q_authors,
+        q_sections,
     )
 
 
