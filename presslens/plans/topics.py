@@ -9,11 +9,11 @@ Cartesian product and no Python in the row path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import section_clean, simple_tokens, singularize, singularize_tokens, split_pieces
-from ..operators.clean import clean_sections
+from ..functions.text import section_clean, simple_tokens, singularize, singularize_tokens, split_pieces, title_case
+from ..operators.clean import GENERIC_SECTIONS, coalesce_prefix
 from ..operators.stats import non_null, value_counts, with_share
 
 SHORT_KEYWORD = 5  # keywords shorter than this match whole tokens only
@@ -51,8 +51,13 @@ def section_topics(articles: DataFrame, lexicon: DataFrame, normalize_lexicon: b
     lexicon count twice); the topic is the most frequent, ties going to
     the topic listed first.
     """
-    sections = value_counts(articles, "section", count_name="article_count") \
-        .withColumn("section_clean", section_clean("section"))
+    counts = value_counts(articles, "section", count_name="article_count")
+    return topics_for_sections(counts, lexicon, normalize_lexicon)
+
+
+def topics_for_sections(counts: DataFrame, lexicon: DataFrame, normalize_lexicon: bool = False) -> DataFrame:
+    """D1 on a table of distinct sections ``(section, article_count)``."""
+    sections = counts.withColumn("section_clean", section_clean("section"))
     per_topic = keyword_matches(section_terms(sections), lexicon, normalize_lexicon) \
         .groupBy("section", "topic", "topic_pos").agg(F.count(F.lit(1)).alias("n"))
     per_section = per_topic.groupBy("section").agg(
@@ -72,7 +77,11 @@ def assign_topics(articles: DataFrame, sections: DataFrame) -> DataFrame:
 def geo_sections(articles: DataFrame, places: DataFrame) -> DataFrame:
     """Per distinct section the pieces (split on whitespace and
     hyphens) that are place names, in order, else null; plus ``is_geo``."""
-    secs = non_null(articles, ["section"]).select("section").distinct()
+    return geo_for_sections(non_null(articles, ["section"]).select("section").distinct(), places)
+
+
+def geo_for_sections(secs: DataFrame, places: DataFrame) -> DataFrame:
+    """D4 on a table of distinct sections."""
     pieces = secs.select("section", F.posexplode(split_pieces("section")).alias("pos", "piece"))
     names = F.broadcast(places.select(F.lower("name").alias("_name")).distinct())  # bounded gazetteer
     hits = pieces.join(names, F.lower(pieces["piece"]) == names["_name"])
@@ -96,18 +105,49 @@ def tag_geography(articles: DataFrame, geo: DataFrame) -> DataFrame:
     return articles.join(geo, "section", "left").withColumn("is_geo", F.coalesce("is_geo", F.lit(False)))
 
 
+def section_mapping(articles: DataFrame, lexicon: DataFrame, places: DataFrame,
+                    normalize_lexicon: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All section-level work of D5 on one small aggregate.
+
+    The articles are reduced once to ``(year, raw section) -> rows``. N12
+    (title case, opinion prefix, singleton rules, generic list), D4 and D1
+    are then functions of that table only, giving a mapping
+    ``(year, raw_section) -> section, geo, is_geo, simple_topic`` for the
+    rows that survive cleaning, plus the section dimension of D1.
+    """
+    raw = articles.filter(F.col("section").isNotNull()).groupBy(
+        "year", F.col("section").alias("raw_section")).agg(F.count(F.lit(1)).alias("n"))
+    t = coalesce_prefix(raw.withColumn("section", title_case("raw_section")), "section")
+    # singleton rules as windows over the small table (no join back)
+    t = t.withColumn("n_by", F.sum("n").over(Window.partitionBy("year", "section"))) \
+        .withColumn("n_all", F.sum("n").over(Window.partitionBy("section")))
+    rare = (F.col("n_all") == 1) | (F.col("year").isNotNull() & (F.col("n_by") == 1))
+    mapping = t.filter(~rare & ~F.col("section").isin(*GENERIC_SECTIONS)).drop("n_by", "n_all")
+    geo = geo_for_sections(mapping.select("section").distinct(), places)
+    mapped = mapping.join(geo, "section")
+    counts = mapped.filter(~F.col("is_geo")).groupBy("section").agg(F.sum("n").alias("article_count"))
+    sections = topics_for_sections(counts, lexicon, normalize_lexicon)
+    full = mapped.join(sections.select("section", "simple_topic"), "section", "left") \
+        .select("year", "raw_section", "section", "geo", "is_geo", "simple_topic")
+    return full, sections
+
+
 def topic_job(articles: DataFrame, lexicon: DataFrame, places: DataFrame,
               normalize_lexicon: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """N12 -> D4 -> drop geo -> D1 -> drop rows without topic.
 
-    Returns (topic articles, section dimension, cleaned articles before the
-    geo/topic filters). Writing in 25 slices is ``sources.io.write_table``.
+    Returns (topic articles, section dimension, cleaned and geo-tagged
+    articles with their topic, before the geo/topic filters). The article rows meet the section mapping in one join (AQE
+    broadcasts it when its runtime size is small); rows dropped by the
+    cleaning have no partner in the mapping. Writing in 25 slices is
+    ``sources.io.write_table``.
     """
-    cleaned = clean_sections(articles.drop("simple_topic") if "simple_topic" in articles.columns else articles)
-    tagged = tag_geography(cleaned, geo_sections(cleaned, places))
-    non_geo = tagged.filter(~F.col("is_geo")).drop("geo", "is_geo")
-    sections = section_topics(non_geo, lexicon, normalize_lexicon)
-    out = assign_topics(non_geo, sections).filter(F.col("simple_topic").isNotNull())
+    base = articles.drop("simple_topic") if "simple_topic" in articles.columns else articles
+    full, sections = section_mapping(base, lexicon, places, normalize_lexicon)
+    m = full.withColumnsRenamed({"year": "_my", "section": "_clean"})
+    tagged = base.join(m, base["year"].eqNullSafe(m["_my"]) & (base["section"] == m["raw_section"])) \
+        .withColumn("section", F.col("_clean")).drop("_my", "_clean", "raw_section")
+    out = tagged.filter(~F.col("is_geo") & F.col("simple_topic").isNotNull()).drop("geo", "is_geo")
     return out, sections, tagged
 
 
@@ -136,6 +176,17 @@ def publication_shift(before: DataFrame, after: DataFrame, key: str = "publicati
     return old.join(new, key, "left").withColumn("ratio_pp", F.col("new_pub_ratio") - F.col("old_pub_ratio"))
 
 
+def publication_shift_flagged(tagged: DataFrame, kept: "F.Column", key: str = "publication") -> DataFrame:
+    """D7 when the "after" rows are a flagged subset of the "before" rows:
+    one aggregate with two counts instead of two passes."""
+    counts = non_null(tagged, [key]).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_old"), F.count(F.when(kept, 1)).alias("_new"))
+    shares = with_share(with_share(counts, "_old", "old_pub_ratio", 100.0), "_new", "_nr", 100.0)
+    new = F.when(F.col("_new") > 0, F.col("_nr"))
+    return shares.select(key, "old_pub_ratio", new.alias("new_pub_ratio"),
+                         (new - F.col("old_pub_ratio")).alias("ratio_pp"))
+
+
 def shift_std(shift: DataFrame) -> DataFrame:
     """D7 (A13): sample std of the percentage-point change."""
     return shift.agg(F.stddev_samp("ratio_pp").alias("ratio_pp_std"))

@@ -32,6 +32,7 @@ def load_all() -> None:
         q_text,
         q_authors,
         q_sections,
+        q_topics,
     )
 
 

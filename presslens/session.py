@@ -18,6 +18,8 @@ SCALE_CONF = {
     # a file split of 128 MiB keeps scan tasks well inside executor memory
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,11 +37,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def local_session(cores: int = 8) -> SparkSession:
-    """Session for tests and local benchmarks."""
-    return get_session(
-        master=f"local[{cores}]", shuffle_partitions=cores
-    )
+def local_session(cores: int = 8, driver_memory: str = "8g") -> SparkSession:
+    """Session for tests and local benchmarks (local mode: the driver JVM
+    is the executor, so its heap is the only memory setting)."""
+    SparkSession.builder.config("spark.driver.memory", driver_memory)
+    return get_session(master=f"local[{cores}]", shuffle_partitions=cores)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -56,3 +58,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="presslens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage between pipeline stages: write ``df`` to the shared
+    checkpoint folder (reliable, survives executor loss) and continue from
+    the written copy. Stands in for reading a stored catalog layer."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
