@@ -19,7 +19,10 @@ EXTRA_SECTION_STOP_WORDS = ("news",)
 def english() -> tuple[str, ...]:
     import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    roots = [os.path.join(os.path.dirname(pyspark.__file__), "jars")]
+    if os.environ.get("SPARK_HOME"):
+        roots.append(os.path.join(os.environ["SPARK_HOME"], "jars"))
+    jars = [j for r in roots for j in glob.glob(os.path.join(r, "spark-mllib_*.jar"))]
     if not jars:  # pragma: no cover - fall back to the JVM when jars live elsewhere
         from pyspark.ml.feature import StopWordsRemover
         return tuple(StopWordsRemover.loadDefaultStopWords("english"))

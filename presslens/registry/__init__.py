@@ -33,6 +33,7 @@ def load_all() -> None:
         q_authors,
         q_sections,
         q_topics,
+        q_models,
     )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import text as X
+from ..functions.stopwords import english
 from ..operators import clean as N
 from ..plans.authors import generic_author, not_named_after_publication
 from . import duck as D
@@ -170,9 +171,9 @@ def x5_simple_tokens(spark, sf):
                                F.size(X.simple_tokens("article")).cast("bigint").alias("article_tokens"))
 
 
-@register("x6_stop_words", W("articles") + f"""
-SELECT article_id, CAST(len({D.drop_words(D.tokens('article'), __import__('presslens.functions.stopwords',
-        fromlist=['english']).english())}) AS BIGINT) AS content_tokens FROM articles""")
+@register("x6_stop_words", lambda: W("articles") + f"""
+SELECT article_id, CAST(len({D.drop_words(D.tokens('article'), english())}) AS BIGINT) AS content_tokens
+FROM articles""")
 def x6_stop_words(spark, sf):
     return A(spark, sf).select("article_id", F.size(X.remove_stop_words(X.simple_tokens("article")))
                                .cast("bigint").alias("content_tokens"))
