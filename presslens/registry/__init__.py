@@ -34,6 +34,7 @@ def load_all() -> None:
         q_sections,
         q_topics,
         q_models,
+        q_sources,
     )
 
 
