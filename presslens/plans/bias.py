@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.stats import month_end, non_null, weighted_mean, with_share
@@ -50,15 +50,18 @@ def bias_score(df: DataFrame, score: str = SCORE,
 
     ``grain`` may be coarser than the natural (publication, topic, month)
     grain; weights are the publication's article counts. The article table
-    is aggregated once; both P and the topic totals T come from that result.
+    is aggregated (and shuffled) once; both P and the topic totals T come
+    from that result.
     """
     fine = publication_topic_month(bias_input(df, exclude_year), score)
-    t = fine.groupBy("date", "simple_topic").agg(
-        F.sum("n_p").alias("n_t"), F.sum("s_p").alias("s_t"), F.sum("c_p").alias("c_t"))
-    p = fine.filter(F.col("publication").isNotNull())
+    # topic totals T as a window over the fine aggregate: one row per
+    # publication in each (month, topic) partition, so no second pass over
+    # the articles and no join back
+    tw = Window.partitionBy("date", "simple_topic")
     joined = (
-        p.join(t, ["date", "simple_topic"], "left")
-        .filter(F.col("n_p") > min_articles)
+        fine.select("*", F.sum("n_p").over(tw).alias("n_t"), F.sum("s_p").over(tw).alias("s_t"),
+                    F.sum("c_p").over(tw).alias("c_t"))
+        .filter(F.col("publication").isNotNull() & (F.col("n_p") > min_articles))
         .select(
             "publication", "simple_topic", "date", "n_p",
             (F.col("n_p") / F.col("n_t")).alias("published_ratio"),

@@ -116,3 +116,13 @@ def t1_incremental_ingest(spark, sf):
     target, ckpt = IO.scratch_path(spark, "raw"), IO.scratch_path(spark, "stream-ckpt")
     ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA)
     return spark.read.parquet(target)
+
+
+@register("s2_chunked_append", NORM + f"SELECT {RAW_COLS} FROM narticles")
+def s2_chunked_append(spark, sf):
+    """Chunked append: four files, one file per micro-batch."""
+    src = IO.scratch_path(spark, "incoming")
+    IO.write_csv(_raw(spark, sf).repartition(4), src)
+    target, ckpt = IO.scratch_path(spark, "raw"), IO.scratch_path(spark, "stream-ckpt")
+    ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, max_files_per_trigger=1)
+    return spark.read.parquet(target)

@@ -330,3 +330,27 @@ def p12_label_rewrite(spark, sf):
     ids = S.first_appearance_ids(f, "simple_topic")
     return f.join(F.broadcast(ids), "simple_topic", "left").select(
         "article_id", F.col("key_id").alias("simple_topic_id"))
+
+
+@register("j2_lookup_join", NORM + """,
+f AS (SELECT publication, min(date) AS d, arg_min(article_id, date) AS a FROM narticles
+      WHERE publication IS NOT NULL GROUP BY 1),
+ids AS (SELECT publication, CAST(row_number() OVER (ORDER BY d, a, publication) - 1 AS BIGINT) AS key_id FROM f)
+SELECT article_id, key_id AS publication_id FROM narticles LEFT JOIN ids USING (publication)""")
+def j2_lookup_join(spark, sf):
+    a = _norm(spark, sf)
+    ids = S.first_appearance_ids(a, "publication")  # one row per publication
+    return a.join(ids, "publication", "left").select("article_id", F.col("key_id").alias("publication_id"))
+
+
+@register("j8_left_align", W("articles") + f""",
+o AS (SELECT publication, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS all_share FROM articles
+      WHERE publication IS NOT NULL GROUP BY 1),
+n AS (SELECT publication, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS long_share FROM articles
+      WHERE publication IS NOT NULL AND {D.word_count('title')} > 40 GROUP BY 1)
+SELECT o.publication, all_share, long_share FROM o LEFT JOIN n USING (publication)""")
+def j8_left_align(spark, sf):
+    a = A(spark, sf)
+    o = S.value_counts(a, "publication", normalize=True, share_name="all_share")
+    n = S.value_counts(a.filter(X.word_count("title") > 40), "publication", normalize=True, share_name="long_share")
+    return align(o, n, "publication", "left")
