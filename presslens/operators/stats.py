@@ -135,3 +135,21 @@ def hierarchy_counts(df: DataFrame, levels: Sequence[str], label: str | None = N
     if label:
         out = out.withColumn(label, F.when(F.col("_nl") == 1, F.col("_l"))).drop("_nl", "_l")
     return out
+
+
+def mean_median(df: DataFrame, cols: Sequence[str], null_as: float | None = 0,
+                approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """A4: mean and median of each column (nulls counted as ``null_as``).
+    ``median`` is exact (a sort of the column); ``approx=True`` uses the
+    mergeable quantile sketch of ``percentile_approx`` for very large data."""
+    aggs = []
+    for c in cols:
+        x = F.coalesce(F.col(c), F.lit(null_as)) if null_as is not None else F.col(c)
+        med = F.percentile_approx(x, 0.5, accuracy) if approx else F.median(x)
+        aggs += [F.avg(x).alias(f"{c}_mean"), med.alias(f"{c}_median")]
+    return df.agg(*aggs)
+
+
+def distinct_count(col: str, approx: bool = False, rsd: float = 0.01) -> Column:
+    """Exact distinct count, or HyperLogLog++ with relative error ``rsd``."""
+    return F.approx_count_distinct(col, rsd) if approx else F.countDistinct(col)
