@@ -26,33 +26,39 @@ def token_frequencies(df: DataFrame, text: str, k: int | None = 10) -> DataFrame
     return freq.orderBy(F.desc("count"), "token").limit(k) if k else freq
 
 
-def document_frequency(df: DataFrame, key: str, text: str) -> DataFrame:
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, count) for every document: the one tokenising pass that
+    document frequencies, vocabularies and bags of words all derive from."""
+    return df.filter(F.col(text).isNotNull()).select(key, F.explode(token_column(text)).alias("token")) \
+        .groupBy(key, "token").agg(F.count(F.lit(1)).alias("count"))
+
+
+def document_frequency(df: DataFrame, key: str, text: str, tf: DataFrame | None = None) -> DataFrame:
     """(token, df): number of documents containing each token."""
-    return df.filter(F.col(text).isNotNull()).select(
-        key, F.explode(F.array_distinct(token_column(text))).alias("token")
-    ).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    tf = tf if tf is not None else term_counts(df, key, text)
+    return tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(df: DataFrame, key: str, text: str, no_below: int = 10, no_above: float = 0.1,
-               keep_n: int = 100_000) -> DataFrame:
+               keep_n: int = 100_000, tf: DataFrame | None = None) -> DataFrame:
     """Tokens in at least ``no_below`` documents and at most a
     ``no_above`` fraction of them, the ``keep_n`` most frequent by
     document frequency; ids 0.. by (df desc, token). ``keep_n`` is the
     vocabulary size the job asks for, not a sample of the data."""
     n_docs = df.filter(F.col(text).isNotNull()).select(F.count(F.lit(1))).scalar()
-    kept = document_frequency(df, key, text).filter(
+    kept = document_frequency(df, key, text, tf).filter(
         (F.col("df") >= no_below) & (F.col("df") <= n_docs * F.lit(no_above)))
     top = kept.orderBy(F.desc("df"), "token").limit(keep_n)
-    # keep_n rows at most: the numbering window runs over a bounded table
+    # at most keep_n rows: the numbering window runs over a bounded table
     from pyspark.sql import Window
     return top.withColumn("token_id", (F.row_number().over(Window.orderBy(F.desc("df"), "token")) - 1).cast("bigint"))
 
 
-def bag_of_words(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """(document, token_id, count) over the vocabulary."""
-    toks = df.filter(F.col(text).isNotNull()).select(key, F.explode(token_column(text)).alias("token"))
-    return toks.join(vocab.select("token", "token_id"), "token").groupBy(key, "token_id") \
-        .agg(F.count(F.lit(1)).alias("count"))
+def bag_of_words(df: DataFrame, key: str, text: str, vocab: DataFrame, tf: DataFrame | None = None) -> DataFrame:
+    """(document, token_id, count) over the vocabulary; the vocabulary
+    is bounded by ``keep_n`` and broadcast."""
+    tf = tf if tf is not None else term_counts(df, key, text)
+    return tf.join(F.broadcast(vocab.select("token", "token_id")), "token").select(key, "token_id", "count")
 
 
 def token_shares(df: DataFrame, text: str) -> DataFrame:

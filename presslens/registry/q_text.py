@@ -110,7 +110,8 @@ SELECT article_id, token_id, count(*) AS count FROM (SELECT article_id, unnest({
 FROM articles WHERE article IS NOT NULL) t JOIN vocab USING (token) GROUP BY 1, 2""")
 def m11_bag_of_words(spark, sf):
     a = A(spark, sf)
-    return TK.bag_of_words(a, "article_id", "article", TK.vocabulary(a, "article_id", "article"))
+    tf = TK.term_counts(a, "article_id", "article")  # one tokenising pass, reused
+    return TK.bag_of_words(a, "article_id", "article", TK.vocabulary(a, "article_id", "article", tf=tf), tf=tf)
 
 
 @register("g8_explode_tokens", lambda: W("articles") + f"""
