@@ -34,12 +34,14 @@ def tfidf_relational(df: DataFrame, key: str, text: str, max_features: int) -> D
     The vocabulary is a top-k (bounded by ``max_features``) and is the
     only broadcast side; all other steps are partial aggregates.
     """
-    docs = df.filter(F.col(text).isNotNull()).select(key, tfidf_tokens(text).alias("_toks"))
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    n_docs = df.filter(F.col(text).isNotNull()).select(F.count(F.lit(1))).scalar()
+    docs = df.filter(F.col(text).isNotNull()).select(key, text).repartition(key) \
+        .select(key, tfidf_tokens(text).alias("_toks"))
     tf = docs.select(key, F.explode("_toks").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.sum("tf").alias("_total"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.desc("_total"), "term").limit(max_features) \
         .select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
+    # tf stays partitioned by document: the per-document norm needs no exchange
     w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("_w") / norm).alias("weight"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import simple_tokens, word_count
+from ..session import spread
 from ..resources import NEGATORS, VALENCE
 
 COMPOUND_ALPHA = 15.0  # normalisation constant of the compound score
@@ -55,13 +56,16 @@ def score_texts(df: DataFrame, key: str, texts: dict[str, str], valence: DataFra
     pos/neg/neu shares and the compound score.
 
     All texts of a row are tokenised once, exploded together, matched, and
-    reduced to one row per key by a single aggregate, so the articles are
-    joined back once.
+    reduced to one row per key by a partial (map-side) aggregate, so the
+    only exchange of full rows is the single join back.
     """
     items = list(texts.items())
     shares = set(shares)
     tok_cols = {f"_tok{i}": simple_tokens(F.col(c)) for i, (_, c) in enumerate(items)}
-    tokenised = df.select(key, *[v.alias(k) for k, v in tok_cols.items()])
+    # tokens are produced where the rows are read (no shuffle of the text),
+    # unless the input has fewer partitions than cores
+    tokenised = spread(df.select(key, *[c for _, c in items]), key) \
+        .select(key, *[v.alias(k) for k, v in tok_cols.items()])
     toks = F.flatten(F.array(*[_token_structs(F.col(f"_tok{i}"), i, negate, negators) for i in range(len(items))]))
     v = F.when(F.col("tok.neg"), -F.col("valence")).otherwise(F.col("valence"))
     aggs = []
