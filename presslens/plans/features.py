@@ -42,7 +42,8 @@ def tfidf_relational(df: DataFrame, key: str, text: str, max_features: int) -> D
     vocab = stats.orderBy(F.desc("_total"), "term").limit(max_features) \
         .select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
     # tf stays partitioned by document: the per-document norm needs no exchange
-    w = tf.join(F.broadcast(vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    w = tf.join(F.broadcast(vocab), "term")  # at most max_features rows
+    w = w.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
@@ -154,7 +155,8 @@ def sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: i
     """Token ids (1 for unknown words), the last ``max_len`` kept,
     zero-padded at the end to ``max_len``."""
     ex = df.select(key, F.posexplode(tokens).alias("pos", "word"))
-    ids = ex.join(F.broadcast(vocab), "word", "left").select(key, "pos", F.coalesce("id", F.lit(OOV_ID)).alias("id"))
+    ids = ex.join(F.broadcast(vocab), "word", "left")  # at most num_words rows
+    ids = ids.select(key, "pos", F.coalesce("id", F.lit(OOV_ID)).alias("id"))
     seq = ids.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("_ids"))
     kept = F.when(F.size("_ids") > max_len, F.slice("_ids", -max_len, max_len)).otherwise(F.col("_ids"))

@@ -67,7 +67,8 @@ def bag_of_words(df: DataFrame, key: str, text: str, vocab: DataFrame, tf: DataF
     """(document, token_id, count) over the vocabulary; the vocabulary
     is bounded by ``keep_n`` and broadcast."""
     tf = tf if tf is not None else term_counts(df, key, text)
-    return tf.join(F.broadcast(vocab.select("token", "token_id")), "token").select(key, "token_id", "count")
+    vocab = F.broadcast(vocab.select("token", "token_id"))  # at most keep_n rows
+    return tf.join(vocab, "token").select(key, "token_id", "count")
 
 
 def token_shares(df: DataFrame, text: str) -> DataFrame:

@@ -328,7 +328,8 @@ SELECT article_id, key_id AS simple_topic_id FROM facts LEFT JOIN ids USING (sim
 def p12_label_rewrite(spark, sf):
     f = FA(spark, sf)
     ids = S.first_appearance_ids(f, "simple_topic")
-    return f.join(F.broadcast(ids), "simple_topic", "left").select(
+    # one row per label: AQE broadcasts it from its runtime size
+    return f.join(ids, "simple_topic", "left").select(
         "article_id", F.col("key_id").alias("simple_topic_id"))
 
 
