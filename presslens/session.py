@@ -61,11 +61,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage between pipeline stages: write ``df`` to the shared
-    checkpoint folder (reliable, survives executor loss) and continue from
-    the written copy. Stands in for reading a stored catalog layer."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage between pipeline stages: write ``df`` as a Parquet table
+    in the shared checkpoint folder and continue from the written copy
+    (columnar, so later stages prune columns and push filters into it).
+    Stands in for reading a stored catalog layer; survives executor loss."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/presslens-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df, *keys):
