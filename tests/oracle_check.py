@@ -82,7 +82,7 @@ def normalize_rows(cols, rows, digits=9):
     return out
 
 
-def compare(spark, name, fn, sql, sf_dir, digits=9):
+def compare(spark, name, fn, sql, sf_dir, digits=6):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
