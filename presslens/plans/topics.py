@@ -90,6 +90,27 @@ def geo_for_sections(secs: DataFrame, places: DataFrame) -> DataFrame:
     return secs.join(geo, "section", "left").withColumn("is_geo", F.col("geo").isNotNull())
 
 
+# Largest gazetteer applied as an in-expression hash set; beyond it the
+# broadcast-join path (geo_for_sections) is used.
+INLINE_PLACES_MAX = 50_000
+
+
+def tag_places(df: DataFrame, section: str, places: DataFrame) -> DataFrame:
+    """D4 on a table that has a section column: adds ``geo`` (pieces that
+    are place names, in order, else null) and ``is_geo``.
+
+    A gazetteer is a word list; after a count shows it is small it becomes a
+    hash-set membership test inside the row expression (no join, no
+    exchange). A larger one goes through ``geo_for_sections``.
+    """
+    names = places.select(F.lower("name").alias("name")).filter(F.col("name").isNotNull()).distinct()
+    if names.count() > INLINE_PLACES_MAX:
+        return df.join(geo_for_sections(df.select(section).distinct(), places), section)
+    words = [r["name"] for r in names.collect()]
+    hits = F.filter(split_pieces(section), lambda p: F.lower(p).isin(*words))
+    return df.withColumn("geo", F.when(F.size(hits) > 0, hits)).withColumn("is_geo", F.col("geo").isNotNull())
+
+
 def places_from_tables(spark, sf_dir: str, extra=None) -> DataFrame:
     """Gazetteer: nation and region names of the given tables plus our own
     place names."""
@@ -123,8 +144,7 @@ def section_mapping(articles: DataFrame, lexicon: DataFrame, places: DataFrame,
         .withColumn("n_all", F.sum("n").over(Window.partitionBy("section")))
     rare = (F.col("n_all") == 1) | (F.col("year").isNotNull() & (F.col("n_by") == 1))
     mapping = t.filter(~rare & ~F.col("section").isin(*GENERIC_SECTIONS)).drop("n_by", "n_all")
-    geo = geo_for_sections(mapping.select("section").distinct(), places)
-    mapped = mapping.join(geo, "section")
+    mapped = tag_places(mapping, "section", places)
     counts = mapped.filter(~F.col("is_geo")).groupBy("section").agg(F.sum("n").alias("article_count"))
     sections = topics_for_sections(counts, lexicon, normalize_lexicon)
     full = mapped.join(sections.select("section", "simple_topic"), "section", "left") \

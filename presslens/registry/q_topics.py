@@ -13,11 +13,18 @@ from . import register
 W = fx.sql_with
 
 
+_LAYER: dict = {}
+
+
 def _norm(spark, sf):
     """The raw layer as the topic job reads it: ingest-cleaned articles,
-    materialised (the job reads a stored table, not the fixture view)."""
+    written once per session and input folder (the job reads a stored
+    table, not the fixture view)."""
     from ..session import materialize
-    return materialize(N.empty_to_null(N.text_null_fix(fx.articles(spark, sf))))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LAYER:
+        _LAYER[key] = materialize(N.empty_to_null(N.text_null_fix(fx.articles(spark, sf))))
+    return _LAYER[key]
 
 
 def _job(spark, sf):
