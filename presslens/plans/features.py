@@ -34,10 +34,11 @@ def tfidf_relational(df: DataFrame, key: str, text: str, max_features: int) -> D
     The vocabulary is a top-k (bounded by ``max_features``) and is the
     only broadcast side; all other steps are partial aggregates.
     """
-    n_docs = df.filter(F.col(text).isNotNull()).select(F.count(F.lit(1))).scalar()
-    # tokens are computed before the exchange, so the vocabulary pass and the
-    # weighting pass (both reading this exchange) tokenise each text once
+    # tokens are computed before the exchange, so the vocabulary pass, the
+    # weighting pass and the document count (all reading this exchange)
+    # tokenise each text once
     docs = df.filter(F.col(text).isNotNull()).select(key, tfidf_tokens(text).alias("_toks")).repartition(key)
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
     tf = docs.select(key, F.explode("_toks").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.sum("tf").alias("_total"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.desc("_total"), "term").limit(max_features) \
