@@ -26,6 +26,21 @@ def model_input(spark, sf):
     return a.withColumns({"title_clean": X.clean_text("title"), "article_clean": X.clean_text("article")})
 
 
+_STAGES: dict = {}
+
+
+def staged_input(spark, sf, *cols):
+    """The model input columns a job needs, cleaned once and written as a
+    Parquet stage in the shared checkpoint folder (reused by later jobs of
+    the session): feature building reads its input several times (vocabulary,
+    weighting, counts), and every read would otherwise clean the text again."""
+    from ..session import materialize
+    key = (spark.sparkContext.applicationId, sf, cols)
+    if key not in _STAGES:
+        _STAGES[key] = materialize(model_input(spark, sf).select("article_id", *cols))
+    return _STAGES[key]
+
+
 def model_input_sql() -> str:
     return (W("articles") + ", " + D.normalised_articles_cte() + f""",
 mi AS (SELECT * FROM (SELECT *, {_clean_text_duck('title')} AS title_clean, {_clean_text_duck('article')} AS article_clean
@@ -42,7 +57,7 @@ vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM docs)) / (df + 1)) + 1 AS
 w AS (SELECT article_id, term, tf * idf AS w FROM tf JOIN vocab USING (term))
 SELECT article_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY article_id)) AS weight FROM w""")
 def m1_tfidf_relational(spark, sf):
-    return FE.tfidf_relational(model_input(spark, sf), "article_id", "title_clean", 5000)
+    return FE.tfidf_relational(staged_input(spark, sf, "title_clean"), "article_id", "title_clean", 5000)
 
 
 @register("m1_tfidf_ml_features")
@@ -153,7 +168,7 @@ def m13_token_sequences(spark, sf):
 
 
 def _experiment(spark, sf, models, text="title_clean", target="simple_topic", max_features=5000, name="title_topic"):
-    return MO.run_experiment(model_input(spark, sf), "article_id", text, target, max_features,
+    return MO.run_experiment(staged_input(spark, sf, text, target), "article_id", text, target, max_features,
                              f"{name}_tfidf_{max_features}", models=models)
 
 
