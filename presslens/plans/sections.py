@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.stats import month_end, monthly_gap_filled, non_null, value_counts, with_share
+from ..operators.stats import month_end, monthly_gap_filled, non_null, value_counts
 
 
 def section_publication_spread(df: DataFrame) -> DataFrame:
