@@ -23,18 +23,37 @@ def valence_values_sql() -> str:
     return f"(VALUES {vals}) AS v(word, valence)"
 
 
-def scored_cte(src: str = "articles", name: str = "scored") -> str:
+def _neg_tokens(tok_list: str) -> str:
+    """Tokens as (t, neg) structs: negated when one of the three preceding
+    tokens is a negator (DuckDB list index is 1-based)."""
+    from ..resources import NEGATORS
+    negs = D.lit_list(NEGATORS)
+    return (f"list_transform({tok_list}, lambda x, i: struct_pack(t := x, neg := "
+            f"len(list_filter(({tok_list})[greatest(1, i - 3):i - 1], lambda y: list_contains({negs}, y))) > 0))")
+
+
+def scored_cte(src: str = "articles", name: str = "scored", negate: bool = False) -> str:
     """D3 columns over ``src`` as CTEs; defines ``{name}`` = src + columns."""
     tt, ta = D.tokens("title"), D.tokens("article")
-    return f"""{name}_tk AS (SELECT article_id, 0 AS f, unnest({tt}) AS t FROM {src}
-        UNION ALL SELECT article_id, 1 AS f, unnest({ta}) AS t FROM {src}),
+    if negate:
+        tk = f"""{name}_tk0 AS (SELECT article_id, 0 AS f, unnest({_neg_tokens(tt)}) AS s FROM {src}
+        UNION ALL SELECT article_id, 1 AS f, unnest({_neg_tokens(ta)}) AS s FROM {src}),
+{name}_tk AS (SELECT article_id, f, s.t AS t, s.neg AS neg FROM {name}_tk0)"""
+        val = "CASE WHEN neg THEN -v.valence ELSE v.valence END"
+    else:
+        tk = f"""{name}_tk AS (SELECT article_id, 0 AS f, unnest({tt}) AS t FROM {src}
+        UNION ALL SELECT article_id, 1 AS f, unnest({ta}) AS t FROM {src})"""
+        val = "v.valence"
+    return f"""{tk},
+{name}_v AS (SELECT {name}_tk.article_id, {name}_tk.f, {val} AS valence
+      FROM {name}_tk JOIN {valence_values_sql()} ON {name}_tk.t = v.word),
 {name}_m AS (SELECT article_id,
         sum(CASE WHEN f = 0 THEN valence END) AS s0, count(CASE WHEN f = 0 THEN valence END) AS c0,
         sum(CASE WHEN f = 0 AND valence > 0 THEN valence + 1 END) AS p0,
         sum(CASE WHEN f = 0 AND valence < 0 THEN -valence + 1 END) AS n0,
         count(CASE WHEN f = 0 AND valence <> 0 THEN 1 END) AS z0,
         sum(CASE WHEN f = 1 THEN valence END) AS s1, count(CASE WHEN f = 1 THEN valence END) AS c1
-      FROM {name}_tk JOIN {valence_values_sql()} ON {name}_tk.t = v.word GROUP BY 1),
+      FROM {name}_v GROUP BY 1),
 {name}_x AS (SELECT a.*, coalesce(s0, 0) AS _s0, coalesce(c0, 0) AS _c0, coalesce(p0, 0) AS _p0,
         coalesce(n0, 0) AS _n0, len({tt}) - coalesce(z0, 0) AS _u0, coalesce(s1, 0) AS _s1, coalesce(c1, 0) AS _c1
       FROM {src} a LEFT JOIN {name}_m USING (article_id)),
@@ -68,7 +87,8 @@ def d2_lexicon_sentiment_title(spark, sf):
     return enriched(spark, sf).select("article_id", "title_textblob_sentiment", "vader_compound_title")
 
 
-@register("d2_negation_sentiment")
+@register("d2_negation_sentiment", lambda: W("articles") + ", " + scored_cte(negate=True)
+          + "\nSELECT article_id, title_textblob_sentiment, vader_compound_title FROM scored")
 def d2_negation_sentiment(spark, sf):
     """Negation variant (flip when one of three preceding tokens negates)."""
     return SE.enrich_text(A(spark, sf), SE.valence_table(spark), negate=True).select(
