@@ -36,8 +36,11 @@ def scored_cte(src: str = "articles", name: str = "scored", negate: bool = False
     """D3 columns over ``src`` as CTEs; defines ``{name}`` = src + columns."""
     tt, ta = D.tokens("title"), D.tokens("article")
     if negate:
-        tk = f"""{name}_tk0 AS (SELECT article_id, 0 AS f, unnest({_neg_tokens(tt)}) AS s FROM {src}
-        UNION ALL SELECT article_id, 1 AS f, unnest({_neg_tokens(ta)}) AS s FROM {src}),
+        # token lists first, so the per-token lambda slices a column instead of
+        # re-tokenising the text for every token
+        tk = f"""{name}_tl AS (SELECT article_id, {tt} AS l0, {ta} AS l1 FROM {src}),
+{name}_tk0 AS (SELECT article_id, 0 AS f, unnest({_neg_tokens('l0')}) AS s FROM {name}_tl
+        UNION ALL SELECT article_id, 1 AS f, unnest({_neg_tokens('l1')}) AS s FROM {name}_tl),
 {name}_tk AS (SELECT article_id, f, s.t AS t, s.neg AS neg FROM {name}_tk0)"""
         val = "CASE WHEN neg THEN -v.valence ELSE v.valence END"
     else:
