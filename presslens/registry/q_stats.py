@@ -355,3 +355,17 @@ def j8_left_align(spark, sf):
     o = S.value_counts(a, "publication", normalize=True, share_name="all_share")
     n = S.value_counts(a.filter(X.word_count("title") > 40), "publication", normalize=True, share_name="long_share")
     return align(o, n, "publication", "left")
+
+
+@register("a4_mean_median_approx")
+def a4_mean_median_approx(spark, sf):
+    """A4 with the mergeable quantile sketch instead of an exact median."""
+    a = A(spark, sf).select(X.word_count("title").alias("title_words"), X.word_count("article").alias("article_words"))
+    return S.mean_median(a, ["title_words", "article_words"], approx=True)
+
+
+@register("a8_count_distinct_approx")
+def a8_count_distinct_approx(spark, sf):
+    """A8 with HyperLogLog++ (1 % relative error) for very many keys."""
+    return S.non_null(FA(spark, sf), ["publication"]).groupBy("publication") \
+        .agg(S.distinct_count("author", approx=True).alias("authors"))
