@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,7 +18,7 @@ SCALE_CONF = {
     # a file split of 128 MiB keeps scan tasks well inside executor memory
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.ui.showConsoleProgress": "false",
-    # remove checkpoint files once their DataFrame is garbage collected
+    # RDD checkpoints only; stages written by materialize() are expired by application
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -44,20 +44,34 @@ def local_session(cores: int = 8, driver_memory: str = "8g") -> SparkSession:
     return get_session(master=f"local[{cores}]", shuffle_partitions=cores)
 
 
+_LOCAL_CHECKPOINTS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the submitter sets it to shared storage. Only when it is
-    unset (local tests) a scratch folder is created and registered.
+    unset (local tests) one scratch folder per application is created and
+    registered.
     """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="presslens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return path
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    app = sc.applicationId
+    if app not in _LOCAL_CHECKPOINTS:
+        _LOCAL_CHECKPOINTS[app] = tempfile.mkdtemp(prefix="presslens-ckpt-")
+        sc.setCheckpointDir(_LOCAL_CHECKPOINTS[app])
+    return _LOCAL_CHECKPOINTS[app]
+
+
+def stage_path(spark: SparkSession) -> str:
+    """A new place for a stage: below the checkpoint folder, under the
+    application's id, so that a finished application's stages can be expired
+    together (a stage must outlive the plans that read it)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/presslens-stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialize(df):
@@ -65,11 +79,10 @@ def materialize(df):
     in the shared checkpoint folder and continue from the written copy
     (columnar, so later stages prune columns and push filters into it).
     Stands in for reading a stored catalog layer; survives executor loss."""
-    import uuid
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/presslens-stage/{uuid.uuid4().hex}"
+    path = stage_path(spark)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df, *keys):
