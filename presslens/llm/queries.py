@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture, sharding
-from .util import table
+from . import exact_dedup, lang_id, mixture, sharding, toxicity
+from .util import mod_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +19,24 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs, learn=mod_crc32(F.col("id"), 4) != 2)
+    return lang_id.identify(docs, model).select(
+        "doc_id", (mod_crc32(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score",
+        F.size("spans").alias("n_spans"))
+
+
+@_query
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=mod_crc32(F.col("id"), 5) != 0)
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "_row.doc_id", (mod_crc32(F.col("_row.doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op6_mixture(spark, sf_dir):
     return mixture.mix_report(table(spark, sf_dir, "documents"))
