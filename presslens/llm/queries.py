@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixture, sharding, simhash_golay, toxicity
+from . import exact_dedup, lang_id, mixture, quality_mcd, sharding, simhash_golay, toxicity
 from .util import mod_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op8_simhash(spark, sf_dir):
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4)
 
 
+@_query
+def op9_quality(spark, sf_dir):
+    return quality_mcd.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
