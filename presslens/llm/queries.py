@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixture, quality_mcd, sharding, simhash_golay, toxicity
+from . import exact_dedup, lang_id, mixture, quality_mcd, sharding, simhash_golay, token_count, toxicity
 from .util import mod_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,11 @@ def op1_language_id(spark, sf_dir):
         F.size("spans").alias("n_spans"))
 
 
+@_query
+def op4_token_count(spark, sf_dir):
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
