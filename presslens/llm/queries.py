@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixture, quality_mcd, sharding, simhash_golay, token_count, toxicity
+from . import exact_dedup, lang_id, mixture, quality_mcd, sharding, simhash_golay, token_count, toxicity, warc
 from .util import mod_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def op1_language_id(spark, sf_dir):
         F.size("spans").alias("n_spans"))
 
 
+@_query
+def op3_warc(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_archives(index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @_query
 def op4_token_count(spark, sf_dir):
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
