@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixture, quality_mcd, sharding, simhash_golay, token_count, toxicity, warc
+from . import exact_dedup, lang_id, mixture, quality_mcd, sentencepiece_sample, sharding, simhash_golay, token_count, toxicity, warc
 from .util import mod_crc32, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,18 @@ def op1_language_id(spark, sf_dir):
         F.size("spans").alias("n_spans"))
 
 
+@_query
+def op2_sentencepiece(spark, sf_dir):
+    rows = sentencepiece_sample.sample_segmentations(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], k=2)
+    return rows.select(
+        "_row.doc_id", F.size("samples").alias("n_samples"),
+        F.transform("samples", lambda s: F.size(s["ids"])).alias("n_pieces"),
+        F.transform("samples", lambda s: F.xxhash64(s["ids"])).alias("ids_hash"),
+        F.col("samples.log_prob").alias("log_prob"), F.col("samples.inclusion").alias("inclusion"),
+        F.forall("samples", lambda s: s["round_trip"]).alias("round_trip"))
+
+
 @_query
 def op3_warc(spark, sf_dir):
     index = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
