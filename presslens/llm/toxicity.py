@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ PAD = 24
 EPOCHS = 10
 RATE = 2.0
 BATCH = 128
-BOUND = 4000
+BOUND = 3000
 FIT_CHARS = 16_384
 SEED = 7
 
@@ -100,36 +101,38 @@ class Model:
         return out
 
 
-def train(features: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, row_weight: np.ndarray,
+def train(ids: np.ndarray, shares: np.ndarray, sizes: np.ndarray, labels: np.ndarray, row_weight: np.ndarray,
           prior: float) -> Model:
-    """Joint Adagrad on embeddings and softmax over mini-batches."""
+    """Joint Adagrad on embeddings and softmax. Rows (``sizes`` buckets each, laid
+    end to end) come in random order; each ``BATCH`` of them is a mini-batch."""
     rng = np.random.default_rng(SEED)
-    used = np.unique(np.concatenate([f[0] for f in features]))
+    used = np.flatnonzero(np.bincount(ids, minlength=1 << BITS))
+    number = np.zeros(1 << BITS, np.int32)
+    number[used] = np.arange(len(used))
+    ids = number[ids]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM)).astype(np.float32)
     emb_sq = np.full((len(used), 1), 1e-8, np.float32)
     soft, bias = np.zeros((DIM, 2), np.float32), np.log(np.array([1 - prior, prior], np.float32))
     soft_sq, bias_sq = np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    order = rng.permutation(len(features))
+    ends = np.cumsum(sizes)
     batches = []
-    for k in range(0, len(order), BATCH):
-        rows = order[k:k + BATCH]
-        ids = np.searchsorted(used, np.concatenate([features[r][0] for r in rows]))
-        doc = np.repeat(np.arange(len(rows)), [len(features[r][0]) for r in rows])
-        share = np.concatenate([features[r][1] for r in rows])[:, None]
-        by_id = np.argsort(ids, kind="stable")
-        own, first = np.unique(ids[by_id], return_index=True)
-        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        batches.append((rows, ids, doc, share, by_id, own, first, starts, doc[starts]))
+    for k in range(0, len(sizes), BATCH):
+        rows = slice(k, min(k + BATCH, len(sizes)))
+        at = slice(ends[k] - sizes[k], ends[rows.stop - 1])
+        by_id = np.argsort(ids[at], kind="stable").astype(np.int32)
+        own, first = np.unique(ids[at][by_id], return_index=True)
+        batches.append((rows, at, by_id, own, first))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for b in rng.permutation(len(batches)):
-            rows, ids, doc, share, by_id, own, first, starts, present = batches[b]
-            mean = np.zeros((len(rows), DIM), np.float32)
-            mean[present] = np.add.reduceat(emb[ids] * share, starts, axis=0)
+            rows, at, by_id, own, first = batches[b]
+            share = shares[at, None]
+            doc = np.repeat(np.arange(len(sizes[rows])), sizes[rows])
+            mean = np.add.reduceat(emb[ids[at]] * share, ends[rows] - sizes[rows] - at.start, axis=0)
             logit = mean @ soft + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
+            p[np.arange(len(p)), labels[rows]] -= 1
             p *= row_weight[rows][:, None]
             d_emb = np.add.reduceat((p @ soft.T)[doc[by_id]] * share[by_id], first, axis=0)
             d_soft, d_bias = mean.T @ p, p.sum(0)
@@ -146,11 +149,11 @@ def train(features: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(_features([t.as_py() for t in batch.column("text")]))
+        found = list(_features(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_pydict({
-            "label": batch.column("label").cast(pa.int32()),
-            "ids": pa.array([f[0].tobytes() for f in found], pa.binary()),
-            "shares": pa.array([f[1].tobytes() for f in found], pa.binary())})
+            "place": batch.column("place"), "label": batch.column("label"),
+            "ids": pa.array([f[0] for f in found], pa.list_(pa.int32())),
+            "shares": pa.array([f[1] for f in found], pa.list_(pa.float32()))})
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
@@ -163,24 +166,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     counts = label_counts(known, "label")
     n = sum(counts.values())
     prior = counts.get(1, 0) / n if n else 0.0
+    nothing = Model(np.zeros(0, np.float32), 0.0, prior)
     if len(counts) < 2:
-        return Model(np.zeros(0, np.float32), 0.0, prior)
+        return nothing
     sample = sample_per_label(known, "label", counts, [F.col("id")], BOUND, SEED)  # 2 * BOUND narrow rows or so
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(
         F.length("text").between(1, FIT_CHARS))
-    rows = (texts.join(F.broadcast(sample), "id").select("label", "text")
-            .mapInArrow(_featured, "label int, ids binary, shares binary").toArrow())
-    if rows.num_rows == 0:
-        return Model(np.zeros(0, np.float32), 0.0, prior)
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["ids"][i].as_py(), rows["label"][i].as_py()))
-    features = [(np.frombuffer(rows["ids"][i].as_py(), np.int32), np.frombuffer(rows["shares"][i].as_py(), np.float32))
-                for i in order]
-    y = np.array([rows["label"][i].as_py() for i in order])
-    got = np.bincount(y, minlength=2)
+    rows = (texts.join(F.broadcast(sample), "id")
+            .select(F.xxhash64(F.lit(SEED + 1), "id", "text").alias("place"), "label", "text")
+            .mapInArrow(_featured, "place long, label int, ids array<int>, shares array<float>").toArrow())
+    order = pa.compute.sort_indices(rows.select(["place", "label"]), [("place", "ascending"), ("label", "ascending")])
+    order = order.filter(pa.compute.greater(pa.compute.list_value_length(rows["ids"]).take(order), 0))
+    labels_ = rows["label"].take(order).to_numpy()
+    got = np.bincount(labels_, minlength=2)
     if got.min() == 0:
-        return Model(np.zeros(0, np.float32), 0.0, prior)
-    per_class = np.array([1 - prior, prior]) * len(y) / got
-    return train(features, y, per_class[y].astype(np.float32), prior)
+        return nothing
+    per_class = np.array([1 - prior, prior]) * len(labels_) / got
+    sizes = pa.compute.list_value_length(rows["ids"].take(order)).to_numpy().astype(np.int64)
+    flat = []
+    for c in ("ids", "shares"):
+        flat.append(pa.compute.list_flatten(rows[c].take(order)).to_numpy())
+        rows = rows.drop_columns([c])
+    return train(*flat, sizes, labels_, per_class[labels_].astype(np.float32), prior)
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "text") -> DataFrame:
