@@ -96,13 +96,14 @@ class _Flow:
                 self.room[e ^ 1] += push
 
 
-def source_targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, ratio: float = RATIO,
+def source_targets(sizes: dict[str | None, int], words: int, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO,
                    most: float = MAX_COPIES) -> dict[str | None, float]:
-    """Words to take from each source (see the module)."""
+    """Words to take from each source (see the module). ``words``: those of all
+    documents, less than the sum of ``sizes`` if sources overlap."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     target = {s: 0.0 for s in order}
-    left, open_ = ratio * sum(sizes.values()), [s for s in order if sizes[s] > 0]
+    left, open_ = ratio * words, [s for s in order if sizes[s] > 0]
     while open_ and left > 0:
         share = left / sum(weight[s] for s in open_)
         full = [s for s in open_ if weight[s] * share >= most * sizes[s]]
@@ -175,7 +176,7 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float
     for _, sources, words, _ in totals:
         for s in sources:
             sizes[s] = sizes.get(s, 0) + words
-    targets = source_targets(sizes, weights, ratio, max_copies)
+    targets = source_targets(sizes, sum(words for _, _, words, _ in totals), weights, ratio, max_copies)
     flows = route([(tuple(s), w) for _, s, w, _ in totals], targets, max_copies)
     rows = [(p, n, f // w if w else 1, f % w if w else 0, sizes[s[0]], targets[s[0]])
             for (p, s, w, n), f in zip(totals, flows)]
