@@ -39,9 +39,10 @@ BITS = 18
 SIZES = (3, 4, 5)
 DIM = 8
 PAD = 24
-EPOCHS = 10
+#: Steps of Adagrad over mini-batches, in whole passes over the rows.
+STEPS = 1800
 RATE = 2.0
-BATCH = 128
+BATCH = 32
 BOUND = 3000
 FIT_CHARS = 16_384
 SEED = 7
@@ -122,8 +123,9 @@ def train(ids: np.ndarray, shares: np.ndarray, sizes: np.ndarray, labels: np.nda
         by_id = np.argsort(ids[at], kind="stable").astype(np.int32)
         own, first = np.unique(ids[at][by_id], return_index=True)
         batches.append((rows, at, by_id, own, first))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS // len(batches))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for b in rng.permutation(len(batches)):
             rows, at, by_id, own, first = batches[b]
             share = shares[at, None]
