@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import Counter
 
 import xxhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def words(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode())
+
+
 def simhash(text: str | None, shingle: int = 4) -> int:
-    words = WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    if not words:
+    own = WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not own:
         return 0
-    spans = [words[i:i + shingle] for i in range(max(1, len(words) - shingle + 1))]
+    spans = [own[i:i + shingle] for i in range(max(1, len(own) - shingle + 1))]
     hashes = [xxhash.xxh64(b" ".join(s), seed=42).intdigest() for s in spans]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -39,3 +46,46 @@ def components(ids: list, fps: list[int], most: int = 4) -> dict[int, object]:
         if r not in least or least[r] is None or (i is not None and i < least[r]):
             least[r] = i
     return {f: least[find(f)] for f in kinds}
+
+
+def normal(text: str | None) -> str:
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def sha256(text: str | None) -> str:
+    return hashlib.sha256(normal(text).encode()).hexdigest()
+
+
+def base_statistics(text: str | None) -> tuple[int, int, int, int, int]:
+    text = text or ""
+    own = re.findall(r"[^\x20\x09-\x0D]+", text)
+    triples = [tuple(own[i:i + 3]) for i in range(len(own) - 2)]
+    often = Counter(triples)
+    covered = {i + k for i, t in enumerate(triples) if often[t] > 1 for k in range(3)}
+    seen, repeats = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            repeats += line in seen
+            seen.add(line)
+    return len(own), sum(map(len, own)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(covered)
+
+
+def shard(doc_id, weights: list[float]) -> int:
+    def score(i: int) -> float:
+        bits = int(hashlib.md5(f"{'null' if doc_id is None else doc_id}:{i}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 2.0 ** 52) / weights[i]
+    return min(range(len(weights)), key=lambda i: (score(i), i))
+
+
+def targets(sizes: dict, weights=(3, 1, 2), ratio: float = 1.5, most: float = 2) -> dict:
+    """By bisection of the level at which weight * level, cut at ``most`` sizes, sums to the budget."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    budget, low, high = ratio * sum(sizes.values()), 0.0, 1e18
+    for _ in range(300):
+        level = (low + high) / 2
+        if sum(min(weight[s] * level, most * sizes[s]) for s in order) < budget:
+            low = level
+        else:
+            high = level
+    return {s: min(weight[s] * high, most * sizes[s]) for s in order}
