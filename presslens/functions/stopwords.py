@@ -1,34 +1,27 @@
-"""English stop words: Spark ML's shipped list, read from the MLlib jar.
-
-Reading the resource file directly keeps the list identical for the Spark
-jobs and the DuckDB oracle text, without needing a running JVM.
-"""
+"""English stop words."""
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
+# The English list of Spark ML's StopWordsRemover.
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is are
+was were be been being have has had having do does did doing a an the and but if or because as until while of
+at by for with about against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll she'll
+we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't
+mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+"""
 
 # Extra stop word for section names and modelling text (fixed value).
 EXTRA_SECTION_STOP_WORDS = ("news",)
 
 
-@functools.lru_cache(maxsize=None)
 def english() -> tuple[str, ...]:
-    import pyspark
-
-    roots = [os.path.join(os.path.dirname(pyspark.__file__), "jars")]
-    if os.environ.get("SPARK_HOME"):
-        roots.append(os.path.join(os.environ["SPARK_HOME"], "jars"))
-    jars = [j for r in roots for j in glob.glob(os.path.join(r, "spark-mllib_*.jar"))]
-    if not jars:  # pragma: no cover - fall back to the JVM when jars live elsewhere
-        from pyspark.ml.feature import StopWordsRemover
-        return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(dict.fromkeys(words))
+    return tuple(ENGLISH.split())
 
 
 def section_stop_words() -> tuple[str, ...]:

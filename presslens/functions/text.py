@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import let, look_up_all, word_table
 from .stopwords import english, section_stop_words
 
 # Fixed patterns (Python-compatible word and token classes).
@@ -115,6 +116,14 @@ def singularize_tokens(tokens: str | Column) -> Column:
     return F.transform(_c(tokens), _singular_col)
 
 
+def lemmatize(df: DataFrame, tokens: Column, lemmas: DataFrame, out: str) -> DataFrame:
+    """X8 by a ``(form, lemma)`` table: ``df`` with the tokens' lemmas as the
+    array ``out``; a token without a lemma stays. Looked up inside the row."""
+    found = let(tokens, lambda ts: F.transform(
+        F.arrays_zip(ts.alias("t"), look_up_all(F.col("_lemmas"), ts).alias("l")), lambda x: F.coalesce(x["l"], x["t"])))
+    return df.withColumn("_lemmas", word_table(lemmas, "form", "lemma")).withColumn(out, found).drop("_lemmas")
+
+
 def split_pieces(col: str | Column) -> Column:
     """Split on whitespace and hyphens, empty pieces dropped."""
     return F.filter(F.split(_c(col), r"(?U)[\s-]+"), lambda p: p != "")

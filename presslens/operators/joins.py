@@ -1,8 +1,6 @@
 """Join helpers (J1-J9) that need more than a one-line ``join``.
 
-Broadcasts are used only for tables whose size is bounded by construction
-(word lists) or checked at run time; otherwise an exact hash-join plan is
-used and AQE picks the physical strategy from runtime statistics.
+All are equi-joins; AQE picks the physical strategy from runtime statistics.
 """
 
 from __future__ import annotations
@@ -10,39 +8,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest needle table joined by a broadcast nested loop.
-BROADCAST_NEEDLES_MAX = 10_000
-
 
 def contains_any(haystack: DataFrame, hay_col: str, needles: DataFrame, needle_col: str,
-                 how: str = "left_anti", max_broadcast: int = BROADCAST_NEEDLES_MAX) -> DataFrame:
+                 how: str = "left_anti") -> DataFrame:
     """Keep (``left_semi``) or drop (``left_anti``) rows whose
     ``hay_col`` contains, case-insensitively, any value of ``needle_col``.
 
-    Matching runs on the distinct haystack values. When the distinct needle
-    set is small (checked by a count) it is broadcast into a nested-loop
-    join; otherwise every substring of each distinct haystack value whose
-    length is a needle length is generated and equi-joined (exact, hash
-    join, no size assumption).
+    Every distinct haystack value is cut into its substrings of the lengths
+    that occur among the needles, and these meet the needles in an equi-join:
+    exact, at any number of needles, without a nested loop. Haystack values
+    are names (short strings), so a value has a few dozen substrings a length.
     """
     n = needles.select(F.lower(F.col(needle_col)).alias("_needle")) \
         .filter(F.col("_needle").isNotNull() & (F.col("_needle") != "")).distinct()
+    # at most one entry per length of a name
+    lengths = n.agg(F.array_sort(F.collect_set(F.char_length("_needle"))).alias("l")).scalar()
     hay = haystack.select(F.col(hay_col).alias("_hay")).filter(F.col("_hay").isNotNull()).distinct()
-    n_needles = n.count()
-    if n_needles == 0:
-        return haystack if how == "left_anti" else haystack.limit(0)
-    if n_needles <= max_broadcast:
-        hits = hay.join(F.broadcast(n), F.lower(F.col("_hay")).contains(F.col("_needle")), "left_semi")
-    else:
-        lo = n.select(F.min(F.char_length("_needle"))).scalar()
-        hi = n.select(F.max(F.char_length("_needle"))).scalar()
-        low = hay.select("_hay", F.lower("_hay").alias("_low"), F.char_length(F.lower("_hay")).alias("_n"),
-                         lo.alias("_lo"), hi.alias("_hi"))
-        subs = low.filter(F.col("_n") >= F.col("_lo")).select("_hay", F.explode(F.flatten(F.transform(
-            F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.col("_n"))),
-            lambda ln: F.transform(F.sequence(F.lit(1), F.col("_n") - ln + 1),
-                                   lambda i: F.col("_low").substr(i, ln))))).alias("_sub"))
-        hits = subs.join(n, subs["_sub"] == n["_needle"], "left_semi").select("_hay").distinct()
+    low = hay.select("_hay", F.lower("_hay").alias("_low"), F.explode(lengths).alias("_len")) \
+        .filter(F.col("_len") <= F.char_length("_low"))
+    subs = low.select("_hay", F.explode(F.transform(
+        F.sequence(F.lit(1), F.char_length("_low") - F.col("_len") + 1),
+        lambda i: F.col("_low").substr(i, F.col("_len")))).alias("_sub"))
+    hits = subs.join(n, subs["_sub"] == n["_needle"], "left_semi").select("_hay").distinct()
     return haystack.join(hits, haystack[hay_col] == hits["_hay"], how)
 
 

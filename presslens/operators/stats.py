@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def month_end(col: str | Column = "date") -> Column:
     """Monthly label as the last day of the month (pandas ``freq='M'``)."""
@@ -97,30 +99,61 @@ def first_appearance_ids(df: DataFrame, key: str, date_col: str = "date", tiebre
                          out: str = "key_id") -> DataFrame:
     """Number keys 0.. in order of their first appearance in time.
 
-    The ranking runs over one row per distinct key (after an aggregate),
-    never over the article rows.
+    One row per distinct key (an aggregate) is numbered like G9, so no task
+    ranks all keys.
     """
     firsts = non_null(df, [key]).groupBy(key).agg(
-        F.min(F.struct(F.col(date_col).isNull(), F.col(date_col), F.col(tiebreak))).alias("_first"))
-    w = Window.orderBy(F.col("_first"), F.col(key))
-    return firsts.select(key, (F.row_number().over(w) - 1).cast("bigint").alias(out))
+        F.min(F.struct(F.col(date_col).isNull().alias("undated"), F.col(date_col).alias("d"),
+                       F.col(tiebreak).alias("t"))).alias("_first"))
+    flat = firsts.select(key, F.col("_first.undated").alias("_u"), F.col("_first.d").alias("_d"), F.col("_first.t").alias("_t"))
+    numbered = dense_row_number(flat, ["_u", "_d", "_t", key], out)
+    return numbered.select(key, (F.col(out) - 1).cast("bigint").alias(out))
+
+
+def range_numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str,
+                   partitions: int | None = None) -> DataFrame:
+    """Numbers 1..n in ``order`` within each ``group`` (all rows without one)
+    and without a task that holds a whole group: rows are range-partitioned,
+    numbered inside each partition and moved up by the rows of the group in
+    earlier partitions.
+
+    The partitioned rows are written once (``session.materialize``): the
+    bounds of a range exchange are sampled, so two exchanges of the same rows
+    may cut them differently, and both the numbers and the offsets must see
+    the same cut.
+    """
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    keys = ["_pid", *group]
+    cut = materialize(df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id()))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per partition (and group)
+    offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    local = cut.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return local.join(offsets, keys).withColumn(out, (F.col("_off") + F.col("_place")).cast("bigint")) \
+        .drop("_pid", "_place", "_off")
 
 
 def dense_row_number(df: DataFrame, order: Sequence[str], out: str = "row_id",
                      partitions: int | None = None) -> DataFrame:
-    """Consecutive numbers 1..N in ``order`` without a single-partition
-    window: range-partition on the order, number rows inside each
-    partition, then add the partition's offset (a prefix sum over one row
-    per partition, which is tiny and bounded by the partition count)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    sizes = local.groupBy("_pid").agg(F.max("_rn").alias("_size"))
-    offsets = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_size").over(
-            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid") \
-        .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_pid", "_rn", "_off")
+    """Consecutive numbers 1..N in ``order`` without a single-partition window."""
+    return range_numbered(df, [], order, out, partitions)
+
+
+def _seeded(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows (all if there are fewer) by a seeded hash of ``key``;
+    the same in every run and in any partitioning."""
+    return df.orderBy(_seeded(key, seed), key).limit(n)
+
+
+def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
+    """About ``fraction`` of the rows by a seeded hash of ``key``."""
+    h = F.conv(F.substring(_seeded(key, seed), 1, 13), 16, 10).cast("bigint")
+    return df.filter(h < F.lit(fraction * 2.0 ** 52))
 
 
 def hierarchy_counts(df: DataFrame, levels: Sequence[str], label: str | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ AUTHOR_MIN_ARTICLES = 100
 
 def generic_author(col: str = "author", words: Sequence[str] = GENERIC_AUTHOR_WORDS):
     """P5: case-insensitive substring match of any generic word."""
-    return F.lower(F.col(col)).rlike("|".join(words))
+    low = F.lower(F.col(col))
+    return F.coalesce(reduce(or_, [low.contains(w.lower()) for w in words]), F.lit(False)) if words else F.lit(False)
 
 
 def not_named_after_publication(author: str = "author", publication: str = "publication"):
@@ -88,14 +91,29 @@ def monthly_sentiment_by(df: DataFrame, key: str, values: Sequence[str] | None =
         F.avg(score).alias("avg_sentiment"), F.count("article").alias("article_count"))
 
 
+def monthly_score_pivot(df: DataFrame, key: str, values: Sequence[str], score: str = "article_textblob_sentiment",
+                        digits: int | None = 3) -> DataFrame:
+    """D11 (G5): monthly mean score with a column per given value of ``key``."""
+    base = non_null(df, ["date", key])
+    mean = F.avg(score)
+    out = base.groupBy(month_end("date").alias("date")).pivot(key, list(values)).agg(
+        mean if digits is None else F.bround(mean, digits))
+    return out
+
+
 def group_sentiment(df: DataFrame, key: str, text_score: str = "article_textblob_sentiment",
-                    title_score: str = "vader_compound_title", min_articles: int | None = None) -> DataFrame:
-    """D11 (A7 + A10): mean and sample std of both scores per key; with
-    ``min_articles`` only keys with more non-null articles are kept."""
+                    title_score: str = "vader_compound_title", min_articles: int | None = None,
+                    digits: int | None = None) -> DataFrame:
+    """D11 (A7 + A10): mean and sample std of both scores per key, rounded
+    half-even to ``digits``; with ``min_articles`` only keys with more non-null
+    articles are kept."""
     aggs = [
         F.avg(text_score).alias("article_mean"), F.stddev_samp(text_score).alias("article_std"),
         F.avg(title_score).alias("title_mean"), F.stddev_samp(title_score).alias("title_std"),
     ]
+    if digits is not None:
+        aggs = [F.bround(a, digits).alias(n) for a, n in
+                zip(aggs, ("article_mean", "article_std", "title_mean", "title_std"))]
     if min_articles is not None:
         aggs.append(F.count("article").alias("article_count"))
     out = non_null(df, [key]).groupBy(key).agg(*aggs)

@@ -102,32 +102,33 @@ def polarised(df: DataFrame, sign: str, pos: str = "vader_prob_positive_title",
     return df.filter((F.col(col) > cut) & (F.col(neu) < cut))
 
 
-def polarity_mode(df: DataFrame, mode: str = "title_only", title_score: str = SCORE,
-                  text_score: str = "article_textblob_sentiment", cut: float = 0.15) -> DataFrame:
-    """P10: polarised rows under the strict (both models), loose (either
-    model) or title_only (title score only) rule."""
-    def pol(c):
-        return (F.col(c) > cut) | (F.col(c) < -cut)
-    if mode == "strict":
-        cond = pol(title_score) & pol(text_score)
-    elif mode == "loose":
-        cond = pol(title_score) | pol(text_score)
-    elif mode == "title_only":
-        cond = pol(title_score)
-    else:
+def polarity_mode(df: DataFrame, mode: str = "title_only", text_score: str = "article_textblob_sentiment",
+                  pos: str = "vader_prob_positive_title", neg: str = "vader_prob_negative_title",
+                  neu: str = "vader_prob_neutral_title", title_cut: float = 0.5, text_cut: float = 0.15) -> DataFrame:
+    """P10: polarised rows. The title model is sure if the positive or the
+    negative share is over ``title_cut`` and the neutral one below it; the
+    text model if the article's score is beyond ``text_cut`` on either side.
+    ``strict`` asks for both, ``loose`` for either, ``title_only`` (P9) for
+    the title."""
+    title = ((F.col(pos) > title_cut) | (F.col(neg) > title_cut)) & (F.col(neu) < title_cut)
+    text = (F.col(text_score) > text_cut) | (F.col(text_score) < -text_cut)
+    modes = {"strict": title & text, "loose": title | text, "title_only": title}
+    if mode not in modes:
         raise ValueError(mode)
-    return df.filter(cond)
+    return df.filter(modes[mode])
 
 
 def polarised_share_change(df: DataFrame, key: str = "publication",
                            pos: str = "vader_prob_positive_title", neg: str = "vader_prob_negative_title",
-                           neu: str = "vader_prob_neutral_title") -> DataFrame:
+                           neu: str = "vader_prob_neutral_title", digits: int | None = None) -> DataFrame:
     """Share of each publication among polarised titles (negative or
     positive, P9) minus its share among all titles, aligned on the key.
 
     The two polarity sets are disjoint (the three shares sum to 1), so one
     OR filter replaces their union and a single aggregate gives both counts.
     A key without polarised titles has a null polarised share (outer align).
+    With ``digits`` the shares and their difference are rounded half-even, as
+    the analysis does before it keeps the risen ones (``> 0``).
     """
     cond = ((F.col(neg) > 0.5) | (F.col(pos) > 0.5)) & (F.col(neu) < 0.5)
     counts = non_null(df, [key]).groupBy(key).agg(
@@ -136,7 +137,9 @@ def polarised_share_change(df: DataFrame, key: str = "publication",
     )
     shares = with_share(with_share(counts, "n_all", "full_ratio"), "n_pol", "_pol")
     pol = F.when(F.col("n_pol") > 0, F.col("_pol"))
+    def shown(x):
+        return x if digits is None else F.bround(x, digits)
     return shares.select(
-        key, "full_ratio", pol.alias("polarized_ratio"),
-        (pol - F.col("full_ratio")).alias("polarity_ratio_increase"),
+        key, shown(F.col("full_ratio")).alias("full_ratio"), shown(pol).alias("polarized_ratio"),
+        shown(pol - F.col("full_ratio")).alias("polarity_ratio_increase"),
     )

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lookup import let, look_up, look_up_all, token_counts, word_table
+from ..operators.stats import range_numbered
+
 # Fixed values of the modelling setup.
 TFIDF_TOKEN = r"(?U)\b\w\w+\b"   # tokens of two or more word characters
 TEST_PCT = 20
@@ -31,23 +34,24 @@ def tfidf_relational(df: DataFrame, key: str, text: str, max_features: int) -> D
     ln((1+n)/(1+df))+1, L2-normalised per document, over the
     ``max_features`` terms with the largest corpus counts (ties by term).
 
-    The vocabulary is a top-k (bounded by ``max_features``) and is the
-    only broadcast side; all other steps are partial aggregates.
+    Terms are counted inside each document's row; only (term, partial counts)
+    are shuffled for the vocabulary, which then comes back to the rows as a
+    word table (at most ``max_features`` entries). Norms are sums inside the row.
     """
-    # tokens are computed before the exchange, so the vocabulary pass, the
-    # weighting pass and the document count (all reading this exchange)
-    # tokenise each text once
-    docs = df.filter(F.col(text).isNotNull()).select(key, tfidf_tokens(text).alias("_toks")).repartition(key)
+    docs = df.filter(F.col(text).isNotNull()).select(key, token_counts(tfidf_tokens(text)).alias("_tf"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    tf = docs.select(key, F.explode("_toks").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("_total"), F.count(F.lit(1)).alias("df"))
+    stats = docs.select(F.explode("_tf").alias("t")).groupBy("t.term").agg(
+        F.sum("t.tf").alias("_total"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.desc("_total"), "term").limit(max_features) \
         .select("term", (F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
-    # tf stays partitioned by document: the per-document norm needs no exchange
-    w = tf.join(F.broadcast(vocab), "term")  # at most max_features rows
-    w = w.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("_w") / norm).alias("weight"))
+    weights = let(F.col("_idf"), lambda idf: F.filter(
+        F.transform("_tf", lambda t: F.struct(t["term"].alias("term"), (t["tf"] * look_up(idf, t["term"])).alias("w"))),
+        lambda x: x["w"].isNotNull()))
+    normed = let(weights, lambda ws: let(
+        F.sqrt(F.aggregate(ws, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])),
+        lambda norm: F.transform(ws, lambda x: F.struct(x["term"].alias("term"), (x["w"] / norm).alias("weight")))))
+    return docs.withColumn("_idf", word_table(vocab, "term", "idf")).select(key, F.explode(normed).alias("t")) \
+        .select(key, "t.term", "t.weight")
 
 
 def split_flag(id_col: str, seed: int = SPLIT_SEED, test_pct: int = TEST_PCT) -> Column:
@@ -57,20 +61,21 @@ def split_flag(id_col: str, seed: int = SPLIT_SEED, test_pct: int = TEST_PCT) ->
     return F.pmod(h, F.lit(100)) < test_pct
 
 
-def dense_rank_within(df: DataFrame, group: str, order: Sequence[str], out: str = "_rn",
-                      partitions: int | None = None) -> DataFrame:
-    """Number rows 1..n inside each group without putting a whole group in
-    one task: range-partition on (group, order), number inside each
-    partition, then add the counts of the group's earlier partitions (a
-    window over one row per (partition, group), which is small)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, group, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", group).orderBy(*order)))
-    sizes = local.groupBy("_pid", group).agg(F.max("_lrn").alias("_size"))
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_size").over(
-        Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(offsets.select("_pid", group, "_off")), ["_pid", group]) \
-        .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint")).drop("_pid", "_lrn", "_off")
+#: Draws of a class that one row of the draw plan stands for.
+DRAW_BLOCK = 10_000
+
+
+def _draws(classes: DataFrame, label: str, t: Column, seed: int) -> DataFrame:
+    """(label, row number) of t draws per class: blocks first, then the draws
+    of each block, so no array grows with t. Draw j of class c is row
+    ``h mod n + 1`` with h the first 52 bits of md5("c:j:seed")."""
+    blocks = classes.withColumn("_t", t).filter(F.col("_t") > 0).select(label, "_n", "_t", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("_t") - 1) / DRAW_BLOCK))).alias("_block")).repartition(label, "_block")
+    draws = blocks.select(label, "_n", F.explode(F.sequence(
+        F.col("_block") * DRAW_BLOCK + 1, F.least(F.col("_t"), (F.col("_block") + 1) * DRAW_BLOCK))).alias("_draw"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(label).cast("string"), F.col("_draw").cast("string"),
+                                             F.lit(str(seed)))), 1, 13), 16, 10).cast("bigint")
+    return draws.select(label, (F.pmod(h, F.col("_n")) + 1).alias("_rn"))
 
 
 def balance_classes(df: DataFrame, label: str, key: str, fraction: float = BALANCE_FRACTION,
@@ -78,19 +83,16 @@ def balance_classes(df: DataFrame, label: str, key: str, fraction: float = BALAN
     """M3: t = int(fraction x largest class); classes with more than t rows
     are kept and each is resampled to exactly t rows with replacement.
 
-    Draw j of class c picks row number pmod(xxhash64(c, j, seed), n_c) + 1;
-    draws and numbered rows meet in an equi-join on (class, row number),
-    so a dominant class is spread over many tasks.
+    Rows are numbered by ``key`` within their class; draws and numbered rows
+    meet in an equi-join on (class, row number), so a dominant class is spread
+    over many tasks.
     """
     base = df.filter(F.col(label).isNotNull())
     counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     t = counts.select((F.max("_n") * F.lit(fraction)).cast("bigint")).scalar()
-    kept = counts.filter(F.col("_n") > t)
-    draws = kept.select(label, "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), t)).alias("_draw")) \
-        .withColumn("_rn", F.pmod(F.xxhash64(F.col(label), F.col("_draw"), F.lit(seed)), F.col("_n")) + 1) \
-        .drop("_n")
-    numbered = dense_rank_within(base.join(kept.select(label), label, "left_semi"), label, [key])
-    return numbered.join(draws, [label, "_rn"]).drop("_rn")
+    kept = counts.withColumn("_cut", t).filter(F.col("_n") > F.col("_cut")).drop("_cut")
+    numbered = range_numbered(base.join(kept.select(label), label, "left_semi"), [label], [key], "_rn")
+    return numbered.join(_draws(kept, label, t, seed), [label, "_rn"]).drop("_rn")
 
 
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -155,14 +157,12 @@ def word_index(df: DataFrame, tokens: str, num_words: int = SEQ_NUM_WORDS) -> Da
 
 def sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int) -> DataFrame:
     """Token ids (1 for unknown words), the last ``max_len`` kept,
-    zero-padded at the end to ``max_len``."""
-    ex = df.select(key, F.posexplode(tokens).alias("pos", "word"))
-    ids = ex.join(F.broadcast(vocab), "word", "left")  # at most num_words rows
-    ids = ids.select(key, "pos", F.coalesce("id", F.lit(OOV_ID)).alias("id"))
-    seq = ids.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("_ids"))
-    kept = F.when(F.size("_ids") > max_len, F.slice("_ids", -max_len, max_len)).otherwise(F.col("_ids"))
-    seq = seq.withColumn("_ids", kept)
+    zero-padded at the end to ``max_len``. The array is cut before the words
+    are looked up; all inside the row (the vocabulary has ``num_words``
+    entries at most)."""
+    kept = F.when(F.size(tokens) > max_len, F.slice(tokens, -max_len, max_len)).otherwise(F.col(tokens))
+    ids = F.transform(look_up_all(F.col("_vocab"), F.col("_kept")), lambda i: F.coalesce(i, F.lit(OOV_ID)))
     padded = F.concat("_ids", F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_ids")))
-    out = df.select(key).join(seq, key, "left")
-    return out.select(key, F.coalesce(padded, F.array_repeat(F.lit(0), max_len)).alias("sequence"))
+    return (df.select(key, kept.alias("_kept")).withColumn("_vocab", word_table(vocab, "word", "id"))
+            .select(key, ids.alias("_ids"))
+            .select(key, F.coalesce(padded, F.array_repeat(F.lit(0), max_len)).alias("sequence")))

@@ -9,9 +9,9 @@ is the vocabulary size, a parameter).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
                                        RandomForestClassifier)
@@ -22,7 +22,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from .features import TFIDF_TOKEN, classification_report, split_flag
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest")
@@ -41,34 +41,45 @@ def tfidf_features(df: DataFrame, text: str, max_features: int, out: str = "feat
     return model.transform(df).drop("_tok", "_tf", "_w"), model
 
 
-def classifier(name: str, label: str = "label_idx", features: str = "features", seed: int = 42):
+#: Random forest: as many trees as the reference's default, and MLlib's depth limit, as that has none.
+TREES, DEPTH = 100, 30
+
+
+def classifier(name: str, label: str = "label_idx", features: str = "features", seed: int = 42,
+               trees: int = TREES, depth: int = DEPTH):
     if name == "logistic_regression":
         return LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", maxIter=100)
     if name == "naive_bayes":
         return NaiveBayes(featuresCol=features, labelCol=label, modelType="multinomial")
     if name == "random_forest":
-        return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=20, maxDepth=8, seed=seed)
+        return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth,
+                                      maxMemoryInMB=512, seed=seed)
     raise ValueError(name)
 
 
 def run_experiment(df: DataFrame, key: str, text: str, target: str, max_features: int, experiment: str,
-                   models: Sequence[str] = MODELS, fit_on: str = "train", seed: int = 50) -> DataFrame:
+                   models: Sequence[str] = MODELS, fit_on: str = "train", seed: int = 50,
+                   options: dict[str, dict] | None = None) -> DataFrame:
     """M7: vectorise, split 80/20 by id hash, fit each model, predict the
     test part and report (M8). Returns the reports with experiment/model
     columns. ``fit_on='all'`` fits the vectoriser on all rows as the
     reference did; the default fits it on the training rows only."""
+    options = options or {}
     base = df.filter(F.col(text).isNotNull() & F.col(target).isNotNull()).select(key, text, target) \
         .withColumn("_test", split_flag(key, seed))
     fit_rows = base if fit_on == "all" else base.filter(~F.col("_test"))
     _, vec = tfidf_features(fit_rows, text, max_features)
     feats = vec.transform(base)
-    indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="keep").fit(base.filter(~F.col("_test")))
-    feats = indexer.transform(feats).persist(StorageLevel.MEMORY_AND_DISK)  # reused by every model
-    train, test = feats.filter(~F.col("_test")), feats.filter(F.col("_test"))
-    labels = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels + ["__unseen__"])
+    # labels are learnt from the training part alone; a test label that is not among them counts as a wrong row
+    feats = materialize(feats.select(key, target, "features", "_test"))  # read by every model
+    test = feats.filter(F.col("_test"))
+    train = feats.filter(~F.col("_test"))
+    indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error").fit(train)
+    train = indexer.transform(train)
+    labels = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
     reports = []
     for name in models:
-        m = classifier(name).fit(train)
+        m = classifier(name, **options.get(name, {})).fit(train)
         pred = labels.transform(m.transform(test)).select(F.col(target).alias("label"),
                                                           F.col("predicted_label").alias("prediction"))
         reports.append(classification_report(pred).select(F.lit(experiment).alias("experiment"),
@@ -88,6 +99,10 @@ def model_comparison(reports: DataFrame) -> DataFrame:
     )
 
 
+#: Share of the documents in a mini-batch of the topic model.
+BATCH_RATE = 0.05
+
+
 def topic_model(docs: DataFrame, tokens: str, vocab: DataFrame, k: int = 50, passes: int = 2,
                 top_terms: int = 50, seed: int = 42) -> DataFrame:
     """Online LDA over bag-of-words count vectors; the top terms of
@@ -102,7 +117,10 @@ def topic_model(docs: DataFrame, tokens: str, vocab: DataFrame, k: int = 50, pas
     words = [r["token"] for r in vocab.orderBy("token_id").select("token").collect()]
     cv = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
     vec = cv.transform(docs.filter(F.size(tokens) > 0)).select("features")
-    model = LDA(k=k, maxIter=passes, optimizer="online", seed=seed, checkpointInterval=10).fit(vec)
+    # an online iteration reads a mini-batch: so many that every document is read ``passes`` times on average
+    iterations = math.ceil(passes / BATCH_RATE)
+    model = LDA(k=k, maxIter=iterations, subsamplingRate=BATCH_RATE, optimizer="online", seed=seed,
+                checkpointInterval=10).fit(vec)
     topics = model.describeTopics(top_terms)
     ex = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
     return ex.join(F.broadcast(vocab.select(F.col("token_id").cast("int").alias("tid"), "token")),
@@ -117,13 +135,12 @@ def feed_forward(df: DataFrame, key: str, text: str, target: str, num_features:
     base = df.filter(F.col(text).isNotNull() & F.col(target).isNotNull()).select(key, text, target) \
         .withColumn("_test", split_flag(key, seed))
     train = base.filter(~F.col("_test"))
-    indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="skip").fit(train)
-    n_classes = len(indexer.labels)
+    indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error").fit(train)
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TFIDF_TOKEN, gaps=False)
     tf = HashingTF(inputCol="_tok", outputCol="features", numFeatures=num_features)
-    mlp = MultilayerPerceptronClassifier(layers=[num_features, *hidden, n_classes], labelCol="label_idx",
+    mlp = MultilayerPerceptronClassifier(layers=[num_features, *hidden, len(indexer.labels)], labelCol="label_idx",
                                          seed=seed, maxIter=max_iter)
-    model = Pipeline(stages=[indexer, tok, tf, mlp]).fit(train)
+    model = Pipeline(stages=[tok, tf, mlp]).fit(indexer.transform(train))
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
-    pred = back.transform(model.transform(base.filter(F.col("_test"))))
+    pred = back.transform(model.transform(base.filter(F.col("_test"))))  # every test row, known label or not
     return classification_report(pred.select(F.col(target).alias("label"), F.col("predicted_label").alias("prediction")))

@@ -9,9 +9,10 @@ The scores are defined over the tokens of one text and a valence table
   of tokens without (or with zero) valence, each over their total.
 
 Null text gives null scores; a text without tokens gives 0 everywhere.
-Plan: tokens are exploded in place (no shuffle), matched against the
-broadcast valence table (a bounded word list), partially aggregated per
-article on the map side, and joined back to the articles once.
+Plan: everything happens inside the row. Tokens look their valence up in the
+word table (``functions.lookup``), so no text is shuffled, no row key is
+needed and nothing runs before an action. The valence table has word-list size
+and is sent to every task.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lookup import let, look_up, look_up_all, word_table
 from ..functions.text import simple_tokens, word_count
-from ..session import spread
 from ..resources import NEGATORS, VALENCE
 
 COMPOUND_ALPHA = 15.0  # normalisation constant of the compound score
@@ -33,80 +34,66 @@ def valence_table(spark: SparkSession, valence: dict[str, float] | None = None)
     return spark.createDataFrame(items, "word string, valence double")
 
 
-def _token_structs(toks: Column, field: int, negate: bool, negators: Iterable[str]) -> Column:
-    """Tokens of one text (an already materialised array column) as
-    (t, neg, f) structs; null text -> empty list."""
-    toks = F.coalesce(toks, F.array().cast("array<string>"))
+def _valences(toks: Column, table: Column, negate: bool, negators: Iterable[str]) -> Column:
+    """Valence of every token (null without one); with ``negate`` its sign is
+    turned if one of the three tokens before it is a negator."""
     if not negate:
-        return F.transform(toks, lambda t: F.struct(t.alias("t"), F.lit(False).alias("neg"), F.lit(field).alias("f")))
+        return look_up_all(table, toks)
     negs = F.array(*[F.lit(w) for w in negators])
-    # a token is negated when one of the three tokens before it is a negator
-    return F.transform(toks, lambda t, i: F.struct(
-        t.alias("t"),
-        F.exists(F.slice(toks, F.greatest(F.lit(1), i - 2), F.least(F.lit(3), i)),
-                 lambda x: F.array_contains(negs, x)).alias("neg"),
-        F.lit(field).alias("f")))
 
+    def turned(all_: Column, words: Column) -> Column:
+        return F.transform(all_, lambda t, i: F.when(
+            F.arrays_overlap(F.slice(all_, F.greatest(F.lit(1), i - 2), F.least(F.lit(3), i)), negs),
+            -look_up(words, t)).otherwise(look_up(words, t)))
+    return let(table, lambda words: let(toks, lambda all_: turned(all_, words)))
 
-def score_texts(df: DataFrame, key: str, texts: dict[str, str], valence: DataFrame,
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _scores(p: str, with_shares: bool):
+    """Scores of a text from its sums, named with prefix ``p``."""
+    def scores(x: Column) -> Column:
+        cols = [F.when(x["hits"] > 0, x["s"] / x["hits"]).otherwise(F.lit(0.0)).alias(f"{p}polarity")]
+        if with_shares:
+            neu = (x["n"] - x["valued"]).cast("double")
+            total = x["pos"] + x["neg"] + neu
+            cols += [F.when(total > 0, part / total).otherwise(F.lit(0.0)).alias(f"{p}{name}")
+                     for name, part in (("pos", x["pos"]), ("neg", x["neg"]), ("neu", neu))]
+            cols.append((x["s"] / F.sqrt(x["s"] * x["s"] + F.lit(COMPOUND_ALPHA))).alias(f"{p}compound"))
+        return F.struct(*cols)
+    return scores
+
+
+def score_texts(df: DataFrame, texts: dict[str, str], valence: DataFrame,
                 shares: Iterable[str] = (), negate: bool = False,
                 negators: Iterable[str] = NEGATORS) -> DataFrame:
-    """Score several text columns in one pass. ``texts`` maps an output
-    prefix to a text column; prefixes in ``shares`` also get the
-    pos/neg/neu shares and the compound score.
-
-    All texts of a row are tokenised once, exploded together, matched, and
-    reduced to one row per key by a partial (map-side) aggregate, so the
-    only exchange of full rows is the single join back.
-    """
-    items = list(texts.items())
-    shares = set(shares)
-    tok_cols = {f"_tok{i}": simple_tokens(F.col(c)) for i, (_, c) in enumerate(items)}
-    # tokens are produced where the rows are read (no shuffle of the text),
-    # unless the input has fewer partitions than cores
-    tokenised = spread(df.select(key, *[c for _, c in items]), key) \
-        .select(key, *[v.alias(k) for k, v in tok_cols.items()])
-    toks = F.flatten(F.array(*[_token_structs(F.col(f"_tok{i}"), i, negate, negators) for i in range(len(items))]))
-    v = F.when(F.col("tok.neg"), -F.col("valence")).otherwise(F.col("valence"))
-    aggs = []
-    for i, (p, _) in enumerate(items):
-        vi = F.when(F.col("tok.f") == i, v)
-        aggs += [F.sum(vi).alias(f"_s{i}"), F.count(vi).alias(f"_c{i}")]
-        if p in shares:
-            aggs += [F.sum(F.when(vi > 0, vi + 1)).alias(f"_p{i}"),
-                     F.sum(F.when(vi < 0, -vi + 1)).alias(f"_n{i}"),
-                     F.count(F.when(vi != 0, 1)).alias(f"_z{i}")]
-    matched = (
-        tokenised.select(key, F.explode(toks).alias("tok"))
-        .join(F.broadcast(valence), F.col("tok.t") == F.col("word"))  # bounded word list
-        .groupBy(key).agg(*aggs)
-    )
-    out = df.join(matched, key, "left")
-    cols, tmp = {}, [a for a in matched.columns if a != key]
-    for i, (p, c) in enumerate(items):
-        present = F.col(c).isNotNull()
-        s = F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
-        n_match = F.coalesce(F.col(f"_c{i}"), F.lit(0))
-        cols[f"{p}polarity"] = F.when(present, F.when(n_match > 0, s / n_match).otherwise(F.lit(0.0)))
-        if p in shares:
-            pos = F.coalesce(F.col(f"_p{i}"), F.lit(0.0))
-            neg = F.coalesce(F.col(f"_n{i}"), F.lit(0.0))
-            neu = (F.size(simple_tokens(F.col(c))) - F.coalesce(F.col(f"_z{i}"), F.lit(0))).cast("double")
-            total = pos + neg + neu
-
-            def share(x, total=total, present=present):
-                return F.when(present, F.when(total > 0, x / total).otherwise(F.lit(0.0)))
-            cols.update({
-                f"{p}pos": share(pos), f"{p}neg": share(neg), f"{p}neu": share(neu),
-                f"{p}compound": F.when(present, s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))),
-            })
-    return out.withColumns(cols).drop(*tmp)
-
-
-def enrich_text(df: DataFrame, valence: DataFrame, key: str = "article_id", negate: bool = False) -> DataFrame:
+    """Score several text columns. ``texts`` maps an output prefix to a text
+    column; prefixes in ``shares`` also get the pos/neg/neu shares and the
+    compound score. Each text is tokenised once."""
+    shares, negators = set(shares), tuple(negators)
+    out = df.withColumn("_words", word_table(valence, "word", "valence"))
+    for p, c in texts.items():
+        toks = F.coalesce(simple_tokens(F.col(c)), F.array().cast("array<string>"))
+        found = let(toks, lambda t: F.struct(F.size(t).alias("n"), F.filter(
+            _valences(t, F.col("_words"), negate, negators), lambda v: v.isNotNull()).alias("v")))
+        sums = let(found, lambda x: F.struct(
+            x["n"].alias("n"), F.size(x["v"]).alias("hits"), _total(x["v"]).alias("s"),
+            _total(F.transform(F.filter(x["v"], lambda v: v > 0), lambda v: v + 1)).alias("pos"),
+            _total(F.transform(F.filter(x["v"], lambda v: v < 0), lambda v: 1 - v)).alias("neg"),
+            F.size(F.filter(x["v"], lambda v: v != 0)).alias("valued")))
+
+        out = out.withColumn("_scores", F.when(F.col(c).isNotNull(), let(sums, _scores(p, p in shares))))
+        fields = ["polarity", *(("pos", "neg", "neu", "compound") if p in shares else ())]
+        out = out.withColumns({f"{p}{f}": F.col("_scores").getField(f"{p}{f}") for f in fields}).drop("_scores")
+    return out.drop("_words")
+
+
+def enrich_text(df: DataFrame, valence: DataFrame, negate: bool = False) -> DataFrame:
     """D3: word counts and sentiment columns of the ``text_eda`` layer."""
     out = df.withColumns({"title_word_count": word_count("title"), "article_word_count": word_count("article")})
-    out = score_texts(out, key, {"_t_": "title", "_a_": "article"}, valence, shares=["_t_"], negate=negate)
+    out = score_texts(out, {"_t_": "title", "_a_": "article"}, valence, shares=["_t_"], negate=negate)
     return out.withColumnsRenamed({
         "_t_polarity": "title_textblob_sentiment",
         "_a_polarity": "article_textblob_sentiment",

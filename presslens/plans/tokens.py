@@ -7,9 +7,10 @@ map-side combine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lookup import token_counts
 from ..functions.text import remove_stop_words, simple_tokens
 from ..operators.stats import with_share
 
@@ -26,49 +27,39 @@ def token_frequencies(df: DataFrame, text: str, k: int | None = 10) -> DataFrame
     return freq.orderBy(F.desc("count"), "token").limit(k) if k else freq
 
 
-def by_document(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) hash-partitioned by document. Moving the text once costs
-    fewer bytes than moving per-document token counts (a distinct token of
-    a document is a larger row than its characters), spreads the regex work
-    over all tasks, and lets every per-document aggregate run without a
-    further exchange."""
-    return df.filter(F.col(text).isNotNull()).select(key, text).repartition(key)
-
-
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, count) for every document: the one tokenising pass that
-    document frequencies, vocabularies and bags of words all derive from."""
-    return by_document(df, key, text).select(key, F.explode(token_column(text)).alias("token")) \
-        .groupBy(key, "token").agg(F.count(F.lit(1)).alias("count"))
+    """(key, token, count) for every document, counted inside the row."""
+    return df.filter(F.col(text).isNotNull()) \
+        .select(key, F.explode(token_counts(token_column(text))).alias("t")) \
+        .select(key, F.col("t.term").alias("token"), F.col("t.tf").cast("bigint").alias("count"))
 
 
-def document_frequency(df: DataFrame, key: str, text: str, tf: DataFrame | None = None) -> DataFrame:
-    """(token, df): number of documents containing each token."""
-    tf = tf if tf is not None else term_counts(df, key, text)
-    return tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(df: DataFrame, text: str) -> DataFrame:
+    """(token, df): number of documents containing each token. A document
+    gives each of its tokens once; partial counts are all that is shuffled."""
+    return df.filter(F.col(text).isNotNull()).select(F.explode(F.array_distinct(token_column(text))).alias("token")) \
+        .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def vocabulary(df: DataFrame, key: str, text: str, no_below: int = 10, no_above: float = 0.1,
-               keep_n: int = 100_000, tf: DataFrame | None = None) -> DataFrame:
+def vocabulary(df: DataFrame, text: str, no_below: int = 10, no_above: float = 0.1,
+               keep_n: int = 100_000) -> DataFrame:
     """Tokens in at least ``no_below`` documents and at most a
     ``no_above`` fraction of them, the ``keep_n`` most frequent by
     document frequency; ids 0.. by (df desc, token). ``keep_n`` is the
     vocabulary size the job asks for, not a sample of the data."""
     n_docs = df.filter(F.col(text).isNotNull()).select(F.count(F.lit(1))).scalar()
-    kept = document_frequency(df, key, text, tf).filter(
+    kept = document_frequency(df, text).filter(
         (F.col("df") >= no_below) & (F.col("df") <= n_docs * F.lit(no_above)))
     top = kept.orderBy(F.desc("df"), "token").limit(keep_n)
     # at most keep_n rows: the numbering window runs over a bounded table
-    from pyspark.sql import Window
     return top.withColumn("token_id", (F.row_number().over(Window.orderBy(F.desc("df"), "token")) - 1).cast("bigint"))
 
 
-def bag_of_words(df: DataFrame, key: str, text: str, vocab: DataFrame, tf: DataFrame | None = None) -> DataFrame:
+def bag_of_words(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """(document, token_id, count) over the vocabulary; the vocabulary
-    is bounded by ``keep_n`` and broadcast."""
-    tf = tf if tf is not None else term_counts(df, key, text)
+    is bounded by ``keep_n`` and broadcast. The documents are not shuffled."""
     vocab = F.broadcast(vocab.select("token", "token_id"))  # at most keep_n rows
-    return tf.join(vocab, "token").select(key, "token_id", "count")
+    return term_counts(df, key, text).join(vocab, "token").select(key, "token_id", "count")
 
 
 def token_shares(df: DataFrame, text: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Expensive text work runs on *distinct sections* only; the resulting
 section dimension is joined back to the articles once. Keyword matching is
 an equi-join (short keywords on the token, long keywords on a 5-character
-prefix plus a ``startswith`` residual) against the bounded lexicon, so no
+prefix plus a ``startswith`` residual) against the lexicon, so no
 Cartesian product and no Python in the row path.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lookup import let
 from ..functions.text import section_clean, simple_tokens, singularize, singularize_tokens, split_pieces, title_case
 from ..operators.clean import GENERIC_SECTIONS, coalesce_prefix
 from ..operators.stats import non_null, value_counts, with_share
@@ -34,7 +35,7 @@ def keyword_matches(terms: DataFrame, lexicon: DataFrame, normalize_lexicon: boo
     lex = lexicon
     if normalize_lexicon:
         lex = lex.withColumn("keyword", singularize(F.lower("keyword")))
-    lex = F.broadcast(lex.withColumn("_klen", F.char_length("keyword")))  # bounded word list
+    lex = lex.withColumn("_klen", F.char_length("keyword"))
     short = terms.join(lex.filter(F.col("_klen") < SHORT_KEYWORD), terms["term"] == lex["keyword"])
     t2 = terms.withColumn("_p", F.substring("term", 1, PREFIX))
     lx2 = lex.filter(F.col("_klen") >= SHORT_KEYWORD).withColumn("_kp", F.substring("keyword", 1, PREFIX))
@@ -57,16 +58,32 @@ def section_topics(articles: DataFrame, lexicon: DataFrame, normalize_lexicon: b
 
 def topics_for_sections(counts: DataFrame, lexicon: DataFrame, normalize_lexicon: bool = False) -> DataFrame:
     """D1 on a table of distinct sections ``(section, article_count)``."""
-    sections = counts.withColumn("section_clean", section_clean("section"))
-    per_topic = keyword_matches(section_terms(sections), lexicon, normalize_lexicon) \
-        .groupBy("section", "topic", "topic_pos").agg(F.count(F.lit(1)).alias("n"))
-    per_section = per_topic.groupBy("section").agg(
-        F.flatten(F.transform(
-            F.array_sort(F.collect_list(F.struct("topic_pos", "n", "topic"))),
-            lambda x: F.array_repeat(x["topic"], x["n"].cast("int")))).alias("simple_section_topics"),
-        F.max_by("topic", F.struct(F.col("n"), -F.col("topic_pos"))).alias("simple_topic"),
-    )
-    return sections.join(per_section, "section", "left")
+    # one chain without branches, so that the sections are computed once: every
+    # term asks for itself (short keywords) and for its prefix (long ones)
+    terms = let(singularize_tokens(simple_tokens("section_clean")),
+                lambda t: F.array_distinct(F.concat(t, F.array(F.array_join(t, " ")))))
+    asks = F.flatten(F.transform(terms, lambda t: F.array(
+        F.struct(F.lit(True).alias("short"), t.alias("ask"), t.alias("term")),
+        F.struct(F.lit(False).alias("short"), F.substring(t, 1, PREFIX).alias("ask"), t.alias("term")))))
+    asked = counts.withColumn("section_clean", section_clean("section")).select("*", F.explode_outer(asks).alias("a")) \
+        .select("section", "article_count", "section_clean", "a.*")
+    keyword = singularize(F.lower("keyword")) if normalize_lexicon else F.col("keyword")
+    lex = lexicon.select("topic", "topic_pos", "keyword_pos", keyword.alias("keyword")).withColumn(
+        "_short", F.char_length("keyword") < SHORT_KEYWORD)
+    lex = lex.withColumn("_key", F.when(F.col("_short"), F.col("keyword")).otherwise(F.substring("keyword", 1, PREFIX)))
+    found = asked.join(lex, (F.col("short") == F.col("_short")) & (F.col("ask") == F.col("_key"))
+                       & F.col("term").startswith(F.col("keyword")), "left")
+    per_topic = found.groupBy("section", "topic", "topic_pos").agg(
+        F.countDistinct("keyword_pos").alias("n"), F.first("article_count").alias("article_count"),
+        F.first("section_clean").alias("section_clean"))
+    row = F.when(F.col("topic").isNotNull(), F.struct("topic_pos", "n", "topic"))
+    topics = F.flatten(F.transform(F.array_sort(F.collect_list(row)),
+                                   lambda x: F.array_repeat(x["topic"], x["n"].cast("int"))))
+    out = per_topic.groupBy("section").agg(
+        F.first("article_count").alias("article_count"), F.first("section_clean").alias("section_clean"),
+        topics.alias("_topics"), F.max_by("topic", F.struct(F.col("n"), -F.col("topic_pos"))).alias("simple_topic"))
+    return out.select("section", "article_count", "section_clean",
+                      F.when(F.size("_topics") > 0, F.col("_topics")).alias("simple_section_topics"), "simple_topic")
 
 
 def assign_topics(articles: DataFrame, sections: DataFrame) -> DataFrame:
@@ -82,33 +99,22 @@ def geo_sections(articles: DataFrame, places: DataFrame) -> DataFrame:
 
 def geo_for_sections(secs: DataFrame, places: DataFrame) -> DataFrame:
     """D4 on a table of distinct sections."""
-    pieces = secs.select("section", F.posexplode(split_pieces("section")).alias("pos", "piece"))
-    names = F.broadcast(places.select(F.lower("name").alias("_name")).distinct())  # bounded gazetteer
-    hits = pieces.join(names, F.lower(pieces["piece"]) == names["_name"])
-    geo = hits.groupBy("section").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]).alias("geo"))
-    return secs.join(geo, "section", "left").withColumn("is_geo", F.col("geo").isNotNull())
-
-
-# Largest gazetteer applied as an in-expression hash set; beyond it the
-# broadcast-join path (geo_for_sections) is used.
-INLINE_PLACES_MAX = 50_000
+    return tag_places(secs, "section", places)
 
 
 def tag_places(df: DataFrame, section: str, places: DataFrame) -> DataFrame:
     """D4 on a table that has a section column: adds ``geo`` (pieces that
-    are place names, in order, else null) and ``is_geo``.
-
-    A gazetteer is a word list; after a count shows it is small it becomes a
-    hash-set membership test inside the row expression (no join, no
-    exchange). A larger one goes through ``geo_for_sections``.
-    """
-    names = places.select(F.lower("name").alias("name")).filter(F.col("name").isNotNull()).distinct()
-    if names.count() > INLINE_PLACES_MAX:
-        return df.join(geo_for_sections(df.select(section).distinct(), places), section)
-    words = [r["name"] for r in names.collect()]
-    hits = F.filter(split_pieces(section), lambda p: F.lower(p).isin(*words))
-    return df.withColumn("geo", F.when(F.size(hits) > 0, hits)).withColumn("is_geo", F.col("geo").isNotNull())
+    are place names, in order, else null) and ``is_geo``. A row without a
+    section is kept and not geo. The pieces of each section meet the gazetteer
+    in one equi-join; only sections with a hit come back."""
+    pieces = non_null(df, [section]).select(F.col(section).alias("_section"),
+                                            F.posexplode(split_pieces(section)).alias("pos", "piece"))
+    names = places.select(F.lower("name").alias("_name")).distinct()
+    hits = pieces.join(names, F.lower("piece") == F.col("_name"))
+    geo = hits.groupBy("_section").agg(F.transform(
+        F.array_sort(F.collect_set(F.struct("pos", "piece"))), lambda x: x["piece"]).alias("geo"))
+    return df.join(geo, F.col(section) == F.col("_section"), "left").drop("_section") \
+        .withColumn("is_geo", F.col("geo").isNotNull())
 
 
 def places_from_tables(spark, sf_dir: str, extra=None) -> DataFrame:

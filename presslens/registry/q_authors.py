@@ -84,15 +84,15 @@ def j6_theta_anti_substring(spark, sf):
     return contains_any(authors, "author", b.select("publication"), "publication", "left_anti")
 
 
-@register("j6_theta_anti_substring_hash", BASE + """
-SELECT DISTINCT author FROM base b WHERE author IS NOT NULL AND NOT EXISTS (
+@register("j6_theta_semi_substring", BASE + """
+SELECT DISTINCT author FROM base b WHERE author IS NOT NULL AND EXISTS (
   SELECT 1 FROM (SELECT DISTINCT publication FROM base WHERE publication IS NOT NULL AND publication <> '') p
   WHERE contains(lower(b.author), lower(p.publication)))""")
-def j6_theta_anti_substring_hash(spark, sf):
-    """Same as j6 through the exact substring equi-join (no broadcast)."""
+def j6_theta_semi_substring(spark, sf):
+    """The other side of j6: authors named after a publication."""
     b = _base(spark, sf)
     authors = b.select("author").filter(F.col("author").isNotNull()).distinct()
-    return contains_any(authors, "author", b.select("publication"), "publication", "left_anti", max_broadcast=0)
+    return contains_any(authors, "author", b.select("publication"), "publication", "left_semi")
 
 
 # ---- D10: views over eligible authors' articles -----------------------------
@@ -184,6 +184,28 @@ def d11_author_sentiment(spark, sf):
     return AU.group_sentiment(_scored_all(spark, sf), "author", min_articles=1)
 
 
+@register("d11_author_sentiment_rounded", lambda: SCORED_ALL() + """
+SELECT author, round_even(avg(article_textblob_sentiment), 3) AS article_mean,
+       round_even(stddev_samp(article_textblob_sentiment), 3) AS article_std,
+       round_even(avg(vader_compound_title), 3) AS title_mean, round_even(stddev_samp(vader_compound_title), 3) AS title_std,
+       count(article) AS article_count
+FROM sall WHERE author IS NOT NULL GROUP BY 1 HAVING count(article) > 1""")
+def d11_author_sentiment_rounded(spark, sf):
+    """As the analysis shows it: three digits before the count filter."""
+    return AU.group_sentiment(_scored_all(spark, sf), "author", min_articles=1, digits=3)
+
+
+PIVOT_PUBLICATIONS = ("src1", "src2", "src3", "src4")
+
+
+@register("g5_monthly_score_pivot", lambda: SCORED_ALL() + "SELECT last_day(date) AS date, " + ", ".join(
+    f"round_even(avg(article_textblob_sentiment) FILTER (WHERE publication = '{p}'), 3) AS {p}" for p in PIVOT_PUBLICATIONS)
+    + " FROM sall WHERE date IS NOT NULL AND publication IS NOT NULL GROUP BY 1")
+def g5_monthly_score_pivot(spark, sf):
+    """Monthly mean article score, a column for each of four publications."""
+    return AU.monthly_score_pivot(_scored_all(spark, sf), "publication", PIVOT_PUBLICATIONS)
+
+
 @register("a7_mean_std_single_row", lambda: SCORED_ALL() + """
 SELECT url, avg(vader_compound_title) AS title_mean, stddev_samp(vader_compound_title) AS title_std
 FROM sall WHERE url IS NOT NULL GROUP BY 1""")

@@ -203,6 +203,22 @@ def x8_singularize(spark, sf):
                                .alias("title_singular"))
 
 
+LEMMAS = (("the", "le"), ("and", "et"), ("of", "de"))
+
+
+@register("x8_lemma_table", W("articles") + """,
+lem(form, lemma) AS (VALUES ('the', 'le'), ('and', 'et'), ('of', 'de'))
+""" + f"""SELECT article_id, array_to_string(list_transform({D.tokens('title')},
+    lambda t: coalesce((SELECT max(lemma) FROM lem WHERE form = t), t)), ' ') AS title_lemmas FROM articles
+""".replace("coalesce((SELECT max(lemma) FROM lem WHERE form = t), t)",
+            "CASE t WHEN 'the' THEN 'le' WHEN 'and' THEN 'et' WHEN 'of' THEN 'de' ELSE t END"))
+def x8_lemma_table(spark, sf):
+    """Lemmas from a (form, lemma) table instead of the suffix rules."""
+    lemmas = spark.createDataFrame(LEMMAS, "form string, lemma string")
+    return X.lemmatize(A(spark, sf), X.simple_tokens("title"), lemmas, "lemmas").select(
+        "article_id", F.array_join("lemmas", " ").alias("title_lemmas"))
+
+
 @register("x9_split_pieces", W("articles") + """
 SELECT DISTINCT section, array_to_string(list_filter(string_split_regex(section, '[\\s-]+'), lambda p: p <> ''), '|')
        AS pieces FROM articles WHERE section IS NOT NULL""")

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import text as X
 from ..operators import clean as N
+from ..plans import authors as AU
 from ..plans import features as FE
 from ..plans import models as MO
 from ..plans import sentiment as SE
 from ..plans import tokens as TK
+from ..session import materialize
 from . import duck as D
 from . import register
 from .q_clean import _clean_text_duck
@@ -26,19 +28,11 @@ def model_input(spark, sf):
     return a.withColumns({"title_clean": X.clean_text("title"), "article_clean": X.clean_text("article")})
 
 
-_STAGES: dict = {}
-
-
 def staged_input(spark, sf, *cols):
     """The model input columns a job needs, cleaned once and written as a
-    Parquet stage in the shared checkpoint folder (reused by later jobs of
-    the session): feature building reads its input several times (vocabulary,
+    stage: feature building reads its input several times (vocabulary,
     weighting, counts), and every read would otherwise clean the text again."""
-    from ..session import materialize
-    key = (spark.sparkContext.applicationId, sf, cols)
-    if key not in _STAGES:
-        _STAGES[key] = materialize(model_input(spark, sf).select("article_id", *cols))
-    return _STAGES[key]
+    return materialize(model_input(spark, sf).select("article_id", *cols))
 
 
 def model_input_sql() -> str:
@@ -96,7 +90,13 @@ def m3_class_balance_sizes(spark, sf):
     return _balanced(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("count"))
 
 
-@register("m3_class_balance")
+@register("m3_class_balance", """
+WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+t AS (SELECT CAST(floor(max(n) * 0.05) AS BIGINT) AS t FROM c),
+num AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE lang IS NOT NULL),
+draws AS (SELECT lang, n, unnest(range(1, t + 1)) AS j FROM c, t WHERE n > t),
+picks AS (SELECT lang, CAST('0x' || substr(md5(lang || ':' || j || ':42'), 1, 13) AS BIGINT) % n + 1 AS rn FROM draws)
+SELECT doc_id, lang FROM picks JOIN num USING (lang, rn)""")
 def m3_class_balance(spark, sf):
     return _balanced(spark, sf)
 
@@ -167,9 +167,13 @@ def m13_token_sequences(spark, sf):
         "article_id", F.array_join("sequence", " ").alias("sequence"))
 
 
+#: Trees grown no deeper than this in the registered reports: MLlib's limit of 30 is the library's default.
+FOREST = {"random_forest": {"trees": 100, "depth": 30}}
+
+
 def _experiment(spark, sf, models, text="title_clean", target="simple_topic", max_features=5000, name="title_topic"):
     return MO.run_experiment(staged_input(spark, sf, text, target), "article_id", text, target, max_features,
-                             f"{name}_tfidf_{max_features}", models=models)
+                             f"{name}_tfidf_{max_features}", models=models, options=FOREST)
 
 
 @register("m4_naive_bayes")
@@ -192,6 +196,46 @@ def m7_experiment_runner(spark, sf):
     return _experiment(spark, sf, MO.MODELS, text="article_clean", max_features=10000, name="article_topic")
 
 
+def _authors_input(spark, sf, text):
+    """Articles of eligible authors (D9); the fixture reaches ten articles an author."""
+    a = materialize(model_input(spark, sf).select("article_id", "author", "publication", "article", text))
+    authors = AU.eligible_authors(a, min_articles=10)
+    return AU.eligible_author_articles(a, authors).select("article_id", text, "author")
+
+
+@register("m7_title_author")
+def m7_title_author(spark, sf):
+    return MO.run_experiment(_authors_input(spark, sf, "title_clean"), "article_id", "title_clean", "author", 10000,
+                             "title_author_tfidf_10000", models=["logistic_regression", "naive_bayes"])
+
+
+@register("m7_article_author")
+def m7_article_author(spark, sf):
+    return MO.run_experiment(_authors_input(spark, sf, "article_clean"), "article_id", "article_clean", "author", 5000,
+                             "article_author_tfidf_5000", models=["naive_bayes"])
+
+
+@register("m7_title_topic_balanced")
+def m7_title_topic_balanced(spark, sf):
+    """Classes resampled to 5 % of the largest (M3) before the split."""
+    rows = FE.balance_classes(staged_input(spark, sf, "title_clean", "simple_topic"), "simple_topic", "article_id")
+    return MO.run_experiment(rows, "article_id", "title_clean", "simple_topic", 5000, "title_topic_tfidf_5p_5000",
+                             models=["logistic_regression", "naive_bayes"])
+
+
+def _support_sql(target: str, test: str) -> str:
+    return model_input_sql() + f"""
+SELECT {target} AS class, count(*) AS support FROM mi WHERE {target} IS NOT NULL AND {test} GROUP BY 1"""
+
+
+@register("m7_report_support", lambda: _support_sql(
+    "simple_topic", "((article_id * 1103515245 + 12395) % 2147483648) % 100 < 20"))
+def m7_report_support(spark, sf):
+    """Classes and test rows of the title-topic report."""
+    rep = _experiment(spark, sf, ["naive_bayes"]).filter(~F.col("class").isin("accuracy", "macro avg", "weighted avg"))
+    return rep.select("class", "support").filter("support > 0")
+
+
 @register("m15_model_comparison")
 def m15_model_comparison(spark, sf):
     return MO.model_comparison(_experiment(spark, sf, MO.MODELS))
@@ -200,7 +244,7 @@ def m15_model_comparison(spark, sf):
 @register("m12_topic_model")
 def m12_topic_model(spark, sf):
     a = fx.articles(spark, sf)
-    vocab = TK.vocabulary(a, "article_id", "article")
+    vocab = TK.vocabulary(a, "article")
     docs = a.filter(F.col("article").isNotNull()).select("article_id", TK.token_column("article").alias("tokens"))
     return MO.topic_model(docs, "tokens", vocab, k=50, passes=2, top_terms=50)
 

@@ -59,6 +59,14 @@ def s7_clear_then_append(spark, sf):
     return IO.read_table(spark, base, "raw", "articles")
 
 
+@register("s4_file_read_all", W("articles") + f"SELECT {RAW_COLS} FROM articles")
+def s4_file_read_all(spark, sf):
+    """More files asked for than there are: the whole table, whatever the order."""
+    path = IO.scratch_path(spark, "files")
+    _raw(spark, sf).repartition(4).write.parquet(path)
+    return IO.read_files(spark, path, n=9, shuffle=True, seed=7).select(*FIXTURE_SCHEMA.fieldNames())
+
+
 @register("s4_limited_file_read")
 def s4_limited_file_read(spark, sf):
     path = IO.scratch_path(spark, "files")
@@ -66,9 +74,10 @@ def s4_limited_file_read(spark, sf):
     return IO.read_files(spark, path, n=2, shuffle=True, seed=7)
 
 
-@register("s6_balanced_slices")
+@register("s6_balanced_slices", W("articles") + "SELECT CAST(25 AS BIGINT) AS slices, count(*) AS rows FROM articles")
 def s6_balanced_slices(spark, sf):
-    return IO.slice_sizes(IO.balanced_slices(_raw(spark, sf), 25))
+    sizes = IO.slice_sizes(IO.balanced_slices(_raw(spark, sf), 25))
+    return sizes.agg(F.count("slice").alias("slices"), F.sum("rows").alias("rows"))
 
 
 @register("s8_file_inventory")
@@ -91,14 +100,16 @@ def s9_profile(spark, sf):
 
 
 @register("s10_labelled_export", NORM + """
-SELECT date, publication, author, title, article, simple_topic FROM narticles
+SELECT date, publication, author, title, section, simple_topic FROM narticles
 WHERE title IS NOT NULL AND article IS NOT NULL AND simple_topic IS NOT NULL AND simple_topic <> '5-LOW'
-ORDER BY date""")
+  AND section IS DISTINCT FROM 'U.S.'""")
 def s10_labelled_export(spark, sf):
+    """The exported CSV, read back."""
     a = N.empty_to_null(N.text_null_fix(fx.articles(spark, sf)))
+    a = a.withColumn("is_geo", F.coalesce(F.col("section") == "U.S.", F.lit(False)))
     out = IO.labelled_export(a, drop_topic="5-LOW")
-    IO.write_csv(out, IO.scratch_path(spark, "export"))
-    return out
+    path = IO.write_csv(out, IO.scratch_path(spark, "export"))
+    return IO.read_articles_csv(spark, path, out.schema)
 
 
 @register("s11_report_sink", REPORT_SQL + "SELECT *, 'labels_parity' AS experiment, 'parity' AS model FROM report")
@@ -120,9 +131,9 @@ def t1_incremental_ingest(spark, sf):
 
 @register("s2_chunked_append", NORM + f"SELECT {RAW_COLS} FROM narticles")
 def s2_chunked_append(spark, sf):
-    """Chunked append: four files, one file per micro-batch."""
+    """Chunked append: four files, two a micro-batch."""
     src = IO.scratch_path(spark, "incoming")
     IO.write_csv(_raw(spark, sf).repartition(4), src)
     target, ckpt = IO.scratch_path(spark, "raw"), IO.scratch_path(spark, "stream-ckpt")
-    ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, max_files_per_trigger=1)
+    ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, max_files_per_trigger=2)
     return spark.read.parquet(target)

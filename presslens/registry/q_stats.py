@@ -211,10 +211,9 @@ def g7_transpose_summary(spark, sf):
 
 
 @register("g9_dense_row_number", W("facts") + """
-SELECT article_id, CAST(row_number() OVER (ORDER BY date, article_id) AS BIGINT) AS row_id FROM facts""")
+SELECT article_id, publication, score, CAST(row_number() OVER (ORDER BY date, article_id) AS BIGINT) AS row_id FROM facts""")
 def g9_dense_row_number(spark, sf):
-    return S.dense_row_number(FA(spark, sf).select("article_id", "date"), ["date", "article_id"]) \
-        .select("article_id", "row_id")
+    return S.dense_row_number(FA(spark, sf), ["date", "article_id"]).select("article_id", "publication", "score", "row_id")
 
 
 # ---- J ---------------------------------------------------------------------
@@ -269,15 +268,22 @@ def o3_bottom_k(spark, sf):
     return S.ordered_top(S.value_counts(FA(spark, sf), "author"), [F.asc("count"), F.asc("author")], 30)
 
 
-@register("o5_hash_sample")
+@register("o5_hash_sample", W("facts") + "SELECT article_id FROM facts ORDER BY md5(article_id || ':42'), article_id LIMIT 50")
 def o5_hash_sample(spark, sf):
     """Repeatable random n rows: order by a seeded hash of the id."""
-    return FA(spark, sf).orderBy(F.xxhash64("article_id", F.lit(42))).limit(50).select("article_id")
+    return S.sample_rows(FA(spark, sf), "article_id", 50).select("article_id")
 
 
-@register("o6_fraction_sample")
+@register("o6_fraction_sample", W("facts") + """
+SELECT article_id FROM facts WHERE CAST('0x' || substr(md5(article_id || ':42'), 1, 13) AS BIGINT) < 0.1 * 4503599627370496""")
 def o6_fraction_sample(spark, sf):
-    return FA(spark, sf).sample(fraction=0.1, seed=42).select("article_id")
+    return S.sample_fraction(FA(spark, sf), "article_id", 0.1).select("article_id")
+
+
+@register("o6_sample_size", W("facts") + "SELECT article_id FROM facts ORDER BY md5(article_id || ':7'), article_id LIMIT 1000")
+def o6_sample_size(spark, sf):
+    """Exactly ``sample_size`` rows before training."""
+    return S.sample_rows(FA(spark, sf), "article_id", 1000, seed=7).select("article_id")
 
 
 # ---- U ---------------------------------------------------------------------

@@ -116,16 +116,23 @@ def d18_top_title_tokens(spark, sf):
     return TK.token_frequencies(A(spark, sf), "title", 10)
 
 
-def _vocab_sql():
+def _vocab_sql(keep_n: int = 100_000):
     return f"""dfreq AS (SELECT token, count(*) AS df FROM (SELECT article_id,
         unnest(list_distinct({_lda_tokens('article')})) AS token FROM articles WHERE article IS NOT NULL) GROUP BY 1),
 vocab AS (SELECT token, df, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS BIGINT) AS token_id FROM dfreq
-      WHERE df >= 10 AND df <= (SELECT count(*) FROM articles WHERE article IS NOT NULL) * 0.1)"""
+      WHERE df >= 10 AND df <= (SELECT count(*) FROM articles WHERE article IS NOT NULL) * 0.1
+      ORDER BY df DESC, token LIMIT {keep_n})"""
 
 
 @register("m10_vocabulary", lambda: W("articles") + ", " + _vocab_sql() + "\nSELECT token, df, token_id FROM vocab")
 def m10_vocabulary(spark, sf):
-    return TK.vocabulary(A(spark, sf), "article_id", "article")
+    return TK.vocabulary(A(spark, sf), "article")
+
+
+@register("m10_vocabulary_top500", lambda: W("articles") + ", " + _vocab_sql(500) + "\nSELECT token, df, token_id FROM vocab")
+def m10_vocabulary_top500(spark, sf):
+    """The same with a ``keep_n`` that the fixture reaches."""
+    return TK.vocabulary(A(spark, sf), "article", keep_n=500)
 
 
 @register("m11_bag_of_words", lambda: W("articles") + ", " + _vocab_sql() + f"""
@@ -133,8 +140,7 @@ SELECT article_id, token_id, count(*) AS count FROM (SELECT article_id, unnest({
 FROM articles WHERE article IS NOT NULL) t JOIN vocab USING (token) GROUP BY 1, 2""")
 def m11_bag_of_words(spark, sf):
     a = A(spark, sf)
-    tf = TK.term_counts(a, "article_id", "article")  # one tokenising pass, reused
-    return TK.bag_of_words(a, "article_id", "article", TK.vocabulary(a, "article_id", "article", tf=tf), tf=tf)
+    return TK.bag_of_words(a, "article_id", "article", TK.vocabulary(a, "article"))
 
 
 @register("g8_explode_tokens", lambda: W("articles") + f"""

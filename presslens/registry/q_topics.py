@@ -13,18 +13,9 @@ from . import register
 W = fx.sql_with
 
 
-_LAYER: dict = {}
-
-
 def _norm(spark, sf):
-    """The raw layer as the topic job reads it: ingest-cleaned articles,
-    written once per session and input folder (the job reads a stored
-    table, not the fixture view)."""
-    from ..session import materialize
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LAYER:
-        _LAYER[key] = materialize(N.empty_to_null(N.text_null_fix(fx.articles(spark, sf))))
-    return _LAYER[key]
+    """The raw layer as the topic job reads it: ingest-cleaned articles."""
+    return N.empty_to_null(N.text_null_fix(fx.articles(spark, sf)))
 
 
 def _job(spark, sf):
@@ -37,12 +28,12 @@ def _places_sql() -> str:
             f"UNION ALL SELECT r_name FROM region UNION ALL SELECT * FROM (VALUES {own}) o(name)))")
 
 
-def _topic_sql() -> str:
+def _topic_sql(lexicon_filter: str = "") -> str:
     """D5 as CTEs: narticles -> cleaned -> geo -> nongeo -> sections -> topics."""
     singular_tokens = D.singular_list(D.tokens("section_clean"))
     return (W("articles") + ", " + D.normalised_articles_cte() + ",\n"
             + D.clean_sections_cte("narticles", "cleaned", True, True) + ",\n" + _places_sql() + f""",
-lexicon AS (SELECT * FROM {lexicon_values_sql()}),
+lexicon AS (SELECT * FROM {lexicon_values_sql()} {lexicon_filter}),
 dsec AS (SELECT DISTINCT section, list_filter(string_split_regex(section, '[\\s-]+'), lambda p: p <> '') AS pieces
          FROM cleaned),
 pcs AS (SELECT section, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM dsec),
@@ -165,6 +156,22 @@ def a13_shift_std(spark, sf):
     return TP.shift_std(TP.publication_shift_flagged(tagged, ~F.col("is_geo") & F.col("simple_topic").isNotNull()))
 
 
-@register("s12_lexicon_source", lambda: f"SELECT * FROM {lexicon_values_sql()}")
-def s12_lexicon_source(spark, sf):
-    return read_lexicon(spark)
+@register("s12_lexicon_keywords_used", lambda: _topic_sql() + """
+SELECT l.topic, l.topic_pos, l.keyword, l.keyword_pos, count(m.section) AS sections
+FROM lexicon l LEFT JOIN matches m ON l.topic_pos = m.topic_pos AND l.keyword_pos = m.keyword_pos GROUP BY 1, 2, 3, 4""")
+def s12_lexicon_keywords_used(spark, sf):
+    """Every row of the lexicon source with the number of sections that it matches."""
+    lexicon = read_lexicon(spark)
+    used = j9_lexicon_match(spark, sf).join(lexicon.select("topic", "topic_pos").distinct(), "topic") \
+        .groupBy("topic_pos", "keyword_pos").agg(F.count("section").alias("sections"))
+    return lexicon.join(used, ["topic_pos", "keyword_pos"], "left").fillna(0, ["sections"])
+
+
+@register("o4_unmapped_sections_short_lexicon", lambda: _topic_sql("WHERE topic_pos < 3") + """
+SELECT section, article_count, section_clean FROM sections WHERE simple_topic IS NULL
+ORDER BY article_count DESC, section LIMIT 10""")
+def o4_unmapped_sections_short_lexicon(spark, sf):
+    """The same with three topics, which leave sections of the fixture unmapped."""
+    lexicon = read_lexicon(spark).filter(F.col("topic_pos") < 3)
+    _, sections, _ = TP.topic_job(_norm(spark, sf), lexicon, TP.places_from_tables(spark, sf))
+    return TP.unmapped_sections(sections, 10)

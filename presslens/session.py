@@ -83,14 +83,3 @@ def materialize(df):
     path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df, *keys):
-    """Hash-partition ``df`` by ``keys`` only when it has fewer partitions
-    than the cluster has cores (e.g. a small file with one row group), so
-    CPU-heavy text work is not left to a single task. Large inputs already
-    arrive in many scan splits and are left untouched (no extra shuffle)."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(*keys)
-    return df

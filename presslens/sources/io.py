@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from ..schema import LAYER_SCHEMAS
 from ..session import checkpoint_dir
 
 TABLE_SUFFIX = ".parquet"
-EXPORT_COLUMNS = ("date", "publication", "author", "title", "article", "simple_topic")
+EXPORT_COLUMNS = ("date", "publication", "author", "title", "section", "simple_topic")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -32,14 +33,19 @@ def table_path(base: str, layer: str, table: str) -> str:
     return f"{base.rstrip('/')}/catalog/{layer}/{table}"
 
 
-def read_articles_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_articles_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                      partitions: int | None = None) -> DataFrame:
     """CSV with header, ``"`` quoting (doubled quotes inside), UTF-8 and
     multi-line cells, read against a declared schema (all columns as text,
-    then ``try_cast`` so malformed values become null instead of failing)."""
+    then ``try_cast`` so malformed values become null instead of failing).
+    A file with multi-line cells can't be split, so it is read by one task;
+    ``partitions`` deals its rows out to that many before the work that follows."""
     schema = schema or LAYER_SCHEMAS["raw"]
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
            .option("encoding", "UTF-8").option("mode", "PERMISSIVE").schema(as_text).csv(path))
+    if partitions:
+        raw = raw.repartition(partitions)
     return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
                         for f in schema.fields])
 
@@ -85,10 +91,11 @@ def slice_sizes(df: DataFrame) -> DataFrame:
 def clear_table(spark: SparkSession, base: str, layer: str, table: str) -> bool:
     """Delete a table's files; a missing table is ignored."""
     path = table_path(base, layer, table)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p) and fs.delete(p, True))
+    store, inner = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    if store.get_file_info(inner).type == fs.FileType.NotFound:
+        return False
+    store.delete_dir(inner)
+    return True
 
 
 def read_files(spark: SparkSession, path: str, n: int | None = None, shuffle: bool = False,
@@ -128,9 +135,11 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def labelled_export(df: DataFrame, drop_topic: str | None = None) -> DataFrame:
-    """Rows with title, article and topic, without one topic, six
-    columns, sorted by date."""
-    out = df.na.drop(subset=["title", "article", "simple_topic"])
+    """Rows with title, article and topic, without geography sections
+    (``is_geo``, if the layer has it) and without one topic, six columns,
+    sorted by date."""
+    out = df.filter(~F.col("is_geo")) if "is_geo" in df.columns else df
+    out = out.na.drop(subset=["title", "article", "simple_topic"])
     if drop_topic is not None:
         out = out.filter(F.col("simple_topic") != drop_topic)
     return out.select(*EXPORT_COLUMNS).orderBy("date")

@@ -14,8 +14,12 @@ from ..resources import TOPIC_LEXICON_PATH, lexicon_rows, topic_lexicon_json
 LEXICON_SCHEMA = "topic string, topic_pos int, keyword string, keyword_pos int"
 
 
-def read_lexicon(spark: SparkSession, path: str = TOPIC_LEXICON_PATH) -> DataFrame:
-    """Lexicon file -> (topic, topic_pos, keyword, keyword_pos)."""
+def read_lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Lexicon file -> (topic, topic_pos, keyword, keyword_pos). ``path`` is
+    read by Spark; without it the packaged lexicon is used, whose rows come
+    from the driver's installation (executors need not have the file)."""
+    if path is None:
+        return spark.createDataFrame(lexicon_rows(topic_lexicon_json()), LEXICON_SCHEMA)
     raw = spark.read.text(path, wholetext=True)
     entries = raw.select(F.posexplode(F.map_entries(
         F.from_json("value", "map<string,array<string>>"))).alias("topic_pos", "e"))

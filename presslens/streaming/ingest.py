@@ -25,12 +25,16 @@ def clean_raw(df: DataFrame, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, target_path: str, checkpoint_path: str,
-                  schema: T.StructType = RAW_SCHEMA, max_files_per_trigger: int = 1):
+                  schema: T.StructType = RAW_SCHEMA, max_files_per_trigger: int | None = None):
     """Start the ingest stream; returns the StreamingQuery (already run to
-    completion with ``availableNow``)."""
+    completion with ``availableNow``). A micro-batch takes all new files, each
+    a task of its own, unless ``max_files_per_trigger`` bounds it."""
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    src = (spark.readStream.schema(as_text).option("header", True).option("multiLine", True)
-           .option("escape", '"').option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir))
+    reader = (spark.readStream.schema(as_text).option("header", True).option("multiLine", True)
+              .option("escape", '"'))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.csv(source_dir)
     q = (clean_raw(src, schema).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start(target_path))
     q.awaitTermination()
