@@ -1,16 +1,19 @@
 """Invariants of the rows-only model jobs."""
 
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presslens import fixtures as fx
+from presslens.plans import features as FE
 from presslens.plans import models as MO
 from presslens.plans import tokens as TK
 
 
 def test_lda_topic_terms_sorted(spark, sf_dir):
     a = fx.articles(spark, sf_dir)
-    vocab = TK.vocabulary(a, "article_id", "article")
+    vocab = TK.vocabulary(a, "article")
     docs = a.filter(F.col("article").isNotNull()).select("article_id", TK.token_column("article").alias("tokens"))
     terms = MO.topic_model(docs, "tokens", vocab, k=5, passes=1, top_terms=10)
     w = Window.partitionBy("topic").orderBy("rank")
@@ -21,6 +24,8 @@ def test_lda_topic_terms_sorted(spark, sf_dir):
                                             F.max("rank").alias("hi")).collect()}
     assert sorted(per_topic) == list(range(5))
     assert all(v == (10, 0, 9) for v in per_topic.values())
+    known = {r["token"] for r in vocab.collect()}
+    assert all(r["token"] in known and 0 < r["weight"] <= 1 for r in terms.collect())
 
 
 def test_experiment_report_shape(spark, sf_dir):
@@ -33,3 +38,33 @@ def test_experiment_report_shape(spark, sf_dir):
     total = next(r["support"] for r in rows if r["class"] == "accuracy")
     assert sum(r["support"] for r in classes) == total
     assert all(0.0 <= (r["f1_score"] or 0.0) <= 1.0 for r in rows)
+
+
+def test_reports_hold_no_class_that_does_not_exist(spark):
+    """Labels of the training part alone can be predicted; unseen test labels count as wrong rows."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["red", "blue", "stone", "water"], k=6)), "ab"[i % 2]) for i in range(400)]
+    test_ids = [i for i in range(400, 3000) if (i * 1103515245 + 12345 + 50) % 2 ** 31 % 100 < 20][:5]
+    rows += [(i, "red water", "rare") for i in test_ids]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    rep = MO.run_experiment(df, "id", "text", "label", 100, "e", models=["logistic_regression", "naive_bayes"])
+    for model in ("logistic_regression", "naive_bayes"):
+        own = {r["class"]: r for r in rep.filter(F.col("model") == model).collect()}
+        assert set(own) == {"a", "b", "rare", "accuracy", "macro avg", "weighted avg"}
+        assert own["rare"]["support"] == 5 and own["rare"]["recall"] == 0.0
+        assert own["accuracy"]["support"] == own["a"]["support"] + own["b"]["support"] + 5
+    df42 = [i for i in range(400, 3000) if (i * 1103515245 + 12345 + 42) % 2 ** 31 % 100 < 20][:5]
+    df = spark.createDataFrame(rows[:400] + [(i, "red water", "rare") for i in df42], "id long, text string, label string")
+    own = {r["class"]: r for r in MO.feed_forward(df, "id", "text", "label", max_iter=5).collect()}
+    assert own["rare"]["support"] == 5
+
+
+def test_ml_and_relational_tfidf_agree(spark):
+    rows = [(1, "aa bb aa cc"), (2, "bb dd"), (3, "cc cc bb aa"), (4, "zz")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = {(r["id"], r["term"]): r["weight"] for r in FE.tfidf_relational(df, "id", "text", 100).collect()}
+    feats, model = MO.tfidf_features(df, "text", 100)
+    words = model.stages[1].vocabulary
+    got = {(r["id"], words[i]): v for r in feats.select("id", "features").collect()
+           for i, v in zip(r["features"].indices.tolist(), r["features"].values.tolist())}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -174,10 +174,75 @@ def test_dense_row_number_is_consecutive(spark):
     assert rows(out, "v", "row_id") == [(i, i + 1) for i in range(1000)]
 
 
-def test_theta_anti_join_both_paths(spark):
+def test_theta_anti_join(spark):
     a = spark.createDataFrame([("CNN Staff",), ("Jane Doe",), ("Reuters Desk",), ("Bob",)], "author string")
     p = spark.createDataFrame([("cnn",), ("Reuters",), (None,), ("",)], "publication string")
     from presslens.operators.joins import contains_any
-    for mb in (10_000, 0):
-        got = sorted(r[0] for r in contains_any(a, "author", p, "publication", max_broadcast=mb).collect())
-        assert got == ["Bob", "Jane Doe"]
+    got = sorted(r[0] for r in contains_any(a, "author", p, "publication").collect())
+    assert got == ["Bob", "Jane Doe"]
+    got = sorted(r[0] for r in contains_any(a, "author", p, "publication", "left_semi").collect())
+    assert got == ["CNN Staff", "Reuters Desk"]
+    assert contains_any(a, "author", p.limit(0), "publication").count() == 4
+
+
+def test_numbers_on_wide_tables(spark, tmp_path):
+    """All columns written out: the range cut that numbers the rows is the one that the offsets know."""
+    df = spark.range(30_000, numPartitions=16).select(
+        F.col("id"), (F.col("id") * 7919 % 30_011).alias("v"), F.md5(F.col("id").cast("string")).alias("payload"),
+        (F.col("id") % 3).cast("string").alias("grp"))
+    for n in (4, 16):
+        path = f"{tmp_path}/dense{n}"
+        S.dense_row_number(df, ["v"], partitions=n).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert rows(out.orderBy("v"), "row_id") == [(i + 1,) for i in range(30_000)] or \
+            [r["row_id"] for r in out.orderBy("v").collect()] == list(range(1, 30_001))
+        path = f"{tmp_path}/group{n}"
+        S.range_numbered(df, ["grp"], ["v"], "nr", partitions=n).write.parquet(path)
+        for g in "012":
+            own = [r["nr"] for r in spark.read.parquet(path).filter(F.col("grp") == g).orderBy("v").collect()]
+            assert own == list(range(1, 10_001))
+
+
+def test_balanced_classes_on_wide_tables(spark, tmp_path):
+    df = spark.range(20_000, numPartitions=12).select(
+        F.col("id"), F.when(F.col("id") % 2 == 0, "a").when(F.col("id") % 3 == 0, "b").otherwise("c").alias("label"),
+        F.md5(F.col("id").cast("string")).alias("payload"))
+    FE.balance_classes(df, "label", "id", fraction=0.3).write.parquet(f"{tmp_path}/balanced")
+    got = dict(spark.read.parquet(f"{tmp_path}/balanced").groupBy("label").count().collect())
+    assert got == {"a": 3000, "b": 3000, "c": 3000}
+
+
+def test_geography_keeps_rows_without_section(spark):
+    from presslens.plans import topics as TP
+    df = spark.createDataFrame([(1, None), (2, "Paris news"), (3, "new-york Paris"), (4, "sport")], "id long, section string")
+    places = spark.createDataFrame([("paris",), ("York",)], "name string")
+    got = {r["id"]: (r["geo"], r["is_geo"]) for r in TP.tag_places(df, "section", places).collect()}
+    assert got == {1: (None, False), 2: (["Paris"], True), 3: (["york", "Paris"], True), 4: (None, False)}
+
+
+def test_token_counts_and_word_table(spark):
+    from presslens.functions.lookup import look_up_all, token_counts, word_table
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None)], "id long, t array<string>")
+    got = {r["id"]: r["c"] for r in df.select("id", token_counts(F.col("t")).alias("c")).collect()}
+    assert [tuple(x) for x in got[1]] == [("a", 1), ("b", 2)] and got[2] == [] and not got[3]
+    words = spark.createDataFrame([("b", 2.0), ("b", 3.0), (None, 1.0)], "w string, v double")
+    out = df.withColumn("_w", word_table(words, "w", "v")).select("id", look_up_all(F.col("_w"), F.col("t")).alias("x"))
+    assert {r["id"]: r["x"] for r in out.collect()} == {1: [2.0, None, 2.0], 2: [], 3: None}
+
+
+def test_enrichment_runs_on_the_raw_schema(spark):
+    from presslens.schema import RAW_SCHEMA
+    row = {"title": "Good war, bad love", "article": "not good"}
+    df = spark.createDataFrame([tuple(row.get(f.name) for f in RAW_SCHEMA.fields)], RAW_SCHEMA)
+    out = SE.enrich_text(df, SE.valence_table(spark)).first()
+    assert out["title_word_count"] == 4 and abs(out["title_textblob_sentiment"] - (1.9 - 2.9 - 2.5 + 3.2) / 4) < 1e-9
+
+
+def test_polarity_modes(spark):
+    from presslens.plans import bias
+    names = "id long, vader_prob_positive_title double, vader_prob_negative_title double, " \
+        "vader_prob_neutral_title double, article_textblob_sentiment double"
+    df = spark.createDataFrame([(1, .6, .1, .3, .2), (2, .6, .1, .3, .1), (3, .2, .2, .6, -.2), (4, .2, .2, .6, .15),
+                                (5, .5, .5, .0, .0)], names)
+    got = {m: sorted(r["id"] for r in bias.polarity_mode(df, m).collect()) for m in ("strict", "loose", "title_only")}
+    assert got == {"strict": [1], "loose": [1, 2, 3], "title_only": [1, 2]}
