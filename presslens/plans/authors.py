@@ -91,13 +91,19 @@ def monthly_sentiment_by(df: DataFrame, key: str, values: Sequence[str] | None =
         F.avg(score).alias("avg_sentiment"), F.count("article").alias("article_count"))
 
 
+def _shown(x, digits: int):
+    """Rounded half-even. Nine decimals first: means of the same rows, summed
+    in another order, must not fall on either side of a half-way point."""
+    return F.bround(F.bround(x, 9), digits)
+
+
 def monthly_score_pivot(df: DataFrame, key: str, values: Sequence[str], score: str = "article_textblob_sentiment",
                         digits: int | None = 3) -> DataFrame:
     """D11 (G5): monthly mean score with a column per given value of ``key``."""
     base = non_null(df, ["date", key])
     mean = F.avg(score)
     out = base.groupBy(month_end("date").alias("date")).pivot(key, list(values)).agg(
-        mean if digits is None else F.bround(mean, digits))
+        mean if digits is None else _shown(mean, digits))
     return out
 
 
@@ -112,7 +118,7 @@ def group_sentiment(df: DataFrame, key: str, text_score: str = "article_textblob
         F.avg(title_score).alias("title_mean"), F.stddev_samp(title_score).alias("title_std"),
     ]
     if digits is not None:
-        aggs = [F.bround(a, digits).alias(n) for a, n in
+        aggs = [_shown(a, digits).alias(n) for a, n in
                 zip(aggs, ("article_mean", "article_std", "title_mean", "title_std"))]
     if min_articles is not None:
         aggs.append(F.count("article").alias("article_count"))

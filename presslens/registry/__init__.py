@@ -38,12 +38,11 @@ def load_all() -> None:
     )
 
 
-# Registered queries report doubles to this many decimals, and so do their
-# oracles: sums and means taken in a different order differ in the last
-# bits, and the fixture's values often sit exactly on a 6- or 7-digit
-# half-way point. Rounding both sides at 9 digits makes them bit-identical.
-# The library functions themselves return unrounded values.
+#: Decimals to which the queries named in ROUNDED (and their oracles) report
+#: doubles. Their sums and means are taken in another order than the oracle's
+#: and differ in the last bits; all other queries return the library's result.
 REPORT_DIGITS = 9
+from .rounded import ROUNDED  # noqa: E402
 
 
 def _rounded(fn):
@@ -63,26 +62,32 @@ def _rounded(fn):
 
 def queries() -> dict[str, Callable]:
     load_all()
-    return {k: _rounded(v) for k, v in QUERIES.items()}
+    return {k: _rounded(v) if k in ROUNDED else v for k, v in QUERIES.items()}
 
 
-def _schema_dir() -> str:
-    import os
-    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
-        if os.path.isdir(d):
-            return d
-    raise FileNotFoundError("no fixture tables to bind the oracle SQL against")
+#: Columns of the input tables, to bind an oracle's SQL without data.
+TABLE_COLUMNS = {
+    "documents": "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INTEGER, toxic INTEGER",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, "
+              "o_orderpriority VARCHAR",
+    "customer": "c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR",
+    "nation": "n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER",
+    "region": "r_regionkey INTEGER, r_name VARCHAR",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, "
+                "l_shipdate TIMESTAMP",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
+}
 
 
 def _round_sql(sqls: dict[str, str]) -> dict[str, str]:
     """Wrap each oracle so DOUBLE/FLOAT columns are rounded like the Spark
     side. Column types come from binding the SQL in DuckDB (no execution)."""
     import duckdb
-    d = _schema_dir()
     con = duckdb.connect()
-    for t in ("region nation customer supplier part orders lineitem events documents embeddings "
-              "pages benchmark labels conversations").split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    for name, columns in TABLE_COLUMNS.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
     out = {}
     for name, sql in sqls.items():
         rel = con.sql(sql)
@@ -99,4 +104,5 @@ def _round_sql(sqls: dict[str, str]) -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     load_all()
-    return _round_sql({k: (v() if callable(v) else v) for k, v in ORACLE.items()})
+    sql = {k: (v() if callable(v) else v) for k, v in ORACLE.items()}
+    return sql | _round_sql({k: v for k, v in sql.items() if k in ROUNDED})

@@ -185,9 +185,9 @@ def d11_author_sentiment(spark, sf):
 
 
 @register("d11_author_sentiment_rounded", lambda: SCORED_ALL() + """
-SELECT author, round_even(avg(article_textblob_sentiment), 3) AS article_mean,
-       round_even(stddev_samp(article_textblob_sentiment), 3) AS article_std,
-       round_even(avg(vader_compound_title), 3) AS title_mean, round_even(stddev_samp(vader_compound_title), 3) AS title_std,
+SELECT author, round_even(round_even(avg(article_textblob_sentiment), 9), 3) AS article_mean,
+       round_even(round_even(stddev_samp(article_textblob_sentiment), 9), 3) AS article_std,
+       round_even(round_even(avg(vader_compound_title), 9), 3) AS title_mean, round_even(round_even(stddev_samp(vader_compound_title), 9), 3) AS title_std,
        count(article) AS article_count
 FROM sall WHERE author IS NOT NULL GROUP BY 1 HAVING count(article) > 1""")
 def d11_author_sentiment_rounded(spark, sf):
@@ -199,7 +199,7 @@ PIVOT_PUBLICATIONS = ("src1", "src2", "src3", "src4")
 
 
 @register("g5_monthly_score_pivot", lambda: SCORED_ALL() + "SELECT last_day(date) AS date, " + ", ".join(
-    f"round_even(avg(article_textblob_sentiment) FILTER (WHERE publication = '{p}'), 3) AS {p}" for p in PIVOT_PUBLICATIONS)
+    f"round_even(round_even(avg(article_textblob_sentiment) FILTER (WHERE publication = '{p}'), 9), 3) AS {p}" for p in PIVOT_PUBLICATIONS)
     + " FROM sall WHERE date IS NOT NULL AND publication IS NOT NULL GROUP BY 1")
 def g5_monthly_score_pivot(spark, sf):
     """Monthly mean article score, a column for each of four publications."""
