@@ -176,20 +176,37 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         F.length("text").between(1, FIT_CHARS))
     rows = (texts.join(F.broadcast(sample), "id")
             .select(F.xxhash64(F.lit(SEED + 1), "id", "text").alias("place"), "label", "text")
-            .mapInArrow(_featured, "place long, label int, ids array<int>, shares array<float>").toArrow())
-    order = pa.compute.sort_indices(rows.select(["place", "label"]), [("place", "ascending"), ("label", "ascending")])
-    order = order.filter(pa.compute.greater(pa.compute.list_value_length(rows["ids"]).take(order), 0))
-    labels_ = rows["label"].take(order).to_numpy()
-    got = np.bincount(labels_, minlength=2)
-    if got.min() == 0:
-        return nothing
-    per_class = np.array([1 - prior, prior]) * len(labels_) / got
-    sizes = pa.compute.list_value_length(rows["ids"].take(order)).to_numpy().astype(np.int64)
-    flat = []
-    for c in ("ids", "shares"):
-        flat.append(pa.compute.list_flatten(rows[c].take(order)).to_numpy())
-        rows = rows.drop_columns([c])
-    return train(*flat, sizes, labels_, per_class[labels_].astype(np.float32), prior)
+            .mapInArrow(_featured, "place long, label int, ids array<int>, shares array<float>"))
+    # the sample is bounded, so one task can hold it; the driver gets the weights alone
+    found = rows.repartition(1).mapInArrow(_trained(prior), "weight binary, bias double").collect()
+    return Model(np.frombuffer(bytes(found[0]["weight"]), np.float32), found[0]["bias"], prior) if found else nothing
+
+
+def _trained(prior: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        del held
+        order = pa.compute.sort_indices(rows.select(["place", "label"]), [("place", "ascending"), ("label", "ascending")])
+        order = order.filter(pa.compute.greater(pa.compute.list_value_length(rows["ids"]).take(order), 0))
+        labels = rows["label"].take(order).to_numpy()
+        got = np.bincount(labels, minlength=2)
+        if got.min() == 0:
+            return
+        per_class = np.array([1 - prior, prior]) * len(labels) / got
+        sizes = pa.compute.list_value_length(rows["ids"].take(order)).to_numpy().astype(np.int64)
+        flat = []
+        for c in ("ids", "shares"):
+            flat.append(pa.compute.list_flatten(rows[c].take(order)).to_numpy())
+            rows = rows.drop_columns([c])
+        del rows
+        pa.default_memory_pool().release_unused()
+        model = train(*flat, sizes, labels, per_class[labels].astype(np.float32), prior)
+        yield pa.RecordBatch.from_pydict({"weight": pa.array([model.weight.tobytes()], pa.binary()),
+                                          "bias": pa.array([model.bias], pa.float64())})
+    return run
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "text") -> DataFrame:
@@ -203,6 +220,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "t
             texts = batch.column("_text") if kept_text is None else rows.field(kept_text)
             yield pa.RecordBatch.from_arrays([rows, pa.array(shared.value.score(texts.to_pylist()), pa.float64())],
                                              names=["_row", "score"])
+            pa.default_memory_pool().release_unused()
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
                          *([F.col(text_col).cast("string").alias("_text")] if kept_text is None else []))
