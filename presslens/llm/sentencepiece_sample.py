@@ -43,17 +43,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .util import chunks_by_bytes
+
 SAMPLES = 2
 SEED = 3
-#: Characters of a group of texts; a longer text is one group.
-GROUP_CHARS = 1 << 20
+#: Bytes of a group of texts; a longer text is one group.
+GROUP_CHARS = 1 << 17
 #: Arcs of known stretches kept between groups (some 32 bytes each).
-MOST_ARCS = 3 << 20
+MOST_ARCS = 1 << 19
 BAR = "▁"
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -481,17 +484,9 @@ def _ids(m: Model, group: _Group, marks: np.ndarray) -> tuple[np.ndarray, np.nda
     return piece.astype(np.int32), upto[np.searchsorted(at, group.text_end)]
 
 
-def groups(texts: Sequence[str]) -> Iterator[list[int]]:
-    group: list[int] = []
-    total = 0
-    for i, t in enumerate(texts):
-        if group and total + len(t) > GROUP_CHARS:
-            yield group
-            group, total = [], 0
-        group.append(i)
-        total += len(t)
-    if group:
-        yield group
+def groups(sizes: Sequence[int]) -> Iterator[slice]:
+    """Slices of a batch of about GROUP_CHARS."""
+    return chunks_by_bytes(sizes, GROUP_CHARS)
 
 
 SAMPLE = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("log_prob", T.DoubleType()),
@@ -534,12 +529,13 @@ def sample_segmentations(docs: DataFrame, path: str, keep: Sequence[str], k: int
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            seeds = batch.column("_seed").to_numpy(zero_copy_only=False)
-            for group in groups(texts):
-                own = slice(group[0], group[-1] + 1)
-                rows = batch.column("_row").slice(own.start, len(group))
-                yield pa.RecordBatch.from_arrays([rows, sampled_batch(m, texts[own], seeds[own], k)], names=["_row", "samples"])
+            sizes = pa.compute.binary_length(batch.column("_text")).to_pylist()
+            for own in groups(sizes):  # only a group's texts become Python strings at a time
+                part = batch.slice(own.start, own.stop - own.start)
+                seeds = part.column("_seed").to_numpy(zero_copy_only=False)
+                samples = sampled_batch(m, part.column("_text").to_pylist(), seeds, k)
+                yield pa.RecordBatch.from_arrays([part.column("_row"), samples], names=["_row", "samples"])
+            pa.default_memory_pool().release_unused()
 
     return packed.mapInArrow(sampled, T.StructType([packed.schema["_row"], T.StructField("samples", T.ArrayType(SAMPLE))]))
 

@@ -89,13 +89,13 @@ def join_by_key(rows: DataFrame, side: DataFrame, keys: list[str], weight: str,
 
 
 def chunks_by_bytes(sizes: Iterable[int], most: int) -> Iterator[slice]:
-    """Consecutive slices of a batch whose sizes sum to about ``most``; a larger item stands alone."""
-    begin = total = 0
-    n = 0
-    for n, size in enumerate(sizes, 1):
-        if total and total + size > most:
-            yield slice(begin, n - 1)
-            begin, total = n - 1, 0
+    """Consecutive slices of a batch whose sizes sum to at most ``most``; a larger item stands alone."""
+    begin = total = end = 0
+    for end, size in enumerate(sizes):
+        if end > begin and total + size > most:
+            yield slice(begin, end)
+            begin, total = end, 0
         total += size
-    if n > begin:
-        yield slice(begin, n)
+        end += 1
+    if end > begin:
+        yield slice(begin, end)
