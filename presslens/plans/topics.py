@@ -58,32 +58,39 @@ def section_topics(articles: DataFrame, lexicon: DataFrame, normalize_lexicon: b
 
 def topics_for_sections(counts: DataFrame, lexicon: DataFrame, normalize_lexicon: bool = False) -> DataFrame:
     """D1 on a table of distinct sections ``(section, article_count)``."""
-    # one chain without branches, so that the sections are computed once: every
-    # term asks for itself (short keywords) and for its prefix (long ones)
+    out = with_topics(counts, ["section"], lexicon, normalize_lexicon)
+    return out.select("section", "article_count", "section_clean", "simple_section_topics", "simple_topic")
+
+
+def with_topics(df: DataFrame, key: list[str], lexicon: DataFrame, normalize_lexicon: bool = False) -> DataFrame:
+    """D1 on a small table with unique ``key`` columns and a section: adds
+    section_clean, simple_section_topics and simple_topic.
+
+    One chain without branches, so that the input is computed once: every term
+    asks for itself (short keywords) and for its prefix (long ones)."""
+    carried = [c for c in df.columns if c not in key] + ["section_clean"]
     terms = let(singularize_tokens(simple_tokens("section_clean")),
                 lambda t: F.array_distinct(F.concat(t, F.array(F.array_join(t, " ")))))
     asks = F.flatten(F.transform(terms, lambda t: F.array(
         F.struct(F.lit(True).alias("short"), t.alias("ask"), t.alias("term")),
         F.struct(F.lit(False).alias("short"), F.substring(t, 1, PREFIX).alias("ask"), t.alias("term")))))
-    asked = counts.withColumn("section_clean", section_clean("section")).select("*", F.explode_outer(asks).alias("a")) \
-        .select("section", "article_count", "section_clean", "a.*")
+    asked = df.withColumn("section_clean", section_clean("section")).select("*", F.explode_outer(asks).alias("_a")) \
+        .select(*key, *carried, "_a.*")
     keyword = singularize(F.lower("keyword")) if normalize_lexicon else F.col("keyword")
-    lex = lexicon.select("topic", "topic_pos", "keyword_pos", keyword.alias("keyword")).withColumn(
-        "_short", F.char_length("keyword") < SHORT_KEYWORD)
-    lex = lex.withColumn("_key", F.when(F.col("_short"), F.col("keyword")).otherwise(F.substring("keyword", 1, PREFIX)))
+    lex = lexicon.select("topic", "topic_pos", "keyword_pos", keyword.alias("_keyword"))
+    lex = lex.withColumn("_short", F.char_length("_keyword") < SHORT_KEYWORD)
+    lex = lex.withColumn("_key", F.when(F.col("_short"), F.col("_keyword")).otherwise(F.substring("_keyword", 1, PREFIX)))
     found = asked.join(lex, (F.col("short") == F.col("_short")) & (F.col("ask") == F.col("_key"))
-                       & F.col("term").startswith(F.col("keyword")), "left")
-    per_topic = found.groupBy("section", "topic", "topic_pos").agg(
-        F.countDistinct("keyword_pos").alias("n"), F.first("article_count").alias("article_count"),
-        F.first("section_clean").alias("section_clean"))
-    row = F.when(F.col("topic").isNotNull(), F.struct("topic_pos", "n", "topic"))
+                       & F.col("term").startswith(F.col("_keyword")), "left")
+    first = [F.first(c).alias(c) for c in carried]
+    # a lexicon row counts once, however many terms match it
+    per_topic = found.groupBy(*key, "topic", "topic_pos").agg(F.countDistinct("keyword_pos").alias("_n"), *first)
+    row = F.when(F.col("topic").isNotNull(), F.struct("topic_pos", "_n", "topic"))
     topics = F.flatten(F.transform(F.array_sort(F.collect_list(row)),
-                                   lambda x: F.array_repeat(x["topic"], x["n"].cast("int"))))
-    out = per_topic.groupBy("section").agg(
-        F.first("article_count").alias("article_count"), F.first("section_clean").alias("section_clean"),
-        topics.alias("_topics"), F.max_by("topic", F.struct(F.col("n"), -F.col("topic_pos"))).alias("simple_topic"))
-    return out.select("section", "article_count", "section_clean",
-                      F.when(F.size("_topics") > 0, F.col("_topics")).alias("simple_section_topics"), "simple_topic")
+                                   lambda x: F.array_repeat(x["topic"], x["_n"].cast("int"))))
+    out = per_topic.groupBy(*key).agg(
+        *first, topics.alias("_topics"), F.max_by("topic", F.struct(F.col("_n"), -F.col("topic_pos"))).alias("simple_topic"))
+    return out.withColumn("simple_section_topics", F.when(F.size("_topics") > 0, F.col("_topics"))).drop("_topics")
 
 
 def assign_topics(articles: DataFrame, sections: DataFrame) -> DataFrame:
@@ -117,6 +124,20 @@ def tag_places(df: DataFrame, section: str, places: DataFrame) -> DataFrame:
         .withColumn("is_geo", F.col("geo").isNotNull())
 
 
+def with_places(df: DataFrame, key: list[str], places: DataFrame) -> DataFrame:
+    """D4 on a small table with unique ``key`` columns and a section: as
+    ``tag_places``, in one chain without a second reading of the table."""
+    carried = [c for c in df.columns if c not in key]
+    pieces = df.select("*", F.posexplode_outer(split_pieces("section")).alias("_pos", "_piece"))
+    names = places.select(F.lower("name").alias("_name")).distinct()
+    hits = pieces.join(names, F.lower("_piece") == F.col("_name"), "left")
+    hit = F.when(F.col("_name").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("_piece").alias("piece")))
+    found = hits.groupBy(*key).agg(*[F.first(c).alias(c) for c in carried], F.transform(
+        F.array_sort(F.collect_list(hit)), lambda x: x["piece"]).alias("_geo"))
+    geo = F.when(F.size("_geo") > 0, F.col("_geo"))
+    return found.withColumn("geo", geo).withColumn("is_geo", geo.isNotNull()).drop("_geo")
+
+
 def places_from_tables(spark, sf_dir: str, extra=None) -> DataFrame:
     """Gazetteer: nation and region names of the given tables plus our own
     place names."""
@@ -150,12 +171,14 @@ def section_mapping(articles: DataFrame, lexicon: DataFrame, places: DataFrame,
         .withColumn("n_all", F.sum("n").over(Window.partitionBy("section")))
     rare = (F.col("n_all") == 1) | (F.col("year").isNotNull() & (F.col("n_by") == 1))
     mapping = t.filter(~rare & ~F.col("section").isin(*GENERIC_SECTIONS)).drop("n_by", "n_all")
-    mapped = tag_places(mapping, "section", places)
-    counts = mapped.filter(~F.col("is_geo")).groupBy("section").agg(F.sum("n").alias("article_count"))
-    sections = topics_for_sections(counts, lexicon, normalize_lexicon)
-    full = mapped.join(sections.select("section", "simple_topic"), "section", "left") \
-        .select("year", "raw_section", "section", "geo", "is_geo", "simple_topic")
-    return full, sections
+    key = ["year", "raw_section"]
+    full = with_topics(with_places(mapping, key, places), key, lexicon, normalize_lexicon)
+    topic = F.when(~F.col("is_geo"), F.col("simple_topic"))  # geography sections have none
+    full = full.withColumn("simple_topic", topic)
+    sections = full.filter(~F.col("is_geo")).groupBy("section").agg(
+        F.sum("n").alias("article_count"), *[F.first(c).alias(c) for c in
+                                             ("section_clean", "simple_section_topics", "simple_topic")])
+    return full.select("year", "raw_section", "section", "geo", "is_geo", "simple_topic"), sections
 
 
 def topic_job(articles: DataFrame, lexicon: DataFrame, places: DataFrame,
@@ -207,10 +230,11 @@ def publication_shift_flagged(tagged: DataFrame, kept: "F.Column", key: str = "p
     one aggregate with two counts instead of two passes."""
     counts = non_null(tagged, [key]).groupBy(key).agg(
         F.count(F.lit(1)).alias("_old"), F.count(F.when(kept, 1)).alias("_new"))
-    shares = with_share(with_share(counts, "_old", "old_pub_ratio", 100.0), "_new", "_nr", 100.0)
-    new = F.when(F.col("_new") > 0, F.col("_nr"))
-    return shares.select(key, "old_pub_ratio", new.alias("new_pub_ratio"),
-                         (new - F.col("old_pub_ratio")).alias("ratio_pp"))
+    totals = counts.agg(F.struct(F.sum("_old").alias("old"), F.sum("_new").alias("new")).alias("t")).scalar()
+    shares = counts.withColumn("_t", totals)
+    old = F.col("_old") * F.lit(100.0) / F.col("_t.old")
+    new = F.when(F.col("_new") > 0, F.col("_new") * F.lit(100.0) / F.col("_t.new"))
+    return shares.select(key, old.alias("old_pub_ratio"), new.alias("new_pub_ratio"), (new - old).alias("ratio_pp"))
 
 
 def shift_std(shift: DataFrame) -> DataFrame:
