@@ -89,16 +89,19 @@ def nullify_rare(df: DataFrame, key: str = "section", by: str | None = "year",
     keys = [by, key] if by else [key]
     counts = df.filter(F.col(key).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_by"))
     counts = counts.withColumn("_n_all", F.sum("_n_by").over(Window.partitionBy(key)))
-    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n_by", "_n_all")
-    cond = F.col(key) == F.col(f"_k_{key}")
+    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n_by", "_n_all", F.lit(0).alias("_k_salt"))
+    # rows without a value meet nothing: a salt keeps them from all going to one task
+    salt = F.when(F.col(key).isNull(), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])).otherwise(F.lit(0))
+    salted = df.withColumn("_salt", salt)
+    cond = (F.coalesce(F.col(key), F.lit("")) == F.col(f"_k_{key}")) & (F.col("_salt") == F.col("_k_salt"))
     if by:
         cond = cond & F.col(by).eqNullSafe(F.col(f"_k_{by}"))
-    joined = df.join(counts, cond, "left")
+    joined = salted.join(counts, cond, "left")
     rare = F.col("_n_by") == 1 if not by else (F.col(by).isNotNull() & (F.col("_n_by") == 1))
     if global_once:
         rare = rare | (F.col("_n_all") == 1)
     return joined.withColumn(key, F.when(rare, F.lit(None).cast("string")).otherwise(F.col(key))) \
-        .drop(*[f"_k_{k}" for k in keys], "_n_by", "_n_all")
+        .drop(*[f"_k_{k}" for k in keys], "_n_by", "_n_all", "_salt", "_k_salt")
 
 
 def drop_values(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
