@@ -279,18 +279,25 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` with ``m``, the least of ``a`` and its neighbours ``b``. A hub
+    of a large component is looked up in a broadcast, not joined in one task."""
+    least = stage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n_edges")))
+    return join_by_key(edges, least, ["a"], "n_edges", n, ["b"]).drop("n_edges")
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """(a, b): every node of the graph but a component's least, with that least node as ``b``."""
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, state = None, _state(now)
     while state != before and state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stage(large.distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        large = stage(_with_least(both, 2 * state[0]).filter(F.col("b") > F.col("a"))
+                      .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        met = _with_least(large, large.count())
+        linked = met.select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        now = stage(linked.filter(F.col("a") != F.col("b")).distinct())
         before, state = state, _state(now)
     return now
 
