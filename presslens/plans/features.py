@@ -7,8 +7,6 @@ distributed and can be checked against SQL; the MLlib estimators in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
