@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Iterable, Iterator
 
 from pyspark.errors import AnalysisException
@@ -48,12 +50,21 @@ def row_keyed(df: DataFrame) -> DataFrame:
 
 
 def from_files(df: DataFrame) -> bool:
-    """True if the rows come straight from files, so that their place is known."""
+    """True if each row is one row of one file: a file relation under nothing
+    but projections and filters. (A join or an explode also knows the place of
+    its rows, but may hold several of one place.)"""
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        df.explain("extended")
+    analyzed = said.getvalue().partition("== Analyzed Logical Plan ==")[2].partition("== Optimized Logical Plan ==")[0]
+    steps = [line.lstrip(" :+-") for line in analyzed.strip().splitlines()[1:]]
+    if not all(x.startswith(("Project ", "Filter ", "Relation ")) for x in steps):
+        return False
     try:
-        df.select(df.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018  resolves the plan, runs nothing
+        return sum(x.startswith("Relation ") for x in steps) == 1 and bool(
+            df.select(df.metadataColumn("_metadata")["row_index"]).schema)
     except AnalysisException:
         return False
-    return True
 
 
 def field(name: str) -> Column:

@@ -562,6 +562,20 @@ def test_estimates_match_numpy(spark):
     assert np.allclose(got["mean"], mean) and np.allclose(got["precision"], np.linalg.inv(cov).reshape(-1), rtol=1e-6)
 
 
+# row places
+
+
+def test_rows_of_joins_and_explodes_get_places_of_their_own(spark, sf_dir):
+    read = util.table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id < 50")
+    twice = read.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    joined = read.join(twice.select("doc_id", "copy"), "doc_id")
+    assert util.from_files(read) and not util.from_files(twice) and not util.from_files(joined)
+    for df in (read, twice, joined):
+        keyed = util.row_keyed(df)
+        assert keyed.select("_fk", "_rx").distinct().count() == df.count()
+    assert exact_dedup.drop_exact_copies(twice).count() == exact_dedup.drop_exact_copies(read).count()
+
+
 # empty tables
 
 
