@@ -54,9 +54,9 @@ from .util import chunks_by_bytes
 SAMPLES = 2
 SEED = 3
 #: Bytes of a group of texts; a longer text is one group.
-GROUP_CHARS = 1 << 17
+GROUP_CHARS = 1 << 18
 #: Arcs of known stretches kept between groups (some 32 bytes each).
-MOST_ARCS = 1 << 19
+MOST_ARCS = 1 << 20
 BAR = "▁"
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -261,12 +261,17 @@ class _Known:
         self.node: dict[int, int] = {}  # hash of a stretch -> its first node
         self.first = np.zeros(1, np.int64)
         self.n_nodes = self.n_arcs = 0
-        self.arcs = {"size": np.zeros(0, np.int32), "piece": np.zeros(0, np.int32)} | {
-            c: np.zeros(0) for c in self.FIELDS[2:]}
+        room = MOST_ARCS + MOST_ARCS // 4
+        self.arcs = {"size": np.zeros(room, np.int32), "piece": np.zeros(room, np.int32)} | {
+            c: np.zeros(room) for c in self.FIELDS[2:]}
 
     @staticmethod
     def _grown(x: np.ndarray, need: int) -> np.ndarray:
-        return x if len(x) >= need else np.r_[x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)]
+        return x if len(x) >= need else np.concatenate([x, np.zeros(max(need, len(x) * 5 // 4) - len(x), x.dtype)])
+
+    def forget(self) -> None:
+        """Empty, with the room it has."""
+        self.node, self.n_nodes, self.n_arcs = {}, 0, 0
 
     def add(self, kinds: list[int], begin: np.ndarray, new: Lattice) -> None:
         n, n_arcs = len(new.first) - 1, len(new.size)
@@ -306,7 +311,7 @@ class _Group:
         else:
             kinds = example = kind = np.zeros(0, np.int64)
         if m.known.n_arcs > MOST_ARCS:
-            m.known = _Known()
+            m.known.forget()
         names = kinds.tolist()
         begin_at = np.array([m.known.node.get(x, -1) for x in names], np.int64)
         new = np.flatnonzero(begin_at < 0)
@@ -383,7 +388,6 @@ def sample_group(m: Model, texts: Sequence[str], seeds: np.ndarray, k: int = SAM
     stretch_at = np.repeat(np.arange(len(group.at)), group.size)  # place -> stretch
     open_ = _Open(n_texts, k)
     root = -np.log(-np.log(_uniform(seeds + _M)))
-    kappa = np.full(n_texts, -np.inf)
     for number in range(k):
         if number:
             top, node_at, so_far, left, closed = open_.pop()
