@@ -12,8 +12,9 @@ Texts that pass are judged by a minimum covariance determinant (Rousseeuw
 of the number of words and the mean word length, square roots of the shares of
 symbols, repeated lines and repeated words. Estimates start from medians and
 interquartile ranges (a deterministic start, Hubert et al. 2012) and take
-``STEPS`` concentration steps: the share ``SHARE`` of a group's texts with
-least distance gives the next mean and covariance. A ridge of ``FLOOR``
+``STEPS`` concentration steps: the share ``CORE`` of a group's texts with
+least distance (half, which junk in any lesser part cannot fill) gives the
+next mean and covariance. A ridge of ``FLOOR``
 squared keeps statistics that are equal in most texts from a zero variance
 (Boudt et al. 2020). Then the estimates are reweighted once by the texts
 within the 97.5 % point, and a text is rejected if its squared Mahalanobis
@@ -52,6 +53,8 @@ REPEAT_PERCENT = 50
 STATISTICS = ("words", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation taken for each statistic.
 FLOOR = (0.5, 0.1, 0.15, 0.1, 0.1)
+#: Core share of a judged group, and that of ``estimates`` without another (more efficient, but breaks at a quarter of junk).
+CORE = 0.5
 SHARE = 0.75
 STEPS = 4
 TAIL = 1e-9
@@ -154,7 +157,8 @@ def _updated(share: float | None, reach: float, scale: float):
         if share is None:
             take = max(1, int((bins["bin"].to_numpy() <= _bin_number(reach)).sum()))
         else:
-            take = int(np.searchsorted(np.cumsum(counts), math.ceil(share * counts.sum()))) + 1
+            core = max(math.ceil(share * counts.sum()), min((counts.sum() + _P + 1) // 2, counts.sum()))
+            take = int(np.searchsorted(np.cumsum(counts), core)) + 1
         inner = bins.iloc[:take]
         m = inner["m0"].sum()
         mean = np.array([inner[f"s{i}"].sum() for i in range(_P)]) / m
@@ -196,12 +200,12 @@ def _grouped(rows: DataFrame, n: int) -> DataFrame:
     return join_by_key(keyed, sizes, ["own"], "n_own", n, ["_fk", "_rx"]).drop("own", "n_own")
 
 
-def estimates(vectors: DataFrame, n: int) -> DataFrame:
+def estimates(vectors: DataFrame, n: int, share: float = SHARE) -> DataFrame:
     """(grp, n, mean, precision) of every group of the stage ``vectors`` (grp, v0 ...), reweighted."""
     now = stage(vectors.groupBy("grp").agg(F.count("*").alias("n"), *[
         F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 10_000).alias(f"v{i}") for i in range(_P)])
         .groupBy("grp").applyInPandas(_start, ESTIMATE))
-    steps = [_updated(SHARE, 0.0, consistency(SHARE))] * STEPS + [
+    steps = [_updated(share, 0.0, consistency(share))] * STEPS + [
         _updated(None, chi2_point(0.975, _P), consistency(0.975))]
     for update in steps:
         far = _bin()
@@ -231,7 +235,7 @@ def judge(keyed: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     n = passed.count()
     vectors = stage(_grouped(passed.select("_fk", "_rx", "lang", "source", *[
         c.alias(f"v{i}") for i, c in enumerate(_vector())]), n).select("_fk", "_rx", "grp", *[f"v{i}" for i in range(_P)]))
-    found = estimates(vectors, n)
+    found = estimates(vectors, n, CORE)
     far = join_by_key(vectors, found, ["grp"], "n", n, ["_fk", "_rx"]).select(
         "_fk", "_rx", _distance().alias("distance"),
         ((_distance() <= chi2_point(1 - tail, _P)) | (F.col("n") < MIN_GROUP)).alias("within"))

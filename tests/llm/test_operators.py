@@ -539,6 +539,14 @@ def test_outliers_are_rejected_per_group(spark):
     assert dropped == [i for i in range(300) if i % 5 == 0] + [2007]
 
 
+def test_a_third_of_junk_is_rejected(spark):
+    rng = random.Random(8)
+    rows = [(i, _document(rng, i % 3 == 0), "en", "big") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(6)
+    dropped = sorted(r["doc_id"] for r in quality_mcd.quality_rules(df).filter("NOT kept").collect())
+    assert dropped == list(range(0, 600, 3))
+
+
 def test_estimates_match_numpy(spark):
     """The concentration steps over bins against the same steps over all distances at once."""
     rng = np.random.default_rng(2)
