@@ -14,9 +14,10 @@ symbols, repeated lines and repeated words. Estimates start from medians and
 interquartile ranges (a deterministic start, Hubert et al. 2012) and take
 ``STEPS`` concentration steps: the share ``CORE`` of a group's texts with
 least distance (half, which junk in any lesser part cannot fill) gives the
-next mean and covariance. A ridge of ``FLOOR``
-squared keeps statistics that are equal in most texts from a zero variance
-(Boudt et al. 2020). Then the estimates are reweighted once by the texts
+next mean and covariance. A
+variance below ``LEAST`` squared is raised to it, in any direction of the
+vectors scaled by ``LEAST``, so that statistics that are equal in most texts
+have no zero variance; greater variances stay as they are. Then the estimates are reweighted once by the texts
 within the 97.5 % point, and a text is rejected if its squared Mahalanobis
 distance is over the ``1 - TAIL`` point of chi-squared.
 
@@ -37,7 +38,7 @@ empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,13 +52,16 @@ from .util import field, join_by_key, row_keyed, stage
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 STATISTICS = ("words", "word_length", "symbols", "dup_lines", "repeats")
-#: Least standard deviation taken for each statistic.
+#: Least standard deviation taken for each statistic. Symbols, repeated lines and repeated words are 0 in most clean
+#: texts, so that theirs decides: with ``TAIL`` a share over 0.26 symbols a word or of repeated words rejects alone.
+LEAST = (0.25, 0.03, 0.1, 0.1, 0.1)
+#: Ridge of ``estimates`` without another precision, in standard deviations added.
 FLOOR = (0.5, 0.1, 0.15, 0.1, 0.1)
 #: Core share of a judged group, and that of ``estimates`` without another (more efficient, but breaks at a quarter of junk).
 CORE = 0.5
 SHARE = 0.75
 STEPS = 4
-TAIL = 1e-9
+TAIL = 1e-4
 MIN_GROUP = 50
 BINS = 8
 
@@ -143,12 +147,23 @@ ESTIMATE = T.StructType([T.StructField("grp", T.StringType()), T.StructField("n"
                          T.StructField("precision", T.ArrayType(T.DoubleType()))])
 
 
-def _estimate(n: int, mean: np.ndarray, cov: np.ndarray, grp: str) -> dict:
-    cov = cov + np.diag(np.square(FLOOR))
-    return {"grp": grp, "n": int(n), "mean": mean.tolist(), "precision": np.linalg.inv(cov).reshape(-1).tolist()}
+def _ridged(cov: np.ndarray) -> np.ndarray:
+    """Precision of a covariance with ``FLOOR`` squared added to the variances."""
+    return np.linalg.inv(cov + np.diag(np.square(FLOOR)))
 
 
-def _updated(share: float | None, reach: float, scale: float):
+def _raised(cov: np.ndarray) -> np.ndarray:
+    """Precision of a covariance whose variances below ``LEAST`` squared, in any direction, are raised to it."""
+    unit = np.outer(LEAST, LEAST)
+    variances, directions = np.linalg.eigh(cov / unit)
+    return directions / np.maximum(variances, 1) @ directions.T / unit
+
+
+def _estimate(n: int, mean: np.ndarray, precision: np.ndarray, grp: str) -> dict:
+    return {"grp": grp, "n": int(n), "mean": mean.tolist(), "precision": precision.reshape(-1).tolist()}
+
+
+def _updated(share: float | None, reach: float, scale: float, precision: Callable):
     """Mean and precision of a group from the moments of its distance bins: of
     the bins that hold ``share`` of its texts, or of those below ``reach``."""
     def run(bins: pd.DataFrame) -> pd.DataFrame:
@@ -166,15 +181,17 @@ def _updated(share: float | None, reach: float, scale: float):
         for i in range(_P):
             for j in range(i, _P):
                 cov[i, j] = cov[j, i] = inner[f"q{i}_{j}"].sum() / m - mean[i] * mean[j]
-        return pd.DataFrame([_estimate(counts.sum(), mean, cov * scale, bins["grp"].iloc[0])])
+        return pd.DataFrame([_estimate(counts.sum(), mean, precision(cov * scale), bins["grp"].iloc[0])])
     return run
 
 
-def _start(rows: pd.DataFrame) -> pd.DataFrame:
-    r = rows.iloc[0]
-    quartiles = np.array([r[f"v{i}"] for i in range(_P)])
-    spread = (quartiles[:, 2] - quartiles[:, 0]) / 1.349
-    return pd.DataFrame([_estimate(r["n"], quartiles[:, 1], np.diag(spread ** 2), r["grp"])])
+def _start(precision: Callable):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.iloc[0]
+        quartiles = np.array([r[f"v{i}"] for i in range(_P)])
+        spread = (quartiles[:, 2] - quartiles[:, 0]) / 1.349
+        return pd.DataFrame([_estimate(r["n"], quartiles[:, 1], precision(np.diag(spread ** 2)), r["grp"])])
+    return run
 
 
 def _bin_number(d: float) -> int:
@@ -200,13 +217,13 @@ def _grouped(rows: DataFrame, n: int) -> DataFrame:
     return join_by_key(keyed, sizes, ["own"], "n_own", n, ["_fk", "_rx"]).drop("own", "n_own")
 
 
-def estimates(vectors: DataFrame, n: int, share: float = SHARE) -> DataFrame:
+def estimates(vectors: DataFrame, n: int, share: float = SHARE, precision: Callable = _ridged) -> DataFrame:
     """(grp, n, mean, precision) of every group of the stage ``vectors`` (grp, v0 ...), reweighted."""
     now = stage(vectors.groupBy("grp").agg(F.count("*").alias("n"), *[
         F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 10_000).alias(f"v{i}") for i in range(_P)])
-        .groupBy("grp").applyInPandas(_start, ESTIMATE))
-    steps = [_updated(share, 0.0, consistency(share))] * STEPS + [
-        _updated(None, chi2_point(0.975, _P), consistency(0.975))]
+        .groupBy("grp").applyInPandas(_start(precision), ESTIMATE))
+    steps = [_updated(share, 0.0, consistency(share), precision)] * STEPS + [
+        _updated(None, chi2_point(0.975, _P), consistency(0.975), precision)]
     for update in steps:
         far = _bin()
         bins = (join_by_key(vectors, now, ["grp"], "n", n, ["_fk", "_rx"]).withColumn("bin", far)
@@ -235,7 +252,7 @@ def judge(keyed: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     n = passed.count()
     vectors = stage(_grouped(passed.select("_fk", "_rx", "lang", "source", *[
         c.alias(f"v{i}") for i, c in enumerate(_vector())]), n).select("_fk", "_rx", "grp", *[f"v{i}" for i in range(_P)]))
-    found = estimates(vectors, n, CORE)
+    found = estimates(vectors, n, CORE, _raised)
     far = join_by_key(vectors, found, ["grp"], "n", n, ["_fk", "_rx"]).select(
         "_fk", "_rx", _distance().alias("distance"),
         ((_distance() <= chi2_point(1 - tail, _P)) | (F.col("n") < MIN_GROUP)).alias("within"))

@@ -547,6 +547,29 @@ def test_a_third_of_junk_is_rejected(spark):
     assert dropped == list(range(0, 600, 3))
 
 
+def test_one_bad_statistic_rejects(spark):
+    """Symbols behind half of the words, or two words in five repeated, are enough; clean texts are kept."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        words = _document(rng, False).split()
+        if i % 10 == 0:
+            words = [w + "*" * (j % 2) for j, w in enumerate(words)]
+        elif i % 10 == 1:
+            words[:2 * len(words) // 5] = (words[:8] * len(words))[:2 * len(words) // 5]
+        rows.append((i, " ".join(words), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(6)
+    got = quality_mcd.quality_rules(df)
+    assert got.filter("base_failed").count() == 0
+    assert sorted(r["doc_id"] for r in got.filter("NOT kept").collect()) == [i for i in range(400) if i % 10 < 2]
+
+
+def test_least_variance_leaves_greater_ones():
+    least = np.square(quality_mcd.LEAST)
+    variances = least * [4, 0, .5, 9, 1]
+    assert np.allclose(np.linalg.inv(quality_mcd._raised(np.diag(variances))), np.diag(np.maximum(variances, least)))
+
+
 def test_estimates_match_numpy(spark):
     """The concentration steps over bins against the same steps over all distances at once."""
     rng = np.random.default_rng(2)
