@@ -206,6 +206,17 @@ def g5_monthly_score_pivot(spark, sf):
     return AU.monthly_score_pivot(_scored_all(spark, sf), "publication", PIVOT_PUBLICATIONS)
 
 
+ALL_PUBLICATIONS = tuple(f"src{i}" for i in range(20))  # those of the fixture
+
+
+@register("g5_monthly_score_pivot_all", lambda: SCORED_ALL() + "SELECT last_day(date) AS date, " + ", ".join(
+    f"round_even(round_even(avg(article_textblob_sentiment) FILTER (WHERE publication = '{p}'), 9), 3) AS {p}" for p in ALL_PUBLICATIONS)
+    + " FROM sall WHERE date IS NOT NULL AND publication IS NOT NULL GROUP BY 1")
+def g5_monthly_score_pivot_all(spark, sf):
+    """Monthly mean article score, a column for every publication of the fixture."""
+    return AU.monthly_score_pivot(_scored_all(spark, sf), "publication", ALL_PUBLICATIONS)
+
+
 @register("a7_mean_std_single_row", lambda: SCORED_ALL() + """
 SELECT url, avg(vader_compound_title) AS title_mean, stddev_samp(vader_compound_title) AS title_std
 FROM sall WHERE url IS NOT NULL GROUP BY 1""")

@@ -63,3 +63,8 @@ def test_file_choice_and_inventory(spark, sf_dir):
 def test_random_split(spark, sf_dir):
     ids = [r[0] for r in QUERIES["m2_random_split"](spark, sf_dir).collect()]
     assert len(ids) == len(set(ids)) and 0.1 < len(ids) / 1000 < 0.3
+
+
+def test_score_pivot_has_every_publication(spark, sf_dir):
+    known = {r[0] for r in fx.articles(spark, sf_dir).select("publication").distinct().collect()} - {None, ""}
+    assert set(QUERIES["g5_monthly_score_pivot_all"](spark, sf_dir).columns) == {"date"} | known
