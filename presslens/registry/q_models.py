@@ -206,21 +206,20 @@ def _authors_input(spark, sf, text):
 @register("m7_title_author")
 def m7_title_author(spark, sf):
     return MO.run_experiment(_authors_input(spark, sf, "title_clean"), "article_id", "title_clean", "author", 10000,
-                             "title_author_tfidf_10000", models=["logistic_regression", "naive_bayes"])
+                             "title_author_tfidf_10000")
 
 
 @register("m7_article_author")
 def m7_article_author(spark, sf):
     return MO.run_experiment(_authors_input(spark, sf, "article_clean"), "article_id", "article_clean", "author", 5000,
-                             "article_author_tfidf_5000", models=["naive_bayes"])
+                             "article_author_tfidf_5000")
 
 
 @register("m7_title_topic_balanced")
 def m7_title_topic_balanced(spark, sf):
     """Classes resampled to 5 % of the largest (M3) before the split."""
     rows = FE.balance_classes(staged_input(spark, sf, "title_clean", "simple_topic"), "simple_topic", "article_id")
-    return MO.run_experiment(rows, "article_id", "title_clean", "simple_topic", 5000, "title_topic_tfidf_5p_5000",
-                             models=["logistic_regression", "naive_bayes"])
+    return MO.run_experiment(rows, "article_id", "title_clean", "simple_topic", 5000, "title_topic_tfidf_5p_5000")
 
 
 def _support_sql(target: str, test: str) -> str:

@@ -68,3 +68,9 @@ def test_random_split(spark, sf_dir):
 def test_score_pivot_has_every_publication(spark, sf_dir):
     known = {r[0] for r in fx.articles(spark, sf_dir).select("publication").distinct().collect()} - {None, ""}
     assert set(QUERIES["g5_monthly_score_pivot_all"](spark, sf_dir).columns) == {"date"} | known
+
+
+@pytest.mark.parametrize("name", ["m7_title_author", "m7_article_author", "m7_title_topic_balanced"])
+def test_experiments_fit_every_model(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).filter("class = 'accuracy'").collect()
+    assert sorted(r["model"] for r in got) == ["logistic_regression", "naive_bayes", "random_forest"]
