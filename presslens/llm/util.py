@@ -110,3 +110,17 @@ def chunks_by_bytes(sizes: Iterable[int], most: int) -> Iterator[slice]:
         end += 1
     if end > begin:
         yield slice(begin, end)
+
+
+def bounded_blocks(rows: DataFrame, size: str, key: list[str], most: int) -> tuple[int, Column]:
+    """Number of blocks, and the block of a row by a hash of ``key``, so that the ``size`` of a block is ``most`` at
+    most unless one row alone is larger. The sizes are counted, and the blocks doubled until the bound holds."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, -(-total // most))
+    while True:
+        block = F.pmod(F.xxhash64(*key), F.lit(n))
+        over = rows.groupBy(block.alias("b")).agg(F.sum(size).alias("s"), F.countDistinct(*key).alias("k")).filter(
+            (F.col("s") > most) & (F.col("k") > 1))
+        if n == 1 and total <= most or over.isEmpty():
+            return n, block
+        n *= 2

@@ -89,3 +89,82 @@ def targets(sizes: dict, weights=(3, 1, 2), ratio: float = 1.5, most: float = 2)
         else:
             high = level
     return {s: min(weight[s] * high, most * sizes[s]) for s in order}
+
+
+def _h(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _proved(leaves: list[str]) -> tuple[str, list[list[tuple[list[str], list[str]]]]]:
+    """Root, and per leaf the siblings left and right of its ancestors, upwards."""
+    paths, nodes, level = [[] for _ in leaves], leaves, 0
+    while len(nodes) > 1:
+        for i, path in enumerate(paths):
+            at = i // 16 ** level
+            run = nodes[at // 16 * 16:][:16]
+            path.append((run[:at % 16], run[at % 16 + 1:]))
+        nodes, level = [_h(*nodes[i:i + 16]) for i in range(0, len(nodes), 16)], level + 1
+    return nodes[0], paths
+
+
+def merkle(rows: list[tuple], tampers) -> list[tuple]:
+    """(id, leaf, subroot, root, proof digest, folded root, verified) of rows (id, text, lang, source, n_chars)."""
+    def leaf(doc_id, text, lang, source, n_chars):
+        return _h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc_id, source, lang, n_chars, text)])
+
+    def lowered(text):
+        return None if text is None else re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    sources: dict = {}
+    for r in rows:
+        sources.setdefault(r[3], []).append((r[0] is not None, r[0] or 0, leaf(*r), leaf(r[0], lowered(r[1]), *r[2:])))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: _proved([x[2] for x in sorted(sources[s])]) for s in order}
+    root, top = _proved([trees[s][0] for s in order])
+    out = []
+    for s, above in zip(order, top):
+        for (known, doc_id, own, low), path in zip(sorted(sources[s]), trees[s][1]):
+            now = low if tampers(doc_id if known else None) else own
+            for left, right in path + above:
+                now = _h(*left, now, *right)
+            proof = _h(*[d for left, right in path + above for d in left + right])
+            out.append((doc_id if known else None, own, trees[s][0], root, proof, now, now == root))
+    return out
+
+
+def lower_words(text: str | None) -> list[str]:
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def windows(words: list, items: dict, size: int) -> tuple[set[int], set]:
+    """Places of ``words`` inside an occurrence of a window of an item, and the items with one."""
+    hit, found = set(), set()
+    for name, own in items.items():
+        n = min(len(own), size)
+        keys = {tuple(own[i:i + n]) for i in range(len(own) - n + 1)} if n else set()
+        for i in range(len(words) - n + 1):
+            if n and tuple(words[i:i + n]) in keys:
+                hit |= set(range(i, i + n))
+                found.add(name)
+    return hit, found
+
+
+def search(docs: list[tuple], items: dict, k: int) -> list[tuple]:
+    """(item, rank, id, score) of the k best documents of every item (a list of texts)."""
+    def terms(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low)
+    counted = [(i, Counter(t), len(t)) for i, text in docs if (t := terms(text))]
+    n, total = len(counted), sum(c for _, _, c in counted)
+    df = Counter(w for _, c, _ in counted for w in c)
+    out = []
+    for item, texts in items.items():
+        scored = []
+        for i, c, size in counted:
+            m = 50 + (50 * size * n) // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((1_000_000_000 * c[w]) // (1000 * c[w] + 20 * m))
+                        for w in {w for t in texts for w in terms(t)} if w in c)
+            if score:
+                scored.append((-score, i is None, i or 0))
+        out += [(item, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scored)[:k], 1)]
+    return out
