@@ -34,6 +34,7 @@ distinct terms alone exceed the block size is a block of its own.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,10 +47,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import stage_path
 from .util import bounded_blocks, field, row_keyed, stage
 
 #: Documents and postings of an index block (the document that passes the second bound is its last).
-DOCS, POSTINGS = 8192, 1 << 20
+DOCS, POSTINGS = 8192, 1 << 19
+#: Bytes of a row group of the index table; a reading task decodes one at a time.
+ROW_GROUP = 16 << 20
 #: Bytes of a block of queries: of their terms, eight more a term and 64 a result row.
 QUERIES = 4 << 20
 
@@ -93,53 +97,59 @@ def _block_fields(id_type: T.DataType) -> list[tuple[str, T.DataType]]:
             ("docs", ints)]  # document numbers, by group
 
 
-def _packed(held: list[tuple], id_type: pa.DataType, m_of, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    """One index block. ``held``: (id, fk, rx, counted terms, number of terms)."""
-    held.sort(key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1], r[2]))
-    known: dict[bytes, int] = {}
-    term, tf, sizes = [], [], []
-    for _, _, _, counts, _ in held:
-        term += [known.setdefault(w, len(known)) for w in counts]
-        tf += counts.values()
-        sizes.append(len(counts))
-    doc = np.repeat(np.arange(len(held)), sizes)
-    strata, stratum = np.unique([m_of(r[4]) for r in held], return_inverse=True)
-    term, tf = np.array(term, np.int64), np.array(tf, np.int64)
-    order = np.lexsort((doc, tf, stratum[doc], term))
-    term, tf, doc = term[order], tf[order], doc[order]
-    of = stratum[doc]
-    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]) | (tf[1:] != tf[:-1])])
-    values = [[r[0] for r in held], [r[1] for r in held], [r[2] for r in held], strata, np.bincount(stratum, minlength=len(strata)),
-              list(known), np.bincount(term, minlength=len(known)), np.bincount(term[first], minlength=len(known)),
-              of[first], tf[first], np.diff(np.r_[first, len(term)]), doc]
-    arrays = []
-    for v, kind in zip(values, kinds):
-        flat = pa.array(v, kind.value_type)
-        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+class _Held:
+    """Documents of a block to be: terms as numbers, so that a posting takes eight bytes."""
+
+    def __init__(self):
+        self.places: list[tuple] = []  # id, fk, rx, number of terms, distinct terms
+        self.known: dict[bytes, int] = {}
+        self.term, self.tf = array("i"), array("i")
+
+    def add(self, place: tuple, terms: list[bytes]) -> None:
+        counts = Counter(terms)
+        self.term.extend([self.known.setdefault(w, len(self.known)) for w in counts])
+        self.tf.extend(counts.values())
+        self.places.append((*place, len(terms), len(counts)))
+
+    def packed(self, m_of, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        held, n_known = self.places, len(self.known)
+        order = sorted(range(len(held)), key=lambda d: (held[d][0] is None, 0 if held[d][0] is None else held[d][0], *held[d][1:3]))
+        rank = np.empty(len(held), np.int64)
+        rank[order] = np.arange(len(held))
+        doc = np.repeat(rank, [r[4] for r in held])
+        held = [held[d] for d in order]
+        strata, stratum = np.unique([m_of(r[3]) for r in held], return_inverse=True)
+        term, tf = np.frombuffer(self.term, np.int32), np.frombuffer(self.tf, np.int32)
+        order = np.lexsort((doc, tf, stratum[doc], term))
+        term, tf, doc = term[order], tf[order], doc[order]
+        of = stratum[doc]
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]) | (tf[1:] != tf[:-1])])
+        values = [[r[0] for r in held], [r[1] for r in held], [r[2] for r in held], strata, np.bincount(stratum, minlength=len(strata)),
+                  list(self.known), np.bincount(term, minlength=n_known), np.bincount(term[first], minlength=n_known),
+                  of[first], tf[first], np.diff(np.r_[first, len(term)]), doc]
+        arrays = []
+        for v, kind in zip(values, kinds):
+            flat = pa.array(v, kind.value_type)
+            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def _indexed(n_docs: int, n_terms: int, fields: list[tuple[str, T.DataType]], most_docs: int):
     names, kinds = [n for n, _ in fields], [to_arrow_type(t) for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, postings = [], 0
-
         def packed():
-            return _packed(held, kinds[0].value_type, lambda n: normaliser(n, n_docs, n_terms), names, kinds)
+            return held.packed(lambda n: normaliser(n, n_docs, n_terms), names, kinds)
+        held = _Held()
         for batch in batches:
             places = zip(*[batch.column(c).to_pylist() for c in ("id", "_fk", "_rx")])
-            for (i, fk, rx), text in zip(places, batch.column("text")):
-                terms = terms_of(text.as_py())
-                if not terms:
-                    continue
-                counts = Counter(terms)
-                held.append((i, fk, rx, counts, len(terms)))
-                postings += len(counts)
-                if len(held) >= most_docs or postings >= POSTINGS:
-                    yield packed()
-                    held, postings = [], 0
-        if held:
+            for place, text in zip(places, batch.column("text")):
+                if terms := terms_of(text.as_py()):
+                    held.add(place, terms)
+                    if len(held.places) >= most_docs or len(held.term) >= POSTINGS:
+                        yield packed()
+                        held = _Held()
+        if held.places:
             yield packed()
     return run
 
@@ -152,7 +162,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = rows.schema["id"].dataType
     fields = _block_fields(id_type)
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
-    return Index(stage(rows.mapInArrow(_indexed(sums[0], sums[1], fields, most_docs), schema)), sums[0], sums[1], id_type)
+    path = stage_path(docs.sparkSession)
+    rows.mapInArrow(_indexed(sums[0], sums[1], fields, most_docs), schema).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return Index(docs.sparkSession.read.schema(schema).parquet(path), sums[0], sums[1], id_type)
 
 
 def _found_terms(wanted):
