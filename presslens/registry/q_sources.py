@@ -131,9 +131,17 @@ def t1_incremental_ingest(spark, sf):
 
 @register("s2_chunked_append", NORM + f"SELECT {RAW_COLS} FROM narticles")
 def s2_chunked_append(spark, sf):
-    """Chunked append: four files, two a micro-batch."""
+    """Chunked append: two files, cut into chunks of 300 rows that end in the middle of files."""
     src = IO.scratch_path(spark, "incoming")
-    IO.write_csv(_raw(spark, sf).repartition(4), src)
+    IO.write_csv(_raw(spark, sf).repartition(2), src)
     target, ckpt = IO.scratch_path(spark, "raw"), IO.scratch_path(spark, "stream-ckpt")
-    ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, max_files_per_trigger=2)
+    ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, rows_per_chunk=300)
     return spark.read.parquet(target)
+
+
+@register("s1_zip_source", W("articles") + f"SELECT {RAW_COLS} FROM articles")
+def s1_zip_source(spark, sf):
+    """The CSV files of the fixture as members of one archive."""
+    path = IO.write_csv(_raw(spark, sf), IO.scratch_path(spark, "csv"))
+    archive = IO.write_zip(spark, path, f"{IO.scratch_path(spark, 'zip')}/articles.zip")
+    return IO.read_articles_zip(spark, archive, FIXTURE_SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale. They are only applied when the session is
@@ -83,3 +84,18 @@ def materialize(df):
     path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark resolves it to: one without scheme
+    lies on the default file system, not on the local disk."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a qualified path, and the path in it, for tasks that read or write files themselves."""
+    scheme, _, rest = uri.partition(":")
+    if not rest.startswith("/"):
+        raise ValueError(f"{uri} has no scheme: use session.qualified()")
+    return fs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri)

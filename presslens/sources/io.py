@@ -7,16 +7,18 @@ declared schema; reads never infer one.
 
 from __future__ import annotations
 
+import shutil
 import uuid
+import zipfile
 from collections.abc import Sequence
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import LAYER_SCHEMAS
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, filesystem, qualified
+from . import quoted_csv
 
 TABLE_SUFFIX = ".parquet"
 EXPORT_COLUMNS = ("date", "publication", "author", "title", "section", "simple_topic")
@@ -33,21 +35,20 @@ def table_path(base: str, layer: str, table: str) -> str:
     return f"{base.rstrip('/')}/catalog/{layer}/{table}"
 
 
-def read_articles_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                      partitions: int | None = None) -> DataFrame:
+def read_articles_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """CSV with header, ``"`` quoting (doubled quotes inside), UTF-8 and
     multi-line cells, read against a declared schema (all columns as text,
     then ``try_cast`` so malformed values become null instead of failing).
-    A file with multi-line cells can't be split, so it is read by one task;
-    ``partitions`` deals its rows out to that many before the work that follows."""
-    schema = schema or LAYER_SCHEMAS["raw"]
-    as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("encoding", "UTF-8").option("mode", "PERMISSIVE").schema(as_text).csv(path))
-    if partitions:
-        raw = raw.repartition(partitions)
-    return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
-                        for f in schema.fields])
+    A file is read by as many tasks as it has ranges (``quoted_csv``)."""
+    return quoted_csv.parsed(quoted_csv.read_records(spark, path), schema or LAYER_SCHEMAS["raw"])
+
+
+def read_articles_zip(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
+                      pattern: str = r"\.csv$", partitions: int | None = None) -> DataFrame:
+    """The same from the members of zip archives, each streamed by one task.
+    ``partitions`` deals the records out to that many before they are parsed."""
+    records = quoted_csv.read_zip_records(spark, path, pattern)
+    return quoted_csv.parsed(records.repartition(partitions) if partitions else records, schema or LAYER_SCHEMAS["raw"])
 
 
 def read_table(spark: SparkSession, base: str, layer: str, table: str) -> DataFrame:
@@ -90,12 +91,9 @@ def slice_sizes(df: DataFrame) -> DataFrame:
 
 def clear_table(spark: SparkSession, base: str, layer: str, table: str) -> bool:
     """Delete a table's files; a missing table is ignored."""
-    path = table_path(base, layer, table)
-    store, inner = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-    if store.get_file_info(inner).type == fs.FileType.NotFound:
-        return False
-    store.delete_dir(inner)
-    return True
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(base, layer, table))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())  # the one that Spark writes to
+    return store.exists(path) and store.delete(path, True)
 
 
 def read_files(spark: SparkSession, path: str, n: int | None = None, shuffle: bool = False,
@@ -150,6 +148,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def write_zip(spark: SparkSession, path: str, archive: str) -> str:
+    """The CSV files below ``path`` as members of one zip archive, copied in pieces of 1 MiB."""
+    members = sorted(r["path"] for r in list_files(spark, path, r"\.csv$").select("path").collect())
+    store, inner = filesystem(qualified(spark, archive))
+    store.create_dir(inner.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(inner) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as packed:
+        for member in members:
+            own, place = filesystem(member)
+            with own.open_input_stream(place) as data, packed.open(member.rpartition("/")[2], "w", force_zip64=True) as to:
+                shutil.copyfileobj(data, to, 1 << 20)
+    return archive
+
+
 def write_reports(reports: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """One report folder per (experiment, model)."""
     reports.write.mode(mode).partitionBy("experiment", "model").format(fmt).save(path)

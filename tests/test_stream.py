@@ -1,9 +1,11 @@
-"""Two files, two availableNow runs -> batch result; a third adds nothing."""
+"""Two files, two availableNow runs -> batch result; a third adds nothing. S2: chunks of rows, continued after an end."""
+
+from pyspark.sql import functions as F
 
 from presslens import fixtures as fx
 from presslens.registry.q_sources import FIXTURE_SCHEMA, _raw
 from presslens.sources import io as IO
-from presslens.streaming.ingest import clean_raw, ingest_stream
+from presslens.streaming.ingest import chunk_stream, clean_raw, ingest_stream, stage_chunks
 
 
 def test_incremental_ingest(spark, sf_dir):
@@ -25,3 +27,36 @@ def test_incremental_ingest(spark, sf_dir):
     assert got.exceptAll(expected).count() == 0
     ingest_stream(spark, src + "/*", target, ckpt, FIXTURE_SCHEMA)
     assert spark.read.parquet(target).count() == raw.count()
+
+
+def _chunks(spark, target):
+    return sorted(r["count"] for r in spark.read.parquet(target).groupBy(F.input_file_name()).count().collect())
+
+
+def test_chunks_have_the_stated_number_of_rows(spark, sf_dir):
+    """One large file and a small one: chunks end inside files, each micro-batch adds one chunk."""
+    raw = _raw(spark, sf_dir)
+    src, target, ckpt = (IO.scratch_path(spark, x) for x in ("incoming", "raw", "ckpt"))
+    IO.write_csv(raw.filter("article_id >= 150").coalesce(1), src + "/a")
+    IO.write_csv(raw.filter("article_id < 150").coalesce(1), src + "/b")
+    q = ingest_stream(spark, src + "/*/*.csv", target, ckpt, FIXTURE_SCHEMA, rows_per_chunk=128)
+    got = spark.read.parquet(target)
+    n = raw.count()
+    assert [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]] == [128] * (n // 128) + [n % 128]
+    assert got.count() == n and got.select("article_id").distinct().count() == n
+
+
+def test_a_run_that_ends_between_chunks_is_continued(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    src, target, ckpt = (IO.scratch_path(spark, x) for x in ("incoming", "raw", "ckpt"))
+    IO.write_csv(raw.coalesce(1), src)
+    stage_chunks(spark, src + "/*.csv", ckpt + "/queue", ckpt, 100, None)
+    q = chunk_stream(spark, ckpt + "/queue", target, ckpt, FIXTURE_SCHEMA)
+    while not q.recentProgress:
+        q.awaitTermination(0.02)
+    q.stop()
+    done = spark.read.parquet(target).count()
+    assert 0 < done <= raw.count()
+    ingest_stream(spark, src + "/*.csv", target, ckpt, FIXTURE_SCHEMA, rows_per_chunk=100)
+    got = spark.read.parquet(target)
+    assert got.count() == raw.count() == got.select("article_id").distinct().count()
