@@ -51,7 +51,7 @@ from ..session import stage_path
 from .util import bounded_blocks, field, row_keyed, stage
 
 #: Documents and postings of an index block (the document that passes the second bound is its last).
-DOCS, POSTINGS = 8192, 1 << 19
+DOCS, POSTINGS = 8192, 1 << 18
 #: Bytes of a row group of the index table; a reading task decodes one at a time.
 ROW_GROUP = 16 << 20
 #: Bytes of a block of queries: of their terms, eight more a term and 64 a result row.
@@ -88,13 +88,22 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "n_terms": pa.array([sum(sizes)], pa.int64())})
 
 
-def _block_fields(id_type: T.DataType) -> list[tuple[str, T.DataType]]:
-    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    return [("ids", T.ArrayType(id_type)), ("fks", longs), ("rxs", longs),  # by document, in the order of ties
-            ("strata", longs), ("stratum_docs", ints),  # m and number of documents of each stratum, ascending
-            ("terms", T.ArrayType(T.BinaryType())), ("term_docs", ints), ("term_groups", ints),  # by term
-            ("group_stratum", ints), ("group_tf", ints), ("group_docs", ints),  # by term, stratum, tf
-            ("docs", ints)]  # document numbers, by group
+#: Number columns of a block, each an array as bytes (Spark would handle the elements of an array one by one).
+#: Of each stratum, ascending: m and its documents. Of each term: documents, groups. Of each group, by term, stratum
+#: and tf: stratum, tf, documents. Of each posting, by group: the document's number. DOCS is below 2^16.
+NUMBERS = {"strata": "<i8", "stratum_docs": "<i4", "term_docs": "<i4", "term_groups": "<i4",
+           "group_stratum": "<u2", "group_tf": "<i4", "group_docs": "<u2", "docs": "<u2"}
+
+
+def _block_schema(id_type: T.DataType) -> T.StructType:
+    """ids, fks and rxs are those of the documents, in the order of ties; ``terms`` are joined by blanks."""
+    longs, raw = T.ArrayType(T.LongType()), T.BinaryType()
+    return T.StructType([T.StructField("ids", T.ArrayType(id_type)), T.StructField("fks", longs), T.StructField("rxs", longs),
+                         T.StructField("terms", raw), *[T.StructField(c, raw) for c in NUMBERS]])
+
+
+def numbers(row: dict, name: str) -> np.ndarray:
+    return np.frombuffer(row[name], NUMBERS[name]).astype(np.int64)
 
 
 class _Held:
@@ -111,7 +120,7 @@ class _Held:
         self.tf.extend(counts.values())
         self.places.append((*place, len(terms), len(counts)))
 
-    def packed(self, m_of, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    def packed(self, m_of, id_type: pa.DataType) -> pa.RecordBatch:
         held, n_known = self.places, len(self.known)
         order = sorted(range(len(held)), key=lambda d: (held[d][0] is None, 0 if held[d][0] is None else held[d][0], *held[d][1:3]))
         rank = np.empty(len(held), np.int64)
@@ -124,22 +133,18 @@ class _Held:
         term, tf, doc = term[order], tf[order], doc[order]
         of = stratum[doc]
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]) | (tf[1:] != tf[:-1])])
-        values = [[r[0] for r in held], [r[1] for r in held], [r[2] for r in held], strata, np.bincount(stratum, minlength=len(strata)),
-                  list(self.known), np.bincount(term, minlength=n_known), np.bincount(term[first], minlength=n_known),
-                  of[first], tf[first], np.diff(np.r_[first, len(term)]), doc]
-        arrays = []
-        for v, kind in zip(values, kinds):
-            flat = pa.array(v, kind.value_type)
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
+        values = (strata, np.bincount(stratum, minlength=len(strata)), np.bincount(term, minlength=n_known),
+                  np.bincount(term[first], minlength=n_known), of[first], tf[first], np.diff(np.r_[first, len(term)]), doc)
+        row = {"ids": pa.array([[r[0] for r in held]], pa.list_(id_type)), "fks": pa.array([[r[1] for r in held]], pa.list_(pa.int64())),
+               "rxs": pa.array([[r[2] for r in held]], pa.list_(pa.int64())), "terms": pa.array([b" ".join(self.known)], pa.binary())}
+        row |= {c: pa.array([v.astype(kind).tobytes()], pa.binary()) for (c, kind), v in zip(NUMBERS.items(), values)}
+        return pa.RecordBatch.from_pydict(row)
 
-def _indexed(n_docs: int, n_terms: int, fields: list[tuple[str, T.DataType]], most_docs: int):
-    names, kinds = [n for n, _ in fields], [to_arrow_type(t) for _, t in fields]
 
+def _indexed(n_docs: int, n_terms: int, id_type: pa.DataType, most_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed():
-            return held.packed(lambda n: normaliser(n, n_docs, n_terms), names, kinds)
+            return held.packed(lambda n: normaliser(n, n_docs, n_terms), id_type)
         held = _Held()
         for batch in batches:
             places = zip(*[batch.column(c).to_pylist() for c in ("id", "_fk", "_rx")])
@@ -160,10 +165,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = rows.select("text").mapInArrow(_sizes, "n_docs long, n_terms long").agg(
         F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     id_type = rows.schema["id"].dataType
-    fields = _block_fields(id_type)
-    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    schema = _block_schema(id_type)
     path = stage_path(docs.sparkSession)
-    rows.mapInArrow(_indexed(sums[0], sums[1], fields, most_docs), schema).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    rows.mapInArrow(_indexed(sums[0], sums[1], to_arrow_type(id_type), most_docs), schema).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return Index(docs.sparkSession.read.schema(schema).parquet(path), sums[0], sums[1], id_type)
 
 
@@ -172,11 +176,10 @@ def _found_terms(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(wanted.value, pa.binary())
         for batch in batches:
-            for terms, n in zip(batch.column("terms"), batch.column("term_docs")):
-                at = pc.index_in(vocabulary, value_set=terms.values)
-                has = pc.is_valid(at)
-                yield pa.RecordBatch.from_arrays([pc.filter(vocabulary, has), pc.take(n.values, pc.drop_null(at)).cast(pa.int64())],
-                                                 names=["term", "df"])
+            for row in batch.to_pylist():
+                at = pc.index_in(vocabulary, value_set=pa.array(row["terms"].split(b" "), pa.binary()))
+                df = pa.array(numbers(row, "term_docs"))
+                yield pa.RecordBatch.from_arrays([pc.filter(vocabulary, pc.is_valid(at)), pc.take(df, pc.drop_null(at))], names=["term", "df"])
     return run
 
 
@@ -198,21 +201,20 @@ class _Block:
     """An index block in memory, with the impacts of its groups."""
 
     def __init__(self, row: dict, vocabulary: pa.Array):
-        def numbers(name):
-            return row[name].values.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.row, self.n_docs = row, len(row["ids"].values)
-        self.docs, self.group_docs, self.stratum = numbers("docs"), numbers("group_docs"), numbers("group_stratum")
-        self.stratum_docs = numbers("stratum_docs")
-        tf, m = numbers("group_tf"), numbers("strata")
+        self.ids, self.fks, self.rxs = (row[c].values for c in ("ids", "fks", "rxs"))
+        row = {c: row[c].as_buffer() for c in ("terms", *NUMBERS)}
+        self.n_docs = len(self.ids)
+        self.docs, self.group_docs, self.stratum, self.stratum_docs, tf, m, groups = (
+            numbers(row, c) for c in ("docs", "group_docs", "group_stratum", "stratum_docs", "group_tf", "strata", "term_groups"))
         self.impact = (1_000_000_000 * tf) // (1000 * tf + 20 * m[self.stratum])
         self.begin = np.cumsum(self.group_docs) - self.group_docs
-        ends = np.cumsum(numbers("term_groups"))
+        ends = np.cumsum(groups)
         self.group_of_term = np.r_[0, ends]
         # the last group of a term's run in a stratum has its largest tf
         term = np.repeat(np.arange(len(ends)), np.diff(self.group_of_term))
         self.largest = np.flatnonzero(np.r_[(term[1:] != term[:-1]) | (self.stratum[1:] != self.stratum[:-1]), True])
         self.run_of_term = np.searchsorted(self.largest, self.group_of_term)
-        self.place = pc.index_in(vocabulary, value_set=row["terms"].values).to_numpy(zero_copy_only=False)
+        self.place = pc.index_in(vocabulary, value_set=pa.array(row["terms"].to_pybytes().split(b" "), pa.binary())).to_numpy(zero_copy_only=False)
 
     def _ranges(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin, size = ends[terms], ends[terms + 1] - ends[terms]
@@ -253,7 +255,7 @@ class _Block:
         found = found[np.argsort(-score[found], kind="stable")][:best.k]  # documents are numbered in the order of ties
         rows = []
         for d in found.tolist():
-            i, fk, rx = (self.row[c].values[d].as_py() for c in ("ids", "fks", "rxs"))
+            i, fk, rx = self.ids[d].as_py(), self.fks[d].as_py(), self.rxs[d].as_py()
             rows.append((-int(score[d]), i is None, 0 if i is None else i, fk, rx))
         best.add(rows)
 
