@@ -1,7 +1,7 @@
 """Cleaning and null normalisation.
 
-All steps are projections or one aggregate at (year, section) grain joined
-back to the articles; no step collects values to the driver.
+All steps are projections; N9 and N10 learn from one aggregate at (year,
+section) grain, which meets the articles inside their rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import title_case
+from ..session import materialize
+from . import membership
 
 # Fixed values of the reference's section cleaning.
 NULL_TEXTS = ("nan", "none")
@@ -77,31 +79,46 @@ def coalesce_prefix(df: DataFrame, col: str = "section", prefix: str = OPINION_P
     return df.withColumn(col, F.when(F.lower(c).startswith(prefix), F.lit(label)).otherwise(c))
 
 
+def rare_values(df: DataFrame, key: str, by: str | None, global_once: bool = True) -> DataFrame:
+    """(by, key, kept) of each combination in ``df``: not ``kept`` are values
+    seen once overall, or once within their ``by`` group. A null ``by`` is only
+    subject to the overall rule.
+
+    One partial aggregate at (by, key) grain; the overall count is a window
+    over that small table partitioned by key (at most one row per year).
+    """
+    keys = [by, key] if by else [key]
+    counts = df.filter(F.col(key).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_by"))
+    rare = F.col("_n_by") == 1 if not by else (F.col(by).isNotNull() & (F.col("_n_by") == 1))
+    if global_once:
+        rare = rare | (F.sum("_n_by").over(Window.partitionBy(key)) == 1)
+    return counts.select(*keys, (~rare).alias("kept"))
+
+
 def nullify_rare(df: DataFrame, key: str = "section", by: str | None = "year",
-                 global_once: bool = True) -> DataFrame:
+                 global_once: bool = True, most_bits: int = membership.MOST_BITS) -> DataFrame:
     """N9 + N10: a value seen once overall, or once within its ``by`` group,
     becomes null. Rows whose ``by`` is null are only subject to the global
     rule (as the per-year loop of the reference never selects them).
 
-    One partial aggregate at (by, key) grain; the overall count is a window
-    over that small table partitioned by key (at most one row per year).
+    Rows stay where they are: each finds in itself, by the filters of
+    ``membership.cascade``, whether its value is kept. Only if the filters
+    would be too large to send are rows and values joined.
     """
     keys = [by, key] if by else [key]
-    counts = df.filter(F.col(key).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_by"))
-    counts = counts.withColumn("_n_all", F.sum("_n_by").over(Window.partitionBy(key)))
-    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n_by", "_n_all", F.lit(0).alias("_k_salt"))
+    classes = materialize(rare_values(df, key, by, global_once))
+    kept = membership.cascade(classes, keys, "kept", most_bits)
+    if kept is not None:
+        return df.withColumn(key, F.when(F.col(key).isNotNull() & kept, F.col(key)))
+    classes = classes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("kept").alias("_k_kept"), F.lit(0).alias("_k_salt"))
     # rows without a value meet nothing: a salt keeps them from all going to one task
     salt = F.when(F.col(key).isNull(), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])).otherwise(F.lit(0))
     salted = df.withColumn("_salt", salt)
     cond = (F.coalesce(F.col(key), F.lit("")) == F.col(f"_k_{key}")) & (F.col("_salt") == F.col("_k_salt"))
     if by:
         cond = cond & F.col(by).eqNullSafe(F.col(f"_k_{by}"))
-    joined = salted.join(counts, cond, "left")
-    rare = F.col("_n_by") == 1 if not by else (F.col(by).isNotNull() & (F.col("_n_by") == 1))
-    if global_once:
-        rare = rare | (F.col("_n_all") == 1)
-    return joined.withColumn(key, F.when(rare, F.lit(None).cast("string")).otherwise(F.col(key))) \
-        .drop(*[f"_k_{k}" for k in keys], "_n_by", "_n_all", "_salt", "_k_salt")
+    joined = salted.join(classes, cond, "left")
+    return joined.withColumn(key, F.when(F.col("_k_kept"), F.col(key))).select(*df.columns)
 
 
 def drop_values(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:

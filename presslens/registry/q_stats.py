@@ -52,10 +52,22 @@ SELECT avg(coalesce({D.word_count('title')}, 0)) AS title_mean, median(coalesce(
        avg(coalesce({D.word_count('article')}, 0)) AS article_mean,
        median(coalesce({D.word_count('article')}, 0)) AS article_median FROM articles""")
 def a4_mean_median(spark, sf):
-    a = A(spark, sf).select(F.coalesce(X.word_count("title"), F.lit(0)).alias("t"),
-                            F.coalesce(X.word_count("article"), F.lit(0)).alias("b"))
-    return a.agg(F.avg("t").alias("title_mean"), F.median("t").alias("title_median"),
-                 F.avg("b").alias("article_mean"), F.median("b").alias("article_median"))
+    a = A(spark, sf).select(X.word_count("title").alias("title"), X.word_count("article").alias("article"))
+    return S.mean_median(a, ["title", "article"])
+
+
+@register("a4_median_of_doubles", W("facts") + """
+SELECT median(score) AS score_median, median(pos) AS pos_median, median(neg) AS neg_median FROM facts""")
+def a4_median_of_doubles(spark, sf):
+    """Nulls are left out."""
+    medians = S.mean_median(FA(spark, sf), ["score", "pos", "neg"], null_as=None)
+    return medians.select("score_median", "pos_median", "neg_median")
+
+
+@register("a4_median_of_prices", "SELECT median(l_extendedprice) AS l_extendedprice_median, median(l_quantity) AS l_quantity_median FROM lineitem")
+def a4_median_of_prices(spark, sf):
+    rows = fx.table(spark, sf, "lineitem")
+    return S.mean_median(rows, ["l_extendedprice", "l_quantity"], null_as=None).select("l_extendedprice_median", "l_quantity_median")
 
 
 @register("a5_grouped_count_non_null", W("facts") + """
@@ -286,6 +298,15 @@ def o6_sample_size(spark, sf):
     return S.sample_rows(FA(spark, sf), "article_id", 1000, seed=7).select("article_id")
 
 
+@register("o6_large_sample", """
+SELECT l_orderkey, l_linenumber FROM lineitem
+ORDER BY md5(l_orderkey || '/' || l_linenumber || ':5') LIMIT (SELECT count(*) // 3 FROM lineitem)""")
+def o6_large_sample(spark, sf):
+    """A third of the rows, exactly, without a sort of them."""
+    rows = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("key"))
+    return S.sample_rows(rows, "key", rows.count() // 3, seed=5).drop("key")
+
+
 # ---- U ---------------------------------------------------------------------
 
 @register("u1_union_all", W("facts") + """
