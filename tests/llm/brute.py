@@ -168,3 +168,23 @@ def search(docs: list[tuple], items: dict, k: int) -> list[tuple]:
                 scored.append((-score, i is None, i or 0))
         out += [(item, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scored)[:k], 1)]
     return out
+
+
+def cheapest_routes(patterns: list[tuple[tuple, int]], quotas: dict, most: int = 2) -> tuple[int, int]:
+    """(most words routed, fewest repeated words) over all ways to give patterns' words to the quotas of their sources."""
+    best = {tuple(quotas.values()): (0, 0)}
+    names = list(quotas)
+    for sources, size in patterns:
+        ways = [{}]
+        for s in sources:
+            ways = [w | {s: k} for w in ways for k in range(min(quotas[s], most * size - sum(w.values())) + 1)]
+        then: dict = {}
+        for left, (sent, cost) in best.items():
+            for w in ways:
+                rest = tuple(x - w.get(s, 0) for s, x in zip(names, left))
+                if min(rest) >= 0:
+                    now = (sent + sum(w.values()), cost - max(0, sum(w.values()) - size))
+                    then[rest] = max(then.get(rest, (-1, 0)), now)
+        best = then
+    sent, cost = max(best.values())
+    return sent, -cost

@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -188,6 +189,49 @@ def test_flow_routes_overlapping_sources():
     assert sum(flows) == 400 and all(size <= f <= 2 * size for f, (_, size) in zip(flows, patterns))
 
 
+def test_flow_costs_as_little_as_a_linear_search():
+    """Small overlapping cases against every way to route them."""
+    rng = random.Random(6)
+    for _ in range(60):
+        names = "abc"[:rng.randint(2, 3)]
+        patterns = [(tuple(sorted(rng.sample(names, rng.randint(1, len(names))))), rng.randint(0, 3)) for _ in range(3)]
+        patterns = list(dict(patterns).items())
+        targets = {s: float(rng.randint(0, 4)) for s in names}
+        got = mixture.route(patterns, targets)
+        best = brute.cheapest_routes(patterns, {s: round(t) for s, t in targets.items()})
+        assert (sum(got), sum(max(0, g - size) for g, (_, size) in zip(got, patterns))) == best
+
+
+def test_flow_of_many_sources_takes_seconds():
+    rng = random.Random(1)
+    names = [f"s{i}" for i in range(100_000)]
+    patterns = [((s,), rng.randint(1, 10 ** 6)) for s in names] + [
+        (tuple(sorted(rng.sample(names[:20_000], 2))), rng.randint(1, 10 ** 6)) for _ in range(10_000)]
+    sizes = defaultdict(int)
+    for sources, size in patterns:
+        for s in sources:
+            sizes[s] += size
+    began = time.time()
+    flows = mixture.route(patterns, mixture.source_targets(sizes, sum(size for _, size in patterns)))
+    assert time.time() - began < 60 and all(0 <= f <= 2 * size for f, (_, size) in zip(flows, patterns))
+
+
+def test_mix_with_the_same_row_at_the_same_place_of_many_files(spark, tmp_path):
+    """40 files begin with one and the same row; it is half of its source."""
+    for i in range(40):
+        rows = [(7, "w " * 10, "a")] + ([(100 + i, "v " * 10, "a")] if i < 20 else []) + [(200 + i, "u " * 5, "b")]
+        spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    got = mixture.mix_report(spark.read.parquet(f"{tmp_path}/d")).groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
+    assert sorted((r["source_size"], r["target"], r["taken"]) for r in got) == [(200, 300.0, 300), (600, 900.0, 900)]
+
+
+def test_mix_of_a_row_that_is_a_third_of_all(spark):
+    rows = [(1, "w w w", "a")] * 3000 + [(i, "v " * (i % 7), "ab"[i % 2]) for i in range(2, 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixture.mix_report(df).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 2 and all(abs(r["taken"] - r["target"]) <= 3.5 for r in got)
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, "w " * 10, [["a"], ["a", "b"], ["b", "a", "b"], []][i % 4]) for i in range(400)]
     got = mixture.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"))
