@@ -10,25 +10,31 @@ words in repeated windows.
 Texts that pass are judged by a minimum covariance determinant (Rousseeuw
 1984) per language and source. A text's vector is ``STATISTICS``: logarithms
 of the number of words and the mean word length, square roots of the shares of
-symbols, repeated lines and repeated words. Estimates start from medians and
-interquartile ranges (a deterministic start, Hubert et al. 2012) and take
-``STEPS`` concentration steps: the share ``CORE`` of a group's texts with
-least distance (half, which junk in any lesser part cannot fill) gives the
-next mean and covariance. A
-variance below ``LEAST`` squared is raised to it, in any direction of the
-vectors scaled by ``LEAST``, so that statistics that are equal in most texts
-have no zero variance; greater variances stay as they are. Then the estimates are reweighted once by the texts
-within the 97.5 % point, and a text is rejected if its squared Mahalanobis
-distance is over the ``1 - TAIL`` point of chi-squared.
-
-Every text counts in every step. A step is one aggregation of the narrow
-vectors into moments per group and distance bin (``BINS`` a doubling); the
-share is taken to whole bins, and groups are updated from their few hundred
-bins. A hot group only meets partial aggregation; group estimates go back to
-the rows through ``util.join_by_key``.
+symbols, repeated lines and repeated words. Each group has the deterministic
+starts of ``STARTS`` (as in Hubert et al. 2012): medians, means, lower and upper
+quartiles as centres, so that junk on either side of most texts, or far from
+all, misleads some of them only. From each start concentration steps are
+taken: the share ``CORE`` of a group's texts with least distance (half, which
+junk in any lesser part cannot fill) gives the next mean and covariance, until
+its determinant falls no more; the start with the least determinant gives the
+estimate. A variance below ``LEAST`` squared is raised to it, in any direction
+of the vectors scaled by ``LEAST``, so that statistics that are equal in most
+texts have no zero variance; greater variances stay as they are. Then the
+estimates are reweighted once by the texts within the 97.5 % point, and a text
+is rejected if its squared Mahalanobis distance is over the ``1 - TAIL`` point
+of chi-squared.
+
+Texts alike in all statistics vote once, so that a group of copies can't pull
+the estimates to itself; all others count in every step. A step is one
+aggregation of the narrow vectors into moments per group, start and distance bin (``BINS`` a doubling);
+the share is taken to whole bins, and groups are updated from their few hundred
+bins. Starts that stand still take no part in further steps. A hot group only
+meets partial aggregation; group estimates go back to the rows through
+``util.join_by_key``.
 
 Groups of fewer than ``MIN_GROUP`` texts are pooled per language, pools that
-are still smaller over all languages; a last pool below that rejects nothing.
+are still smaller over all languages; where fewer than ``MIN_GROUP`` different
+vectors vote, nothing is rejected.
 
 Defined cases: null texts have no words and fail; null language and source
 are values of their own; texts alike are judged alike; an empty table gives an
@@ -55,12 +61,11 @@ STATISTICS = ("words", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation taken for each statistic. Symbols, repeated lines and repeated words are 0 in most clean
 #: texts, so that theirs decides: with ``TAIL`` a share over 0.26 symbols a word or of repeated words rejects alone.
 LEAST = (0.25, 0.03, 0.1, 0.1, 0.1)
-#: Ridge of ``estimates`` without another precision, in standard deviations added.
-FLOOR = (0.5, 0.1, 0.15, 0.1, 0.1)
-#: Core share of a judged group, and that of ``estimates`` without another (more efficient, but breaks at a quarter of junk).
+#: Share of a group's texts that a concentration step takes.
 CORE = 0.5
-SHARE = 0.75
-STEPS = 4
+STARTS = ("median", "mean", "lower", "upper")
+#: Least fall of a determinant's logarithm that counts; steps at most (a determinant seldom falls that often).
+FALL, STEPS = 1e-3, 16
 TAIL = 1e-4
 MIN_GROUP = 50
 BINS = 8
@@ -142,14 +147,9 @@ def consistency(share: float, p: int = _P) -> float:
     return share / chi2_cdf(chi2_point(share, p), p + 2)
 
 
-ESTIMATE = T.StructType([T.StructField("grp", T.StringType()), T.StructField("n", T.LongType()),
-                         T.StructField("mean", T.ArrayType(T.DoubleType())),
-                         T.StructField("precision", T.ArrayType(T.DoubleType()))])
-
-
-def _ridged(cov: np.ndarray) -> np.ndarray:
-    """Precision of a covariance with ``FLOOR`` squared added to the variances."""
-    return np.linalg.inv(cov + np.diag(np.square(FLOOR)))
+ESTIMATE = T.StructType([T.StructField("grp", T.StringType()), T.StructField("start", T.StringType()), T.StructField("n", T.LongType()),
+                         T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("precision", T.ArrayType(T.DoubleType())),
+                         T.StructField("log_det", T.DoubleType())])
 
 
 def _raised(cov: np.ndarray) -> np.ndarray:
@@ -159,48 +159,57 @@ def _raised(cov: np.ndarray) -> np.ndarray:
     return directions / np.maximum(variances, 1) @ directions.T / unit
 
 
-def _estimate(n: int, mean: np.ndarray, precision: np.ndarray, grp: str) -> dict:
-    return {"grp": grp, "n": int(n), "mean": mean.tolist(), "precision": precision.reshape(-1).tolist()}
+def _estimate(grp: str, start: str, n: int, mean: np.ndarray, cov: np.ndarray, log_det: float | None = None) -> dict:
+    precision = _raised(cov)
+    return {"grp": grp, "start": start, "n": int(n), "mean": mean.tolist(), "precision": precision.reshape(-1).tolist(),
+            "log_det": -float(np.linalg.slogdet(precision)[1]) if log_det is None else log_det}
+
 
+def _covariance(moments: pd.Series, m: float, mean: np.ndarray) -> np.ndarray:
+    cov = np.zeros((_P, _P))
+    for i in range(_P):
+        for j in range(i, _P):
+            cov[i, j] = cov[j, i] = moments[f"q{i}_{j}"] / m - mean[i] * mean[j]
+    return cov
 
-def _updated(share: float | None, reach: float, scale: float, precision: Callable):
-    """Mean and precision of a group from the moments of its distance bins: of
+
+def _updated(share: float | None, reach: float = 0.0):
+    """Mean and covariance of a group and start from the moments of its distance bins: of
     the bins that hold ``share`` of its texts, or of those below ``reach``."""
     def run(bins: pd.DataFrame) -> pd.DataFrame:
         bins = bins.sort_values("bin")
         counts = bins["m0"].to_numpy()
+        n = counts.sum()
         if share is None:
             take = max(1, int((bins["bin"].to_numpy() <= _bin_number(reach)).sum()))
         else:
-            core = max(math.ceil(share * counts.sum()), min((counts.sum() + _P + 1) // 2, counts.sum()))
+            core = max(math.ceil(share * n), min((n + _P + 1) // 2, n))
             take = int(np.searchsorted(np.cumsum(counts), core)) + 1
-        inner = bins.iloc[:take]
-        m = inner["m0"].sum()
-        mean = np.array([inner[f"s{i}"].sum() for i in range(_P)]) / m
-        cov = np.zeros((_P, _P))
-        for i in range(_P):
-            for j in range(i, _P):
-                cov[i, j] = cov[j, i] = inner[f"q{i}_{j}"].sum() / m - mean[i] * mean[j]
-        return pd.DataFrame([_estimate(counts.sum(), mean, precision(cov * scale), bins["grp"].iloc[0])])
+        inner = bins.iloc[:take].sum(numeric_only=True)
+        m = inner["m0"]
+        mean = np.array([inner[f"s{i}"] for i in range(_P)]) / m
+        scale = consistency(0.975 if share is None else m / n)
+        return pd.DataFrame([_estimate(bins["grp"].iloc[0], bins["start"].iloc[0], n, mean, _covariance(inner, m, mean) * scale)])
     return run
 
 
-def _start(precision: Callable):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.iloc[0]
-        quartiles = np.array([r[f"v{i}"] for i in range(_P)])
-        spread = (quartiles[:, 2] - quartiles[:, 0]) / 1.349
-        return pd.DataFrame([_estimate(r["n"], quartiles[:, 1], precision(np.diag(spread ** 2)), r["grp"])])
-    return run
+def _started(rows: pd.DataFrame) -> pd.DataFrame:
+    r = rows.iloc[0]
+    quartiles = np.array([r[f"v{i}"] for i in range(_P)])
+    spread = np.diag(((quartiles[:, 2] - quartiles[:, 0]) / 1.349) ** 2)
+    mean = np.array([r[f"s{i}"] for i in range(_P)]) / r["n"]
+    begins = {"median": (quartiles[:, 1], spread), "mean": (mean, _covariance(r, r["n"], mean)),
+              "lower": (quartiles[:, 0], spread), "upper": (quartiles[:, 2], spread)}
+    return pd.DataFrame([_estimate(r["grp"], s, r["n"], *begins[s], log_det=math.inf) for s in STARTS])
 
 
 def _bin_number(d: float) -> int:
     return math.floor(BINS * math.log2(max(d, 2.0 ** -10)))
 
 
-def _distance() -> Column:
-    off = [F.col(f"v{i}") - F.col("mean")[i] for i in range(_P)]
-    return sum((off[i] * off[j] * F.col("precision")[i * _P + j] * (1 if i == j else 2)
+def _distance(mean: Column, precision: Column) -> Column:
+    off = [F.col(f"v{i}") - mean[i] for i in range(_P)]
+    return sum((off[i] * off[j] * precision[i * _P + j] * (1 if i == j else 2)
                 for i in range(_P) for j in range(i, _P)), F.lit(0.0))
 
 
@@ -217,26 +226,43 @@ def _grouped(rows: DataFrame, n: int) -> DataFrame:
     return join_by_key(keyed, sizes, ["own"], "n_own", n, ["_fk", "_rx"]).drop("own", "n_own")
 
 
-def estimates(vectors: DataFrame, n: int, share: float = SHARE, precision: Callable = _ridged) -> DataFrame:
-    """(grp, n, mean, precision) of every group of the stage ``vectors`` (grp, v0 ...), reweighted."""
-    now = stage(vectors.groupBy("grp").agg(F.count("*").alias("n"), *[
+def _sums() -> list[Column]:
+    return [*[F.sum(f"v{i}").alias(f"s{i}") for i in range(_P)],
+            *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}_{j}") for i in range(_P) for j in range(i, _P)]]
+
+
+def _stepped(vectors: DataFrame, n: int, now: DataFrame, update: Callable) -> DataFrame:
+    """The next estimates from those of ``now``."""
+    sided = now.groupBy("grp").agg(F.first("n").alias("n"), F.collect_list(F.struct("start", "mean", "precision")).alias("starts"))
+    met = join_by_key(vectors, stage(sided), ["grp"], "n", n, ["_fk", "_rx"]).withColumn("at", F.explode("starts"))
+    far = F.greatest(_distance(F.col("at.mean"), F.col("at.precision")), F.lit(2.0 ** -10))
+    number = F.least(F.floor(BINS * F.log2(far)), F.lit(40 * BINS)).cast("int")
+    bins = met.groupBy("grp", F.col("at.start").alias("start"), number.alias("bin")).agg(F.count("*").alias("m0"), *_sums())
+    return bins.groupBy("grp", "start").applyInPandas(update, ESTIMATE)
+
+
+def concentrated(vectors: DataFrame, n: int) -> DataFrame:
+    """The estimate of every group and start of the stage ``vectors`` (grp, v0 ...) where its determinant falls no more."""
+    now = stage(vectors.groupBy("grp").agg(F.count("*").alias("n"), *_sums(), *[
         F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 10_000).alias(f"v{i}") for i in range(_P)])
-        .groupBy("grp").applyInPandas(_start(precision), ESTIMATE))
-    steps = [_updated(share, 0.0, consistency(share), precision)] * STEPS + [
-        _updated(None, chi2_point(0.975, _P), consistency(0.975), precision)]
-    for update in steps:
-        far = _bin()
-        bins = (join_by_key(vectors, now, ["grp"], "n", n, ["_fk", "_rx"]).withColumn("bin", far)
-                .groupBy("grp", "bin").agg(
-                    F.count("*").alias("m0"), *[F.sum(f"v{i}").alias(f"s{i}") for i in range(_P)],
-                    *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}_{j}")
-                      for i in range(_P) for j in range(i, _P)]))
-        now = stage(bins.groupBy("grp").applyInPandas(update, ESTIMATE))
+        .groupBy("grp").applyInPandas(_started, ESTIMATE).withColumn("live", F.lit(True)))
+    for _ in range(STEPS):
+        then = _stepped(vectors, n, now.filter("live"), _updated(CORE)).select(
+            "grp", "start", *[F.col(c).alias(f"new_{c}") for c in ("mean", "precision", "log_det")])
+        falls = F.coalesce(F.col("new_log_det") < F.col("log_det") - FALL, F.lit(False))
+        now = stage(now.join(then, ["grp", "start"], "left").select(
+            "grp", "start", "n", *[F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "precision", "log_det")],
+            falls.alias("live")))
+        if now.filter("live").isEmpty():
+            break
     return now
 
 
-def _bin() -> Column:
-    return F.least(F.floor(BINS * F.log2(F.greatest(_distance(), F.lit(2.0 ** -10)))), F.lit(40 * BINS)).cast("int")
+def estimates(vectors: DataFrame, n: int) -> DataFrame:
+    """(grp, n, mean, precision) of every group: of its start with the least determinant, reweighted."""
+    every = concentrated(vectors, n)
+    best = every.groupBy("grp").agg(F.min_by(F.struct(*every.columns), F.struct("log_det", "start")).alias("e")).select("e.*")
+    return stage(_stepped(vectors, n, best, _updated(None, chi2_point(0.975, _P))))
 
 
 def judge(keyed: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -252,10 +278,11 @@ def judge(keyed: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     n = passed.count()
     vectors = stage(_grouped(passed.select("_fk", "_rx", "lang", "source", *[
         c.alias(f"v{i}") for i, c in enumerate(_vector())]), n).select("_fk", "_rx", "grp", *[f"v{i}" for i in range(_P)]))
-    found = estimates(vectors, n, CORE, _raised)
-    far = join_by_key(vectors, found, ["grp"], "n", n, ["_fk", "_rx"]).select(
-        "_fk", "_rx", _distance().alias("distance"),
-        ((_distance() <= chi2_point(1 - tail, _P)) | (F.col("n") < MIN_GROUP)).alias("within"))
+    votes = stage(vectors.dropDuplicates(["grp", *[f"v{i}" for i in range(_P)]]))
+    found = estimates(votes, votes.count()).join(vectors.groupBy("grp").agg(F.count("*").alias("n_rows")), "grp")
+    far = join_by_key(vectors, stage(found), ["grp"], "n_rows", n, ["_fk", "_rx"]).select(
+        "_fk", "_rx", _distance(F.col("mean"), F.col("precision")).alias("distance"),
+        ((_distance(F.col("mean"), F.col("precision")) <= chi2_point(1 - tail, _P)) | (F.col("n") < MIN_GROUP)).alias("within"))
     return (measured.join(far, ["_fk", "_rx"], "left")
             .withColumn("kept", ~F.col("base_failed") & F.coalesce("within", F.lit(False))).drop("within"))
 

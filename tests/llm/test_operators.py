@@ -614,27 +614,59 @@ def test_least_variance_leaves_greater_ones():
     assert np.allclose(np.linalg.inv(quality_mcd._raised(np.diag(variances))), np.diag(np.maximum(variances, least)))
 
 
-def test_estimates_match_numpy(spark):
-    """The concentration steps over bins against the same steps over all distances at once."""
+def _vectors(spark, *groups):
+    rows = [(name, 0, i, *map(float, v)) for name, x in groups for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "grp string, _fk long, _rx long, v0 double, v1 double, v2 double, v3 double, v4 double")
+    return util.stage(df), len(rows)
+
+
+def _plain_steps(x, mean, cov):
+    """Concentration over bins until the determinant falls no more."""
+    best = None
+    while True:
+        d = np.einsum("ij,jk,ik->i", x - mean, quality_mcd._raised(cov), x - mean)
+        b = np.floor(quality_mcd.BINS * np.log2(np.maximum(d, 2.0 ** -10)))
+        inner = x[b <= np.sort(b)[max(math.ceil(.5 * len(x)), (len(x) + 6) // 2) - 1]]
+        mean = inner.mean(0)
+        cov = (inner - mean).T @ (inner - mean) / len(inner) * quality_mcd.consistency(len(inner) / len(x))
+        log_det = -np.linalg.slogdet(quality_mcd._raised(cov))[1]
+        if best is not None and log_det >= best[0] - quality_mcd.FALL:
+            return best
+        best = log_det, mean, cov
+
+
+def test_starts_match_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (600, 5)) @ np.diag([1, .3, .2, .5, .4]) + 2
-    x[:90] += 8
-    rows = [("g", 0, i, *map(float, v)) for i, v in enumerate(x)]
-    df = util.stage(spark.createDataFrame(rows, "grp string, _fk long, _rx long, v0 double, v1 double, v2 double, v3 double, v4 double"))
-    got = quality_mcd.estimates(df, len(rows)).first()
+    x[:200, :2] += 8
+    got = {r["start"]: r for r in quality_mcd.concentrated(*_vectors(spark, ("g", x))).collect()}
     q = np.quantile(x, [.25, .5, .75], axis=0, method="inverted_cdf")
-    ridge = np.diag(np.square(quality_mcd.FLOOR))
-    mean, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + ridge
-    for step in range(quality_mcd.STEPS + 1):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        b = np.floor(quality_mcd.BINS * np.log2(np.maximum(d, 2.0 ** -10)))
-        if step < quality_mcd.STEPS:
-            inner, share = x[b <= np.sort(b)[math.ceil(.75 * len(x)) - 1]], quality_mcd.SHARE
-        else:
-            inner, share = x[b <= quality_mcd._bin_number(quality_mcd.chi2_point(.975, 5))], .975
-        mean = inner.mean(0)
-        cov = (inner - mean).T @ (inner - mean) / len(inner) * quality_mcd.consistency(share) + ridge
-    assert np.allclose(got["mean"], mean) and np.allclose(got["precision"], np.linalg.inv(cov).reshape(-1), rtol=1e-6)
+    spread = np.diag(((q[2] - q[0]) / 1.349) ** 2)
+    begins = {"median": (q[1], spread), "mean": (x.mean(0), np.cov(x.T, bias=True)), "lower": (q[0], spread), "upper": (q[2], spread)}
+    assert set(got) == set(begins)
+    for start, begin in begins.items():
+        log_det, mean, _ = _plain_steps(x, *begin)
+        assert got[start]["log_det"] == pytest.approx(log_det, abs=1e-6) and np.allclose(got[start]["mean"], mean)
+
+
+def test_least_determinant_is_kept_where_a_start_fails(spark):
+    """A group whose junk (45 %) lies so that some start ends at a greater determinant, beside a clean group."""
+    rng = np.random.default_rng(5)
+    clean = rng.normal(0, 1, (2000, 5)) @ np.diag([.6, .1, .2, .3, .3]) + [5, 1.6, 1, 1, 1]
+    mixed = rng.normal(0, 1, (2000, 5)) @ np.diag([.6, .1, .2, .3, .3]) + [5, 1.6, 1, 1, 1]
+    mixed[:900] += 8 * np.array([.6, .1, .2, .3, .3])
+    vectors, n = _vectors(spark, ("clean", clean), ("mixed", mixed))
+    ends = [r["log_det"] for r in quality_mcd.concentrated(vectors, n).filter("grp = 'mixed'").collect()]
+    assert max(ends) > min(ends) + 1  # a start failed
+    found = {r["grp"]: r for r in quality_mcd.estimates(vectors, n).collect()}
+    for name, x in (("clean", clean), ("mixed", mixed)):
+        mean, precision = np.array(found[name]["mean"]), np.array(found[name]["precision"]).reshape(5, 5)
+        d = np.einsum("ij,jk,ik->i", x - mean, precision, x - mean)
+        out = d > quality_mcd.chi2_point(1 - quality_mcd.TAIL, 5)
+        if name == "mixed":
+            assert out[:900].mean() > .95
+            out = out[900:]
+        assert out.mean() < .005 and np.allclose(mean, [5, 1.6, 1, 1, 1], atol=.15)
 
 
 # row places
