@@ -11,8 +11,9 @@
 A document's language is the one whose spans hold most letters (on a tie the
 first by code point), its score the share of letters in them.
 
-Counts are learned from about ``BOUND`` labelled texts of each language, of at
-most ``FIT_CHARS`` characters; identification reads every whole text. The model
+Counts are learned from about ``BOUND`` labelled texts of each language, of
+longer ones a window of ``FIT_CHARS`` characters at a seeded place;
+identification reads every whole text. The model
 sent to the tasks has ``languages * 2 ** BITS`` floats; languages are the
 distinct labels.
 
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chars
-from .sampling import label_counts, sample_per_label
+from .sampling import label_counts, sample_per_label, window_of
+from .util import field, row_keyed
 
 BITS = 16
 SIZES = (2, 3, 4)
@@ -189,16 +191,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """Learn from rows with a language; ``learn`` (over the id column ``id``) says which rows may be learned from."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
+    rows = row_keyed(docs).select("_fk", "_rx", field(id_col).alias("id"), field(text_col).cast("string").alias("text"),
+                                  field(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
     if learn is not None:
         rows = rows.filter(learn)
     counts = label_counts(rows, "lang")
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((0, 0), np.float32), np.zeros((0, 0), bool))
-    sample = sample_per_label(rows, "lang", counts, [F.col("id")], BOUND, SEED).filter(
-        F.length("text").between(1, FIT_CHARS)).select("text", "lang")
+    place = [F.col("_fk"), F.col("_rx")]  # not the id: rows that share one must not come or go together
+    sample = sample_per_label(rows, "lang", counts, place, BOUND, SEED).filter(F.length("text") > 0).select(
+        window_of(F.col("text"), FIT_CHARS, place, SEED).alias("text"), "lang")
     found = (sample.mapInArrow(_counted, "lang string, place int, n long")
              .groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow())
     table = np.zeros(((1 << BITS) + len(SCRIPTS) + 1, len(langs)))

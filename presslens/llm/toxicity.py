@@ -8,9 +8,12 @@ neutral (zero) words; both keep texts of a few words, or of a few words over
 and over, from scoring by chance. A linear softmax reads off the classes (Joulin et al. 2017; Bojanowski et al. 2017). Embeddings and softmax are trained jointly in numpy
 with Adagrad. Unseen misspellings share n-grams with seen words.
 
-Fitting uses at most about ``BOUND`` labelled rows of each class, of texts of
-at most ``FIT_CHARS`` characters; rows are weighted back to the class shares
-of all labelled rows. Scoring reads every whole text. As the mean and the
+Fitting uses at most about ``BOUND`` labelled rows of each class, counted after
+the labels have met their texts, and of each text a window at a seeded place:
+of ``FIT_CHARS`` characters, or of the half, quarter ... of that with which no
+class has more than ``FIT_TOTAL``. That bounds the one training task; no text
+is left out for its length. Rows are weighted back to the class shares of all
+labelled ids. Scoring reads every whole text. As the mean and the
 softmax are linear, an embedding enters a score through one number, so what is
 sent to the tasks is one float per bucket (1 MiB) and a bias.
 
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chars
-from .sampling import label_counts, sample_per_label
+from .sampling import label_counts, sample_per_label, window_of, window_size
+from .util import field, row_keyed, stage
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -45,6 +49,7 @@ RATE = 2.0
 BATCH = 32
 BOUND = 3000
 FIT_CHARS = 16_384
+FIT_TOTAL = 24 << 20
 SEED = 7
 
 
@@ -162,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from ``docs`` with a 0/1 label; ``learn`` (over the id column ``id``) says which ids may be learned from."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(
-        F.col("label").isin(0, 1) & F.col("id").isNotNull())
+        F.col("label").isin(0, 1) & F.col("id").isNotNull()).distinct()
     if learn is not None:
         known = known.filter(learn)
     counts = label_counts(known, "label")
@@ -172,10 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     if len(counts) < 2:
         return nothing
     sample = sample_per_label(known, "label", counts, [F.col("id")], BOUND, SEED)  # 2 * BOUND narrow rows or so
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(
-        F.length("text").between(1, FIT_CHARS))
-    rows = (texts.join(F.broadcast(sample), "id")
-            .select(F.xxhash64(F.lit(SEED + 1), "id", "text").alias("place"), "label", "text")
+    texts = row_keyed(docs).select("_fk", "_rx", field(id_col).alias("id"), field(text_col).cast("string").alias("text")).filter(
+        F.length("text") > 0)
+    place = [F.col("_fk"), F.col("_rx")]
+    met = stage(texts.join(F.broadcast(sample), "id").select("_fk", "_rx", "label", window_of(F.col("text"), FIT_CHARS, place, SEED).alias("text")))
+    # an id may have met very many documents
+    thin = sample_per_label(met, "label", label_counts(met, "label"), place, BOUND, SEED + 2)
+    size = window_size(thin, "text", "label", FIT_CHARS, FIT_TOTAL)
+    text = window_of(F.col("text"), size, place, SEED + 3)
+    rows = (thin.select(F.xxhash64(F.lit(SEED + 1), "text").alias("place"), "label", text.alias("text"))
             .mapInArrow(_featured, "place long, label int, ids array<int>, shares array<float>"))
     # the sample is bounded, so one task can hold it; the driver gets the weights alone
     found = rows.repartition(1).mapInArrow(_trained(prior), "weight binary, bias double").collect()

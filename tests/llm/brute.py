@@ -188,3 +188,22 @@ def cheapest_routes(patterns: list[tuple[tuple, int]], quotas: dict, most: int =
         best = then
     sent, cost = max(best.values())
     return sent, -cost
+
+
+def subword_buckets(word: str, sizes, bits: int) -> list[int]:
+    """Buckets of a word and of its n-grams with one boundary on each side."""
+    factor, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    letters = [ord(c) for c in word]
+    own = 0
+    for i, c in enumerate(letters):
+        x = (c + i * 0x1F123BB5) * factor & full
+        own += (x ^ x >> 29) * 0xBF58476D1CE4E5B9
+    out = [(own * factor & full) >> 64 - bits]
+    padded = [0, *letters, 0]
+    for n in sizes:
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for c in padded[i:i + n]:
+                h = h * factor + c
+            out.append(((h ^ n) & full) * factor % (1 << 64) >> 64 - bits)
+    return out

@@ -23,8 +23,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from presslens.llm import (chars, exact_dedup, lang_id, mixture, quality_mcd, sentencepiece_sample, sharding,
-                           simhash_golay, token_count, toxicity, util, warc)
+from presslens.llm import (chars, exact_dedup, lang_id, mixture, quality_mcd, sampling, sentencepiece_sample,
+                           sharding, simhash_golay, token_count, toxicity, util, warc)
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "kept boolean, score double, shard int, _row string, fp long, digest string, pattern string, size long")
@@ -434,6 +434,96 @@ def test_toxicity_defined_cases(spark, docs):
     assert kept.columns == docs.columns
 
 
+def _plain_score(model, text) -> float:
+    """Words, their subwords and the weighted mean, one by one."""
+    counts = Counter(w.lower() for w in re.findall(r"[^\W\d_]+", text or ""))
+    if not counts:
+        return model.prior
+    total = weight = 0.0
+    for word, n in counts.items():
+        ids = brute.subword_buckets(word, toxicity.SIZES, toxicity.BITS)
+        total += math.sqrt(n) * np.mean([model.weight[i] for i in ids])
+        weight += math.sqrt(n)
+    return 1 / (1 + math.exp(-(total / (weight + toxicity.PAD) + model.bias)))
+
+
+def test_toxicity_scores_match_a_plain_mean(spark, docs, rows):
+    labels = spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows) if r[0] is not None], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.weight) and np.any(model.weight)
+    got = toxicity.score(docs, model, docs.columns).select("_row.*", "score").collect()  # the table has a column score itself
+    assert len(got) == len(rows)
+    for r in got:
+        assert r[-1] == pytest.approx(_plain_score(model, r["text"]), abs=1e-4)
+
+
+def test_one_step_of_training_matches_plain_gradients(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    rng = np.random.default_rng(1)
+    sizes, labels, weight = np.array([2, 3, 1]), np.array([0, 1, 1]), np.array([.5, 1, 2], np.float32)
+    ids, shares = np.array([5, 9, 5, 7, 9, 7]), rng.uniform(.1, 1, 6).astype(np.float32)
+    got = toxicity.train(ids, shares, sizes, labels, weight, .3)
+    first = np.random.default_rng(toxicity.SEED).uniform(-1 / toxicity.DIM, 1 / toxicity.DIM, (3, toxicity.DIM)).astype(np.float32)
+    emb = dict(zip((5, 7, 9), first))
+    docs, k = [], 0
+    for n in sizes:
+        docs.append(list(zip(ids[k:k + n], shares[k:k + n])))
+        k += n
+    p1 = .3  # the softmax begins with the prior alone
+    d_soft, d_bias = np.zeros((toxicity.DIM, 2)), np.zeros(2)
+    for doc, y, w in zip(docs, labels, weight):
+        off = np.array([1 - p1, p1])
+        off[y] -= 1
+        mean = sum(s * emb[i] for i, s in doc)
+        d_soft += np.outer(mean, off * w)
+        d_bias += off * w
+    soft = -toxicity.RATE * d_soft / np.sqrt(1e-8 + d_soft ** 2)
+    bias = np.log([.7, .3]) - toxicity.RATE * d_bias / np.sqrt(1e-8 + d_bias ** 2)
+    want = {i: emb[i] @ (soft[:, 1] - soft[:, 0]) for i in emb}  # embeddings don't move yet: the softmax was zero
+    assert got.bias == pytest.approx(bias[1] - bias[0], rel=1e-4)
+    assert all(got.weight[i] == pytest.approx(w, rel=1e-3, abs=1e-4) for i, w in want.items())
+    assert np.flatnonzero(got.weight).tolist() == [5, 7, 9]
+
+
+def test_classes_of_long_texts_only_are_learned(spark):
+    """Texts longer than the window: seeded windows of them are learned from."""
+    rng = random.Random(2)
+
+    def text(words):
+        return " ".join(rng.choices(words, k=6000))
+    rows = [(i, text(["calm", "tree", "river"]), 0, "en") for i in range(20)] + [
+        (20 + i, text(["calm", "tree", "nasty"]), 1, "fr") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    assert df.filter("length(text) > 20000").count() == 40
+    score = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).score(["nasty tree " * 9, "river tree " * 9])
+    assert score[0] > 0.5 > score[1]
+    assert [x[0] for x in lang_id.identify_texts(lang_id.fit(df), ["nasty nasty nasty", "river river river"])] == ["fr", "en"]
+
+
+def test_an_id_of_very_many_rows_stays_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BOUND", 50)
+    df = spark.createDataFrame([(1 if i % 2 else 2, f"word{i} calm" if i % 2 else "nasty") for i in range(4000)], "doc_id long, text string")
+    held = []
+    monkeypatch.setattr(toxicity, "sample_per_label", lambda *a: held.append(sampling.sample_per_label(*a)) or held[-1])
+    model = toxicity.fit(df, spark.createDataFrame([(1, 0), (2, 1)] * 30, "doc_id long, toxic int"))
+    assert held[-1].count() < 200 and model.prior == 0.5
+    assert model.score(["nasty nasty", "calm calm"])[0] > 0.5
+
+
+def test_language_of_awkward_rows(spark, docs, rows, none):
+    model = lang_id.fit(docs)
+    got = lang_id.identify(docs, model)
+    assert got.columns == ["doc_id", "lang_pred", "score", "spans"]
+    got = got.collect()
+    texts = [r[1] for r in rows]
+    want = lang_id.identify_texts(model, texts)
+    assert _multiset((r["doc_id"], r["lang_pred"], round(r["score"], 9), len(r["spans"])) for r in got) == _multiset(
+        (r[0], w[0], round(w[1], 9), len(w[2])) for r, w in zip(rows, want))
+    assert all(w[0] == "und" and w[1] == 0 for t, w in zip(texts, want) if not re.search(r"[^\W\d_]", t or ""))
+    assert lang_id.identify(docs, lang_id.fit(none)).filter("lang_pred <> 'und'").isEmpty()
+    assert lang_id.identify(none, model).collect() == []
+
+
 # SentencePiece
 
 
