@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import HEAVY_SHARE, SPACE_RUN, field, row_keyed, stage
+from .util import HEAVY_SHARE, SPACE_RUN, field, row_keyed, stage, without_rows
 
 #: Counters of a Misra-Gries summary: its error, n / (COUNTERS + 1), is half the share looked for.
 COUNTERS = 2 * HEAVY_SHARE - 1
@@ -98,5 +98,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     keyed = row_keyed(docs)
-    dropped = decide(keyed, id_col, text_col).filter(~F.col("kept")).select("_fk", "_rx")
-    return keyed.join(dropped, ["_fk", "_rx"], "left_anti").select("_row.*")
+    classes = stage(decide(keyed, id_col, text_col).select("_fk", "_rx", (~F.col("kept")).alias("dropped")))
+    return without_rows(keyed, classes, "dropped")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import field, join_by_key, row_keyed, stage
+from .util import field, join_by_key, row_keyed, stage, without_rows
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -337,5 +337,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of each component, with all its columns."""
     keyed = row_keyed(docs)
     rows, _ = classes(_placed(keyed, id_col, text_col, shingle), most)
-    dropped = rows.filter((F.col("_fk") != F.col("winner._fk")) | (F.col("_rx") != F.col("winner._rx"))).select("_fk", "_rx")
-    return keyed.join(dropped, ["_fk", "_rx"], "left_anti").select("_row.*")
+    dropped = (F.col("_fk") != F.col("winner._fk")) | (F.col("_rx") != F.col("winner._rx"))
+    return without_rows(keyed, stage(rows.select("_fk", "_rx", dropped.alias("dropped"))), "dropped")

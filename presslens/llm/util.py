@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 from collections.abc import Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import membership
 from ..session import materialize
 
 #: A key holding at least 1/HEAVY_SHARE of all rows is heavy. There are at
@@ -53,20 +52,27 @@ def from_files(df: DataFrame) -> bool:
     """True if each row is one row of one file: a file relation under nothing
     but projections and filters. (A join or an explode also knows the place of
     its rows, but may hold several of one place.)"""
-    said = io.StringIO()
-    with contextlib.redirect_stdout(said):
-        df.explain("extended")
-    analyzed = said.getvalue().partition("== Analyzed Logical Plan ==")[2].partition("== Optimized Logical Plan ==")[0]
-    steps = [line.lstrip(" :+-") for line in analyzed.strip().splitlines()[1:]]
-    if not all(x.startswith(("Project ", "Filter ", "Relation ")) for x in steps):
+    step = df._jdf.queryExecution().analyzed()
+    while step.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        step = step.children().head()
+    if not step.children().isEmpty() or "Relation" not in step.nodeName():
         return False
     try:
-        return sum(x.startswith("Relation ") for x in steps) == 1 and bool(
-            df.select(df.metadataColumn("_metadata")["row_index"]).schema)
+        return bool(df.select(df.metadataColumn("_metadata")["row_index"]).schema)
     except AnalysisException:
         return False
 
 
+def without_rows(keyed: DataFrame, classes: DataFrame, dropped: str) -> DataFrame:
+    """The rows of ``row_keyed(...)`` whose place is not ``dropped`` in the stage
+    ``classes`` (_fk, _rx and that boolean, for every row). Rows stay where they
+    are; only beyond some ten million dropped rows are they joined with them."""
+    gone = membership.cascade(classes, ["_fk", "_rx"], dropped)
+    if gone is not None:
+        return keyed.filter(~gone).select("_row.*")
+    return keyed.join(classes.filter(dropped), ["_fk", "_rx"], "left_anti").select("_row.*")
+
+
 def field(name: str) -> Column:
     """A column of the packed input row."""
     return F.col("_row").getField(name)

@@ -17,7 +17,8 @@ are read at once, up to ``MOST`` bytes. Every record is parsed, its lengths
 are checked, and a response's payload must have the digest of its header.
 
 Archives go through ``pyarrow.fs``: the folder may be on a shared disk or any
-store that pyarrow opens by URI (hdfs, s3, gs ...).
+store that pyarrow opens by URI (hdfs, s3, gs ...). A folder without scheme is
+the one that Spark resolves it to, not a folder of each machine.
 
 Defined cases: a null payload is empty; a null id comes last among equal
 payloads; rows that repeat the id and payload of a response are responses too;
@@ -36,12 +37,11 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_path
+from ..session import filesystem, qualified, stage_path
 from .util import join_by_key, stage
 
 #: Bytes of a file that one reading task's group covers, and of one read at most.
@@ -101,15 +101,11 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
-
-
 class _Archive:
     """An archive being written; its index rows are given out once the file is closed."""
 
     def __init__(self, folder: str):
-        store, path = _open(folder)
+        store, path = filesystem(folder)
         store.create_dir(path, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         self.uri, self.at = f"{folder}/{name}", 0
@@ -156,7 +152,8 @@ def _archived(folder: str):
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col: str = "page_id",
                    url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write ``pages`` as archives below ``folder`` (a new stage folder by default); returns the index, itself written."""
-    folder = folder or stage_path(pages.sparkSession)
+    spark = pages.sparkSession
+    folder = qualified(spark, folder or stage_path(spark))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").cast("binary").alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
@@ -175,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 def _read(with_payload: bool):
     """Records of index rows sorted by file and offset."""
     def records(file: str, ranges: list[tuple[int, int]]) -> Iterator[Parsed]:
-        store, path = _open(file)
+        store, path = filesystem(file)
         with store.open_input_file(path) as source:
             k = 0
             while k < len(ranges):
