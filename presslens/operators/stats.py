@@ -162,6 +162,15 @@ def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = 42) ->
     return df.filter(h < F.lit(fraction * 2.0 ** 52))
 
 
+def pivot_values(df: DataFrame, col: str, most: int = 10_000) -> list[str]:
+    """The columns that a pivot over ``col`` makes: its distinct values, in
+    order. They become columns, so there can't be more than ``most``."""
+    found = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values to make columns of")
+    return sorted(found)
+
+
 def hierarchy_counts(df: DataFrame, levels: Sequence[str], label: str | None = None) -> DataFrame:
     """Counts at every level of a hierarchy (``rollup``), with the
     label of a node when all its rows share one label."""

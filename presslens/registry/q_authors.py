@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..operators import stats as S
 from ..operators import clean as N
 from ..operators.joins import contains_any
 from ..plans import authors as AU
@@ -195,25 +196,23 @@ def d11_author_sentiment_rounded(spark, sf):
     return AU.group_sentiment(_scored_all(spark, sf), "author", min_articles=1, digits=3)
 
 
-PIVOT_PUBLICATIONS = ("src1", "src2", "src3", "src4")
+ALL_PUBLICATIONS = tuple(f"src{i}" for i in range(20))  # those of the fixture
 
 
 @register("g5_monthly_score_pivot", lambda: SCORED_ALL() + "SELECT last_day(date) AS date, " + ", ".join(
-    f"round_even(round_even(avg(article_textblob_sentiment) FILTER (WHERE publication = '{p}'), 9), 3) AS {p}" for p in PIVOT_PUBLICATIONS)
+    f"round_even(round_even(avg(article_textblob_sentiment) FILTER (WHERE publication = '{p}'), 9), 3) AS {p}" for p in ALL_PUBLICATIONS)
     + " FROM sall WHERE date IS NOT NULL AND publication IS NOT NULL GROUP BY 1")
 def g5_monthly_score_pivot(spark, sf):
-    """Monthly mean article score, a column for each of four publications."""
-    return AU.monthly_score_pivot(_scored_all(spark, sf), "publication", PIVOT_PUBLICATIONS)
-
-
-ALL_PUBLICATIONS = tuple(f"src{i}" for i in range(20))  # those of the fixture
+    """Monthly mean article score, a column for every publication that there is."""
+    scored = _scored_all(spark, sf)
+    return AU.monthly_score_pivot(scored, "publication", S.pivot_values(scored.filter("date IS NOT NULL"), "publication"))
 
 
 @register("g5_monthly_score_pivot_all", lambda: SCORED_ALL() + "SELECT last_day(date) AS date, " + ", ".join(
     f"round_even(round_even(avg(article_textblob_sentiment) FILTER (WHERE publication = '{p}'), 9), 3) AS {p}" for p in ALL_PUBLICATIONS)
     + " FROM sall WHERE date IS NOT NULL AND publication IS NOT NULL GROUP BY 1")
 def g5_monthly_score_pivot_all(spark, sf):
-    """Monthly mean article score, a column for every publication of the fixture."""
+    """The same with the publications of the fixture stated."""
     return AU.monthly_score_pivot(_scored_all(spark, sf), "publication", ALL_PUBLICATIONS)
 
 

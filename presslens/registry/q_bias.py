@@ -138,6 +138,15 @@ def d12_risen_share(spark, sf):
     return bias.polarised_share_change(_pol(spark, sf), digits=2).filter(F.col("polarity_ratio_increase") > 0)
 
 
+@register("d12_risen_share_four_digits", W("facts") + D12_SQL.format(src="facts") + """
+SELECT publication, round_even(full_ratio, 4) AS full_ratio, round_even(polarized_ratio, 4) AS polarized_ratio,
+       round_even(polarized_ratio - full_ratio, 4) AS polarity_ratio_increase
+FROM sh WHERE round_even(polarized_ratio - full_ratio, 4) > 0""")
+def d12_risen_share_four_digits(spark, sf):
+    """The same with four digits, which the fixture's shares differ in."""
+    return bias.polarised_share_change(_pol(spark, sf), digits=4).filter(F.col("polarity_ratio_increase") > 0)
+
+
 # The jobs in a row, raw articles to bias scores: cleaned sections, topics, sentiment, bias.
 
 def _chain(spark, sf):

@@ -74,6 +74,15 @@ def s4_limited_file_read(spark, sf):
     return IO.read_files(spark, path, n=2, shuffle=True, seed=7)
 
 
+@register("s4_first_files", W("articles") + f"SELECT {RAW_COLS} FROM articles WHERE article_id % 5 < 2")
+def s4_first_files(spark, sf):
+    """Two of five files, in the order of their paths."""
+    path = IO.scratch_path(spark, "files")
+    raw = _raw(spark, sf).withColumn("part", F.col("article_id") % 5)
+    raw.repartition("part").write.partitionBy("part").parquet(path)
+    return IO.read_files(spark, path, n=2).select(*FIXTURE_SCHEMA.fieldNames())
+
+
 @register("s6_balanced_slices", W("articles") + "SELECT CAST(25 AS BIGINT) AS slices, count(*) AS rows FROM articles")
 def s6_balanced_slices(spark, sf):
     sizes = IO.slice_sizes(IO.balanced_slices(_raw(spark, sf), 25))

@@ -197,7 +197,8 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")  #
     + " FROM facts WHERE date IS NOT NULL AND publication IS NOT NULL GROUP BY 1")
 def g5_pivot_publications(spark, sf):
     from ..plans.sections import publication_month_pivot
-    return publication_month_pivot(FA(spark, sf), SEGMENTS)
+    facts = FA(spark, sf)
+    return publication_month_pivot(facts, S.pivot_values(facts, "publication"))
 
 
 @register("g6_unpivot_scores", W("facts") + """,
@@ -219,7 +220,7 @@ def g7_transpose_summary(spark, sf):
     m = S.non_null(FA(spark, sf), ["publication"]).groupBy("publication").agg(
         F.avg("pos").alias("pos"), F.avg("neg").alias("neg"))
     return m.unpivot("publication", ["pos", "neg"], "stat", "value") \
-        .groupBy("stat").pivot("publication", list(SEGMENTS)).agg(F.max("value"))
+        .groupBy("stat").pivot("publication", S.pivot_values(m, "publication")).agg(F.max("value"))
 
 
 @register("g9_dense_row_number", W("facts") + """

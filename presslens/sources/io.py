@@ -99,17 +99,19 @@ def clear_table(spark: SparkSession, base: str, layer: str, table: str) -> bool:
 def read_files(spark: SparkSession, path: str, n: int | None = None, shuffle: bool = False,
                seed: int = 42) -> DataFrame:
     """Read the first ``n`` data files of a table (all when ``n`` is
-    None or larger than the file count), optionally in a seeded random
-    order. Only the chosen files are scanned; the listing is metadata."""
+    None or larger than the file count) by path, or in a seeded random order.
+
+    Files are ranked as rows of their own (no data column is read); the driver
+    gets the ``n`` paths, and the filter on the files' path prunes the scan, so
+    other files are not opened. Files without rows are not counted."""
     df = spark.read.parquet(path)
     if n is None:
         return df
-    files = sorted(df.inputFiles())
-    if shuffle:
-        import random
-        random.Random(seed).shuffle(files)
-    chosen = files[:n]
-    return spark.read.schema(df.schema).parquet(*chosen) if chosen else df.limit(0)
+    file = F.col("_metadata.file_path")
+    listed = df.select(file.alias("file")).distinct()
+    order = [F.xxhash64(F.lit(seed), "file"), F.col("file")] if shuffle else [F.col("file")]
+    chosen = [r["file"] for r in listed.orderBy(*order).limit(n).collect()]
+    return df.filter(file.isin(chosen)) if chosen else df.limit(0)
 
 
 def list_files(spark: SparkSession, location: str, pattern: str = ".*", recursive: bool = True) -> DataFrame:

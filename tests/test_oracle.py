@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as E
 from oracle_check import compare
 from presslens import fixtures as fx
+from presslens.sources import io as IO
 
 SQL = {k: v for k, v in E.oracle_sql().items() if not k.startswith("op")}
 QUERIES = {k: v for k, v in E.queries().items() if not k.startswith("op") and k != "pipeline"}
@@ -60,6 +61,31 @@ def test_file_choice_and_inventory(spark, sf_dir):
     assert all(r["length"] == os.path.getsize(f"{sf_dir}/{os.path.basename(r['path'])}") for r in listed)
 
 
+def _files_read(df) -> list[int]:
+    """Files that the scans of the executed plan have read."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        step = todo.pop()
+        if step.nodeName() == "AdaptiveSparkPlan":
+            todo.append(step.executedPlan())
+        if step.nodeName().startswith("Scan"):
+            found.append(step.metrics().apply("numFiles").value())
+        todo += [step.children().apply(i) for i in range(step.children().size())]
+    return found
+
+
+def test_only_the_chosen_files_are_read(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(1000).repartition(10).write.parquet(path)
+    for n, shuffle in ((3, False), (3, True), (1, True)):
+        assert _files_read(IO.read_files(spark, path, n, shuffle)) == [n]
+    assert _files_read(IO.read_files(spark, path, 99, True)) == [10] and IO.read_files(spark, path, 99).count() == 1000
+    some = [IO.read_files(spark, path, 3, True, seed).select("_metadata.file_name").distinct().collect() for seed in (1, 1, 2, 3, 4)]
+    assert sorted(some[0]) == sorted(some[1]) and any(sorted(x) != sorted(some[0]) for x in some[2:])
+    assert IO.read_files(spark, path, 0).count() == 0
+
+
 def test_random_split(spark, sf_dir):
     ids = [r[0] for r in QUERIES["m2_random_split"](spark, sf_dir).collect()]
     assert len(ids) == len(set(ids)) and 0.1 < len(ids) / 1000 < 0.3
