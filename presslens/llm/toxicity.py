@@ -49,7 +49,7 @@ RATE = 2.0
 BATCH = 32
 BOUND = 3000
 FIT_CHARS = 16_384
-FIT_TOTAL = 24 << 20
+FIT_TOTAL = 10 << 20
 SEED = 7
 
 
@@ -188,32 +188,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     rows = (thin.select(F.xxhash64(F.lit(SEED + 1), "text").alias("place"), "label", text.alias("text"))
             .mapInArrow(_featured, "place long, label int, ids array<int>, shares array<float>"))
     # the sample is bounded, so one task can hold it; the driver gets the weights alone
-    found = rows.repartition(1).mapInArrow(_trained(prior), "weight binary, bias double").collect()
+    found = rows.repartition(1).sortWithinPartitions("place", "label").mapInArrow(_trained(prior), "weight binary, bias double").collect()
     return Model(np.frombuffer(bytes(found[0]["weight"]), np.float32), found[0]["bias"], prior) if found else nothing
 
 
 def _trained(prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
+        ids, shares, sizes, labels = [], [], [], []
+        for batch in batches:
+            rows = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column("ids")), 0))
+            sizes.append(pa.compute.list_value_length(rows.column("ids")).to_numpy().astype(np.int64))
+            labels.append(rows.column("label").to_numpy())
+            # copies, so that the batches can go
+            ids.append(rows.column("ids").flatten().to_numpy().copy())
+            shares.append(rows.column("shares").flatten().to_numpy().copy())
+        if not sizes:
             return
-        rows = pa.Table.from_batches(held)
-        del held
-        order = pa.compute.sort_indices(rows.select(["place", "label"]), [("place", "ascending"), ("label", "ascending")])
-        order = order.filter(pa.compute.greater(pa.compute.list_value_length(rows["ids"]).take(order), 0))
-        labels = rows["label"].take(order).to_numpy()
+        sizes, labels = np.concatenate(sizes), np.concatenate(labels)
         got = np.bincount(labels, minlength=2)
         if got.min() == 0:
             return
         per_class = np.array([1 - prior, prior]) * len(labels) / got
-        sizes = pa.compute.list_value_length(rows["ids"].take(order)).to_numpy().astype(np.int64)
         flat = []
-        for c in ("ids", "shares"):
-            flat.append(pa.compute.list_flatten(rows[c].take(order)).to_numpy())
-            rows = rows.drop_columns([c])
-        del rows
+        for parts in (ids, shares):
+            flat.append(np.concatenate(parts))
+            parts.clear()
         pa.default_memory_pool().release_unused()
-        model = train(*flat, sizes, labels, per_class[labels].astype(np.float32), prior)
+        model = train(flat.pop(0), flat.pop(0), sizes, labels, per_class[labels].astype(np.float32), prior)
         yield pa.RecordBatch.from_pydict({"weight": pa.array([model.weight.tobytes()], pa.binary()),
                                           "bias": pa.array([model.bias], pa.float64())})
     return run
