@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import HEAVY_SHARE, SPACE_RUN, field, row_keyed, stage, without_rows
+from .util import HEAVY_SHARE, SPACE_RUN, field, giving_back, row_keyed, stage, without_rows
 
 #: Counters of a Misra-Gries summary: its error, n / (COUNTERS + 1), is half the share looked for.
 COUNTERS = 2 * HEAVY_SHARE - 1
@@ -55,7 +55,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def heavy_digests(digests: DataFrame, n: int) -> DataFrame:
     """(digest, group_size, winner) of every digest with at least ``n / HEAVY_SHARE`` of the ``n`` rows."""
-    summed = (digests.select("digest").mapInArrow(_summaries, "digest binary, counter long")
+    summed = (digests.select("digest").mapInArrow(giving_back(_summaries), "digest binary, counter long")
               .groupBy("digest").agg(F.sum("counter").alias("counter")))
     # counters fall short by n / (COUNTERS + 1) in all at most, and their sum is n at most
     candidates = summed.filter(F.col("counter") * 2 * HEAVY_SHARE >= F.lit(n)).select("digest")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import field, join_by_key, row_keyed, stage
+from .util import field, giving_back, join_by_key, row_keyed, stage
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -268,7 +268,7 @@ def _sized(keyed: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     rows = keyed.select("_fk", "_rx", field(id_col).alias("id"), _pattern(field(source_col), is_array).alias("pattern"),
                         _order(field(id_col), text, seed).alias("place"), _tie(seed).alias("tie"), text.cast("binary").alias("text"))
     kept = [f for f in rows.schema.fields if f.name != "text"]
-    return rows.mapInArrow(_word_counts, T.StructType([*kept, T.StructField("size", T.LongType())]))
+    return rows.mapInArrow(giving_back(_word_counts), T.StructType([*kept, T.StructField("size", T.LongType())]))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

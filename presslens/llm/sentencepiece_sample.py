@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import chunks_by_bytes
+from .util import chunks_by_bytes, giving_back
 
 SAMPLES = 2
 SEED = 3
@@ -541,7 +541,7 @@ def sample_segmentations(docs: DataFrame, path: str, keep: Sequence[str], k: int
                 yield pa.RecordBatch.from_arrays([part.column("_row"), samples], names=["_row", "samples"])
             pa.default_memory_pool().release_unused()
 
-    return packed.mapInArrow(sampled, T.StructType([packed.schema["_row"], T.StructField("samples", T.ArrayType(SAMPLE))]))
+    return packed.mapInArrow(giving_back(sampled), T.StructType([packed.schema["_row"], T.StructField("samples", T.ArrayType(SAMPLE))]))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:

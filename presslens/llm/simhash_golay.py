@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import field, join_by_key, row_keyed, stage, without_rows
+from .util import field, giving_back, join_by_key, row_keyed, stage, without_rows
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -260,8 +260,8 @@ def link_edges(fps: DataFrame, most: int = MAX_BITS, tile: int = TILE) -> DataFr
     """Edges (a, b) that connect the distinct fingerprints ``fp`` as the links do."""
     if most > MAX_BITS:
         raise ValueError(f"the segments find links of at most {MAX_BITS} bits")
-    met = (fps.select("fp").mapInArrow(_keyed, "key int, fp long").repartition("key")
-           .sortWithinPartitions("key", "fp").mapInArrow(_edges(most, tile), "a long, b long, key int"))
+    met = (fps.select("fp").mapInArrow(giving_back(_keyed), "key int, fp long").repartition("key")
+           .sortWithinPartitions("key", "fp").mapInArrow(giving_back(_edges(most, tile)), "a long, b long, key int"))
     met = stage(met)
     edges = met.filter(F.col("b").isNotNull()).select("a", "b")
     hot = met.filter(F.col("b").isNull()).select("key", F.col("a").alias("fp"))
@@ -305,7 +305,7 @@ def stars(edges: DataFrame) -> DataFrame:
 def _placed(keyed: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     rows = keyed.select("_fk", "_rx", field(id_col).alias("id"), field(text_col).cast("string").cast("binary").alias("text"))
     kept = [f for f in rows.schema.fields if f.name != "text"]
-    return stage(rows.mapInArrow(_fingerprints(shingle), T.StructType([*kept, T.StructField("fp", T.LongType())])))
+    return stage(rows.mapInArrow(giving_back(_fingerprints(shingle)), T.StructType([*kept, T.StructField("fp", T.LongType())])))
 
 
 def classes(placed: DataFrame, most: int = MAX_BITS) -> tuple[DataFrame, int]:

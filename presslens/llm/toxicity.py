@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import chars
 from .sampling import label_counts, sample_per_label, window_of, window_size
-from .util import field, row_keyed, stage
+from .util import field, giving_back, row_keyed, stage
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -186,9 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     size = window_size(thin, "text", "label", FIT_CHARS, FIT_TOTAL)
     text = window_of(F.col("text"), size, place, SEED + 3)
     rows = (thin.select(F.xxhash64(F.lit(SEED + 1), "text").alias("place"), "label", text.alias("text"))
-            .mapInArrow(_featured, "place long, label int, ids array<int>, shares array<float>"))
+            .mapInArrow(giving_back(_featured), "place long, label int, ids array<int>, shares array<float>"))
     # the sample is bounded, so one task can hold it; the driver gets the weights alone
-    found = rows.repartition(1).sortWithinPartitions("place", "label").mapInArrow(_trained(prior), "weight binary, bias double").collect()
+    found = rows.repartition(1).sortWithinPartitions("place", "label").mapInArrow(giving_back(_trained(prior)), "weight binary, bias double").collect()
     return Model(np.frombuffer(bytes(found[0]["weight"]), np.float32), found[0]["bias"], prior) if found else nothing
 
 
@@ -235,7 +235,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "t
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
                          *([F.col(text_col).cast("string").alias("_text")] if kept_text is None else []))
-    return packed.mapInArrow(scored, T.StructType([packed.schema["_row"], T.StructField("score", T.DoubleType())]))
+    return packed.mapInArrow(giving_back(scored), T.StructType([packed.schema["_row"], T.StructField("score", T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +81,19 @@ def field(name: str) -> Column:
     return F.col("_row").getField(name)
 
 
+def giving_back(batches_of: Callable) -> Callable:
+    """A function over Arrow batches that returns unused memory to the machine when its task ends: the Python worker
+    lives on for tasks of other stages, and would keep what this one needed at most."""
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from batches_of(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library can
+                ctypes.CDLL(None).malloc_trim(0)
+    return run
+
+
 def mod_crc32(id_col: Column, n: int) -> Column:
     """``crc32(id as text) mod n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(n))
