@@ -109,7 +109,10 @@ def nullify_rare(df: DataFrame, key: str = "section", by: str | None = "year",
     classes = materialize(rare_values(df, key, by, global_once))
     kept = membership.cascade(classes, keys, "kept", most_bits)
     if kept is not None:
-        return df.withColumn(key, F.when(F.col(key).isNotNull() & kept, F.col(key)))
+        # the condition that is always true is not deterministic to the optimizer: a filter on the result is not pushed
+        # below, where it would repeat the expression that makes the key for every bit test
+        once = F.rand(0) >= 0
+        return df.withColumn(key, F.when(F.col(key).isNotNull() & kept & once, F.col(key)))
     classes = classes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("kept").alias("_k_kept"), F.lit(0).alias("_k_salt"))
     # rows without a value meet nothing: a salt keeps them from all going to one task
     salt = F.when(F.col(key).isNull(), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])).otherwise(F.lit(0))

@@ -51,18 +51,25 @@ MOST_RANGES = 1 << 20
 #: Characters of records that a task holds before it gives them out.
 HELD = 8 << 20
 
-_CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|)'
-_RECORD = re.compile(rf"{_CELL}(?:,{_CELL})*+", re.S)
-_CLOSING = re.compile(r'(?:[^"]++|"")*+"', re.S)
-_REST = re.compile(rf"[^,]*+(?:,{_CELL})*+", re.S)
-
-
 def open_after(line: str, inside: bool) -> bool:
     """Whether a quoted cell is open behind ``line``; ``inside``: whether one is before it."""
+    at = 0
     if not inside:
-        return '"' in line and _RECORD.fullmatch(line) is None
-    closing = _CLOSING.match(line)
-    return closing is None or _REST.fullmatch(line, closing.end()) is None
+        if not line.startswith('"'):
+            at = line.find(',"') + 1  # outside quotes every comma parts cells
+            if not at:
+                return False
+        at += 1
+    while True:
+        end = line.find('"', at)
+        if end < 0:
+            return True
+        if line.startswith('"', end + 1):
+            at = end + 2
+            continue
+        at = line.find(',"', end + 1) + 2
+        if at == 1:
+            return False
 
 
 class Cutter:
