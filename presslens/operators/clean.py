@@ -1,7 +1,7 @@
 """Cleaning and null normalisation.
 
 All steps are projections; N9 and N10 learn from one aggregate at (year,
-section) grain, which meets the articles inside their rows.
+section) grain, whose kept values meet the articles.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from ..functions.text import title_case
 from ..session import materialize
-from . import membership
 
 # Fixed values of the reference's section cleaning.
 NULL_TEXTS = ("nan", "none")
@@ -95,33 +94,34 @@ def rare_values(df: DataFrame, key: str, by: str | None, global_once: bool = Tru
     return counts.select(*keys, (~rare).alias("kept"))
 
 
+#: Kept values that are sent to every task at most (a value and its group are some 50 bytes).
+MOST_SENT = 1 << 18
+
+
 def nullify_rare(df: DataFrame, key: str = "section", by: str | None = "year",
-                 global_once: bool = True, most_bits: int = membership.MOST_BITS) -> DataFrame:
+                 global_once: bool = True, most_sent: int = MOST_SENT) -> DataFrame:
     """N9 + N10: a value seen once overall, or once within its ``by`` group,
     becomes null. Rows whose ``by`` is null are only subject to the global
     rule (as the per-year loop of the reference never selects them).
 
-    Rows stay where they are: each finds in itself, by the filters of
-    ``membership.cascade``, whether its value is kept. Only if the filters
-    would be too large to send are rows and values joined.
+    Only the values that are kept meet the rows, so the one-off values may be
+    any number. The kept ones are counted: up to ``most_sent`` are broadcast
+    and the rows stay where they are; beyond that both are shuffled.
     """
     keys = [by, key] if by else [key]
-    classes = materialize(rare_values(df, key, by, global_once))
-    kept = membership.cascade(classes, keys, "kept", most_bits)
-    if kept is not None:
-        # the condition that is always true is not deterministic to the optimizer: a filter on the result is not pushed
-        # below, where it would repeat the expression that makes the key for every bit test
-        once = F.rand(0) >= 0
-        return df.withColumn(key, F.when(F.col(key).isNotNull() & kept & once, F.col(key)))
-    classes = classes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("kept").alias("_k_kept"), F.lit(0).alias("_k_salt"))
-    # rows without a value meet nothing: a salt keeps them from all going to one task
-    salt = F.when(F.col(key).isNull(), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])).otherwise(F.lit(0))
-    salted = df.withColumn("_salt", salt)
-    cond = (F.coalesce(F.col(key), F.lit("")) == F.col(f"_k_{key}")) & (F.col("_salt") == F.col("_k_salt"))
+    classes = materialize(rare_values(df, key, by, global_once).filter("kept"))
+    kept = classes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("kept").alias("_k_kept"), F.lit(0).alias("_k_salt"))
+    cond = F.coalesce(F.col(key), F.lit("")) == F.col(f"_k_{key}")
     if by:
         cond = cond & F.col(by).eqNullSafe(F.col(f"_k_{by}"))
-    joined = salted.join(classes, cond, "left")
-    return joined.withColumn(key, F.when(F.col("_k_kept"), F.col(key))).select(*df.columns)
+    if classes.count() <= most_sent:
+        joined = df.join(F.broadcast(kept), cond, "left")
+    else:
+        # rows without a value meet nothing: a salt keeps them from all going to one task
+        salt = F.when(F.col(key).isNull(), F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])).otherwise(F.lit(0))
+        joined = df.withColumn("_salt", salt).join(kept, cond & (F.col("_salt") == F.col("_k_salt")), "left")
+    value = F.when(F.col("_k_kept") & F.col(key).isNotNull(), F.col(key))
+    return joined.withColumn(key, value).select(*df.columns)
 
 
 def drop_values(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:

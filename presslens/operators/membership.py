@@ -1,10 +1,11 @@
-"""Which of two classes a value belongs to, told inside the row.
+"""Which of two classes a value belongs to, told inside the row.
 
 A cascade of Bloom filters: the first holds the ``yes`` values; the ``no``
 values that it also lets pass go into the second; the ``yes`` values that pass
 that one into the third, and so on until none is left. As every value asked
 for is of one class or the other, the answer is exact, and a row finds it by a
-few bit tests on its own value: no join, no exchange of rows. A filter takes
+few bit tests on its own value: no join, no exchange of rows. The values should
+be plain columns, as every test repeats their expression. A filter takes
 ``BITS`` bits a value, so the cascade takes about that for a ``yes`` value and
 a hundredth for a ``no`` value.
 

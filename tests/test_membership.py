@@ -8,7 +8,6 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
 from presslens.operators import clean as N
 from presslens.operators import membership
 
@@ -26,15 +25,15 @@ def test_cascade_is_exact(spark, n_yes, n_no):
     assert n_yes == 0 or membership.cascade(classes, ["v", "g"], "yes", most_bits=10) is None
 
 
-@pytest.mark.parametrize("most_bits", [membership.MOST_BITS, 0])
+@pytest.mark.parametrize("most_sent", [N.MOST_SENT, 0])
 @pytest.mark.parametrize("by", ["year", None])
-def test_rare_values_become_null(spark, by, most_bits):
-    """By filters and, where they are too large, by a join: the same as plain counting."""
+def test_rare_values_become_null(spark, by, most_sent):
+    """By a broadcast and, where there are too many, by a shuffle: the same as plain counting."""
     rng = random.Random(2)
     rows = [(i, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b", "", f"s{i}", f"t{i % 900}"]), "text") for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, year int, section string, kept string")
     every, in_year = Counter(r[2] for r in rows), Counter(r[1:3] for r in rows)
-    got = N.nullify_rare(df, "section", by, most_bits=most_bits)
+    got = N.nullify_rare(df, "section", by, most_sent=most_sent)
     assert got.columns == df.columns
     for r, (i, year, section, _) in zip(got.orderBy("id").collect(), rows):
         rare = every[section] == 1 or (by is not None and year is not None and in_year[year, section] == 1)
@@ -42,17 +41,11 @@ def test_rare_values_become_null(spark, by, most_bits):
 
 
 def test_no_exchange_of_article_text(spark, sf_dir):
-    """The rows of the cleaned table come from scans and projections alone, with any number of one-off sections."""
+    """Only the kept values are sent, with any number of one-off sections."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("article_id"), (F.col("doc_id") % 5).alias("year"), F.col("text").alias("article"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("one off "), F.col("doc_id").cast("string"))).otherwise(F.col("source")).alias("section"))
     cleaned = N.clean_sections(rows)
-    p = _plan(cleaned).partition("Subqueries")[0]
-    assert "Exchange" not in p and "Join" not in p and "documents.parquet" in p
+    p = _plan(cleaned)
+    assert p.count("Exchange") == p.count("BroadcastExchange") == 1 and "BroadcastHashJoin" in p
     assert 0 < cleaned.count() < rows.count()
-
-
-def test_cleaning_query_joins_only_its_tables(spark, sf_dir):
-    """The fixture's view is a join of documents and orders; the cleaning adds none."""
-    p = _plan(E.queries()["n12_clean_sections"](spark, sf_dir)).partition("Subqueries")[0]
-    assert p.count("Join ") == 1 and "Window" not in p
