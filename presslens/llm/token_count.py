@@ -17,9 +17,12 @@ deterministic transducers:
   (it may shrink). A token is the last one of a prefix's encoding if it and the
   token before it stay apart: no merge across their border comes before both
   are complete. A word's last symbol leads back to the start state, so chunks
-  that end with a word have constant state maps; lanes of such chunks step
-  side by side and their counts add up. States and transitions are compiled
-  when first met (subset construction on demand) and kept by the process.
+  that begin with a word are entered there. Words longer than a lane are cut
+  too: such a chunk's map is kept for the entry states that may occur, the maps
+  are composed by the same scan, and where a composition meets a state that the
+  map lacks, the map grows by it. Lanes step side by side, their counts add up.
+  States and transitions are compiled when first met (subset construction on
+  demand) and kept by the process.
 
 The tokenizer library is not used to count; tests compare with it.
 
@@ -48,8 +51,12 @@ LIMIT = 2048
 GROUP_CHARS = 1 << 18
 #: Characters of a lexer chunk, bytes of a BPE lane.
 CHUNK, LANE = 64, 256
-#: States kept between groups.
+#: Symbols read at once, those looked back on for a lane's likely entry state.
+SLICE, LOOK = 1 << 18, 32
+#: States kept between slices.
 MOST_STATES = 1 << 17
+#: Entry states that a lane's map is kept for; as an entry: none of them.
+UNDEFINED = 3
 
 SPACE, LETTER, NUMBER, OTHER, QUOTE, E_, L_, R_, V_, STMD = range(10)
 START, IN_LETTERS, IN_OTHER, AT_QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
@@ -57,6 +64,30 @@ START, IN_LETTERS, IN_OTHER, AT_QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
 NONE, HERE, BEFORE, BOTH = range(4)
 # Code points with the property White_Space.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+# Code points assigned after Python's tables, which the library knows as letters, as numbers, and as the
+# lower case of capitals (first, last, lower case of the first; step 1).
+LATE_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+                (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+                (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+                (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+                (0x1E5F0, 0x1E5F0))
+LATE_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+                (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LATE_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD),
+                 (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+                 (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70),
+                 (0x16EA0, 0x16EB8, 0x16EBB))
+# Marks that the library's composition, of older tables than Python's, takes for plain characters (first,
+# last); among them U+11930, which it does not compose.
+LATE_MARKS = (
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x09FE, 0x09FE), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C),
+    (0x0EBA, 0x0EBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C),
+    (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85),
+    (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930),
+    (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42),
+    (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF),
+    (0x1E4EC, 0x1E4EF))
 
 
 @lru_cache(1)
@@ -68,6 +99,9 @@ def _classes() -> np.ndarray:
             table[i] = LETTER
         elif kind == "N":
             table[i] = NUMBER
+    for ranges, late in ((LATE_LETTERS, LETTER), (LATE_NUMBERS, NUMBER)):
+        for first, last in ranges:
+            table[first:last + 1] = late
     table[list(WHITE_SPACE)] = SPACE
     for chars, kind in (("'", QUOTE), ("e", E_), ("l", L_), ("r", R_), ("v", V_), ("stmd", STMD)):
         table[[ord(c) for c in chars]] = kind
@@ -247,13 +281,17 @@ class Transducer:
         keep = next(k for k in range(len(symbols), -1, -1) if symbols[len(symbols) - k:] in self.prefixes)
         now = (symbols[len(symbols) - keep:], (*last, token)[-keep - 1:],
                tuple(c - grown for c in (*counts, grown)[-keep - 1:]))
-        to = self.number.get(now)
+        return self._number(now) << 8 | grown + 128
+
+    def _number(self, state: tuple) -> int:
+        """The number of a state, a new one if it is met first."""
+        to = self.number.get(state)
         if to is None:
-            to = self.number[now] = len(self.states)
-            self.states.append(now)
+            to = self.number[state] = len(self.states)
+            self.states.append(state)
             if to >= len(self.table):
                 self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        return to << 8 | grown + 128
+        return to
 
     def _column(self, symbols: np.ndarray) -> np.ndarray:
         for s in np.flatnonzero(np.bincount(symbols, minlength=512)):
@@ -266,20 +304,17 @@ class Transducer:
                 self.n_columns += 1
         return self.columns[symbols]
 
-    def count(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Tokens emitted per lane-chunk; see ``lanes``. ``begins``: places where lanes begin (at words)."""
-        column = self._column(symbols)
-        length = np.diff(np.r_[begins, len(symbols)])
-        order = np.argsort(-length, kind="stable")
-        first, size = begins[order], length[order]
-        state = np.zeros(len(first), np.int32)
+    def _run(self, column: np.ndarray, first: np.ndarray, size: np.ndarray,
+             state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens emitted by lanes that enter in the given states, and the states they end in."""
+        order = np.argsort(-size, kind="stable")
+        first, size, now = first[order], size[order], state[order].astype(np.int32)
         total = np.zeros(len(first), np.int64)
         steps = int(size[0]) if len(size) else 0
         alive = np.searchsorted(-size, -np.arange(steps), "left")
         for t in range(steps):
             n = alive[t]
-            c = column[first[:n] + t]
-            at = state[:n] * self.room + c
+            at = now[:n] * self.room + column[first[:n] + t]
             got = self.table.reshape(-1)[at]
             if (got < 0).any():
                 for pair in np.unique(at[got < 0]).tolist():
@@ -287,22 +322,92 @@ class Transducer:
                     self.table[s, k] = self._compile(s, self.symbols[k])
                 got = self.table.reshape(-1)[at]
             total[:n] += (got & 255) - 128
-            state[:n] = got >> 8
-        out = np.empty(len(first), np.int64)
-        out[order] = total
+            now[:n] = got >> 8
+        tokens, ends = np.empty_like(total), np.empty_like(now)
+        tokens[order], ends[order] = total, now
+        return tokens, ends
+
+    def count(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Tokens emitted per lane. ``begins``: the places, ascending from 0, where lanes begin, inside words or not.
+
+        Lanes are taken in slices of SLICE symbols; only the state at a slice's end goes on to the next."""
+        out = np.empty(len(begins), np.int64)
+        bounds = np.r_[begins, len(symbols)]
+        ends = np.flatnonzero(symbols >= 256)
+        entry = self.states[0]
+        lo = 0
+        while lo < len(begins):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1)
+            if len(self.states) > MOST_STATES:
+                self.clear()
+            out[lo:hi], entry = self._count_slice(symbols, bounds[lo:hi + 1], ends, entry)
+            lo = hi
         return out
 
+    def _count_slice(self, symbols: np.ndarray, bounds: np.ndarray, ends: np.ndarray,
+                     entry: tuple) -> tuple[np.ndarray, tuple]:
+        """Tokens per lane and the state at the end. A lane's map is kept for the entry states that may occur: that
+        after the LOOK symbols before it, that in which the lane before ends from its own such state, and at last
+        the true one if it is neither. An undefined entry is the map's last one; maps compose by prefix scan."""
+        first, size = bounds[:-1], np.diff(bounds)
+        base = max(int(first[0]) - LOOK, 0)
+        column = self._column(symbols[base:bounds[-1]])
+        last_end = np.searchsorted(ends, first, "left")
+        word = np.where(last_end > 0, ends[last_end - 1] + 1, 0) if len(ends) else np.zeros(len(first), np.int64)
+        known = word == first  # entered in the start state
+        entries = np.full((len(first), UNDEFINED), -1, np.int32)
+        exits, tokens = entries.copy(), np.zeros(entries.shape, np.int64)
+        open_ = np.flatnonzero(~known)
+        back = np.maximum(first[open_] - LOOK, np.maximum(word[open_], base))
+        entries[known, 0] = 0
+        entries[open_, 0] = self._run(column, back - base, first[open_] - back, np.zeros(len(open_)))[1]
+        if not known[0]:
+            entries[0, 0], known[0] = self._number(entry), True
+
+        def run(lanes: np.ndarray, k: int) -> None:
+            tokens[lanes, k], exits[lanes, k] = self._run(column, first[lanes] - base, size[lanes], entries[lanes, k])
+
+        run(np.arange(len(first)), 0)
+        other = np.flatnonzero(~known[1:] & (exits[:-1, 0] != entries[1:, 0])) + 1
+        entries[other, 1] = exits[other - 1, 0]
+        run(other, 1)
+        while True:
+            maps = np.full((len(first), UNDEFINED + 1), UNDEFINED, np.uint8)
+            for k in range(UNDEFINED):  # exit states as places among the next lane's entries
+                for to in reversed(range(UNDEFINED)):
+                    meets = (exits[:-1, k] >= 0) & (exits[:-1, k] == entries[1:, to])
+                    maps[:-1, k][meets] = to
+            maps[known] = maps[known, :1]
+            at = prefix_states(maps)
+            lost = np.flatnonzero((at[1:] == UNDEFINED) & (at[:-1] != UNDEFINED)) + 1
+            if not len(lost):
+                break
+            entries[lost, 2] = exits[lost - 1, at[lost - 1]]
+            run(lost, 2)
+        rows = np.arange(len(first))
+        return tokens[rows, at], self.states[exits[-1, at[-1]]]
+
 
 @lru_cache(2)
 def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+@lru_cache(1)
+def _late() -> tuple[re.Pattern, re.Pattern, dict[str, str]]:
+    lower = {chr(c): chr(c - first + to) for first, last, to in LATE_CAPITALS for c in range(first, last + 1)}
+    marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE_MARKS)
+    return re.compile(f"([{marks}])"), re.compile(f"[{''.join(lower)}]"), lower
+
+
 def _lower(text: str) -> str:
     """NFC, then each character in lower case by itself (no final sigma)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
+    if text.isascii():
+        return text.lower()
+    marks, capitals, lower = _late()
+    # a plain character composes with nothing and no mark is moved across it
+    text = "".join(unicodedata.normalize("NFC", part) for part in marks.split(text)).replace("Σ", "σ").lower()
+    return capitals.sub(lambda m: lower[m[0]], text)
 
 
 def count_group(machine: Transducer, texts: Sequence[str]) -> np.ndarray:
@@ -322,12 +427,21 @@ def count_group(machine: Transducer, texts: Sequence[str]) -> np.ndarray:
     symbols = np.frombuffer(data, np.uint8).astype(np.int32)
     words = byte_at[begins]
     symbols[np.r_[words[1:], len(symbols)] - 1] += 256
-    # lanes: every first word of a text, and in between the first word of each LANE bytes
+    # lanes: every first word of a text, in between the first word of each LANE bytes, and each LANE bytes of longer words
     text_at = np.cumsum([0, *[len(t) + 1 for t in low]])[:-1]
     text_of = np.searchsorted(text_at, solid[begins], "right") - 1
     stripe = words // LANE
     new = np.r_[True, (text_of[1:] != text_of[:-1]) | (stripe[1:] != stripe[:-1])]
-    np.add.at(counts, text_of[new], machine.count(symbols, words[new]))
+    length = np.diff(np.r_[words, len(symbols)])
+    lanes, owner = words[new], text_of[new]
+    long = np.flatnonzero(length > LANE)
+    if len(long):
+        inside = [np.arange(w + LANE, w + n, LANE) for w, n in zip(words[long].tolist(), length[long].tolist())]
+        lanes = np.concatenate([lanes, *inside])
+        owner = np.concatenate([owner, np.repeat(text_of[long], [len(i) for i in inside])])
+        order = np.argsort(lanes, kind="stable")
+        lanes, owner = lanes[order], owner[order]
+    np.add.at(counts, owner, machine.count(symbols, lanes))
     return counts
 
 
