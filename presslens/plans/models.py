@@ -9,20 +9,20 @@ is the vocabulary size, a parameter).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF,
-                                IndexToString, Normalizer, RegexTokenizer, StringIndexer)
+from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, HashingTF, IDF, IndexToString, Normalizer,
+                                RegexTokenizer, StringIndexer)
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, materialize
+from ..session import materialize
+from . import online_lda
 from .features import TFIDF_TOKEN, classification_report, split_flag
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest")
@@ -99,33 +99,26 @@ def model_comparison(reports: DataFrame) -> DataFrame:
     )
 
 
-#: Share of the documents in a mini-batch of the topic model.
-BATCH_RATE = 0.05
-
-
-def topic_model(docs: DataFrame, tokens: str, vocab: DataFrame, k: int = 50, passes: int = 2,
+def topic_model(docs: DataFrame, key: str, tokens: str, vocab: DataFrame, k: int = 50, passes: int = 2,
                 top_terms: int = 50, seed: int = 42) -> DataFrame:
-    """Online LDA over bag-of-words count vectors; the top terms of
-    each topic as (topic, rank, token, weight).
+    """Online LDA over bags of words, every document read once a pass;
+    the top terms of each topic as (topic, rank, token, weight).
 
-    The vocabulary (M10) becomes a ``CountVectorizerModel``: it is model
-    state bounded by M10's ``keep_n``, so it is the one thing read to the
-    driver; documents stay distributed.
+    The vocabulary (M10) and the topics are model state bounded by M10's
+    ``keep_n``, so they are read to the driver; documents stay distributed.
     """
     spark = docs.sparkSession
-    checkpoint_dir(spark)  # LDA checkpoints its state every few iterations
-    words = [r["token"] for r in vocab.orderBy("token_id").select("token").collect()]
-    cv = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="features")
-    vec = cv.transform(docs.filter(F.size(tokens) > 0)).select("features")
-    # an online iteration reads a mini-batch: so many that every document is read ``passes`` times on average
-    iterations = math.ceil(passes / BATCH_RATE)
-    model = LDA(k=k, maxIter=iterations, subsamplingRate=BATCH_RATE, optimizer="online", seed=seed,
-                checkpointInterval=10).fit(vec)
-    topics = model.describeTopics(top_terms)
-    ex = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    return ex.join(F.broadcast(vocab.select(F.col("token_id").cast("int").alias("tid"), "token")),
-                   F.col("t.termIndices") == F.col("tid")) \
-        .select("topic", "rank", "token", F.col("t.termWeights").alias("weight"))
+    vocab = materialize(vocab.select("token", "token_id"))  # read by the look-up and below
+    words = [r["token"] for r in vocab.orderBy("token_id").collect()]
+    rows = []
+    if words:
+        weights = online_lda.fit(online_lda.deal(docs, key, tokens, vocab, seed=seed), len(words), k, passes,
+                                 seed=seed).weights
+        weights = weights / weights.sum(0)
+        for topic in range(k):
+            best = np.argsort(-weights[:, topic], kind="stable")[:top_terms]
+            rows += [(topic, rank, words[w], float(weights[w, topic])) for rank, w in enumerate(best.tolist())]
+    return spark.createDataFrame(rows, "topic int, rank int, token string, weight double")
 
 
 def feed_forward(df: DataFrame, key: str, text: str, target: str, num_features: int = 256,

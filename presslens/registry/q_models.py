@@ -245,7 +245,7 @@ def m12_topic_model(spark, sf):
     a = fx.articles(spark, sf)
     vocab = TK.vocabulary(a, "article")
     docs = a.filter(F.col("article").isNotNull()).select("article_id", TK.token_column("article").alias("tokens"))
-    return MO.topic_model(docs, "tokens", vocab, k=50, passes=2, top_terms=50)
+    return MO.topic_model(docs, "article_id", "tokens", vocab, k=50, passes=2, top_terms=50)
 
 
 @register("m14_feed_forward")

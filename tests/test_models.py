@@ -2,12 +2,17 @@
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.ml.clustering import LDA
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presslens import fixtures as fx
 from presslens.plans import features as FE
 from presslens.plans import models as MO
+from presslens.plans import online_lda
 from presslens.plans import tokens as TK
 
 
@@ -15,7 +20,7 @@ def test_lda_topic_terms_sorted(spark, sf_dir):
     a = fx.articles(spark, sf_dir)
     vocab = TK.vocabulary(a, "article")
     docs = a.filter(F.col("article").isNotNull()).select("article_id", TK.token_column("article").alias("tokens"))
-    terms = MO.topic_model(docs, "tokens", vocab, k=5, passes=1, top_terms=10)
+    terms = MO.topic_model(docs, "article_id", "tokens", vocab, k=5, passes=1, top_terms=10)
     w = Window.partitionBy("topic").orderBy("rank")
     bad = terms.withColumn("prev", F.lag("weight").over(w)).filter(F.col("prev") < F.col("weight")).count()
     assert bad == 0
@@ -28,6 +33,83 @@ def test_lda_topic_terms_sorted(spark, sf_dir):
     assert all(r["token"] in known and 0 < r["weight"] <= 1 for r in terms.collect())
 
 
+def _planted(n, rng, topics=4, words=40, size=30):
+    """Documents of one or two of the planted topics; topic t favours words t * 10 .. t * 10 + 9."""
+    docs = []
+    for i in range(n):
+        mine = rng.sample(range(topics), 1 + i % 2)
+        docs.append([rng.randrange(words) if rng.random() < 0.1 else rng.choice(mine) * 10 + rng.randrange(10)
+                     for _ in range(size)])
+    return docs
+
+
+def _held_out(docs, weights):
+    """Mean log likelihood of each document's second half, its topics fitted to the first."""
+    beta = weights / weights.sum(0)
+    total = n = 0
+    for ids in docs:
+        theta = np.full(beta.shape[1], 1 / beta.shape[1])
+        for _ in range(50):
+            share = theta * beta[ids[::2]] + 1e-12
+            theta = (share / share.sum(1, keepdims=True)).sum(0) + 0.1
+            theta /= theta.sum()
+        total += np.log(beta[ids[1::2]] @ theta).sum()
+        n += len(ids[1::2])
+    return total / n
+
+
+def test_topic_model_reads_each_document_once_a_pass_and_fits_as_well_as_mllib(spark):
+    rng = random.Random(11)
+    train, test = _planted(600, rng), _planted(100, rng)
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(40)], "token string, token_id long")
+    rows = [(i, [f"w{w}" for w in ids] + ["unknown"]) for i, ids in enumerate(train)]
+    rows += [(None, ["w1", "w2"]), (None, ["w3"]), (7, ["w4"]), (9000, []), (9001, None), (9002, ["unknown"])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3)
+    dealt = online_lda.deal(docs, "id", "tokens", vocab, batches=10)
+    assert dealt.count() == 603 and dealt.select("batch").distinct().count() == 10
+    got = online_lda.fit(dealt, 40, 4, 2, batches=10)
+    assert got.read == [603, 603]
+    vectors = spark.createDataFrame([(SparseVector(40, sorted({w: float(ids.count(w)) for w in ids}.items())),)
+                                     for ids in train], ["features"])
+    mllib = LDA(k=4, maxIter=20, subsamplingRate=0.1, optimizer="online", seed=42).fit(vectors)
+    assert _held_out(test, got.weights) >= _held_out(test, mllib.topicsMatrix().toArray()) - 1e-9
+    assert len({int(t) // 10 for t in got.weights.argmax(0)}) == 4  # every planted topic is found
+    again = online_lda.fit(dealt, 40, 4, 2, batches=10)
+    assert np.allclose(got.weights, again.weights, rtol=1e-6)
+
+
+def test_expected_counts_match_a_plain_loop():
+    rng = np.random.default_rng(3)
+    topics = online_lda.expected_log(rng.gamma(100, 0.01, (12, 3)), 0)
+    docs = [{0: 2.0, 5: 1.0}, {1: 1.0}, {0: 1.0, 2: 4.0, 11: 2.0}]
+    doc, word, count = (np.array(c) for c in zip(*[(d, w, n) for d, ws in enumerate(docs) for w, n in ws.items()]))
+    gamma, counts = online_lda.expect(doc, word, count, topics, 0.3)
+    for d, ws in enumerate(docs):
+        g = np.full(3, 0.3 + sum(ws.values()) / 3)
+        for _ in range(online_lda.MOST_ROUNDS):
+            theta = online_lda.expected_log(g[None], 1)[0]
+            new = 0.3 + theta * sum(n * topics[w] / (theta @ topics[w]) for w, n in ws.items())
+            still = np.abs(new - g).mean() < online_lda.TOLERANCE
+            g = new
+            if still:
+                break
+        assert np.allclose(gamma[d], g)
+        assert np.allclose((counts * topics[word])[doc == d].sum(), sum(ws.values()))
+
+
+def test_digamma():
+    assert online_lda.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx(
+        [-0.5772156649015329, -1.9635100260214235, 2.2517525890667211], abs=1e-9)
+
+
+def test_topic_model_of_no_words(spark):
+    docs = spark.createDataFrame([], "id long, tokens array<string>")
+    vocab = spark.createDataFrame([], "token string, token_id long")
+    assert MO.topic_model(docs, "id", "tokens", vocab, k=3).count() == 0
+    one = spark.createDataFrame([("a", 0)], "token string, token_id long")
+    assert MO.topic_model(docs, "id", "tokens", one, k=3).count() == 3  # topics of the prior alone
+
+
 def test_experiment_report_shape(spark, sf_dir):
     from presslens.registry.q_models import model_input
     rep = MO.run_experiment(model_input(spark, sf_dir), "article_id", "title_clean", "simple_topic", 500,
