@@ -108,11 +108,10 @@ def topic_model(docs: DataFrame, key: str, tokens: str, vocab: DataFrame, k: int
     ``keep_n``, so they are read to the driver; documents stay distributed.
     """
     spark = docs.sparkSession
-    vocab = materialize(vocab.select("token", "token_id"))  # read by the look-up and below
-    words = [r["token"] for r in vocab.orderBy("token_id").collect()]
+    words = [r["token"] for r in vocab.orderBy("token_id").select("token").collect()]
     rows = []
     if words:
-        weights = online_lda.fit(online_lda.deal(docs, key, tokens, vocab, seed=seed), len(words), k, passes,
+        weights = online_lda.fit(online_lda.deal(docs, key, tokens, words, seed=seed), len(words), k, passes,
                                  seed=seed).weights
         weights = weights / weights.sum(0)
         for topic in range(k):

@@ -13,7 +13,7 @@ topics. The rows of one key share a batch, whose weight follows its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lookup import look_up_all, word_table
 from ..session import stage_path
 
 #: Mini-batches a pass.
@@ -31,9 +30,11 @@ BATCHES = 20
 #: A step's weight is (OFFSET + step) ** -DECAY, steps from 0.
 OFFSET, DECAY = 2.0, 0.51
 #: Per document: the mean change that ends the E-step, and its most rounds.
-TOLERANCE, MOST_ROUNDS = 1e-3, 100
+TOLERANCE, MOST_ROUNDS = 1e-3, 50
 #: Distinct (document, token) pairs worked on at once.
 PAIRS = 1 << 16
+#: Rows of a block of logarithms.
+BLOCK = 1 << 12
 
 
 class Topics(NamedTuple):
@@ -55,8 +56,13 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 def expected_log(weights: np.ndarray, axis: int) -> np.ndarray:
-    """exp(E[log p]) of Dirichlet weights along an axis."""
-    return np.exp(digamma(weights) - digamma(weights.sum(axis, keepdims=True)))
+    """exp(E[log p]) of Dirichlet weights along an axis, by blocks of rows."""
+    whole = digamma(weights.sum(axis, keepdims=True))
+    out = np.empty_like(weights)
+    for lo in range(0, len(weights), BLOCK):
+        rows = slice(lo, lo + BLOCK)
+        out[rows] = np.exp(digamma(weights[rows]) - (whole if axis == 0 else whole[rows]))
+    return out
 
 
 def expect(doc: np.ndarray, word: np.ndarray, count: np.ndarray, topics: np.ndarray,
@@ -65,23 +71,23 @@ def expect(doc: np.ndarray, word: np.ndarray, count: np.ndarray, topics: np.ndar
     Pairs are ordered by document, documents numbered from 0 without gaps."""
     n, k = int(doc[-1]) + 1, topics.shape[1]
     gamma = alpha + np.tile((np.bincount(doc, count, n) / k)[:, None], (1, k))
-    live = np.arange(n)
-    d, at, c = doc, topics[word], count
+    at = topics[word].astype(np.float64)
+    ends = np.searchsorted(doc, np.arange(n), "right").tolist()
+    spans = list(zip([0, *ends[:-1]], ends))
+    live = np.arange(n)  # a document that stands still leaves, so that its result hangs on no other
     for _ in range(MOST_ROUNDS):
         old = gamma[live]
         theta = expected_log(old, 1)
-        share = c / np.einsum("ij,ij->i", theta[d], at)
-        starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        gamma[live] = alpha + theta * np.add.reduceat(share[:, None] * at, starts)
-        moves = np.abs(gamma[live] - old).mean(1) >= TOLERANCE
-        if not moves.any():
+        grown = np.empty_like(theta)
+        for i, d in enumerate(live.tolist()):
+            lo, hi = spans[d]
+            grown[i] = (count[lo:hi] / (at[lo:hi] @ theta[i])) @ at[lo:hi]
+        gamma[live] = alpha + theta * grown
+        live = live[np.abs(gamma[live] - old).mean(1) >= TOLERANCE]
+        if not len(live):
             break
-        if not moves.all():  # a document that stands still leaves, so that its result hangs on no other
-            pairs = moves[d]
-            d, at, c = (np.cumsum(moves) - 1)[d[pairs]], at[pairs], c[pairs]
-            live = live[moves]
     theta = expected_log(gamma, 1)[doc]
-    return gamma, theta * (count / np.einsum("ij,ij->i", theta, topics[word]))[:, None]
+    return gamma, theta * (count / np.einsum("ij,ij->i", theta, at))[:, None]
 
 
 def _pairs(tokens: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,19 +107,37 @@ def _pairs(tokens: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         lo, at = hi, to
 
 
-def deal(docs: DataFrame, key: str, tokens: str, vocab: DataFrame, batches: int = BATCHES, seed: int = 42) -> DataFrame:
-    """Staged (ids, batch): the sorted ids of each document's known tokens, a folder a batch."""
+def deal(docs: DataFrame, key: str, tokens: str, words: Sequence[str], batches: int = BATCHES,
+         seed: int = 42) -> DataFrame:
+    """Staged (ids, batch): the sorted ids (places in ``words``) of each document's known tokens, a folder a batch."""
     spark = docs.sparkSession
-    known = F.array_sort(F.filter(look_up_all(F.col("_vocab"), F.col("_tokens")), lambda i: i.isNotNull()))
-    rows = docs.select(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(batches)).cast("int").alias("batch"),
-                       F.pmod(F.xxhash64(F.col(key), F.spark_partition_id()), F.lit(
-                           max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))).alias("_slice"),
-                       F.col(tokens).alias("_tokens")) \
-        .withColumn("_vocab", word_table(vocab, "token", F.col("token_id").cast("int"))) \
-        .select(known.alias("ids"), "batch", "_slice").filter(F.size("ids") > 0)
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+    rows = docs.filter(F.col(tokens).isNotNull()).select(
+        F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(batches)).cast("int").alias("batch"),
+        F.pmod(F.xxhash64(F.col(key), F.spark_partition_id()), F.lit(slices)).cast("int").alias("_slice"),
+        F.col(tokens).cast("array<string>").alias("tokens"))
+    shared = spark.sparkContext.broadcast(list(words))
+
+    def numbered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
+        for part in parts:
+            lists = part.column("tokens")
+            ids = pa.compute.index_in(lists.flatten().cast(pa.string()), value_set=known, skip_nulls=True)
+            ids = np.asarray(pa.compute.fill_null(ids, -1))
+            doc = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))[ids >= 0]
+            ids = ids[ids >= 0]
+            ids = ids[np.lexsort((ids, doc))]
+            size = np.bincount(doc, minlength=len(lists))
+            kept = pa.array(np.flatnonzero(size))
+            found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[size > 0])].astype(np.int32)),
+                                             pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([found, part.column("batch").take(kept), part.column("_slice").take(kept)],
+                                             names=["ids", "batch", "_slice"])
+
     path = stage_path(spark)
     # a slice of a batch lies in one task, so that a batch has few files; a key of very many rows is spread
-    rows.repartition("batch", "_slice").drop("_slice").write.partitionBy("batch").parquet(path)
+    rows.mapInArrow(numbered, "ids array<int>, batch int, _slice int").repartition("batch", "_slice") \
+        .drop("_slice").write.partitionBy("batch").parquet(path)
     return spark.read.schema("ids array<int>, batch int").parquet(path)
 
 
@@ -125,13 +149,13 @@ def fit(dealt: DataFrame, words: int, k: int, passes: int, batches: int = BATCHE
     weights = np.random.default_rng(seed).gamma(100.0, 0.01, (words, k))
     names = [f"s{i}" for i in range(k)]
     schema = T.StructType([T.StructField("token_id", T.IntegerType()), T.StructField("docs", T.LongType()),
-                           *(T.StructField(s, T.DoubleType()) for s in names)])
-    sums = [F.sum(s).alias(s) for s in ("docs", *names)]
+                           *(T.StructField(s, T.FloatType()) for s in names)])
+    sums = [F.sum("docs").alias("docs"), *(F.sum(s).cast("float").alias(s) for s in names)]
     read, step = [], 0
     for _ in range(passes):
         read.append(0)
         for b in range(batches):
-            topics = expected_log(weights, 0)
+            topics = expected_log(weights, 0).astype(np.float32)
             shared = spark.sparkContext.broadcast(topics)
 
             def statistics(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,18 +173,20 @@ def fit(dealt: DataFrame, words: int, k: int, passes: int, batches: int = BATCHE
                     at = np.flatnonzero(found.any(1))
                     docs = np.r_[n, np.zeros(len(at) - 1)].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(at, pa.int32()), pa.array(docs), *(pa.array(found[at, i]) for i in range(k))],
+                        [pa.array(at, pa.int32()), pa.array(docs), *(pa.array(found[at, i], pa.float32()) for i in range(k))],
                         names=["token_id", "docs", *names])
 
             got = dealt.filter(F.col("batch") == b).select("ids").mapInArrow(statistics, schema) \
                 .groupBy("token_id").agg(*sums).toArrow()
-            shared.unpersist()
+            shared.destroy()
             if got.num_rows:
                 n = int(pa.compute.sum(got.column("docs")).as_py())
                 read[-1] += n
-                seen = np.zeros((words, k))
-                seen[np.asarray(got.column("token_id"))] = np.column_stack([np.asarray(got.column(s)) for s in names])
                 rate = (OFFSET + step) ** -DECAY
-                weights = (1 - rate) * weights + rate * (prior + total / n * seen * topics)
+                weights *= 1 - rate
+                weights += rate * prior
+                at = np.asarray(got.column("token_id"))
+                for i, name in enumerate(names):
+                    weights[at, i] += rate * total / n * np.asarray(got.column(name)) * topics[at, i]
                 step += 1
     return Topics(weights, read)

@@ -61,11 +61,10 @@ def _held_out(docs, weights):
 def test_topic_model_reads_each_document_once_a_pass_and_fits_as_well_as_mllib(spark):
     rng = random.Random(11)
     train, test = _planted(600, rng), _planted(100, rng)
-    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(40)], "token string, token_id long")
     rows = [(i, [f"w{w}" for w in ids] + ["unknown"]) for i, ids in enumerate(train)]
-    rows += [(None, ["w1", "w2"]), (None, ["w3"]), (7, ["w4"]), (9000, []), (9001, None), (9002, ["unknown"])]
+    rows += [(None, ["w1", "w2"]), (None, ["w3"]), (7, ["w4"]), (9000, []), (9001, None), (9002, ["unknown", None])]
     docs = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3)
-    dealt = online_lda.deal(docs, "id", "tokens", vocab, batches=10)
+    dealt = online_lda.deal(docs, "id", "tokens", [f"w{i}" for i in range(40)], batches=10)
     assert dealt.count() == 603 and dealt.select("batch").distinct().count() == 10
     got = online_lda.fit(dealt, 40, 4, 2, batches=10)
     assert got.read == [603, 603]
