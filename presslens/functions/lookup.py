@@ -59,7 +59,8 @@ def _runs(s: Column) -> Column:
 
 
 def token_counts(tokens: Column) -> Column:
-    """Distinct tokens of an array with their counts, as an array of
-    (term, tf), by run lengths over the sorted array."""
+    """Distinct tokens of an array without nulls with their counts, as an
+    array of (term, tf), by run lengths over the sorted array."""
     none = F.array().cast("array<struct<term:string,tf:int>>")
-    return let(F.array_sort(tokens), lambda s: F.when(F.size(s) > 0, _runs(s)).otherwise(none))
+    # sort_array compares strings themselves; array_sort would run a lambda for every comparison
+    return let(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, _runs(s)).otherwise(none))

@@ -230,11 +230,12 @@ def publication_shift_flagged(tagged: DataFrame, kept: "F.Column", key: str = "p
     one aggregate with two counts instead of two passes."""
     counts = non_null(tagged, [key]).groupBy(key).agg(
         F.count(F.lit(1)).alias("_old"), F.count(F.when(kept, 1)).alias("_new"))
-    totals = counts.agg(F.struct(F.sum("_old").alias("old"), F.sum("_new").alias("new")).alias("t")).scalar()
-    shares = counts.withColumn("_t", totals)
-    old = F.col("_old") * F.lit(100.0) / F.col("_t.old")
-    new = F.when(F.col("_new") > 0, F.col("_new") * F.lit(100.0) / F.col("_t.new"))
-    return shares.select(key, old.alias("old_pub_ratio"), new.alias("new_pub_ratio"), (new - old).alias("ratio_pp"))
+    # totals by a window over the aggregate, a row a publication: the input stands in the plan once
+    every = Window.partitionBy()
+    old = F.col("_old") * F.lit(100.0) / F.sum("_old").over(every)
+    new = F.when(F.col("_new") > 0, F.col("_new") * F.lit(100.0) / F.sum("_new").over(every))
+    shares = counts.select(key, old.alias("old_pub_ratio"), new.alias("new_pub_ratio"))
+    return shares.withColumn("ratio_pp", F.col("new_pub_ratio") - F.col("old_pub_ratio"))
 
 
 def shift_std(shift: DataFrame) -> DataFrame:

@@ -139,8 +139,8 @@ def m10_vocabulary_top500(spark, sf):
 SELECT article_id, token_id, count(*) AS count FROM (SELECT article_id, unnest({_lda_tokens('article')}) AS token
 FROM articles WHERE article IS NOT NULL) t JOIN vocab USING (token) GROUP BY 1, 2""")
 def m11_bag_of_words(spark, sf):
-    a = A(spark, sf)
-    return TK.bag_of_words(a, "article_id", "article", TK.vocabulary(a, "article"))
+    counted = TK.counted_documents(A(spark, sf), "article_id", "article")
+    return TK.bag_of_words(counted, "article_id", TK.counted_vocabulary(counted))
 
 
 @register("g8_explode_tokens", lambda: W("articles") + f"""
