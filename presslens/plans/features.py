@@ -7,6 +7,8 @@ distributed and can be checked against SQL; the MLlib estimators in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,14 +155,15 @@ def word_index(df: DataFrame, tokens: str, num_words: int = SEQ_NUM_WORDS) -> Da
     return top.select("word", (F.row_number().over(Window.orderBy(F.desc("_c"), "word")) + 1).cast("int").alias("id"))
 
 
-def sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int) -> DataFrame:
+def sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int,
+              carry: Sequence[str] = ()) -> DataFrame:
     """Token ids (1 for unknown words), the last ``max_len`` kept,
-    zero-padded at the end to ``max_len``. The array is cut before the words
+    zero-padded at the end to ``max_len``; columns to ``carry`` stay. The array is cut before the words
     are looked up; all inside the row (the vocabulary has ``num_words``
     entries at most)."""
     kept = F.when(F.size(tokens) > max_len, F.slice(tokens, -max_len, max_len)).otherwise(F.col(tokens))
     ids = F.transform(look_up_all(F.col("_vocab"), F.col("_kept")), lambda i: F.coalesce(i, F.lit(OOV_ID)))
     padded = F.concat("_ids", F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_ids")))
-    return (df.select(key, kept.alias("_kept")).withColumn("_vocab", word_table(vocab, "word", "id"))
-            .select(key, ids.alias("_ids"))
-            .select(key, F.coalesce(padded, F.array_repeat(F.lit(0), max_len)).alias("sequence")))
+    return (df.select(key, *carry, kept.alias("_kept")).withColumn("_vocab", word_table(vocab, "word", "id"))
+            .select(key, *carry, ids.alias("_ids"))
+            .select(key, *carry, F.coalesce(padded, F.array_repeat(F.lit(0), max_len)).alias("sequence")))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, HashingTF, IDF, IndexToString, Normalizer,
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, IndexToString, Normalizer,
                                 RegexTokenizer, StringIndexer)
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
@@ -23,15 +23,21 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import online_lda
-from .features import TFIDF_TOKEN, classification_report, split_flag
+from .features import TFIDF_TOKEN, classification_report, split_flag, tfidf_tokens
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest")
 
 
 def tfidf_features(df: DataFrame, text: str, max_features: int, out: str = "features") -> tuple[DataFrame, PipelineModel]:
-    """M1 with ML stages: raw counts x (idf + 1), L2 rows."""
+    """M1 with ML stages: raw counts x (idf + 1), L2 rows. The ``max_features``
+    words are those of the relational form, ties at the cut by word (the
+    estimator of Spark leaves them to chance)."""
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TFIDF_TOKEN, gaps=False, toLowercase=True)
-    cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=max_features)
+    words = df.select(F.explode(tfidf_tokens(text)).alias("word")).groupBy("word").count() \
+        .orderBy(F.desc("count"), "word").limit(max_features).collect()
+    if not words:
+        raise ValueError("no word to learn from")
+    cv = CountVectorizerModel.from_vocabulary([r["word"] for r in words], inputCol="_tok", outputCol="_tf")
     idf = IDF(inputCol="_tf", outputCol="_idf")
     fitted = Pipeline(stages=[tok, cv, idf]).fit(df)
     idf_vec = fitted.stages[2].idf.toArray() + 1.0

@@ -9,6 +9,7 @@ from ..plans import authors as AU
 from ..plans import features as FE
 from ..plans import models as MO
 from ..plans import sentiment as SE
+from ..plans import sequence_model as SM
 from ..plans import tokens as TK
 from ..session import materialize
 from . import duck as D
@@ -111,7 +112,7 @@ def _pred(spark, sf):
                     (F.col("doc_id") % 2).cast("string").alias("prediction"))
 
 
-REPORT_SQL = "WITH " + PRED_SQL + """,
+REPORT_CTE = """
 conf AS (SELECT label AS l, prediction AS p, count(*) AS n FROM pred GROUP BY 1, 2),
 bl AS (SELECT l AS class, sum(n) AS support, sum(CASE WHEN l = p THEN n ELSE 0 END) AS tp FROM conf GROUP BY 1),
 bp AS (SELECT p AS class, sum(n) AS predicted FROM conf GROUP BY 1),
@@ -131,6 +132,7 @@ UNION ALL SELECT 'accuracy', NULL, NULL, acc, total FROM s
 UNION ALL SELECT 'macro avg', mp, mr, mf, total FROM s
 UNION ALL SELECT 'weighted avg', wp, wr, wf, total FROM s)
 """
+REPORT_SQL = "WITH " + PRED_SQL + "," + REPORT_CTE
 
 
 @register("m8_classification_report", REPORT_SQL + "SELECT * FROM report")
@@ -176,7 +178,35 @@ def _experiment(spark, sf, models, text="title_clean", target="simple_topic", ma
                              f"{name}_tfidf_{max_features}", models=models, options=FOREST)
 
 
-@register("m4_naive_bayes")
+def _naive_bayes_sql(columns: str, max_features: int = 5000) -> str:
+    """TF-IDF rows of the titles, multinomial naive Bayes (add one) on the training part, report on the test part."""
+    return model_input_sql() + f""",
+docs AS (SELECT article_id, simple_topic AS label, list_filter(string_split(title_clean, ' '), lambda w: length(w) >= 2) AS t,
+                {TEST_SQL} AS test FROM mi WHERE simple_topic IS NOT NULL),
+tf AS (SELECT article_id, test, label, term, count(*) AS tf
+       FROM (SELECT article_id, test, label, unnest(t) AS term FROM docs) GROUP BY ALL),
+vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM docs WHERE NOT test)) / (count(*) + 1)) + 1 AS idf
+          FROM tf WHERE NOT test GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT {max_features}),
+w AS (SELECT article_id, test, label, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
+x AS (SELECT article_id, test, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY article_id)) AS x FROM w),
+classes AS (SELECT label AS c, count(*) AS n FROM docs WHERE NOT test GROUP BY 1),
+sums AS (SELECT label AS c, term, sum(x) AS s FROM x WHERE NOT test GROUP BY 1, 2),
+mass AS (SELECT c, sum(s) AS t FROM sums GROUP BY 1),
+fits AS (SELECT x.article_id, m.c, sum(x * (ln(coalesce(s, 0) + 1) - ln(t + (SELECT count(*) FROM vocab)))) AS fit
+         FROM x CROSS JOIN mass m LEFT JOIN sums ON sums.c = m.c AND sums.term = x.term WHERE test GROUP BY 1, 2),
+scores AS (SELECT d.article_id, d.label, k.c, k.n, coalesce(fit, 0) + ln(n + 1) AS score
+           FROM docs d CROSS JOIN classes k LEFT JOIN fits f ON f.article_id = d.article_id AND f.c = k.c WHERE test),
+pred AS (SELECT label, c AS prediction FROM scores
+         QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, n DESC, c) = 1),
+""" + REPORT_CTE + f"SELECT 'title_topic_tfidf_{max_features}' AS experiment, 'naive_bayes' AS model, {columns} FROM report"
+
+
+#: The test part of the experiments and that of the networks (M2's hash with their seeds).
+TEST_SQL = "((article_id * 1103515245 + 12395) % 2147483648) % 100 < 20"
+NETWORK_TEST_SQL = "((article_id * 1103515245 + 12387) % 2147483648) % 100 < 20"
+
+
+@register("m4_naive_bayes", lambda: _naive_bayes_sql("*"))
 def m4_naive_bayes(spark, sf):
     return _experiment(spark, sf, ["naive_bayes"])
 
@@ -227,12 +257,33 @@ def _support_sql(target: str, test: str) -> str:
 SELECT {target} AS class, count(*) AS support FROM mi WHERE {target} IS NOT NULL AND {test} GROUP BY 1"""
 
 
-@register("m7_report_support", lambda: _support_sql(
-    "simple_topic", "((article_id * 1103515245 + 12395) % 2147483648) % 100 < 20"))
+def _support(report):
+    """Classes and test rows of a report."""
+    return report.filter(~F.col("class").isin("accuracy", "macro avg", "weighted avg")) \
+        .select("class", "support").filter("support > 0")
+
+
+@register("m7_report_support", lambda: _support_sql("simple_topic", TEST_SQL))
 def m7_report_support(spark, sf):
-    """Classes and test rows of the title-topic report."""
-    rep = _experiment(spark, sf, ["naive_bayes"]).filter(~F.col("class").isin("accuracy", "macro avg", "weighted avg"))
-    return rep.select("class", "support").filter("support > 0")
+    return _support(_experiment(spark, sf, ["naive_bayes"]))
+
+
+@register("m5_report_support", lambda: _support_sql("simple_topic", TEST_SQL))
+def m5_report_support(spark, sf):
+    return _support(m5_logistic_regression(spark, sf))
+
+
+@register("m6_report_support", lambda: _support_sql("simple_topic", TEST_SQL))
+def m6_report_support(spark, sf):
+    return _support(m6_random_forest(spark, sf))
+
+
+@register("m15_comparison_naive_bayes", lambda: _naive_bayes_sql("""
+max(CASE WHEN class = 'accuracy' THEN f1_score END) AS accuracy,
+max(CASE WHEN class = 'macro avg' THEN f1_score END) AS macro_f1,
+max(CASE WHEN class = 'weighted avg' THEN f1_score END) AS weighted_f1"""))
+def m15_comparison_naive_bayes(spark, sf):
+    return MO.model_comparison(m4_naive_bayes(spark, sf))
 
 
 @register("m15_model_comparison")
@@ -253,6 +304,24 @@ def m14_feed_forward(spark, sf):
     return MO.feed_forward(model_input(spark, sf), "article_id", "title_clean", "simple_topic")
 
 
+@register("m14_report_support", lambda: _support_sql("simple_topic", NETWORK_TEST_SQL))
+def m14_report_support(spark, sf):
+    return _support(m14_feed_forward(spark, sf))
+
+
+@register("m14_sequence_classifier")
+def m14_sequence_classifier(spark, sf):
+    """Embeddings of the title's token sequence (M13), pooled, into a softmax layer."""
+    rows = model_input(spark, sf).select("article_id", "simple_topic", F.filter(
+        F.split("title_clean", " "), lambda w: w != "").alias("tokens"))
+    return SM.sequence_classifier(rows, "article_id", "tokens", "simple_topic")
+
+
+@register("m14_sequence_support", lambda: _support_sql("simple_topic", NETWORK_TEST_SQL))
+def m14_sequence_support(spark, sf):
+    return _support(m14_sequence_classifier(spark, sf))
+
+
 def _title_length_scorer(pdf):
     """A user-supplied pandas scorer (F4 example)."""
     import pandas as pd

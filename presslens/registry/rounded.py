@@ -7,6 +7,6 @@ d11_author_sentiment d11_author_sentiment_rounded d11_publication_sentiment d12_
 d13_topic_sentiment_from_raw d13_topic_sentiment_outliers d13_topic_sentiment_outliers_band001 d14_bias_score
 d14_bias_score_from_raw d14_bias_series d2_lexicon_sentiment_title d2_negation_sentiment d3_text_enrichment
 g1_monthly_gap_filled g2_month_and_key g3_daily_mean g5_monthly_score_pivot g5_monthly_score_pivot_all
-g6_unpivot_scores g7_transpose_summary m1_tfidf_relational m8_classification_report m9_weighted_scores n3_nan_to_null
+g6_unpivot_scores g7_transpose_summary m15_comparison_naive_bayes m1_tfidf_relational m4_naive_bayes m8_classification_report m9_weighted_scores n3_nan_to_null
 s11_report_sink
 """.split())
