@@ -130,8 +130,9 @@ def feed_forward(df: DataFrame, key: str, text: str, target: str, num_features:
                  hidden: Sequence[int] = (32,), seed: int = 42, max_iter: int = 50) -> DataFrame:
     """Hashed term features + multilayer perceptron, reported with
     M8 on the 20 % test split."""
-    base = df.filter(F.col(text).isNotNull() & F.col(target).isNotNull()).select(key, text, target) \
-        .withColumn("_test", split_flag(key, seed))
+    # staged: read by the indexer, in every step of the training and by the report
+    base = materialize(df.filter(F.col(text).isNotNull() & F.col(target).isNotNull()).select(key, text, target)
+                       .withColumn("_test", split_flag(key, seed)))
     train = base.filter(~F.col("_test"))
     indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error").fit(train)
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TFIDF_TOKEN, gaps=False)
