@@ -12,7 +12,7 @@ from ..operators import clean as N
 from ..plans import features as FE
 from ..schema import RAW_FIELDS
 from ..sources import io as IO
-from ..streaming.ingest import ingest_stream
+from ..streaming.ingest import ROWS_PER_CHUNK, ingest_stream
 from . import duck as D
 from . import register
 from .q_models import REPORT_SQL, _pred
@@ -28,6 +28,15 @@ def _raw(spark, sf):
     return fx.articles(spark, sf).select(*FIXTURE_SCHEMA.fieldNames())
 
 
+#: Bytes of the documents table that a written file stands for at most.
+FILE_BYTES = 64 << 20
+
+
+def _files(spark, sf, least):
+    """Files to write the articles in: ``least``, or as many times that as large input needs."""
+    return least * max(1, -(-IO.stored_bytes(spark, f"{sf}/documents.parquet") // (least * FILE_BYTES)))
+
+
 @register("s1_csv_source", W("articles") + f"SELECT {RAW_COLS} FROM articles")
 def s1_csv_source(spark, sf):
     path = IO.write_csv(_raw(spark, sf), IO.scratch_path(spark, "csv"))
@@ -140,11 +149,12 @@ def t1_incremental_ingest(spark, sf):
 
 @register("s2_chunked_append", NORM + f"SELECT {RAW_COLS} FROM narticles")
 def s2_chunked_append(spark, sf):
-    """Chunked append: two files, cut into chunks of 300 rows that end in the middle of files."""
+    """Chunked append: two files or more, cut into chunks of 300 rows that end in the middle of files. A
+    micro-batch takes as many of these small chunks as make up one of the usual size."""
     src = IO.scratch_path(spark, "incoming")
-    IO.write_csv(_raw(spark, sf).repartition(2), src)
+    IO.write_csv(_raw(spark, sf).repartition(_files(spark, sf, 2)), src)
     target, ckpt = IO.scratch_path(spark, "raw"), IO.scratch_path(spark, "stream-ckpt")
-    ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, rows_per_chunk=300)
+    ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, rows_per_chunk=300, chunks_per_batch=ROWS_PER_CHUNK // 300)
     return spark.read.parquet(target)
 
 

@@ -122,6 +122,11 @@ def list_files(spark: SparkSession, location: str, pattern: str = ".*", recursiv
     return df.filter(F.col("path").rlike(pattern))
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a table, from the listing."""
+    return list_files(spark, path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Per column its type, non-null count and the row count, from one
     aggregate (unpivoted)."""

@@ -7,10 +7,12 @@ Two streams, each with its own checkpoint below one folder:
    tasks, numbers the records by file and place, and writes chunks of
    ``rows_per_chunk`` records, a file a chunk, to the batch's own folder. A
    batch that runs again overwrites that folder.
-2. Chunks. A stream over those files admits one chunk a micro-batch, cleans it
-   (N1-N3, N5) and appends it to the table through the file sink, so a chunk is
-   in the table exactly once; a run that ends between two chunks is continued
-   by the next from the checkpoint.
+2. Chunks. A stream over those files admits ``chunks_per_batch`` chunks a
+   micro-batch (one, if not stated), cleans them (N1-N3, N5) and appends them to
+   the table through the file sink, a task and a file a chunk, so a chunk is in
+   the table exactly once; a run that ends between two micro-batches is continued
+   by the next from the checkpoint. Small chunks are admitted in numbers, as the
+   time of a micro-batch hardly falls with its rows.
 
 Numbers come from the counts of the ranges (a row a range), not from a sort of
 the records. The chunk files are the queue between the streams; they can be
@@ -19,6 +21,8 @@ expired with the checkpoint's folder once the second stream has passed them.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,19 +80,34 @@ def stage_chunks(spark: SparkSession, source: str, queue: str, checkpoint: str,
 
 def ingest_stream(spark: SparkSession, source_dir: str, target_path: str, checkpoint_path: str,
                   schema: T.StructType = RAW_SCHEMA, max_files_per_trigger: int | None = None,
-                  rows_per_chunk: int = ROWS_PER_CHUNK):
+                  rows_per_chunk: int = ROWS_PER_CHUNK, chunks_per_batch: int = 1):
     """Ingest what is new below ``source_dir``; returns the finished stream over the chunks."""
     queue, checkpoint = f"{checkpoint_path}/queue", checkpoint_path
     spark._jvm.org.apache.hadoop.fs.Path(queue).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(
         spark._jvm.org.apache.hadoop.fs.Path(queue))
     stage_chunks(spark, source_dir, queue, checkpoint, rows_per_chunk, max_files_per_trigger)
-    q = chunk_stream(spark, queue, target_path, checkpoint, schema)
+    q = chunk_stream(spark, queue, target_path, checkpoint, schema, chunks_per_batch)
     q.awaitTermination()
     return q
 
 
-def chunk_stream(spark: SparkSession, queue: str, target_path: str, checkpoint: str, schema: T.StructType = RAW_SCHEMA):
-    """The second stream: a chunk a micro-batch -> the table."""
-    chunks = spark.readStream.schema(_CHUNKS).option("maxFilesPerTrigger", 1).option("basePath", queue).parquet(queue)
-    return (clean_raw(quoted_csv.parsed(chunks, schema, typed=False), schema).writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", f"{checkpoint}/chunks").trigger(availableNow=True).start(target_path))
+def chunk_stream(spark: SparkSession, queue: str, target_path: str, checkpoint: str, schema: T.StructType = RAW_SCHEMA,
+                 chunks_per_batch: int = 1):
+    """The second stream: ``chunks_per_batch`` chunks a micro-batch -> the table."""
+    chunks = spark.readStream.schema(_CHUNKS).option("maxFilesPerTrigger", chunks_per_batch).option("basePath", queue).parquet(queue)
+    out = (clean_raw(quoted_csv.parsed(chunks, schema, typed=False), schema).writeStream.format("parquet").outputMode("append")
+           .option("checkpointLocation", f"{checkpoint}/chunks").trigger(availableNow=True))
+    with _file_a_task(spark):  # the stream keeps the settings it begins with
+        return out.start(target_path)
+
+
+@contextlib.contextmanager
+def _file_a_task(spark: SparkSession):
+    """Files of a scan are not put together in a task: to open one counts as a whole task's share."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, str(int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())))
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)

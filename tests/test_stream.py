@@ -60,3 +60,31 @@ def test_a_run_that_ends_between_chunks_is_continued(spark, sf_dir):
     ingest_stream(spark, src + "/*.csv", target, ckpt, FIXTURE_SCHEMA, rows_per_chunk=100)
     got = spark.read.parquet(target)
     assert got.count() == raw.count() == got.select("article_id").distinct().count()
+
+
+def test_small_chunks_are_appended_in_numbers_a_file_each(spark, sf_dir):
+    """Micro-batches of several chunks; every chunk is still a file of its own in the table."""
+    raw = _raw(spark, sf_dir)
+    src, target, ckpt = (IO.scratch_path(spark, x) for x in ("incoming", "raw", "ckpt"))
+    IO.write_csv(raw.coalesce(2), src)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    q = ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA, rows_per_chunk=60, chunks_per_batch=8)
+    n = raw.count()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]] == [480] * (n // 480) + [n % 480]
+    assert _chunks(spark, target) == sorted([60] * (n // 60) + [n % 60])
+    assert spark.read.parquet(target).select("article_id").distinct().count() == n
+
+
+def test_chunked_append_takes_more_than_one_chunk_a_micro_batch(spark, sf_dir, monkeypatch):
+    from presslens.registry import q_sources
+    runs = []
+    monkeypatch.setattr(q_sources, "ingest_stream", lambda *a, **b: runs.append(ingest_stream(*a, **b)))
+    got = q_sources.s2_chunked_append(spark, sf_dir)
+    n = _raw(spark, sf_dir).count()
+    assert [p["numInputRows"] for p in runs[0].recentProgress if p["numInputRows"]] == [n]
+    assert got.count() == n and _chunks_of(got) == sorted([300] * (n // 300) + [n % 300])
+
+
+def _chunks_of(df):
+    return sorted(r["count"] for r in df.groupBy(F.input_file_name()).count().collect())
