@@ -140,8 +140,9 @@ def s11_report_sink(spark, sf):
 
 @register("t1_incremental_ingest", NORM + f"SELECT {RAW_COLS} FROM narticles")
 def t1_incremental_ingest(spark, sf):
+    """Two new files, or as many times that as large input needs."""
     src = IO.scratch_path(spark, "incoming")
-    IO.write_csv(_raw(spark, sf).repartition(2), src)
+    IO.write_csv(_raw(spark, sf).repartition(_files(spark, sf, 2)), src)
     target, ckpt = IO.scratch_path(spark, "raw"), IO.scratch_path(spark, "stream-ckpt")
     ingest_stream(spark, src, target, ckpt, FIXTURE_SCHEMA)
     return spark.read.parquet(target)

@@ -33,6 +33,8 @@ from ..session import materialize
 from ..sources import quoted_csv
 
 ROWS_PER_CHUNK = 50_000  # fixed value of the reference's ingest
+#: Bytes of a row group of a chunk file: a large chunk is read by several tasks.
+CHUNK_GROUP = 16 << 20
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 _CHUNKS = "file string, number long, record string, batch long, chunk long"
 
@@ -59,7 +61,7 @@ def write_chunks(records: DataFrame, path: str, rows_per_chunk: int) -> None:
     """``records`` in files of ``rows_per_chunk`` below ``path``/chunk=..., the last of fewer."""
     chunk = F.floor(F.col("number") / rows_per_chunk).cast("long")
     (numbered(records).withColumn("chunk", chunk).repartition("chunk").sortWithinPartitions("chunk", "number")
-     .write.mode("overwrite").partitionBy("chunk").parquet(path))
+     .write.mode("overwrite").option("parquet.block.size", CHUNK_GROUP).partitionBy("chunk").parquet(path))
 
 
 def stage_chunks(spark: SparkSession, source: str, queue: str, checkpoint: str, rows_per_chunk: int,
@@ -97,7 +99,7 @@ def chunk_stream(spark: SparkSession, queue: str, target_path: str, checkpoint:
     chunks = spark.readStream.schema(_CHUNKS).option("maxFilesPerTrigger", chunks_per_batch).option("basePath", queue).parquet(queue)
     out = (clean_raw(quoted_csv.parsed(chunks, schema, typed=False), schema).writeStream.format("parquet").outputMode("append")
            .option("checkpointLocation", f"{checkpoint}/chunks").trigger(availableNow=True))
-    with _file_a_task(spark):  # the stream keeps the settings it begins with
+    with _file_a_task(spark) if chunks_per_batch > 1 else contextlib.nullcontext():  # the stream keeps the settings it begins with
         return out.start(target_path)
 
 

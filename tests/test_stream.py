@@ -86,5 +86,17 @@ def test_chunked_append_takes_more_than_one_chunk_a_micro_batch(spark, sf_dir, m
     assert got.count() == n and _chunks_of(got) == sorted([300] * (n // 300) + [n % 300])
 
 
+def test_ingest_of_large_input_reads_more_files(spark, sf_dir, monkeypatch):
+    from presslens.registry import q_sources
+    size = IO.stored_bytes(spark, f"{sf_dir}/documents.parquet")
+    assert q_sources._files(spark, sf_dir, 2) == 2
+    monkeypatch.setattr(q_sources, "FILE_BYTES", size // 5)
+    sources = []
+    monkeypatch.setattr(q_sources, "ingest_stream", lambda spark, src, *a, **b: (sources.append(src), ingest_stream(spark, src, *a, **b)))
+    got = q_sources.t1_incremental_ingest(spark, sf_dir)
+    assert IO.list_files(spark, sources[0], r"\.csv$").count() == 6
+    assert got.count() == _raw(spark, sf_dir).count() == got.select("article_id").distinct().count()
+
+
 def _chunks_of(df):
     return sorted(r["count"] for r in df.groupBy(F.input_file_name()).count().collect())
