@@ -70,26 +70,30 @@ def s7_clear_then_append(spark, sf):
 
 @register("s4_file_read_all", W("articles") + f"SELECT {RAW_COLS} FROM articles")
 def s4_file_read_all(spark, sf):
-    """More files asked for than there are: the whole table, whatever the order."""
-    path = IO.scratch_path(spark, "files")
-    _raw(spark, sf).repartition(4).write.parquet(path)
-    return IO.read_files(spark, path, n=9, shuffle=True, seed=7).select(*FIXTURE_SCHEMA.fieldNames())
+    """More files asked for than there are (9 of 4 in a small table): the whole table, whatever the order."""
+    path, files = IO.scratch_path(spark, "files"), _files(spark, sf, 4)
+    _raw(spark, sf).repartition(files).write.parquet(path)
+    return IO.read_files(spark, path, n=2 * files + 1, shuffle=True, seed=7).select(*FIXTURE_SCHEMA.fieldNames())
 
 
 @register("s4_limited_file_read")
 def s4_limited_file_read(spark, sf):
-    path = IO.scratch_path(spark, "files")
-    _raw(spark, sf).repartition(4).write.parquet(path)
-    return IO.read_files(spark, path, n=2, shuffle=True, seed=7)
+    """Half of the files (2 of 4 in a small table)."""
+    path, files = IO.scratch_path(spark, "files"), _files(spark, sf, 4)
+    _raw(spark, sf).repartition(files).write.parquet(path)
+    return IO.read_files(spark, path, n=files // 2, shuffle=True, seed=7)
 
 
 @register("s4_first_files", W("articles") + f"SELECT {RAW_COLS} FROM articles WHERE article_id % 5 < 2")
 def s4_first_files(spark, sf):
-    """Two of five files, in the order of their paths."""
-    path = IO.scratch_path(spark, "files")
-    raw = _raw(spark, sf).withColumn("part", F.col("article_id") % 5)
-    raw.repartition("part").write.partitionBy("part").parquet(path)
-    return IO.read_files(spark, path, n=2).select(*FIXTURE_SCHEMA.fieldNames())
+    """The files of two of five parts, in the order of their paths; a part of a small table is one file."""
+    path, slices = IO.scratch_path(spark, "files"), _files(spark, sf, 5) // 5
+    raw = _raw(spark, sf).withColumns({"part": F.col("article_id") % 5,
+                                       "slice": F.pmod(F.xxhash64("article_id", "url", "title"), F.lit(slices))})
+    raw.repartition("part", "slice").write.partitionBy("part", "slice").parquet(path)
+    files = IO.list_files(spark, path, r"\.parquet$").groupBy(F.regexp_extract("path", "/part=([^/]*)/", 1).alias("part")).count()
+    n = files.orderBy("part").limit(2).agg(F.sum("count")).first()[0]
+    return IO.read_files(spark, path, n=n).select(*FIXTURE_SCHEMA.fieldNames())
 
 
 @register("s6_balanced_slices", W("articles") + "SELECT CAST(25 AS BIGINT) AS slices, count(*) AS rows FROM articles")

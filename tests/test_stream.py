@@ -98,5 +98,20 @@ def test_ingest_of_large_input_reads_more_files(spark, sf_dir, monkeypatch):
     assert got.count() == _raw(spark, sf_dir).count() == got.select("article_id").distinct().count()
 
 
+def test_file_reads_of_large_input_write_and_read_more_files(spark, sf_dir, monkeypatch):
+    """The shares of the files that are read stay: all, half, and those of two of five parts."""
+    from presslens.registry import q_sources
+    monkeypatch.setattr(q_sources, "FILE_BYTES", IO.stored_bytes(spark, f"{sf_dir}/documents.parquet") // 15)
+    raw = _raw(spark, sf_dir).select("article_id")
+    files = lambda df: df.select("_metadata.file_path").distinct().count()
+    got = q_sources.s4_file_read_all(spark, sf_dir)
+    assert len(got.inputFiles()) == 16 and sorted(got.select("article_id").collect()) == sorted(raw.collect())
+    got = q_sources.s4_limited_file_read(spark, sf_dir)
+    assert files(got) == 8 and 0 < got.count() < raw.count()
+    got = q_sources.s4_first_files(spark, sf_dir)
+    assert len(got.inputFiles()) > 10
+    assert sorted(got.select("article_id").collect()) == sorted(raw.filter("article_id % 5 < 2").collect())
+
+
 def _chunks_of(df):
     return sorted(r["count"] for r in df.groupBy(F.input_file_name()).count().collect())
