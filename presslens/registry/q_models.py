@@ -59,7 +59,7 @@ def m1_tfidf_relational(spark, sf):
 def m1_tfidf_ml_features(spark, sf):
     """The same features through Spark ML stages (vectors)."""
     from pyspark.ml.functions import vector_to_array
-    feats, _ = MO.tfidf_features(model_input(spark, sf), "title_clean", 5000)
+    feats, _ = MO.tfidf_features(staged_input(spark, sf, "title_clean"), "title_clean", 5000)
     return feats.select("article_id", F.size(vector_to_array("features")).alias("dims"))
 
 
@@ -162,8 +162,8 @@ cut AS (SELECT toks.article_id, CASE WHEN len(ids) > 20 THEN ids[len(ids) - 19:]
 SELECT article_id, array_to_string(list_concat(ids, list_transform(range(20 - len(ids)), lambda x: 0)), ' ')
        AS sequence FROM cut""")
 def m13_token_sequences(spark, sf):
-    mi = model_input(spark, sf).select("article_id", F.filter(F.split("title_clean", " "), lambda w: w != "")
-                                       .alias("t"))
+    mi = staged_input(spark, sf, "title_clean").select("article_id", F.filter(
+        F.split("title_clean", " "), lambda w: w != "").alias("t"))
     vocab = FE.word_index(mi, "t")
     return FE.sequences(mi, "article_id", "t", vocab, 20).select(
         "article_id", F.array_join("sequence", " ").alias("sequence"))

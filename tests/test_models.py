@@ -149,3 +149,11 @@ def test_ml_and_relational_tfidf_agree(spark):
     got = {(r["id"], words[i]): v for r in feats.select("id", "features").collect()
            for i, v in zip(r["features"].indices.tolist(), r["features"].values.tolist())}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_title_features_read_the_articles_once(spark, sf_dir):
+    """The joined and cleaned input is a stage: what is read afterwards is not the tables."""
+    from presslens.registry import q_models
+    for name in ("m1_tfidf_ml_features", "m13_token_sequences"):
+        got = getattr(q_models, name)(spark, sf_dir)
+        assert got.inputFiles() and not any("documents.parquet" in f for f in got.inputFiles())
