@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import online_lda
+from . import online_lda, sparse_forest
 from .features import TFIDF_TOKEN, classification_report, split_flag, tfidf_tokens
 
 MODELS = ("logistic_regression", "naive_bayes", "random_forest")
@@ -85,9 +85,15 @@ def run_experiment(df: DataFrame, key: str, text: str, target: str, max_features
     labels = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
     reports = []
     for name in models:
-        m = classifier(name, **options.get(name, {})).fit(train)
-        pred = labels.transform(m.transform(test)).select(F.col(target).alias("label"),
-                                                          F.col("predicted_label").alias("prediction"))
+        if name == "random_forest":
+            scored = sparse_forest.predict(
+                train.select(target, "features", "label_idx").unionByName(
+                    test.select(target, "features", F.lit(None).cast("double").alias("label_idx"))),
+                "label_idx", "features", len(vec.stages[1].vocabulary), len(indexer.labels),
+                **{"trees": TREES, "depth": DEPTH, **options.get(name, {})})
+        else:
+            scored = classifier(name, **options.get(name, {})).fit(train).transform(test)
+        pred = labels.transform(scored).select(F.col(target).alias("label"), F.col("predicted_label").alias("prediction"))
         reports.append(classification_report(pred).select(F.lit(experiment).alias("experiment"),
                                                           F.lit(name).alias("model"), "*"))
     out = reports[0]
