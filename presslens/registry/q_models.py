@@ -230,7 +230,8 @@ def _authors_input(spark, sf, text):
     """Articles of eligible authors (D9); the fixture reaches ten articles an author."""
     a = materialize(model_input(spark, sf).select("article_id", "author", "publication", "article", text))
     authors = AU.eligible_authors(a, min_articles=10)
-    return AU.eligible_author_articles(a, authors).select("article_id", text, "author")
+    # a stage: an experiment reads its input three times
+    return materialize(AU.eligible_author_articles(a, authors).select("article_id", text, "author"))
 
 
 @register("m7_title_author")
@@ -248,7 +249,7 @@ def m7_article_author(spark, sf):
 @register("m7_title_topic_balanced")
 def m7_title_topic_balanced(spark, sf):
     """Classes resampled to 5 % of the largest (M3) before the split."""
-    rows = FE.balance_classes(staged_input(spark, sf, "title_clean", "simple_topic"), "simple_topic", "article_id")
+    rows = materialize(FE.balance_classes(staged_input(spark, sf, "title_clean", "simple_topic"), "simple_topic", "article_id"))
     return MO.run_experiment(rows, "article_id", "title_clean", "simple_topic", 5000, "title_topic_tfidf_5p_5000")
 
 

@@ -101,3 +101,14 @@ def test_experiments_count_only_what_is_there(spark):
                                options={"random_forest": {"trees": 30, "depth": 20}})
     own = {r["class"]: r for r in report.collect()}
     assert set(own) == {"a", "b", "accuracy", "macro avg", "weighted avg"} and own["accuracy"]["f1_score"] > 0.85
+
+
+def test_inputs_of_experiments_are_stages(spark, sf_dir, monkeypatch):
+    """An experiment reads its input three times: authors' articles and balanced classes are joined once."""
+    from presslens.registry import q_models
+    seen = []
+    monkeypatch.setattr(q_models.MO, "run_experiment", lambda df, *rest: seen.append(df))
+    for name in ("m7_title_author", "m7_article_author", "m7_title_topic_balanced"):
+        getattr(q_models, name)(spark, sf_dir)
+        plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and seen[-1].count() > 0
