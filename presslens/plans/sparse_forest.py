@@ -46,6 +46,10 @@ PARTITION_ROWS = 1 << 15
 BLOCK, BLOCK_ROWS = 1 << 23, 1 << 12
 #: Counts that a task keeps before it adds up equal ones, and numbers of a dense block of splits.
 PENDING, DENSE = 1 << 22, 1 << 22
+#: Rows whose offered features are looked up at once.
+SOUGHT = 1 << 10
+#: Counts sent at once.
+SENT = 1 << 20
 #: Of the bootstrap draws: the Poisson distribution of mean one, by draw.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
@@ -280,6 +284,36 @@ def _descend(node: np.ndarray, bins: np.ndarray, level: Level) -> np.ndarray:
     return np.where(node >= 0, level.child.ravel()[2 * at + side], -1)
 
 
+def _remainder(numbers: np.ndarray, size: int) -> np.ndarray:
+    by = numbers.dtype.type(size)
+    return numbers - numbers // by * by
+
+
+def _inverses(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature of each place in ``mixed``, and what takes a step back (0 if it has a divisor of the size)."""
+    size = len(mixed)
+    return np.argsort(mixed), np.array([pow(u, -1, size) if math.gcd(u, size) == 1 else 0 for u in range(max(size, 2))],
+                                        mixed.dtype)
+
+
+def _sought(own: np.ndarray, bins: np.ndarray, inverses: tuple[np.ndarray, np.ndarray], step: np.ndarray, start: np.ndarray,
+            offered: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, bin) of what is not zero among the features that rows' nodes ``own`` (-1 for none) are offered:
+    those whose place times step plus start lies below ``offered``. ``bins`` has rows x features."""
+    size = bins.shape[1]
+    at_place, back = inverses
+    live, found = np.flatnonzero(own >= 0), []
+    for lo in range(0, max(len(live), 1), SOUGHT):
+        r = live[lo:lo + SOUGHT]
+        by = back[step[own[r]]]
+        first = _remainder(by * (back.dtype.type(size) - start[own[r]]), size)
+        feature = at_place[_remainder(by[:, None] * np.arange(offered, dtype=by.dtype) + first[:, None], size)]
+        b = bins.ravel()[r[:, None] * size + feature].ravel()
+        hit = np.flatnonzero(b)
+        found.append((r[hit // offered], feature.ravel()[hit], b[hit]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _splits(state: DataFrame, levels: list[Broadcast], whole: tuple[np.ndarray, np.ndarray], level_seed: list[int],
             trees: int, size: int, classes: int) -> pa.Table:
     """node, feature, bin, and the (class, count) pairs of both sides of the nodes that split, ``levels`` below the state."""
@@ -288,19 +322,23 @@ def _splits(state: DataFrame, levels: list[Broadcast], whole: tuple[np.ndarray,
     units = np.array([u for u in range(1, max(size, 2)) if math.gcd(u, size) == 1])
     # a node is offered the features that a step and a start of its own take below ``offered``
     number = np.uint32 if size < 1 << 16 else np.uint64  # of size * size; the last step and start are for no node
-    shared = state.sparkSession.sparkContext.broadcast((
-        rng.permutation(size).astype(number), np.r_[rng.choice(units, nodes), 0].astype(number),
+    spark = state.sparkSession
+    mixed = rng.permutation(size).astype(number)
+    shared = spark.sparkContext.broadcast((
+        mixed, _inverses(mixed), np.r_[rng.choice(units, nodes), 0].astype(number),
         np.r_[rng.integers(0, size, nodes), size - 1].astype(number), whole))
+    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixed, step, start, _ = shared.value
+        mixed, inverses, step, start, _ = shared.value
         keys, counts, pending = [], [], 0
         for part in parts:
             labels = np.asarray(part.column("_label"))
             nodes, draws = (_table(part.column(c), t, trees) for c, t in (("_node", np.int32), ("_draws", np.uint8)))
             for rows, row, feature, bins, n in _blocks(part, size):
                 node = np.where(draws[rows] > 0, nodes[rows], -1)
-                if levels:
+                seek = len(row) > offered * len(n)  # rows of more features than a node is offered
+                if levels or seek:
                     whole_rows = np.zeros((len(n), size), np.uint8)
                     whole_rows[row, feature] = bins
                     for level in levels:
@@ -309,12 +347,14 @@ def _splits(state: DataFrame, levels: list[Broadcast], whole: tuple[np.ndarray,
                 place, label, drawn = mixed[feature], labels[rows], draws[rows]
                 for t in np.flatnonzero((node >= 0).any(0)):
                     own = node[:, t]
-                    at = np.repeat(step[own], n) * place + np.repeat(start[own], n)
-                    live = np.flatnonzero(at - at // at.dtype.type(size) * at.dtype.type(size) < offered)
-                    r = row[live]
-                    kept = own[r] >= 0
-                    live, r = live[kept], r[kept]
-                    keys.append(((own[r] * np.int64(size) + feature[live]) * BINS + bins[live]) * classes + label[r])
+                    if seek:
+                        r, f, b = _sought(own, whole_rows, inverses, step, start, offered)
+                    else:
+                        live = np.flatnonzero((own >= 0)[row])
+                        r = row[live]
+                        live = live[_remainder(step[own][r] * place[live] + start[own][r], size) < offered]
+                        r, f, b = row[live], feature[live], bins[live]
+                    keys.append(((own[r] * np.int64(size) + f) * BINS + b) * classes + label[r])
                     counts.append(drawn[r, t].astype(np.int64))
                     pending += len(r)
                 if pending > PENDING:
@@ -322,14 +362,18 @@ def _splits(state: DataFrame, levels: list[Broadcast], whole: tuple[np.ndarray,
                     keys, counts, pending = [key], [total], len(key) // 2
         if keys:
             key, n = _added(keys, counts)
-            for lo in range(0, len(key), 1 << 18):
-                to = slice(lo, lo + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array((key[to] // (size * BINS * classes)).astype(np.int32)),
-                                                  pa.array(key[to]), pa.array(n[to])], names=["node", "key", "n"])
+            for lo in range(0, len(key), SENT):  # a row a bucket of nodes
+                k, c = key[lo:lo + SENT], n[lo:lo + SENT]
+                bucket = k // (size * BINS * classes) % buckets
+                order = np.argsort(bucket, kind="stable")
+                held = np.bincount(bucket, minlength=buckets)
+                full = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), _binary(k[order], held[full]),
+                                                  _binary(c[order], held[full])], names=["bucket", "key", "n"])
 
     def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *_, whole = shared.value
-        got = [(np.asarray(p.column(0)), np.asarray(p.column(1))) for p in parts]
+        got = [(_flat(p.column(0), np.int64)[0], _flat(p.column(1), np.int64)[0]) for p in parts]
         if not sum(len(k) for k, _ in got):
             return
         key, n = _added([k for k, _ in got], [n for _, n in got])
@@ -344,7 +388,7 @@ def _splits(state: DataFrame, levels: list[Broadcast], whole: tuple[np.ndarray,
                                          names=["node", "feature", "bin", "left_side", "right_side"])
 
     got = state.filter("_label >= 0").select("_label", "_ids", "_bins", "_node", "_draws") \
-        .mapInArrow(count, "node int, key bigint, n bigint").repartition("node").select("key", "n") \
+        .mapInArrow(count, "bucket int, key binary, n binary").repartition("bucket").select("key", "n") \
         .mapInArrow(choose, "node int, feature int, bin int, left_side binary, right_side binary").toArrow()
     shared.destroy()
     return got.combine_chunks()

@@ -112,3 +112,37 @@ def test_inputs_of_experiments_are_stages(spark, sf_dir, monkeypatch):
         getattr(q_models, name)(spark, sf_dir)
         plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and seen[-1].count() > 0
+
+
+def test_offered_features_are_looked_up_as_they_are_tested():
+    """Wide rows look up what their node is offered; it is what each non-zero feature's own test finds."""
+    rng = np.random.default_rng(8)
+    for size, rows, nodes in ((60, 2500, 9), (1, 5, 2)):
+        offered = math.ceil(math.sqrt(size))
+        units = [u for u in range(1, max(size, 2)) if math.gcd(u, size) == 1]
+        mixed = rng.permutation(size).astype(np.uint32)
+        step = np.r_[rng.choice(units, nodes), 0].astype(np.uint32)
+        start = np.r_[rng.integers(0, size, nodes), size - 1].astype(np.uint32)
+        bins = np.where(rng.random((rows, size)) < 0.5, 0, rng.integers(1, 32, (rows, size))).astype(np.uint8)
+        own = rng.integers(-1, nodes, rows).astype(np.int32)
+        got = SF._sought(own, bins, SF._inverses(mixed), step, start, offered)
+        want = sorted((r, f, int(bins[r, f])) for r in range(rows) if own[r] >= 0 for f in range(size)
+                      if bins[r, f] and (int(step[own[r]]) * int(mixed[f]) + int(start[own[r]])) % size < offered)
+        assert sorted(zip(*(x.tolist() for x in got))) == want and want
+    assert [len(x) for x in SF._sought(np.full(3, -1), bins[:3], SF._inverses(mixed), step, start, 1)] == [0, 0, 0]
+
+
+def test_counts_of_a_level_are_sent_by_buckets_of_nodes(spark, monkeypatch):
+    """The counts meet in a few rows of a task, not in a row each, and the splits hang on neither that nor the look-up."""
+    rng = random.Random(4)
+    rows = [(i, float(i % 3), SparseVector(64, {f: 1.0 + rng.random() for f in sorted(rng.sample(range(64), 30))}))
+            for i in range(300)]
+    state = SF._begin(SF._binned(_frame(spark, rows), "label", "features", SF.cuts(_frame(spark, rows), "features", 64), 3)
+                      .coalesce(1), 5, 0, 1)
+    whole = SF._sparse(SF._root_counts(state, 5, 3))
+    want = SF._splits(state, [], whole, [1], 5, 64, 3).sort_by("node")
+    monkeypatch.setattr(SF, "SENT", 100)
+    again = SF._splits(state, [], whole, [1], 5, 64, 3).sort_by("node")
+    assert want.num_rows == 5 and again.equals(want)
+    for tree, feature, bin_ in zip(*(want.column(c).to_pylist() for c in ("node", "feature", "bin"))):
+        assert 0 <= feature < 64 and 0 <= bin_ < SF.BINS - 1
