@@ -2,9 +2,11 @@
 
 Mini-batches are dealt without replacement by a seeded hash of the document's
 key. The documents, as token ids, are staged once in a table partitioned by
-batch; a step reads its own partition. There the E-step runs in Arrow batches,
-the expected counts are added up by aggregation per token, and the driver
-takes a natural-gradient step on the topics (words x topics, both parameters).
+batch, each batch in as many files as tasks can work on; a step reads its own
+partition. There the E-step runs in Arrow batches, a task sends the expected
+counts that are not next to nothing as runs of (cell, sum), which meet by block
+of cells, and the driver takes a natural-gradient step on the topics (words x
+topics, both parameters).
 
 Defined cases: documents without a known token belong to no batch and change
 nothing; of a null key all rows share a batch; an empty vocabulary gives no
@@ -21,7 +23,6 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import stage_path
 
@@ -31,10 +32,14 @@ BATCHES = 20
 OFFSET, DECAY = 2.0, 0.51
 #: Per document: the mean change that ends the E-step, and its most rounds.
 TOLERANCE, MOST_ROUNDS = 1e-3, 50
-#: Distinct (document, token) pairs worked on at once.
-PAIRS = 1 << 16
+#: Distinct (document, token) pairs worked on at once: few, as every round reads their topics.
+PAIRS = 1 << 13
 #: Rows of a block of logarithms.
 BLOCK = 1 << 12
+#: Expected counts up to this are left out of a task's sums: beside a prior of 1 / topics they are below what a float holds.
+NOTHING = 1e-13
+#: Cells (word, topic) of a block of sums.
+CELLS = 1 << 18
 
 
 class Topics(NamedTuple):
@@ -43,16 +48,15 @@ class Topics(NamedTuple):
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """For x > 0: raised to 6 or more by the recurrence, then the asymptotic series."""
-    x = np.array(x, np.float64)
-    low = np.zeros_like(x)
-    for _ in range(6):
-        small = x < 6
-        low -= np.where(small, 1 / x, 0)
-        x += small
+    """For x > 0: raised by 6 with the recurrence, then the asymptotic series."""
+    x = np.asarray(x, np.float64)
+    # 1/x + ... + 1/(x + 5) over one denominator, with y = x * (x + 5): y (y + 4) (y + 6)
+    y = x * (x + 5)
+    low = (2 * x + 5) * ((3 * y + 20) * y + 24) / (y * (y + 4) * (y + 6))
+    x = x + 6
     inverse = 1 / (x * x)
     series = inverse * (1 / 12 - inverse * (1 / 120 - inverse * (1 / 252 - inverse * (1 / 240 - inverse / 132))))
-    return np.log(x) - 0.5 / x - series + low
+    return np.log(x) - 0.5 / x - series - low
 
 
 def expected_log(weights: np.ndarray, axis: int) -> np.ndarray:
@@ -74,14 +78,14 @@ def expect(doc: np.ndarray, word: np.ndarray, count: np.ndarray, topics: np.ndar
     at = topics[word].astype(np.float64)
     ends = np.searchsorted(doc, np.arange(n), "right").tolist()
     spans = list(zip([0, *ends[:-1]], ends))
+    words, counts = ([x[lo:hi] for lo, hi in spans] for x in (at, count))
     live = np.arange(n)  # a document that stands still leaves, so that its result hangs on no other
     for _ in range(MOST_ROUNDS):
         old = gamma[live]
         theta = expected_log(old, 1)
         grown = np.empty_like(theta)
         for i, d in enumerate(live.tolist()):
-            lo, hi = spans[d]
-            grown[i] = (count[lo:hi] / (at[lo:hi] @ theta[i])) @ at[lo:hi]
+            grown[i] = (counts[d] / (words[d] @ theta[i])) @ words[d]
         gamma[live] = alpha + theta * grown
         live = live[np.abs(gamma[live] - old).mean(1) >= TOLERANCE]
         if not len(live):
@@ -111,10 +115,10 @@ def deal(docs: DataFrame, key: str, tokens: str, words: Sequence[str], batches:
          seed: int = 42) -> DataFrame:
     """Staged (ids, batch): the sorted ids (places in ``words``) of each document's known tokens, a folder a batch."""
     spark = docs.sparkSession
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+    slices = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
     rows = docs.filter(F.col(tokens).isNotNull()).select(
         F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(batches)).cast("int").alias("batch"),
-        F.pmod(F.xxhash64(F.col(key), F.spark_partition_id()), F.lit(slices)).cast("int").alias("_slice"),
+        F.xxhash64(F.col(key), F.spark_partition_id()).alias("_slice"),
         F.col(tokens).cast("array<string>").alias("tokens"))
     shared = spark.sparkContext.broadcast(list(words))
 
@@ -135,22 +139,55 @@ def deal(docs: DataFrame, key: str, tokens: str, words: Sequence[str], batches:
                                              names=["ids", "batch", "_slice"])
 
     path = stage_path(spark)
-    # a slice of a batch lies in one task, so that a batch has few files; a key of very many rows is spread
-    rows.mapInArrow(numbered, "ids array<int>, batch int, _slice int").repartition("batch", "_slice") \
+    # each task has a slice of every batch and writes it as a file; a key of very many rows is spread
+    rows.mapInArrow(numbered, "ids array<int>, batch int, _slice bigint").repartition(slices, "_slice") \
         .drop("_slice").write.partitionBy("batch").parquet(path)
     return spark.read.schema("ids array<int>, batch int").parquet(path)
 
 
+#: Sums of a block of cells: the number of documents (once a task), steps from cell to cell, floats.
+SUMS = "block bigint, docs bigint, cells binary, sums binary"
+
+
+def _sums(cell: np.ndarray, value: np.ndarray, docs: int) -> pa.RecordBatch:
+    """SUMS of ascending cells; the first row has the number of documents."""
+    block = cell // CELLS
+    own, first = np.unique(block, return_index=True)
+    if not len(own):
+        own, first = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    parts = [slice(lo, hi) for lo, hi in zip(first, [*first[1:], len(cell)])]
+    steps = [np.diff(cell[p], prepend=b * CELLS).astype(np.int32).tobytes() for b, p in zip(own.tolist(), parts)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(own, pa.int64()), pa.array([docs] + [0] * (len(own) - 1), pa.int64()), pa.array(steps, pa.binary()),
+         pa.array([value[p].astype(np.float32).tobytes() for p in parts], pa.binary())], names=["block", "docs", "cells", "sums"])
+
+
+def _runs(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cells, sums) of each row of SUMS."""
+    for block, cells, sums in zip(part.column("block").to_pylist(), part.column("cells"), part.column("sums")):
+        yield (block * CELLS + np.cumsum(np.frombuffer(cells.as_buffer(), np.int32), dtype=np.int64),
+               np.frombuffer(sums.as_buffer(), np.float32).astype(np.float64))
+
+
+def _added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SUMS of whole blocks, each block once."""
+    found, docs = {}, 0
+    for part in parts:
+        docs += pa.compute.sum(part.column("docs")).as_py() or 0
+        for block, (cell, sums) in zip(part.column("block").to_pylist(), _runs(part)):
+            found.setdefault(block, np.zeros(CELLS))[cell - block * CELLS] += sums
+    for block, sums in found.items():
+        cell = np.flatnonzero(sums)
+        yield _sums(block * CELLS + cell, sums[cell], docs)
+        docs = 0
+
+
 def fit(dealt: DataFrame, words: int, k: int, passes: int, batches: int = BATCHES, seed: int = 42) -> Topics:
     """Topics over ``words`` token ids from dealt documents, each read once a pass."""
     spark = dealt.sparkSession
     total = dealt.count()
     prior = 1.0 / k
     weights = np.random.default_rng(seed).gamma(100.0, 0.01, (words, k))
-    names = [f"s{i}" for i in range(k)]
-    schema = T.StructType([T.StructField("token_id", T.IntegerType()), T.StructField("docs", T.LongType()),
-                           *(T.StructField(s, T.FloatType()) for s in names)])
-    sums = [F.sum("docs").alias("docs"), *(F.sum(s).cast("float").alias(s) for s in names)]
     read, step = [], 0
     for _ in range(passes):
         read.append(0)
@@ -169,24 +206,22 @@ def fit(dealt: DataFrame, words: int, k: int, passes: int, batches: int = BATCHE
                         order = np.argsort(word, kind="stable")
                         begins = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
                         found[word[order][begins]] += np.add.reduceat(counts[order], begins)
-                if n:  # the number of documents stands beside the first token
-                    at = np.flatnonzero(found.any(1))
-                    docs = np.r_[n, np.zeros(len(at) - 1)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at, pa.int32()), pa.array(docs), *(pa.array(found[at, i], pa.float32()) for i in range(k))],
-                        names=["token_id", "docs", *names])
-
-            got = dealt.filter(F.col("batch") == b).select("ids").mapInArrow(statistics, schema) \
-                .groupBy("token_id").agg(*sums).toArrow()
+                if n:
+                    kept = found * shared.value > NOTHING
+                    cell = np.flatnonzero(kept)
+                    yield _sums(cell, found[kept], n)
+
+            got = dealt.filter(F.col("batch") == b).select("ids").mapInArrow(statistics, SUMS).repartition("block") \
+                .mapInArrow(_added, SUMS).toArrow()
             shared.destroy()
-            if got.num_rows:
-                n = int(pa.compute.sum(got.column("docs")).as_py())
+            n = int(pa.compute.sum(got.column("docs")).as_py() or 0)
+            if n:
                 read[-1] += n
                 rate = (OFFSET + step) ** -DECAY
                 weights *= 1 - rate
                 weights += rate * prior
-                at = np.asarray(got.column("token_id"))
-                for i, name in enumerate(names):
-                    weights[at, i] += rate * total / n * np.asarray(got.column(name)) * topics[at, i]
+                for part in got.to_batches():
+                    for cell, sums in _runs(part):
+                        weights.ravel()[cell] += rate * total / n * sums * topics.ravel()[cell]
                 step += 1
     return Topics(weights, read)

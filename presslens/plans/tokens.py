@@ -60,6 +60,14 @@ def vocabulary(df: DataFrame, text: str, no_below: int = 10, no_above: float = 0
     return _numbered(document_frequency(df, text), n_docs, no_below, no_above, keep_n)
 
 
+def token_vocabulary(docs: DataFrame, tokens: str, no_below: int = 10, no_above: float = 0.1,
+                     keep_n: int = 100_000) -> DataFrame:
+    """M10 over documents that are token lists already."""
+    freq = docs.select(F.explode(F.array_distinct(tokens)).alias("token")) \
+        .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return _numbered(freq, docs.select(F.count(F.lit(1))).scalar(), no_below, no_above, keep_n)
+
+
 def counted_vocabulary(counted: DataFrame, no_below: int = 10, no_above: float = 0.1,
                        keep_n: int = 100_000) -> DataFrame:
     """M10 over ``counted_documents``."""

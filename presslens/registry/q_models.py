@@ -294,9 +294,10 @@ def m15_model_comparison(spark, sf):
 
 @register("m12_topic_model")
 def m12_topic_model(spark, sf):
-    a = materialize(fx.articles(spark, sf).select("article_id", "article"))
-    vocab = TK.vocabulary(a, "article")
-    docs = a.filter(F.col("article").isNotNull()).select("article_id", TK.token_column("article").alias("tokens"))
+    # staged as tokens: read for the vocabulary and for the documents
+    docs = materialize(fx.articles(spark, sf).filter(F.col("article").isNotNull())
+                       .select("article_id", TK.token_column("article").alias("tokens")))
+    vocab = TK.token_vocabulary(docs, "tokens")
     return MO.topic_model(docs, "article_id", "tokens", vocab, k=50, passes=2, top_terms=50)
 
 

@@ -96,6 +96,48 @@ def test_expected_counts_match_a_plain_loop():
         assert np.allclose((counts * topics[word])[doc == d].sum(), sum(ws.values()))
 
 
+def test_a_batch_lies_in_as_many_files_as_tasks_can_read(spark):
+    """A step is worked on by every core, however small the batch's files and the number of shuffle partitions are."""
+    docs = spark.range(4000).select("id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(
+        F.lit("w"), ((F.col("id") * 7 + i * i) % 40).cast("string"))).alias("tokens")).repartition(3)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        dealt = online_lda.deal(docs, "id", "tokens", [f"w{i}" for i in range(40)], batches=4)
+        cores = spark.sparkContext.defaultParallelism
+        for b in range(4):
+            files = dealt.filter(F.col("batch") == b).groupBy(F.input_file_name()).count().collect()
+            assert len(files) == cores and max(r["count"] for r in files) < 3 * 4000 / 4 / cores
+        got = online_lda.fit(dealt, 40, 4, 1, batches=4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert got.read == [4000] and dealt.count() == 4000
+
+
+def test_sums_meet_by_block_of_cells():
+    rng = np.random.default_rng(6)
+    want, parts = np.zeros(3 * online_lda.CELLS), []
+    for docs in (3, 0, 4):
+        cell = np.sort(rng.choice(len(want), 500, replace=False))
+        value = rng.random(500).astype(np.float32)
+        want[cell] += value
+        parts.append(online_lda._sums(cell, value, docs))
+    parts.append(online_lda._sums(np.empty(0, np.int64), np.empty(0), 5))  # documents whose counts are next to nothing
+    got, docs = np.zeros(len(want)), 0
+    for part in online_lda._added(iter(parts)):
+        docs += sum(part.column("docs").to_pylist())
+        for cell, sums in online_lda._runs(part):
+            got[cell] += sums
+    assert docs == 12 and np.allclose(got, want, rtol=1e-6)
+    assert list(online_lda._added(iter([]))) == []
+
+
+def test_vocabulary_of_tokens_is_that_of_their_text(spark, sf_dir):
+    a = fx.articles(spark, sf_dir)
+    docs = a.filter(F.col("article").isNotNull()).select("article_id", TK.token_column("article").alias("tokens"))
+    assert TK.token_vocabulary(docs, "tokens").collect() == TK.vocabulary(a, "article").collect()
+
+
 def test_digamma():
     assert online_lda.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx(
         [-0.5772156649015329, -1.9635100260214235, 2.2517525890667211], abs=1e-9)
