@@ -33,7 +33,7 @@ OFFSET, DECAY = 2.0, 0.51
 #: Per document: the mean change that ends the E-step, and its most rounds.
 TOLERANCE, MOST_ROUNDS = 1e-3, 50
 #: Distinct (document, token) pairs worked on at once: few, as every round reads their topics.
-PAIRS = 1 << 13
+PAIRS = 1 << 15
 #: Rows of a block of logarithms.
 BLOCK = 1 << 12
 #: Expected counts up to this are left out of a task's sums: beside a prior of 1 / topics they are below what a float holds.

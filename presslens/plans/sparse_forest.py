@@ -44,7 +44,7 @@ LEVELS = 5
 PARTITION_ROWS = 1 << 15
 #: Numbers of a block of rows with all their features, and its most rows.
 BLOCK, BLOCK_ROWS = 1 << 23, 1 << 12
-#: Counts that a task keeps before it adds up equal ones, and numbers of a dense block of splits.
+#: Counts that a task keeps before it adds up equal ones, and about the most of whole nodes' counts worked on at once.
 PENDING, DENSE = 1 << 22, 1 << 22
 #: Rows whose offered features are looked up at once.
 SOUGHT = 1 << 10
@@ -218,43 +218,51 @@ def best_splits(key: np.ndarray, count: np.ndarray, whole: tuple[np.ndarray, np.
     """(node, feature, last bin of the left side, left counts by class) of the nodes that split.
     Keys are (node, feature, bin, class), ascending; ``whole`` has the nodes' class counts: ends and (class, count) pairs."""
     ends, pairs = whole
-    cell, label = key // classes, key % classes
-    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    place = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(cell)]))
-    cell = cell[first]
-    node, pair = cell // (size * BINS), cell // BINS
-    bounds = np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(cell)]
+    node = key // (size * BINS * classes)
+    bounds = np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(key)]
     out, lo = [], 0
-    while lo < len(bounds) - 1:  # whole nodes, about DENSE numbers at a time
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + DENSE // classes, "right")) - 1)
-        a, b = int(bounds[lo]), int(bounds[hi])
+    while lo < len(bounds) - 1:  # whole nodes, about DENSE counts at a time
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + DENSE, "right")) - 1)
+        own = slice(int(bounds[lo]), int(bounds[hi]))
         lo = hi
-        right = np.zeros((b - a, classes), np.int64)
-        s, e = np.searchsorted(place, [a, b])
-        right[place[s:e] - a, label[s:e]] = count[s:e]
-        # what lies at or above a bin: sums from the end, less those of the later features
-        right = np.cumsum(right[::-1], 0)[::-1]
-        p = pair[a:b]
-        last = np.r_[p[1:] != p[:-1], True]
-        begins = np.flatnonzero(np.r_[True, last[:-1]])
-        after = np.r_[right[1:], np.zeros((1, classes), np.int64)][last]
-        right -= np.repeat(after, np.diff(np.r_[begins, b - a]), axis=0)
-        mine = node[a:b]
-        own, which = np.unique(mine, return_inverse=True)
-        total = np.zeros((len(own), classes), np.int64)
-        at, length = _spans(ends, own)
-        total[np.repeat(np.arange(len(own)), length), pairs[at, 0]] = pairs[at, 1]
-        left = total[which] - right
-        n_left, n_right = left.sum(1), right.sum(1)
+        used, which = np.unique(node[own], return_inverse=True)
+        at, length = _spans(ends, used)
+        held, in_class = np.repeat(np.arange(len(used)), length), pairs[at, 1].astype(np.int64)
+        total, squares = (np.bincount(held, x, len(used)) for x in (in_class, in_class ** 2))
+        cell, label, n = key[own] // classes, key[own] % classes, count[own].astype(np.int64)
+        pair = cell // BINS
+        # bins from above, by class: what the sum of the squares at or above a bin grows by with each count
+        down = np.argsort((pair * classes + label) * BINS + BINS - 1 - cell % BINS, kind="stable")
+        group = (pair * classes + label)[down]
+        begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        run = np.cumsum(n[down])
+        run -= np.repeat(run[begins] - n[down][begins], np.diff(np.r_[begins, len(run)]))
+        grown = np.empty_like(n)
+        grown[down] = run ** 2 - (run - n[down]) ** 2
+        shared = in_class[np.searchsorted(held * classes + pairs[at, 0], which * classes + label)] * n
+        # sums over what lies at or above each bin of a feature: from the end, less those of the later features
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        last = np.r_[np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(pair)]
+        end = last[np.searchsorted(last, first, "right")]
+        n_right, right, cross = (x[first] - x[end] for x in (
+            np.r_[np.cumsum(x[::-1])[::-1], 0] for x in (n, grown, shared)))
+        which = which[first]
+        n_left = total[which] - n_right
         with np.errstate(divide="ignore", invalid="ignore"):
-            fit = (left.astype(float) ** 2).sum(1) / n_left + (right.astype(float) ** 2).sum(1) / n_right
-        alone = (total.astype(float) ** 2).sum(1) / np.maximum(total.sum(1), 1)
+            fit = (squares[which] - 2 * cross + right) / n_left + right / n_right
+        alone = squares / np.maximum(total, 1)
         fit[(n_left == 0) | (n_right == 0)] = -1
         fit[fit <= alone[which] * (1 + 1e-12)] = -1
-        order = np.lexsort((cell[a:b], -fit, which))
+        order = np.lexsort((cell[first], -fit, which))
         top = order[np.flatnonzero(np.r_[True, which[order][1:] != which[order][:-1]])]
         top = top[fit[top] >= 0]
-        out.append((mine[top], cell[a:b][top] // BINS % size, cell[a:b][top] % BINS - 1, left[top]))
+        left = np.zeros((len(top), classes), np.int64)
+        at, length = _spans(ends, used[which[top]])
+        left[np.repeat(np.arange(len(top)), length), pairs[at, 0]] = pairs[at, 1]
+        length = end[top] - first[top]
+        at = np.repeat(first[top] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        np.subtract.at(left, (np.repeat(np.arange(len(top)), length), label[at]), n[at])
+        out.append((used[which[top]], cell[first[top]] // BINS % size, cell[first[top]] % BINS - 1, left))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
