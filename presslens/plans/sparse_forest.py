@@ -46,8 +46,10 @@ PARTITION_ROWS = 1 << 15
 BLOCK, BLOCK_ROWS = 1 << 23, 1 << 12
 #: Counts that a task keeps before it adds up equal ones, and about the most of whole nodes' counts worked on at once.
 PENDING, DENSE = 1 << 22, 1 << 22
-#: Rows whose offered features are looked up at once.
-SOUGHT = 1 << 10
+#: Orders of the features in which a level's nodes are offered runs.
+STEPS = 4
+#: One in so many (bin, class) cells of a node's feature are counted: from there on all its cells are laid out, some at once.
+THICK, CELLS = 8, 1 << 19
 #: Counts sent at once.
 SENT = 1 << 20
 #: Of the bootstrap draws: the Poisson distribution of mean one, by draw.
@@ -98,6 +100,33 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
+def _counted(packed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_added``, of keys that have their counts in the last four bits."""
+    both = np.sort(np.concatenate(packed))
+    key, count = both >> 4, both & 15
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _bucketed(bucket: np.ndarray, buckets: int, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """A row a bucket of keys and their counts."""
+    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+    held = np.bincount(bucket, minlength=buckets)
+    full = np.flatnonzero(held)
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), _binary(key[order], held[full]),
+                                       _binary(count[order], held[full])], names=["bucket", "key", "n"])
+
+
+def _met(parts: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of some buckets' rows with the sums of their counts."""
+    got = [(_flat(p.column(0), np.int64)[0], _flat(p.column(1), np.int64)[0]) for p in parts]
+    return _added([np.empty(0, np.int64), *(k for k, _ in got)], [np.empty(0, np.int64), *(n for _, n in got)])
+
+
+def _buckets(spark) -> int:
+    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _spans(ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of the pairs of some rows, one row after the other, and how many each has."""
     length = ends[which + 1] - ends[which]
@@ -122,8 +151,18 @@ def _vectors(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return row[kept], feature[kept].astype(np.int64), value[kept]
 
 
+def _quantiles(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The BINS - 2 inner quantiles of ascending values that occur ``n`` times each, between two values in proportion."""
+    run = np.cumsum(n)
+    place = (run[-1] - 1) * (np.arange(1, BINS - 1) / (BINS - 1))
+    low, high = np.floor(place), np.ceil(place)
+    below, above = (value[np.searchsorted(run, x + 1)] for x in (low, high))
+    return np.where(below == above, below, (high - place) * below + (place - low) * above)
+
+
 def cuts(rows: DataFrame, features: str, size: int) -> np.ndarray:
     """Features x (BINS - 2): the values up to which the bins of the non-zero values reach, without repeats."""
+    buckets = _buckets(rows.sparkSession)
 
     def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, pending = [], [], 0
@@ -135,20 +174,31 @@ def cuts(rows: DataFrame, features: str, size: int) -> np.ndarray:
             pending += len(cell)
             if pending > PENDING:
                 key, count = _added(keys, counts)
-                keys, counts, pending = [key], [count], 0
+                keys, counts, pending = [key], [count], len(key) // 2
         if keys:
             key, count = _added(keys, counts)
-            top = (((key & 0xFFFF) << 16) | 0xFFFF).astype(np.int32).view(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array((key >> 16).astype(np.int32)), pa.array(top.astype(np.float64)),
-                                              pa.array(count)], names=["feature", "value", "n"])
-
-    at = ", ".join(str(i / (BINS - 1)) for i in range(1, BINS - 1))
-    found = rows.select(features).mapInArrow(cells, "feature int, value double, n bigint") \
-        .groupBy("feature", "value").agg(F.sum("n").alias("n")) \
-        .groupBy("feature").agg(F.expr(f"percentile(value, array({at}), n)").alias("cuts"), F.max("value").alias("top")).collect()
+            for lo in range(0, len(key), SENT):  # a row a bucket of features
+                k = key[lo:lo + SENT]
+                yield _bucketed((k >> 16) % buckets, buckets, k, count[lo:lo + SENT])
+
+    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = _met(parts)
+        feature, value = key >> 16, ((((key & 0xFFFF) << 16) | 0xFFFF).astype(np.int32).view(np.float32)).astype(np.float64)
+        bounds = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]]) if len(key) else np.empty(0, np.int64)
+        found = []
+        for lo, hi in zip(bounds, np.r_[bounds[1:], len(key)]):
+            at = _quantiles(value[lo:hi], n[lo:hi])
+            found.append(np.unique(at[at < value[hi - 1]]))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(feature[bounds].astype(np.int32)),
+            _binary(np.concatenate([np.empty(0), *found]), np.array([len(f) for f in found], np.int64))],
+            names=["feature", "cuts"])
+
+    got = rows.select(features).mapInArrow(cells, "bucket int, key binary, n binary").repartition("bucket").select("key", "n") \
+        .mapInArrow(choose, "feature int, cuts binary").collect()
     out = np.full((size, BINS - 2), np.inf)
-    for r in found:
-        own = np.unique([c for c in r["cuts"] if c < r["top"]])
+    for r in got:
+        own = np.frombuffer(r["cuts"], np.float64)
         out[r["feature"], :len(own)] = own
     return out
 
@@ -213,6 +263,44 @@ def _root_counts(state: DataFrame, trees: int, classes: int) -> np.ndarray:
     return out.reshape(classes, trees).T
 
 
+def _sums_above(pair: np.ndarray, bins: np.ndarray, label: np.ndarray, n: np.ndarray, in_node: np.ndarray,
+                classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each (pair, bin) in ascending counts, over what lies at or above it: the count, the sum of its squares by class and
+    that of its products with ``in_node``, the count of the class in the node."""
+    # bins from above, by class: what the sum of the squares at or above a bin grows by with each count
+    down = np.argsort((pair * classes + label) * BINS + BINS - 1 - bins)
+    group = (pair * classes + label)[down]
+    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    run = np.cumsum(n[down])
+    run -= np.repeat(run[begins] - n[down][begins], np.diff(np.r_[begins, len(run)]))
+    grown = np.empty_like(n)
+    grown[down] = run ** 2 - (run - n[down]) ** 2
+    # from the end, less those of the later pairs
+    other = pair[1:] != pair[:-1]
+    first = np.flatnonzero(np.r_[True, other | (bins[1:] != bins[:-1])])
+    end = np.r_[np.flatnonzero(other) + 1, len(pair)][np.r_[0, np.cumsum(other)][first]]
+    return tuple(x[first] - x[end] for x in (np.r_[np.cumsum(x[::-1])[::-1], 0] for x in (n, grown, in_node * n)))
+
+
+def _sums_above_laid_out(pair: np.ndarray, bins: np.ndarray, label: np.ndarray, n: np.ndarray, in_node: np.ndarray,
+                         classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_sums_above``, with all cells of some pairs at a time."""
+    begins = np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), len(pair)]
+    at_once, out = max(1, CELLS // (BINS * classes)), []
+    for lo in range(0, len(begins) - 1, at_once):
+        hi = min(lo + at_once, len(begins) - 1)
+        own = slice(int(begins[lo]), int(begins[hi]))
+        which = np.repeat(np.arange(hi - lo), np.diff(begins[lo:hi + 1]))
+        counts, held = np.zeros((hi - lo, BINS, classes)), np.zeros((hi - lo, classes))
+        counts[which, bins[own], label[own]] = n[own]
+        held[which, label[own]] = in_node[own]
+        there = counts.any(2)
+        counts = np.cumsum(counts[:, ::-1], 1)[:, ::-1]
+        out.append([x[there].astype(np.int64) for x in (
+            counts.sum(2), np.einsum("pbc,pbc->pb", counts, counts), np.einsum("pbc,pc->pb", counts, held))])
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def best_splits(key: np.ndarray, count: np.ndarray, whole: tuple[np.ndarray, np.ndarray], size: int,
                 classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(node, feature, last bin of the left side, left counts by class) of the nodes that split.
@@ -222,30 +310,30 @@ def best_splits(key: np.ndarray, count: np.ndarray, whole: tuple[np.ndarray, np.
     bounds = np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(key)]
     out, lo = [], 0
     while lo < len(bounds) - 1:  # whole nodes, about DENSE counts at a time
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + DENSE, "right")) - 1)
+        hi = max(lo + 1, min(int(np.searchsorted(bounds, bounds[lo] + DENSE, "right")) - 1, lo + DENSE // classes))
         own = slice(int(bounds[lo]), int(bounds[hi]))
+        used, which = node[bounds[lo:hi]], np.repeat(np.arange(hi - lo), np.diff(bounds[lo:hi + 1]))
         lo = hi
-        used, which = np.unique(node[own], return_inverse=True)
         at, length = _spans(ends, used)
         held, in_class = np.repeat(np.arange(len(used)), length), pairs[at, 1].astype(np.int64)
         total, squares = (np.bincount(held, x, len(used)) for x in (in_class, in_class ** 2))
-        cell, label, n = key[own] // classes, key[own] % classes, count[own].astype(np.int64)
+        cell, n = key[own] // classes, count[own].astype(np.int64)
+        label = key[own] - cell * classes
+        in_node = np.zeros(len(used) * classes, np.int64)
+        in_node[held * classes + pairs[at, 0]] = in_class
+        in_node = in_node[which * classes + label]
         pair = cell // BINS
-        # bins from above, by class: what the sum of the squares at or above a bin grows by with each count
-        down = np.argsort((pair * classes + label) * BINS + BINS - 1 - cell % BINS, kind="stable")
-        group = (pair * classes + label)[down]
-        begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        run = np.cumsum(n[down])
-        run -= np.repeat(run[begins] - n[down][begins], np.diff(np.r_[begins, len(run)]))
-        grown = np.empty_like(n)
-        grown[down] = run ** 2 - (run - n[down]) ** 2
-        shared = in_class[np.searchsorted(held * classes + pairs[at, 0], which * classes + label)] * n
-        # sums over what lies at or above each bin of a feature: from the end, less those of the later features
+        bins = cell - pair * BINS
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        last = np.r_[np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(pair)]
-        end = last[np.searchsorted(last, first, "right")]
-        n_right, right, cross = (x[first] - x[end] for x in (
-            np.r_[np.cumsum(x[::-1])[::-1], 0] for x in (n, grown, shared)))
+        begins = np.r_[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), len(pair)]
+        held = np.diff(begins)
+        thick = np.repeat(held > BINS * classes // THICK, held)
+        numbered = np.repeat(np.arange(len(held)), held)
+        above = np.empty((3, len(first)), np.int64)
+        for kind, sums in ((thick, _sums_above_laid_out), (~thick, _sums_above)):
+            if kind.any():
+                above[:, kind[first]] = sums(*(x[kind] for x in (numbered, bins, label, n, in_node)), classes)
+        n_right, right, cross = above
         which = which[first]
         n_left = total[which] - n_right
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -253,13 +341,13 @@ def best_splits(key: np.ndarray, count: np.ndarray, whole: tuple[np.ndarray, np.
         alone = squares / np.maximum(total, 1)
         fit[(n_left == 0) | (n_right == 0)] = -1
         fit[fit <= alone[which] * (1 + 1e-12)] = -1
-        order = np.lexsort((cell[first], -fit, which))
-        top = order[np.flatnonzero(np.r_[True, which[order][1:] != which[order][:-1]])]
-        top = top[fit[top] >= 0]
+        best = np.maximum.reduceat(fit, np.flatnonzero(np.r_[True, which[1:] != which[:-1]]))
+        top = np.flatnonzero((fit == best[which]) & (fit >= 0))
+        top = top[np.r_[True, which[top][1:] != which[top][:-1]]] if len(top) else top
         left = np.zeros((len(top), classes), np.int64)
         at, length = _spans(ends, used[which[top]])
         left[np.repeat(np.arange(len(top)), length), pairs[at, 0]] = pairs[at, 1]
-        length = end[top] - first[top]
+        length = begins[1:][numbered[first[top]]] - first[top]
         at = np.repeat(first[top] - (np.cumsum(length) - length), length) + np.arange(length.sum())
         np.subtract.at(left, (np.repeat(np.arange(len(top)), length), label[at]), n[at])
         out.append((used[which[top]], cell[first[top]] // BINS % size, cell[first[top]] % BINS - 1, left))
@@ -305,20 +393,44 @@ def _inverses(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sought(own: np.ndarray, bins: np.ndarray, inverses: tuple[np.ndarray, np.ndarray], step: np.ndarray, start: np.ndarray,
-            offered: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, bin) of what is not zero among the features that rows' nodes ``own`` (-1 for none) are offered:
-    those whose place times step plus start lies below ``offered``. ``bins`` has rows x features."""
-    size = bins.shape[1]
+            offered: int, filled: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``own``, feature, bin) of what is not zero among the features that rows' nodes ``own`` (-1 for none; rows, or
+    rows x trees) are offered: those whose place times step plus start lies below ``offered``. ``bins`` has rows x features;
+    ``filled``, if known, row and feature of what is not zero, by row.
+
+    A step puts the features in an order in which a node is offered a run, so that the non-zero features of a row are sorted
+    once a step, counted up to the ends of the runs, and a node finds its own by two of these counts."""
+    rows, size = bins.shape
+    trees = own.size // max(rows, 1)
     at_place, back = inverses
-    live, found = np.flatnonzero(own >= 0), []
-    for lo in range(0, max(len(live), 1), SOUGHT):
-        r = live[lo:lo + SOUGHT]
-        by = back[step[own[r]]]
-        first = _remainder(by * (back.dtype.type(size) - start[own[r]]), size)
-        feature = at_place[_remainder(by[:, None] * np.arange(offered, dtype=by.dtype) + first[:, None], size)]
-        b = bins.ravel()[r[:, None] * size + feature].ravel()
-        hit = np.flatnonzero(b)
-        found.append((r[hit // offered], feature.ravel()[hit], b[hit]))
+    nodes = own.ravel()
+    live, found = np.flatnonzero(nodes >= 0), []
+    steps = step[nodes[live]]
+    row, feature = np.nonzero(bins) if filled is None else filled
+    lies = row * size
+    value = bins.ravel()[lies + feature]
+    for k in np.flatnonzero(np.bincount(step[:-1].astype(np.int64))):
+        at = live[steps == k]
+        order = at_place[_remainder(back[k] * np.arange(size, dtype=back.dtype), size)]
+        turn = np.empty(size, np.int64)
+        turn[order] = np.arange(size)
+        turned = np.sort((lies + turn[feature]) << 8 | value)
+        place = (turned >> 8) - lies
+        begin = (size - start[nodes[at]].astype(np.int64)) % size
+        end = begin + offered
+        over = np.flatnonzero(end > size)  # runs that go on from the first place
+        at = np.r_[at, at[over]]
+        begin, end = np.r_[begin, np.zeros(len(over), np.int64)], np.r_[np.minimum(end, size), end[over] - size]
+        mark = np.zeros(size + 1, bool)
+        mark[0] = mark[begin] = mark[end] = True
+        part = np.cumsum(mark) - 1
+        parts = int(part[-1]) + 1
+        before = np.r_[0, np.cumsum(np.bincount(row * parts + part[place], minlength=rows * parts))]
+        r = at // trees * parts
+        begin, end = before[r + part[begin]], before[r + part[end]]
+        length = end - begin
+        which = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        found.append((np.repeat(at, length), order[place[which]], turned[which] & 255))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -328,63 +440,50 @@ def _splits(state: DataFrame, levels: list[Broadcast], whole: tuple[np.ndarray,
     rng = np.random.default_rng(level_seed)
     nodes, offered = len(whole[0]) - 1, math.ceil(math.sqrt(size))
     units = np.array([u for u in range(1, max(size, 2)) if math.gcd(u, size) == 1])
-    # a node is offered the features that a step and a start of its own take below ``offered``
+    # a node is offered the features that its step, one of a few, and its start take below ``offered``: one of the full runs
+    # that lie end to end, which keeps their ends few
     number = np.uint32 if size < 1 << 16 else np.uint64  # of size * size; the last step and start are for no node
     spark = state.sparkSession
-    mixed = rng.permutation(size).astype(number)
     shared = spark.sparkContext.broadcast((
-        mixed, _inverses(mixed), np.r_[rng.choice(units, nodes), 0].astype(number),
-        np.r_[rng.integers(0, size, nodes), size - 1].astype(number), whole))
-    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        _inverses(rng.permutation(size).astype(number)), np.r_[rng.choice(rng.choice(units, STEPS), nodes), 0].astype(number),
+        np.r_[size - offered * rng.integers(0, size // offered, nodes), size].astype(number) % size, whole))
+    buckets = _buckets(spark)
+    if nodes * size * BINS * classes >= 1 << 59:
+        raise ValueError("too many features and classes")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixed, inverses, step, start, _ = shared.value
-        keys, counts, pending = [], [], 0
+        inverses, step, start, _ = shared.value
+        keys, counts, packed, pending = [], [], [], 0
         for part in parts:
             labels = np.asarray(part.column("_label"))
             nodes, draws = (_table(part.column(c), t, trees) for c, t in (("_node", np.int32), ("_draws", np.uint8)))
             for rows, row, feature, bins, n in _blocks(part, size):
                 node = np.where(draws[rows] > 0, nodes[rows], -1)
-                seek = len(row) > offered * len(n)  # rows of more features than a node is offered
-                if levels or seek:
-                    whole_rows = np.zeros((len(n), size), np.uint8)
-                    whole_rows[row, feature] = bins
-                    for level in levels:
-                        node = _descend(node, whole_rows, level.value)
+                whole_rows = np.zeros((len(n), size), np.uint8)
+                whole_rows[row, feature] = bins
+                for level in levels:
+                    node = _descend(node, whole_rows, level.value)
                 node = np.maximum(node, -1)
-                place, label, drawn = mixed[feature], labels[rows], draws[rows]
-                for t in np.flatnonzero((node >= 0).any(0)):
-                    own = node[:, t]
-                    if seek:
-                        r, f, b = _sought(own, whole_rows, inverses, step, start, offered)
-                    else:
-                        live = np.flatnonzero((own >= 0)[row])
-                        r = row[live]
-                        live = live[_remainder(step[own][r] * place[live] + start[own][r], size) < offered]
-                        r, f, b = row[live], feature[live], bins[live]
-                    keys.append(((own[r] * np.int64(size) + f) * BINS + b) * classes + label[r])
-                    counts.append(drawn[r, t].astype(np.int64))
-                    pending += len(r)
+                at, f, b = _sought(node, whole_rows, inverses, step, start, offered, (row, feature))
+                key = ((node.ravel()[at] * np.int64(size) + f) * BINS + b) * classes + labels[rows][at // trees]
+                packed.append(key << 4 | draws[rows].ravel()[at])
+                pending += len(at)
                 if pending > PENDING:
-                    key, total = _added(keys, counts)
-                    keys, counts, pending = [key], [total], len(key) // 2
-        if keys:
-            key, n = _added(keys, counts)
+                    key, total = _counted(packed)
+                    key, total = _added([*keys, key], [*counts, total])
+                    keys, counts, packed, pending = [key], [total], [], len(key) // 2
+        if keys or packed:
+            key, n = _counted(packed or [np.empty(0, np.int64)])
+            key, n = _added([*keys, key], [*counts, n])
             for lo in range(0, len(key), SENT):  # a row a bucket of nodes
-                k, c = key[lo:lo + SENT], n[lo:lo + SENT]
-                bucket = k // (size * BINS * classes) % buckets
-                order = np.argsort(bucket, kind="stable")
-                held = np.bincount(bucket, minlength=buckets)
-                full = np.flatnonzero(held)
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), _binary(k[order], held[full]),
-                                                  _binary(c[order], held[full])], names=["bucket", "key", "n"])
+                k = key[lo:lo + SENT]
+                yield _bucketed(k // (size * BINS * classes) % buckets, buckets, k, n[lo:lo + SENT])
 
     def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *_, whole = shared.value
-        got = [(_flat(p.column(0), np.int64)[0], _flat(p.column(1), np.int64)[0]) for p in parts]
-        if not sum(len(k) for k, _ in got):
+        key, n = _met(parts)
+        if not len(key):
             return
-        key, n = _added([k for k, _ in got], [n for _, n in got])
         node, feature, cut, left = best_splits(key, n, whole, size, classes)
         ends, pairs = whole
         at, length = _spans(ends, node)

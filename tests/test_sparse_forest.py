@@ -146,3 +146,60 @@ def test_counts_of_a_level_are_sent_by_buckets_of_nodes(spark, monkeypatch):
     assert want.num_rows == 5 and again.equals(want)
     for tree, feature, bin_ in zip(*(want.column(c).to_pylist() for c in ("node", "feature", "bin"))):
         assert 0 <= feature < 64 and 0 <= bin_ < SF.BINS - 1
+
+
+def test_thick_and_thin_counts_split_alike(monkeypatch):
+    """All cells of a feature laid out, or its counts alone: the same splits, whatever the share that tells them apart."""
+    rng = np.random.default_rng(12)
+    size, classes, nodes = 5, 7, 6
+    key = np.unique(((rng.integers(0, nodes, 3000) * size + rng.integers(0, size, 3000) ** 2 // size) * SF.BINS
+                     + 1 + rng.integers(0, 30, 3000) ** 2 // 30) * classes + rng.integers(0, classes, 3000))
+    count = rng.integers(1, 5, len(key))
+    held = np.zeros((nodes, classes), np.int64)
+    np.add.at(held, (key // (size * SF.BINS * classes), key % classes), count)
+    got = []
+    for thick, cells in ((10 ** 9, SF.CELLS), (8, SF.CELLS), (8, 1), (1, SF.CELLS)):
+        monkeypatch.setattr(SF, "THICK", thick)
+        monkeypatch.setattr(SF, "CELLS", cells)
+        got.append([x.tolist() for x in SF.best_splits(key, count, SF._sparse(held), size, classes)])
+    assert len(got[0][0]) == nodes and all(g == got[0] for g in got)
+
+
+def test_nodes_of_all_trees_are_looked_up_at_once():
+    """What the nodes of all trees are offered is found for a block of rows together, runs that go round included."""
+    rng = np.random.default_rng(9)
+    size, rows, trees, nodes, offered = 50, 40, 6, 12, 8
+    mixed = rng.permutation(size).astype(np.uint32)
+    step = np.r_[rng.choice([1, 3, 7], nodes), 0].astype(np.uint32)
+    start = np.r_[rng.integers(0, size, nodes), size - 1].astype(np.uint32)
+    bins = np.where(rng.random((rows, size)) < 0.6, 0, rng.integers(1, 32, (rows, size))).astype(np.uint8)
+    own = rng.integers(-1, nodes, (rows, trees)).astype(np.int32)
+    want = sorted((r * trees + t, f, int(bins[r, f])) for r in range(rows) for t in range(trees) if own[r, t] >= 0
+                  for f in range(size) if bins[r, f]
+                  and (int(step[own[r, t]]) * int(mixed[f]) + int(start[own[r, t]])) % size < offered)
+    for filled in (None, np.nonzero(bins)):
+        got = SF._sought(own, bins, SF._inverses(mixed), step, start, offered, filled)
+        assert sorted(zip(*(x.tolist() for x in got))) == want and want
+
+
+def test_quantiles_are_those_of_spark(spark):
+    rng = np.random.default_rng(10)
+    for n in (1, 2, 500):
+        value, count = np.unique(rng.random(n)), rng.integers(1, 9, n)
+        df = spark.createDataFrame(list(zip(value.tolist(), count.tolist())), "v double, n int")
+        at = ", ".join(str(i / (SF.BINS - 1)) for i in range(1, SF.BINS - 1))
+        assert df.select(F.expr(f"percentile(v, array({at}), n)")).first()[0] == SF._quantiles(value, count).tolist()
+
+
+def test_cells_of_a_feature_meet_in_few_rows(spark):
+    """The cells of the values are sent by buckets of features, not in a row each."""
+    rng = random.Random(6)
+    rows = [(i, 0.0, SparseVector(40, {f: 0.01 + rng.random() for f in range(40)})) for i in range(400)]
+    df, seen = _frame(spark, rows).coalesce(1), []
+    kept = type(df).mapInArrow
+    type(df).mapInArrow = lambda self, *a, **b: (seen.append(kept(self, *a, **b)), seen[-1])[1]
+    try:
+        got = SF.cuts(df, "features", 40)
+    finally:
+        type(df).mapInArrow = kept
+    assert np.isfinite(got).all() and seen[0].count() <= 40
