@@ -9,13 +9,15 @@ is the vocabulary size, a parameter).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, IndexToString, Normalizer,
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, HashingTF, IndexToString, Normalizer,
                                 RegexTokenizer, StringIndexer)
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
@@ -28,25 +30,46 @@ from .features import TFIDF_TOKEN, classification_report, split_flag, tfidf_toke
 MODELS = ("logistic_regression", "naive_bayes", "random_forest")
 
 
+def _word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, times, rows that have it) of a batch of token lists; its rows as those of a null word."""
+    for part in parts:
+        tokens = part.column(0)
+        found = tokens.flatten().dictionary_encode()
+        n, code = len(found.dictionary), np.asarray(found.indices, np.int64)
+        row = np.repeat(np.arange(len(tokens)), np.asarray(tokens.value_lengths().fill_null(0)))
+        in_row = np.sort(row * n + code)
+        in_row = in_row[np.flatnonzero(np.r_[True, in_row[1:] != in_row[:-1]])] if len(in_row) else in_row
+        yield pa.RecordBatch.from_arrays([
+            pa.concat_arrays([found.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
+            pa.array(np.r_[np.bincount(code, minlength=n), len(tokens)].astype(np.int64)),
+            pa.array(np.r_[np.bincount(in_row % max(n, 1), minlength=n), len(tokens)].astype(np.int64))],
+            names=["word", "times", "df"])
+
+
 def tfidf_features(df: DataFrame, text: str, max_features: int, out: str = "features") -> tuple[DataFrame, PipelineModel]:
     """M1 with ML stages: raw counts x (idf + 1), L2 rows. The ``max_features``
     words are those of the relational form, ties at the cut by word (the
-    estimator of Spark leaves them to chance)."""
+    estimator of Spark leaves them to chance). One pass over the text gives the
+    words, the rows that have them and the number of rows, as Spark's IDF counts them."""
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TFIDF_TOKEN, gaps=False, toLowercase=True)
-    words = df.select(F.explode(tfidf_tokens(text)).alias("word")).groupBy("word").count() \
-        .orderBy(F.desc("count"), "word").limit(max_features).collect()
-    if not words:
+    found = df.select(tfidf_tokens(text)).mapInArrow(_word_counts, "word string, times bigint, df bigint") \
+        .groupBy("word").agg(F.sum("times").alias("times"), F.sum("df").alias("df")) \
+        .orderBy(F.col("word").isNotNull(), F.desc("times"), "word").limit(max_features + 1).collect()
+    if len(found) < 2:
         raise ValueError("no word to learn from")
+    n, words = found[0]["df"], found[1:]
     cv = CountVectorizerModel.from_vocabulary([r["word"] for r in words], inputCol="_tok", outputCol="_tf")
-    idf = IDF(inputCol="_tf", outputCol="_idf")
-    fitted = Pipeline(stages=[tok, cv, idf]).fit(df)
-    idf_vec = fitted.stages[2].idf.toArray() + 1.0
-    scale = ElementwiseProduct(scalingVec=DenseVector(idf_vec), inputCol="_tf", outputCol="_w")
+    idf = [math.log((n + 1) / (r["df"] + 1)) + 1.0 for r in words]
+    scale = ElementwiseProduct(scalingVec=DenseVector(idf), inputCol="_tf", outputCol="_w")
     norm = Normalizer(inputCol="_w", outputCol=out, p=2.0)
-    model = PipelineModel(stages=[fitted.stages[0], fitted.stages[1], scale, norm])
+    model = PipelineModel(stages=[tok, cv, scale, norm])
     return model.transform(df).drop("_tok", "_tf", "_w"), model
 
 
+#: Partitions of the rows that a logistic regression learns from, by core: each step adds up a gradient a partition.
+GRADIENTS = 4
+
+
 #: Random forest: as many trees as the reference's default, and MLlib's depth limit, as that has none.
 TREES, DEPTH = 100, 30
 
@@ -83,6 +106,7 @@ def run_experiment(df: DataFrame, key: str, text: str, target: str, max_features
     indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error").fit(train)
     train = indexer.transform(train)
     labels = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
+    cores = df.sparkSession.sparkContext.defaultParallelism
     reports = []
     for name in models:
         if name == "random_forest":
@@ -92,7 +116,8 @@ def run_experiment(df: DataFrame, key: str, text: str, target: str, max_features
                 "label_idx", "features", len(vec.stages[1].vocabulary), len(indexer.labels),
                 **{"trees": TREES, "depth": DEPTH, **options.get(name, {})})
         else:
-            scored = classifier(name, **options.get(name, {})).fit(train).transform(test)
+            rows = train.coalesce(GRADIENTS * cores) if name == "logistic_regression" else train
+            scored = classifier(name, **options.get(name, {})).fit(rows).transform(test)
         pred = labels.transform(scored).select(F.col(target).alias("label"), F.col("predicted_label").alias("prediction"))
         reports.append(classification_report(pred).select(F.lit(experiment).alias("experiment"),
                                                           F.lit(name).alias("model"), "*"))

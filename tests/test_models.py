@@ -199,3 +199,49 @@ def test_title_features_read_the_articles_once(spark, sf_dir):
     for name in ("m1_tfidf_ml_features", "m13_token_sequences"):
         got = getattr(q_models, name)(spark, sf_dir)
         assert got.inputFiles() and not any("documents.parquet" in f for f in got.inputFiles())
+
+
+def test_words_and_their_rows_are_counted_in_one_pass(spark):
+    """Words, their rows and the number of rows, rows without words included; weights are those of Spark's own IDF."""
+    from pyspark.ml.feature import IDF, CountVectorizerModel, RegexTokenizer
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["Aa", "bb", "cc", "dd", "\u00e9t\u00e9", "x", "\u0939\u093f\u0928"]) for _ in range(rng.randrange(9))))
+            for i in range(300)] + [(300, ""), (301, "x")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    read = []
+    kept = type(df).collect
+    type(df).collect = lambda self: (read.append(self), kept(self))[1]
+    try:
+        feats, model = MO.tfidf_features(df, "text", 4)
+    finally:
+        type(df).collect = kept
+    assert len(read) == 1 and set(read[0].columns) == {"word", "times", "df"}
+    times = {}
+    for _, text in rows:
+        for w in text.lower().split():
+            if len(w) > 1:
+                times[w] = times.get(w, 0) + 1
+    assert model.stages[1].vocabulary == sorted(times, key=lambda w: (-times[w], w.encode()))[:4]
+    tok = RegexTokenizer(inputCol="text", outputCol="t", pattern=FE.TFIDF_TOKEN, gaps=False)
+    cv = CountVectorizerModel.from_vocabulary(model.stages[1].vocabulary, inputCol="t", outputCol="v")
+    spark_idf = IDF(inputCol="v", outputCol="i").fit(cv.transform(tok.transform(df))).idf.toArray() + 1
+    assert np.allclose(model.stages[2].getScalingVec().toArray(), spark_idf, rtol=1e-14, atol=0)
+    assert feats.count() == 302
+
+
+def test_a_gradient_a_partition_are_few(spark, monkeypatch):
+    """A logistic regression adds up as many gradients a step as there are cores, times a fixed number, not files."""
+    seen = []
+    fit = MO.LogisticRegression.fit
+    monkeypatch.setattr(MO.LogisticRegression, "fit", lambda self, df, *a: (seen.append(df.rdd.getNumPartitions()), fit(self, df, *a))[1])
+    monkeypatch.setattr(MO, "GRADIENTS", 1)
+    rows = [(i, "red blue" if i % 2 else "green blue", "ab"[i % 2]) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, text string, label string").repartition(40)
+    kept = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)  # a partition a file
+    try:
+        got = MO.run_experiment(df, "id", "text", "label", 10, "e", models=["logistic_regression"])
+        own = {r["class"]: r["f1_score"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", kept)
+    assert own["accuracy"] == 1.0 and seen == [spark.sparkContext.defaultParallelism]
