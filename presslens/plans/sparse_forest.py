@@ -46,8 +46,8 @@ PARTITION_ROWS = 1 << 15
 BLOCK, BLOCK_ROWS = 1 << 23, 1 << 12
 #: Counts that a task keeps before it adds up equal ones, and about the most of whole nodes' counts worked on at once.
 PENDING, DENSE = 1 << 22, 1 << 22
-#: Orders of the features in which a level's nodes are offered runs.
-STEPS = 4
+#: Orders of the features in which a level's nodes are offered runs, and the most features of which these begin at any place.
+STEPS, ANY_PLACE = 4, 256
 #: One in so many (bin, class) cells of a node's feature are counted: from there on all its cells are laid out, some at once.
 THICK, CELLS = 8, 1 << 19
 #: Counts sent at once.
@@ -440,13 +440,14 @@ def _splits(state: DataFrame, levels: list[Broadcast], whole: tuple[np.ndarray,
     rng = np.random.default_rng(level_seed)
     nodes, offered = len(whole[0]) - 1, math.ceil(math.sqrt(size))
     units = np.array([u for u in range(1, max(size, 2)) if math.gcd(u, size) == 1])
-    # a node is offered the features that its step, one of a few, and its start take below ``offered``: one of the full runs
-    # that lie end to end, which keeps their ends few
+    # a node is offered the features that its step, one of a few, and its start take below ``offered``: of many features one
+    # of the full runs that lie end to end, which keeps their ends few
+    apart = offered if size > ANY_PLACE else 1
     number = np.uint32 if size < 1 << 16 else np.uint64  # of size * size; the last step and start are for no node
     spark = state.sparkSession
     shared = spark.sparkContext.broadcast((
         _inverses(rng.permutation(size).astype(number)), np.r_[rng.choice(rng.choice(units, STEPS), nodes), 0].astype(number),
-        np.r_[size - offered * rng.integers(0, size // offered, nodes), size].astype(number) % size, whole))
+        np.r_[size - apart * rng.integers(0, size // apart, nodes), size].astype(number) % size, whole))
     buckets = _buckets(spark)
     if nodes * size * BINS * classes >= 1 << 59:
         raise ValueError("too many features and classes")
